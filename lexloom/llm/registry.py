@@ -6,6 +6,7 @@ from importlib import import_module
 
 #: Query -> (module, name of its SQL or None).
 QUERIES = {
+    "op3_bpe": ("bpe", None),
     "op4_topk": ("topk", "OP4_SQL"),
     "op6_near_dedup": ("near_dedup", "OP6_SQL"),
     "op7_line_dedup": ("line_dedup", "OP7_SQL"),
