@@ -10,7 +10,7 @@
 4. Links give components by alternating large-star and small-star.
 5. A bucket whose classes are still in several components is searched in full: each
    class outside the bucket's largest component against all others of the bucket in
-   other components, in blocks of bounded size. Pairs within a component can't change
+   other components, in blocks of bounded size, by a finer sketch and then the sets. Pairs within a component can't change
    it, so nothing that could is left out.
 
 Defined cases: texts without words (null and empty ones too) have an empty set and link
@@ -39,6 +39,8 @@ MISS = 1e-6
 BLOCK = 1024
 #: Shingles that are hashed at a time.
 CHUNK = 1 << 15
+#: Bins of the sketch that classes of one bucket are compared by.
+BINS = 512
 
 
 class WordHash(dict):
@@ -85,6 +87,37 @@ def least_equal(percent: int, n: int) -> int:
     return max(1, math.floor(n * s - 5 * math.sqrt(n * s * (1 - s))))
 
 
+_EDGES = np.arange(BINS, dtype=np.uint64) << np.uint64(64 - BINS.bit_length() + 1)
+
+
+def sketch(shingle_set: np.ndarray) -> np.ndarray:
+    """A byte for each range of hashes: of its smallest shingle, 0 if it has none. The
+    bins that agree, among those that either set fills, estimate the similarity; small
+    sets fill a bin with each shingle, so their estimate is close to exact."""
+    at = np.searchsorted(shingle_set, _EDGES)
+    full = at < np.append(at[1:], len(shingle_set))
+    out = np.zeros(BINS, dtype=np.uint8)
+    out[full] = (shingle_set[at[full]] % np.uint64(255) + np.uint64(1)).astype(np.uint8)
+    return out
+
+
+def similar_sketches(a: np.ndarray, n: np.ndarray, others: np.ndarray, bits: np.ndarray, full: np.ndarray, i: int, percent: int) -> np.ndarray:
+    """Those of others (row numbers of a; n: set sizes) whose sketch allows the similarity
+    to row i but for a chance of 3 in ten millions. Sizes come first, then one bit of each
+    bin. The bins are a sample of the union without replacement, which the deviation of
+    the estimate follows."""
+    s = percent / 100
+    others = others[(100 * n[others] >= percent * n[i]) & (100 * n[i] >= percent * n[others])]
+    filled = np.bitwise_count(full[others] | full[i]).sum(axis=1)
+    union = (n[others] + n[i]) / (1 + s)
+    var = filled * s * (1 - s) * np.clip((union - filled) / np.maximum(union - 1, 1), 0, 1)
+    apart = np.bitwise_count(bits[others] ^ bits[i]).sum(axis=1)
+    keep = apart <= filled * (1 - s) / 2 + 1 + 5 * np.sqrt(filled * (1 - s) / 4 + var / 4)
+    others, filled, var = others[keep], filled[keep], var[keep]
+    same = ((a[others] == a[i]) & (a[i] > 0)).sum(axis=1)
+    return others[same >= s * filled - 1 - 5 * np.sqrt(var)]
+
+
 class MinHash:
     """n universal hashes (a * x + b over 32 bits, a odd) and their minima."""
 
@@ -123,7 +156,8 @@ class MinHash:
 
 
 def signatures(docs: DataFrame, percent: int, size: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, n, s1, s2, keys, sig): set size, name of the set, buckets, signature."""
+    """(id, n, s1, s2, keys, sig, bins): set size, name of the set, buckets, signature and
+    sketch."""
     bands, rows = banding(percent)
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -134,17 +168,18 @@ def signatures(docs: DataFrame, percent: int, size: int, id_col: str, text_col:
             full = [s for s in sets if len(s)]
             keys: list = [None] * len(sets)
             sigs: list = [None] * len(sets)
+            bins = [sketch(s).tobytes() if len(s) else None for s in sets]
             names = np.zeros((len(sets), 2), dtype=np.int64)
             if full:
                 m = hasher.minima(full)
                 for i, k, s in zip(np.flatnonzero(n), hasher.keys(m), (m & np.uint32(0xFFFF)).astype(np.uint16), strict=True):
                     keys[i], sigs[i] = k, s.tobytes()
                     names[i] = np.frombuffer(xxhash.xxh3_128_digest(sets[i].tobytes()), dtype="<i8")
-            yield pd.DataFrame({"id": b["id"].array, "n": n, "s1": names[:, 0], "s2": names[:, 1], "keys": keys, "sig": sigs})
+            yield pd.DataFrame({"id": b["id"].array, "n": n, "s1": names[:, 0], "s2": names[:, 1], "keys": keys, "sig": sigs, "bins": bins})
 
     small_batches(docs.sparkSession)
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
-    return src.withColumn("id", F.col("id").cast("string")).mapInPandas(sign, "id string, n long, s1 long, s2 long, keys array<long>, sig binary").withColumn("id", F.col("id").cast("long"))
+    return src.withColumn("id", F.col("id").cast("string")).mapInPandas(sign, "id string, n long, s1 long, s2 long, keys array<long>, sig binary, bins binary").withColumn("id", F.col("id").cast("long"))
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, percent: int, size: int, id_col: str, text_col: str) -> DataFrame:
@@ -185,8 +220,8 @@ def near_groups(docs: DataFrame, *, percent: int = PERCENT, size: int = SHINGLE,
     least = least_equal(percent, bands * rows)
     signed = written(signatures(docs, percent, size, id_col, text_col), "signatures")
     named = signed.where("n > 0 AND id IS NOT NULL")
-    classes = written(named.groupBy("s1", "s2").agg(F.min("id").alias("rep"), F.first("sig").alias("sig"), F.first("keys").alias("keys")), "classes")
-    nodes = classes.select("rep", "sig", "keys")
+    classes = written(named.groupBy("s1", "s2").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("keys").alias("keys"), F.first("bins").alias("bins")), "classes")
+    nodes = classes.select("rep", "n", "sig", "keys", "bins")
     buckets = nodes.select("rep", F.explode("keys").alias("key"))
     heads = buckets.groupBy("key").agg(F.min("rep").alias("v"), F.max("rep").alias("w")).where("v <> w").select("key", "v")
     star = buckets.join(heads, "key").where("rep <> v").select(F.col("rep").alias("u"), "v").distinct()
@@ -201,7 +236,7 @@ def near_groups(docs: DataFrame, *, percent: int = PERCENT, size: int = SHINGLE,
     shared = named.join(several, "id", "left_semi").join(classes.select("s1", "s2", "rep"), ["s1", "s2"]).where("id <> rep")
     links = links.unionByName(shared.select(F.col("id").alias("u"), F.col("rep").alias("v")))
     first = written(components(links), "components")
-    rest = _search_rest(nodes, first, least)
+    rest = _search_rest(nodes, first, percent)
     more = written(_verified(written(rest, "pairs"), docs, percent, size, id_col, text_col), "links")
     if more.isEmpty():
         comp = first
@@ -224,29 +259,31 @@ def _alike(pairs: DataFrame, least: int) -> DataFrame:
     return pairs.select("u", "v", "su", "sv").mapInPandas(check, "u long, v long")
 
 
-def _search_rest(nodes: DataFrame, comp: DataFrame, least: int) -> DataFrame:
-    """Pairs across components that share a bucket and pass the signature. A bucket is
+def _search_rest(nodes: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
+    """Pairs across components that share a bucket and pass the sketch. A bucket is
     dealt to cells (block of members, block of outsiders), each of bounded size."""
     placed = nodes.join(comp.select(F.col("id").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     rows = placed.select("rep", "component", F.explode("keys").alias("key"))
     sizes = rows.groupBy("key", "component").agg(F.count(F.lit(1)).alias("k"))
     split = sizes.groupBy("key").agg(F.max_by("component", "k").alias("main"), F.sum("k").alias("m"), F.max("k").alias("most"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
     plan = split.select("key", "main", F.ceil(F.col("m") / BLOCK).cast("int").alias("mb"), F.ceil((F.col("m") - F.col("most")) / BLOCK).cast("int").alias("ob"))
-    wide = written(rows.join(plan, "key").join(nodes.select("rep", "sig"), "rep"), "rest")
+    wide = written(rows.join(plan, "key").join(nodes.select("rep", "n", "bins"), "rep"), "rest")
 
     def block(n: str):
         return F.pmod(F.hash("rep"), F.col(n)).cast("int")
 
-    member = wide.select("key", block("mb").alias("i"), F.explode(F.sequence(F.lit(0), F.col("ob") - 1)).alias("j"), "rep", "component", "sig", F.lit(False).alias("out"))
-    outside = wide.where("component <> main").select("key", F.explode(F.sequence(F.lit(0), F.col("mb") - 1)).alias("i"), block("ob").alias("j"), "rep", "component", "sig", F.lit(True).alias("out"))
+    member = wide.select("key", block("mb").alias("i"), F.explode(F.sequence(F.lit(0), F.col("ob") - 1)).alias("j"), "rep", "component", "n", "bins", F.lit(False).alias("out"))
+    outside = wide.where("component <> main").select("key", F.explode(F.sequence(F.lit(0), F.col("mb") - 1)).alias("i"), block("ob").alias("j"), "rep", "component", "n", "bins", F.lit(True).alias("out"))
 
     def compare(b: pd.DataFrame) -> pd.DataFrame:
-        sig = np.frombuffer(b"".join(b["sig"]), dtype=np.uint16).reshape(len(b), -1)
+        a = np.frombuffer(b"".join(b["bins"]), dtype=np.uint8).reshape(len(b), BINS)
+        bits, full = (np.packbits(x, axis=1).view(np.uint64) for x in (a & 1, a > 0))
+        n = b["n"].to_numpy()
         out, comp_, rep = b["out"].to_numpy(bool), b["component"].to_numpy(), b["rep"].to_numpy()
         members, us, vs = np.flatnonzero(~out), [], []
         for o in np.flatnonzero(out):
             others = members[comp_[members] != comp_[o]]
-            near = others[(sig[others] == sig[o]).sum(axis=1) >= least]
+            near = similar_sketches(a, n, others, bits, full, o, percent)
             us.append(np.full(len(near), rep[o]))
             vs.append(rep[near])
         u = np.concatenate(us) if us else np.zeros(0, np.int64)
