@@ -12,6 +12,7 @@ QUERIES = {
     "op6_near_dedup": ("near_dedup", "OP6_SQL"),
     "op7_line_dedup": ("line_dedup", "OP7_SQL"),
     "op9_langid": ("langid", None),
+    "op10_quality": ("quality", None),
 }
 
 
