@@ -11,6 +11,7 @@ QUERIES = {
     "op4_topk": ("topk", "OP4_SQL"),
     "op6_near_dedup": ("near_dedup", "OP6_SQL"),
     "op7_line_dedup": ("line_dedup", "OP7_SQL"),
+    "op8_decontaminate": ("decontaminate", None),
     "op9_langid": ("langid", None),
     "op10_quality": ("quality", None),
 }
