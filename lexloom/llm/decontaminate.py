@@ -1,12 +1,14 @@
 """Benchmark decontamination under edit distance.
 
 An item leaks into a text if some stretch of the text is within a word edit distance of
-``distance`` of the item's length. Items of n words and k allowed edits keep a run of
-(n - k) / (k + 1) words intact, so only places where such a run of an item stands can
-start a leak; every such place opens an item-sized window, in all of every text. Windows
-and items are embedded by CGK random walks, which turn edit distance into Hamming
-distance; bit samples of the embeddings are the keys of REPEATS hash tables, and a
-window is compared with the items it meets in any table. An exact alignment decides.
+``distance`` of the item's length. k edits leave at least n + 1 - 3 - 3 k of the n - 2
+runs of three words of an item intact, each within k places of its own; where so many
+stand in a text, of all texts and places, they open item-sized windows (an item too
+short for this count opens them at each run of (n - k) / (k + 1) words, which k edits
+can't all break). Windows and items are embedded by CGK random walks, which turn edit
+distance into Hamming distance; bit samples of the embeddings are the keys of REPEATS
+hash tables, and a window is compared with the items it meets in any table. An exact
+alignment decides.
 
 The items are a query set: they are read in blocks of bounded size, and each block is
 broadcast and held against all texts.
@@ -40,8 +42,10 @@ DISTANCE, MIN_WORDS = 0.2, 5
 #: windows at the full distance exceed, 2 in a thousand.
 REPEATS, SAMPLED = 48, 3
 #: Characters of items that are broadcast at a time.
-BLOCK_CHARS = 8 << 20
-_FILTER = 22
+BLOCK_CHARS = 1 << 20
+#: Windows that are embedded together.
+FLUSH = 4096
+_FILTER = 20
 
 
 def words_of(text: str | None, cache: WordHash) -> np.ndarray:
@@ -61,28 +65,39 @@ def edits(n: int, distance: float) -> int:
 
 
 class Cgk:
-    """Random walks over windows of n words: a walk stays or moves on by a random bit of
-    step and word, and writes the word it stands at, 3 n times."""
-
-    def __init__(self, n: int, repeat: int):
-        rng = np.random.default_rng([n, repeat, 71])
-        self.n = n
-        self.seed = rng.integers(1, 1 << 63, 3 * n, dtype=np.uint64)
-        self.at = np.sort(rng.choice(max(1, 2 * n), SAMPLED, replace=2 * n < SAMPLED))
-
-    def keys(self, windows: np.ndarray) -> np.ndarray:
-        """Bucket keys of windows (rows of n word hashes)."""
-        padded = np.hstack([windows, np.zeros((len(windows), 1), dtype=np.uint64)])
+    """Random walk of one repeat: a walk stays or moves on by a random bit of step and
+    word, and writes the word it stands at, 3 n times for n words. The bucket key samples
+    what it writes, at places that depend on n."""
+
+    def __init__(self, repeat: int, longest: int):
+        self.repeat = repeat
+        self.seed = np.random.default_rng([repeat, 71]).integers(1, 1 << 63, 3 * longest, dtype=np.uint64)
+
+    def sampled(self, n: int) -> np.ndarray:
+        return np.sort(np.random.default_rng([n, self.repeat, 72]).choice(2 * n, SAMPLED, replace=2 * n < SAMPLED))
+
+    def keys(self, windows: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Bucket keys of windows: rows of word hashes, filled up with zeros, and the
+        number of words of each."""
         rows, at = np.arange(len(windows)), np.zeros(len(windows), dtype=np.int64)
-        key = np.zeros(len(windows), dtype=np.uint64)
-        for j in range(int(self.at[-1]) + 1):
-            sym = padded[rows, at]
-            for _ in range(int((self.at == j).sum())):
-                key = mix64(key + sym + np.uint64(j))
-            at = np.minimum(at + ((mix64(sym ^ self.seed[j]) >> np.uint64(17)) & np.uint64(1)).astype(np.int64), self.n)
+        key = mix64(size.astype(np.uint64))
+        places = {n: self.sampled(n) for n in np.unique(size).tolist()}
+        when = np.stack([places[n] for n in size.tolist()])
+        for j in range(int(when.max()) + 1):
+            sym = windows[rows, at]
+            for c in range(SAMPLED):
+                key = np.where(when[:, c] == j, mix64(key + sym + np.uint64(j)), key)
+            at = np.minimum(at + ((mix64(sym ^ self.seed[j]) >> np.uint64(17)) & np.uint64(1)).astype(np.int64), size)
         return key
 
 
+def stacked(windows: list[np.ndarray], longest: int) -> np.ndarray:
+    out = np.zeros((len(windows), longest + 1), dtype=np.uint64)
+    for i, w in enumerate(windows):
+        out[i, : len(w)] = w
+    return out
+
+
 def align(item: np.ndarray, region: np.ndarray) -> tuple[int, int, int]:
     """(distance, start, end) of the stretch of region nearest to item: the first to end."""
 
@@ -105,6 +120,7 @@ class Items:
 
     def __init__(self, items: list[tuple[int, str]], distance: float, min_words: int):
         cache = WordHash()
+        self.distance = distance
         self.ids, self.words = [], []
         for i, t in items:
             h = words_of(t, cache)
@@ -112,73 +128,81 @@ class Items:
                 self.ids.append(i)
                 self.words.append(h)
         self.allowed = [edits(len(h), distance) for h in self.words]
-        self.runs: dict[int, dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
+        self.longest = max(map(len, self.words), default=1)
+        #: Runs that must stand at a leak.
+        self.need = [max(1, len(h) + 1 - 3 - 3 * e) for h, e in zip(self.words, self.allowed, strict=True)]
+        runs_of: dict[int, dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
         for k, (h, e) in enumerate(zip(self.words, self.allowed, strict=True)):
-            size = min(4, -(-(len(h) - e) // (e + 1)))
+            size = 3 if self.need[k] > 1 else min(4, -(-(len(h) - e) // (e + 1)))
             for p, r in enumerate(runs(h, size).tolist()):
-                self.runs[size][r].append((k, p))
-        self.runs = {s: dict(v) for s, v in self.runs.items()}
+                runs_of[size][r].append((k, p))
+        self.runs = {s: dict(v) for s, v in runs_of.items()}
         self.seen = {}
         for s, v in self.runs.items():
             bits = np.zeros(1 << _FILTER, dtype=bool)
             bits[np.fromiter(v, dtype=np.uint64) >> np.uint64(64 - _FILTER)] = True
             self.seen[s] = bits
-        by_size = defaultdict(list)
-        for k, h in enumerate(self.words):
-            by_size[len(h)].append(k)
-        #: (size, repeat) -> key -> items
-        self.tables: dict[tuple[int, int], dict[int, list[int]]] = {}
-        for n, own in by_size.items():
-            for r in range(REPEATS):
-                table = defaultdict(list)
-                for k, key in zip(own, Cgk(n, r).keys(np.stack([self.words[k] for k in own])).tolist(), strict=True):
-                    table[key].append(k)
-                self.tables[n, r] = dict(table)
-
-    def windows(self, h: np.ndarray) -> dict[int, set[int]]:
-        """Size -> starts of the windows that intact runs open."""
-        out: dict[int, set[int]] = defaultdict(set)
+        self.walks = [Cgk(r, self.longest) for r in range(REPEATS)]
+        #: Of each repeat: key -> items.
+        self.tables: list[dict[int, list[int]]] = []
+        size = np.array([len(h) for h in self.words], dtype=np.int64)
+        for walk in self.walks if self.words else []:
+            table = defaultdict(list)
+            for k, key in enumerate(walk.keys(stacked(self.words, self.longest), size).tolist()):
+                table[key].append(k)
+            self.tables.append(dict(table))
+
+    def windows(self, h: np.ndarray) -> set[tuple[int, int]]:
+        """(size, start) of the windows that intact runs open."""
+        hits: dict[int, list[tuple[int, int]]] = defaultdict(list)
         for size, known in self.runs.items():
             r = runs(h, size)
-            for p in np.flatnonzero(self.seen[size][r >> np.uint64(64 - _FILTER)]):
+            for p in np.flatnonzero(self.seen[size][r >> np.uint64(64 - _FILTER)]).tolist():
                 for k, at in known.get(int(r[p]), ()):
-                    n = len(self.words[k])
-                    out[n].add(min(max(0, int(p) - at), max(0, len(h) - 1)))
+                    hits[k].append((p - at, at))
+        out = set()
+        for k, own in hits.items():
+            need, reach = self.need[k], 2 * self.allowed[k]
+            if len(own) < need:
+                continue
+            own.sort()
+            lo, inside = 0, defaultdict(int)
+            for i, (start, at) in enumerate(own):
+                inside[at] += 1
+                while own[lo][0] < start - reach:
+                    inside[own[lo][1]] -= 1
+                    if not inside[own[lo][1]]:
+                        del inside[own[lo][1]]
+                    lo += 1
+                if len(inside) >= need:
+                    out.update((len(self.words[k]), max(0, s)) for s in {x for x, _ in own[lo : i + 1]})
         return out
 
-    def candidates(self, h: list[np.ndarray]) -> dict[int, set[tuple[int, int]]]:
-        """Text -> (item, window start) that meet in a table; texts of a batch together."""
-        by_size: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for d, x in enumerate(h):
-            for n, starts in self.windows(x).items():
-                by_size[n] += [(d, s) for s in starts]
-        out: dict[int, set[tuple[int, int]]] = defaultdict(set)
-        for n, where in by_size.items():
-            w = np.zeros((len(where), n), dtype=np.uint64)
-            for i, (d, s) in enumerate(where):
-                part = h[d][s : s + n]
-                w[i, : len(part)] = part
-            for r in range(REPEATS):
-                table = self.tables[n, r]
-                for i, key in enumerate(Cgk(n, r).keys(w).tolist()):
-                    for k in table.get(key, ()):
-                        out[where[i][0]].add((k, where[i][1]))
-        return out
-
-    def matches(self, h: list[np.ndarray]) -> list[tuple[int, int, int, int, int]]:
-        """(text, item, distance, first word, last word), the nearest stretch of each pair."""
+    def opened(self, doc: str | None, h: np.ndarray) -> list[tuple]:
+        """(doc, size, start, first word of the region, region) for each window."""
         out = []
-        for d, pairs in self.candidates(h).items():
-            best: dict[int, tuple[int, int, int]] = {}
-            for k, s in sorted(pairs):
-                n, e = len(self.words[k]), self.allowed[k]
-                lo = max(0, s - e)
-                dist, a, b = align(self.words[k], h[d][lo : s + n + e])
-                if dist <= e and (k not in best or (dist, lo + a) < best[k][:2]):
-                    best[k] = (dist, lo + a, lo + b - 1)
-            out += [(d, self.ids[k], *m) for k, m in best.items()]
+        for n, s in sorted(self.windows(h)):
+            lo = max(0, s - (e := edits(n, self.distance)))
+            out.append((doc, n, s, lo, h[lo : s + n + e]))
         return out
 
+    def matches(self, opened: list[tuple]) -> Iterator[tuple]:
+        """(doc, item, distance, first word, last word) of windows that meet an item in
+        some table and are near enough."""
+        if not opened:
+            return
+        size = np.array([n for _, n, *_ in opened], dtype=np.int64)
+        rows = stacked([region[s - lo : s - lo + n] for _, n, s, lo, region in opened], self.longest)
+        met: set[tuple[int, int]] = set()
+        for walk, table in zip(self.walks, self.tables, strict=True):
+            for i, key in enumerate(walk.keys(rows, size).tolist()):
+                met.update((i, k) for k in table.get(key, ()) if len(self.words[k]) == size[i])
+        for i, k in sorted(met):
+            doc, _, _, lo, region = opened[i]
+            dist, a, b = align(self.words[k], region)
+            if dist <= self.allowed[k]:
+                yield doc, self.ids[k], dist, lo + a, lo + b - 1
+
 
 def find_leaks(docs: DataFrame, items: DataFrame, *, distance: float = DISTANCE, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(doc_id, item_id, distance, first_word, last_word): leaks of items into docs."""
@@ -189,16 +213,24 @@ def find_leaks(docs: DataFrame, items: DataFrame, *, distance: float = DISTANCE,
     schema = "d string, item_id long, distance long, first_word long, last_word long"
 
     def against(block: list[tuple[int, str]]) -> DataFrame:
-        held = spark.sparkContext.broadcast(block)
+        held = spark.sparkContext.broadcast(Items(block, distance, min_words))
 
         def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            known, cache = Items(held.value, distance, min_words), WordHash()
-            for b in batches:
-                ids = b["d"].to_list()
-                rows = [(ids[d], *m) for d, *m in known.matches([words_of(t, cache) for t in b["t"]])]
+            known, cache, waiting = held.value, WordHash(), []
+
+            def found() -> Iterator[pd.DataFrame]:
+                rows = list(known.matches(waiting))
+                waiting.clear()
                 if rows:
                     yield pd.DataFrame(rows, columns=["d", "item_id", "distance", "first_word", "last_word"])
 
+            for b in batches:
+                for d, t in zip(b["d"].to_list(), b["t"], strict=True):
+                    waiting += known.opened(d, words_of(t, cache))
+                    if len(waiting) >= FLUSH:
+                        yield from found()
+            yield from found()
+
         return src.mapInPandas(find, schema)
 
     parts, block, size = [], [], 0
