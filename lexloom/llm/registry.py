@@ -9,6 +9,7 @@ QUERIES = {
     "op2_licenses": ("licenses", None),
     "op3_bpe": ("bpe", None),
     "op4_topk": ("topk", "OP4_SQL"),
+    "op5_pii": ("pii", None),
     "op6_near_dedup": ("near_dedup", "OP6_SQL"),
     "op7_line_dedup": ("line_dedup", "OP7_SQL"),
     "op8_decontaminate": ("decontaminate", None),
