@@ -27,6 +27,7 @@ from __future__ import annotations
 import math
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,30 +70,32 @@ CELLS = math.prod(LEVELS.values())
 
 #: Matches whose places are added up together: keeps long lists of matches linear.
 _BLOCK = 256
-_SPAN = "array<struct<s:int,e:int,v:string>>"
+_SPAN = "array<struct<s:int,e:int,v:string,b:string,a:string>>"
 
 
 def _with_matches(df: DataFrame, name: str, text: str, pattern: str, guard: str) -> DataFrame:
-    """df with ``name``: matches of the pattern with their places, (s, e, v). The pieces
-    between matches tell where each stands; places are summed within blocks, then blocks
-    are moved by what lies before them."""
+    """df with ``name``: matches of the pattern with their places and what stands before
+    and after them, (s, e, v, b, a). The pieces between matches tell all this; places are
+    summed within blocks, then blocks are moved by what lies before them."""
     t = F.col(text)
-    matches = F.regexp_extract_all(t, F.lit(f"({pattern})"), F.lit(1))
-    pairs = F.zip_with(F.split(t, pattern, -1), matches, lambda p, m: F.struct(F.length(p).alias("p"), m.alias("v")))
+    df = df.withColumn("_matches", F.when(F.col(guard), F.regexp_extract_all(t, F.lit(f"({pattern})"), F.lit(1))))
+    df = df.withColumn("_pieces", F.when(F.size("_matches") > 0, F.split(t, pattern, -1)))
+    n = F.size("_matches")
+    sides = F.zip_with(F.slice("_pieces", F.lit(1), n), F.slice("_pieces", F.lit(2), n), lambda b, a: F.struct(F.length(b).alias("p"), F.right(b, F.lit(SIDE)).alias("b"), F.left(a, F.lit(1)).alias("a")))
+    df = df.withColumn("_pairs", F.zip_with(sides, "_matches", lambda x, m: F.struct(x["p"].alias("p"), m.alias("v"), x["b"].alias("b"), x["a"].alias("a")))).drop("_matches", "_pieces")
     empty = F.array().cast(_SPAN)
 
     def add(acc: Column, x: Column) -> Column:
         s = acc["at"] + x["p"]
         e = s + F.length(x["v"])
-        return F.struct(e.alias("at"), F.concat(acc["out"], F.array(F.struct(s.alias("s"), e.alias("e"), x["v"].alias("v")))).alias("out"))
+        return F.struct(e.alias("at"), F.concat(acc["out"], F.array(F.struct(s.alias("s"), e.alias("e"), x["v"].alias("v"), x["b"].alias("b"), x["a"].alias("a")))).alias("out"))
 
     start = F.struct(F.lit(0).alias("at"), empty.alias("out"))
-    df = df.withColumn("_pairs", F.when(F.col(guard), F.filter(pairs, lambda x: x["v"].isNotNull())))
     blocks = F.when(F.size("_pairs") > 0, F.transform(F.sequence(F.lit(0), F.floor((F.size("_pairs") - 1) / _BLOCK).cast("int")), lambda b: F.aggregate(F.slice("_pairs", b * _BLOCK + 1, F.lit(_BLOCK)), start, add)))
     df = df.withColumn("_blocks", blocks).drop("_pairs")
     moved = F.aggregate("_blocks", F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")), lambda acc, b: F.struct((acc["at"] + b["at"]).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")))["out"]
     df = df.withColumn("_moved", moved)
-    shift = F.zip_with("_blocks", "_moved", lambda b, o: F.transform(b["out"], lambda x: F.struct((x["s"] + o).alias("s"), (x["e"] + o).alias("e"), x["v"].alias("v"))))
+    shift = F.zip_with("_blocks", "_moved", lambda b, o: F.transform(b["out"], lambda x: F.struct((x["s"] + o).alias("s"), (x["e"] + o).alias("e"), x["v"].alias("v"), x["b"].alias("b"), x["a"].alias("a"))))
     return df.withColumn(name, F.coalesce(F.flatten(shift), empty)).drop("_blocks", "_moved")
 
 
@@ -140,20 +143,19 @@ def _side(c: Column) -> Column:
     return F.when(c.rlike(r"^\s*$"), 0).when(c.rlike(r"^[\p{L}\p{N}]$"), 1).otherwise(2)
 
 
-def _proposals(kind: str, spans: str, wide: bool, text: str) -> Column:
+def _proposals(kind: str, spans: str, wide: bool) -> Column:
     """Array of (k, s, e, base, ok, code): code names the combination of features."""
-    t, k = F.col(text), KINDS.index(kind)
+    k = KINDS.index(kind)
 
     def one(x: Column) -> Column:
         v = x["v"]
         plain = _plain(kind, v) if wide else v
         ok = plain.rlike("^(?:" + BASE[kind].replace(r"|\G", "") + ")$") & _passes(kind, plain) if wide else _passes(kind, v)
         n = F.length(_digits(v))
-        before = F.substring(t, F.greatest(x["s"] - SIDE + 1, F.lit(1)), F.least(x["s"], F.lit(SIDE)))
         features = {
             "kind": F.lit(k), "wide": F.lit(int(wide)), "size": _level(F.length(v), 8, 13, 20), "digits": _level(n, 1, 9, 13),
-            "groups": _level(F.size(F.split(v, "[^A-Za-z0-9]+", -1)), 2, 3, 5), "context": F.coalesce(before.rlike(CONTEXT[kind]), F.lit(False)).cast("int"),
-            "before": _side(F.right(before, F.lit(1))), "after": _side(F.substring(t, x["e"] + 1, F.lit(1))),
+            "groups": _level(F.size(F.split(v, "[^A-Za-z0-9]+", -1)), 2, 3, 5), "context": F.coalesce(x["b"].rlike(CONTEXT[kind]), F.lit(False)).cast("int"),
+            "before": _side(F.right(x["b"], F.lit(1))), "after": _side(x["a"]),
         }
         code = reduce(lambda c, f: c * LEVELS[f] + features[f], features, F.lit(0))
         return F.struct(F.lit(k).alias("k"), x["s"].alias("s"), x["e"].alias("e"), F.lit(not wide).alias("base"), F.coalesce(ok, F.lit(False)).alias("ok"), code.cast("int").alias("code"))
@@ -171,7 +173,7 @@ def propose(docs: DataFrame, text_col: str) -> DataFrame:
         for wide, patterns in ((False, BASE), (True, WIDE)):
             name = f"_{kind}_{int(wide)}"
             df = _with_matches(df, name, text_col, patterns[kind], f"_need_{kind}")
-            parts.append(_proposals(kind, name, wide, text_col))
+            parts.append(_proposals(kind, name, wide))
     own = [c for c in docs.columns]
     return df.select(*own, F.concat(*parts).alias("_proposed"))
 
@@ -196,45 +198,40 @@ class Trees:
     positive and of all proposals for each code."""
 
     def __init__(self, positive: dict[int, int], total: dict[int, int], rounds: int = ROUNDS):
-        self.levels = cell_levels()
-        self.codes = sorted(total)
-        pos = [positive.get(c, 0) for c in self.codes]
-        n = [total[c] for c in self.codes]
-        rate = min(0.99, max(0.01, sum(pos) / max(1, sum(n))))
-        self.base, self.trees = math.log(rate / (1 - rate)), []
-        score = [self.base] * len(self.codes)
-        for _ in range(rounds if self.codes else 0):
-            p = [1 / (1 + math.exp(-s)) for s in score]
-            g = [a - b * q for a, b, q in zip(pos, n, p, strict=True)]
-            h = [b * q * (1 - q) for b, q in zip(n, p, strict=True)]
-            tree = self._grow(list(range(len(self.codes))), g, h, 3)
-            self.trees.append(tree)
-            score = [s + self._leaf(tree, self.levels[c]) for s, c in zip(score, self.codes, strict=True)]
-
-    def _grow(self, own: list[int], g: list[float], h: list[float], depth: int):
-        value = lambda rows: sum(g[i] for i in rows) / (sum(h[i] for i in rows) + 1)
-        gain = lambda rows: sum(g[i] for i in rows) ** 2 / (sum(h[i] for i in rows) + 1)
+        self.levels = np.array(cell_levels())
+        codes = sorted(total)
+        x = self.levels[codes].reshape(len(codes), -1)
+        pos = np.array([positive.get(c, 0) for c in codes], dtype=float)
+        n = np.array([total[c] for c in codes], dtype=float)
+        rate = min(0.99, max(0.01, pos.sum() / max(1.0, n.sum())))
+        base = math.log(rate / (1 - rate))
+        score, self.raw = np.full(len(codes), base), np.full(CELLS, base)
+        for _ in range(rounds if codes else 0):
+            q = 1 / (1 + np.exp(-score))
+            tree = self._grow(x, pos - n * q, n * q * (1 - q), 3)
+            score += self._leaves(tree, x)
+            self.raw += self._leaves(tree, self.levels)
+
+    def _grow(self, x: np.ndarray, g: np.ndarray, h: np.ndarray, depth: int):
         best, split = 1e-6, None
         for f, n in enumerate(LEVELS.values()) if depth else ():
             for at in range(1, n):
-                left = [i for i in own if self.levels[self.codes[i]][f] < at]
-                right = [i for i in own if self.levels[self.codes[i]][f] >= at]
-                if left and right and (d := gain(left) + gain(right) - gain(own)) > best:
-                    best, split = d, (f, at, left, right)
+                left = x[:, f] < at
+                if left.any() and not left.all():
+                    a, b = g[left].sum(), h[left].sum()
+                    d = a * a / (b + 1) + (g.sum() - a) ** 2 / (h.sum() - b + 1) - g.sum() ** 2 / (h.sum() + 1)
+                    if d > best:
+                        best, split = d, (f, at, left)
         if split is None:
-            return RATE * value(own)
-        f, at, left, right = split
-        return f, at, self._grow(left, g, h, depth - 1), self._grow(right, g, h, depth - 1)
+            return RATE * g.sum() / (h.sum() + 1)
+        f, at, left = split
+        return f, at, self._grow(x[left], g[left], h[left], depth - 1), self._grow(x[~left], g[~left], h[~left], depth - 1)
 
-    @staticmethod
-    def _leaf(tree, row: list[int]) -> float:
-        while isinstance(tree, tuple):
-            f, at, left, right = tree
-            tree = left if row[f] < at else right
-        return tree
-
-    def raw(self, code: int) -> float:
-        return self.base + sum(self._leaf(t, self.levels[code]) for t in self.trees)
+    def _leaves(self, tree, x: np.ndarray) -> np.ndarray:
+        if not isinstance(tree, tuple):
+            return np.full(len(x), tree)
+        f, at, left, right = tree
+        return np.where(x[:, f] < at, self._leaves(left, x), self._leaves(right, x))
 
 
 def calibrated(trees: Trees, positive: dict[int, int], total: dict[int, int]) -> list[float]:
@@ -242,7 +239,7 @@ def calibrated(trees: Trees, positive: dict[int, int], total: dict[int, int]) ->
     with one proposal of each label presumed in each step."""
     if not total:
         return [0.0] * CELLS
-    raw = {c: trees.raw(c) for c in range(CELLS)}
+    raw = trees.raw
     steps: list[list[float]] = []
     for c in sorted(total, key=lambda c: (raw[c], c)):
         steps.append([raw[c], positive.get(c, 0), total[c]])
@@ -250,11 +247,8 @@ def calibrated(trees: Trees, positive: dict[int, int], total: dict[int, int]) ->
             _, a, b = steps.pop()
             steps[-1][1] += a
             steps[-1][2] += b
-    out = []
-    for c in range(CELLS):
-        step = max((s for s in steps if s[0] <= raw[c] + 1e-12), key=lambda s: s[0], default=steps[0])
-        out.append((step[1] + 1) / (step[2] + 2))
-    return out
+    at = np.searchsorted([s[0] for s in steps], raw + 1e-12, side="right")
+    return [(steps[max(0, k - 1)][1] + 1) / (steps[max(0, k - 1)][2] + 2) for k in at]
 
 
 def fit(docs: DataFrame, *, text_col: str = "text") -> list[float]:
@@ -274,14 +268,16 @@ def find_pii(docs: DataFrame, model: list[float], *, text_col: str = "text", thr
     table = F.split(F.lit(",".join(f"{p:.6g}" for p in model)), ",")
     found = propose(docs, text_col)
     p = lambda x: F.element_at(table, x["code"] + 1).cast("double")
-    sure = F.filter("_proposed", lambda x: x["base"] & x["ok"])
-    found = found.withColumn("_sure", sure)
-    more = F.filter("_proposed", lambda x: ~(x["base"] & x["ok"]) & (p(x) >= threshold) & ~F.exists("_sure", lambda b: (b["k"] == x["k"]) & (b["s"] == x["s"]) & (b["e"] == x["e"])))
-    spans = F.array_sort(F.array_distinct(F.transform(F.concat("_sure", more), lambda x: F.struct(x["k"].alias("k"), x["s"].alias("s"), x["e"].alias("e"), (x["base"] & x["ok"]).alias("base"), p(x).alias("p")))))
+    taken = F.filter("_proposed", lambda x: (x["base"] & x["ok"]) | (p(x) >= threshold))
+    # Proposals of one place stand together, a base span first, and only the first stays.
+    ordered = F.array_sort(F.transform(taken, lambda x: F.struct(x["k"].alias("k"), x["s"].alias("s"), x["e"].alias("e"), (~(x["base"] & x["ok"])).alias("more"), p(x).alias("p"))))
+    found = found.withColumn("_ordered", ordered)
+    prev = lambda i: F.get("_ordered", i - 1)
+    spans = F.filter("_ordered", lambda x, i: (i == 0) | (prev(i)["k"] != x["k"]) | (prev(i)["s"] != x["s"]) | (prev(i)["e"] != x["e"]))
     kind = lambda x: F.element_at(F.array(*[F.lit(k) for k in KINDS]), x["k"] + 1)
     out = found.withColumn("_spans", spans)
-    named = F.transform("_spans", lambda x: F.struct(kind(x).alias("kind"), x["s"].alias("s"), x["e"].alias("e"), x["base"].alias("base"), x["p"].alias("p")))
-    return out.withColumn("pii_spans", named).drop("_proposed", "_sure", "_spans")
+    named = F.transform("_spans", lambda x: F.struct(kind(x).alias("kind"), x["s"].alias("s"), x["e"].alias("e"), (~x["more"]).alias("base"), x["p"].alias("p")))
+    return out.withColumn("pii_spans", named).drop("_proposed", "_ordered", "_spans")
 
 
 def redact(found: DataFrame, *, text_col: str = "text") -> DataFrame:
@@ -303,5 +299,6 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_pii(docs, fit(docs))
     base = F.filter("pii_spans", lambda x: x["base"])
     joined = lambda a: F.array_join(F.transform(a, lambda x: F.concat_ws(":", x["kind"], x["s"], x["e"])), ",")
-    counts = [F.size(F.filter("pii_spans", lambda x, k=k: x["base"] & (x["kind"] == k))).cast("long").alias(f"n_{k}") for k in KINDS]
+    of = lambda k: F.filter("pii_spans", lambda x: x["base"] & (x["kind"] == k))
+    counts = [F.size(of(k)).cast("long").alias(f"n_{k}") for k in KINDS]
     return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("pii_spans")).alias("spans"))
