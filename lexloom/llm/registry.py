@@ -6,6 +6,7 @@ from importlib import import_module
 
 #: Query -> (module, name of its SQL or None).
 QUERIES = {
+    "op1_suffix_dedup": ("suffix_dedup", None),
     "op2_licenses": ("licenses", None),
     "op3_bpe": ("bpe", None),
     "op4_topk": ("topk", "OP4_SQL"),
