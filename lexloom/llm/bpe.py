@@ -105,7 +105,35 @@ def unpacked(block: bytes) -> list[bytes]:
     return [raw[a:b] for a, b in zip([4 + 4 * n, *ends], ends, strict=False)]
 
 
-def _by_bucket(words: set[str], buckets: int) -> dict[int, list[bytes]]:
+class Numbering(dict):
+    """Word -> its number in the order of appearance."""
+
+    def __missing__(self, word: str) -> int:
+        n = self[word] = len(self)
+        return n
+
+
+def ragged(flat: np.ndarray, start: np.ndarray, size: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """flat[start : start + size] of the rows in which, one after another."""
+    n = size[which]
+    ends = np.cumsum(n)
+    return flat[np.repeat(start[which] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
+
+
+def _squeeze(texts: list) -> list[list]:
+    import zstandard
+
+    c = zstandard.ZstdCompressor(level=3)
+    return [[None if t is None else c.compress(t.encode("utf-8", "surrogatepass")) for t in texts]]
+
+
+def _unsqueeze(z: bytes | None) -> str | None:
+    import zstandard
+
+    return None if z is None else zstandard.ZstdDecompressor().decompress(z).decode("utf-8", "surrogatepass")
+
+
+def _by_bucket(words, buckets: int) -> dict[int, list[bytes]]:
     """A chunk's distinct words, dealt by hash and sorted, which both its passes repeat."""
     import zlib
 
@@ -120,7 +148,7 @@ def _by_bucket(words: set[str], buckets: int) -> dict[int, list[bytes]]:
 
 #: Encoded words that a task keeps; beyond it a word may be encoded once more.
 KEPT_WORDS = 1_000_000
-PACKETS = "_chunk int, _bucket int, _packet binary"
+PACKETS = "_lexloom_chunk int, _bucket int, _packet binary"
 
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, *, id_col: str = "doc_id", text_col: str = "text", chunk_chars: int = CHUNK_CHARS) -> DataFrame:
@@ -128,7 +156,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, *, id_col: st
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
-    from lexloom.llm._common import column_of, parallel
+    from lexloom.llm._common import add_columns, column_of, parallel
 
     spark = docs.sparkSession
     small_batches(spark)
@@ -139,18 +167,19 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, *, id_col: st
     chunks = max(buckets, -(-chars // chunk_chars))
     held = spark.sparkContext.broadcast(ranks)
     chunk = F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(chunks)).cast("int")
-    dealt = docs.withColumn("_chunk", chunk).repartition(chunks, "_chunk")
+    # Texts travel compressed.
+    dealt = add_columns(docs.withColumn("_lexloom_chunk", chunk), [text_col], _squeeze, {"_lexloom_text": "binary"}).drop(text_col).repartition(chunks, "_lexloom_chunk")
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
         find, seen = regex.compile(pattern).findall, {}
         for b in batches:
-            for c, t in zip(b.column("_chunk").to_pylist(), b.column(text_col).to_pylist(), strict=True):
-                seen.setdefault(c, set()).update(find(t or ""))
+            for c, z in zip(b.column("_lexloom_chunk").to_pylist(), b.column("_lexloom_text").to_pylist(), strict=True):
+                seen.setdefault(c, set()).update(find(_unsqueeze(z) or ""))
         for c in list(seen):
             for k, v in _by_bucket(seen.pop(c), buckets).items():
-                yield pa.RecordBatch.from_pydict({"_chunk": pa.array([c], pa.int32()), "_bucket": pa.array([k], pa.int32()), "_packet": pa.array([packed(v)], pa.binary())})
+                yield pa.RecordBatch.from_pydict({"_lexloom_chunk": pa.array([c], pa.int32()), "_bucket": pa.array([k], pa.int32()), "_packet": pa.array([packed(v)], pa.binary())})
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, bytes] = {}
@@ -164,48 +193,68 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, *, id_col: st
                             known.clear()
                         known[w] = np.array(encode_word(w, held.value), dtype=np.int32).tobytes()
                 out.append(packed([known[w] if w in known else np.array(encode_word(w, held.value), dtype=np.int32).tobytes() for w in own]))
-            yield pa.RecordBatch.from_arrays([b.column("_chunk"), b.column("_bucket"), pa.array(out, pa.binary())], names=["_chunk", "_bucket", "_packet"])
+            yield pa.RecordBatch.from_arrays([b.column("_lexloom_chunk"), b.column("_bucket"), pa.array(out, pa.binary())], names=["_lexloom_chunk", "_bucket", "_packet"])
 
-    names = [c for c in dealt.columns if c != "_chunk"]
-    schema = StructType([f for f in dealt.schema.fields if f.name != "_chunk"] + [StructField("ids", ArrayType(IntegerType())), StructField("n_tokens", LongType())])
+    names = [c for c in docs.columns]
+    schema = StructType(docs.schema.fields + [StructField("ids", ArrayType(IntegerType())), StructField("n_tokens", LongType())])
 
     def placed(left: pa.Table, right: pa.Table) -> pa.Table:
         import regex
-        from itertools import chain
 
         find = regex.compile(pattern).findall
-        texts = left.column(text_col).to_pylist()
-        distinct: set[str] = set()
-        for t in texts:
-            distinct.update(find(t or ""))
-        by_bucket, ids_of = _by_bucket(distinct, buckets), {}
+        texts = [_unsqueeze(z) for z in left.column("_lexloom_text").to_pylist()]
+        own = Numbering()
+        at = [np.fromiter(map(own.__getitem__, find(t or "")), dtype=np.int32) for t in texts]
+        by_bucket, parts, order = _by_bucket(own, buckets), [], []
         for k, block in zip(right.column("_bucket").to_pylist(), right.column("_packet").to_pylist(), strict=True):
-            for w, x in zip(by_bucket[k], unpacked(block), strict=True):
-                ids_of[w.decode("utf-8", "surrogatepass")] = np.frombuffer(x, np.int32).tolist()
-        ids = [np.fromiter(chain.from_iterable(map(ids_of.__getitem__, find(t or ""))), dtype=np.int32) for t in texts]
+            parts += unpacked(block)
+            order += [own[w.decode("utf-8", "surrogatepass")] for w in by_bucket[k]]
+        # Ids of the chunk's words one after another, and where each word's begin.
+        place = np.empty(len(order), dtype=np.int64)
+        place[order] = np.arange(len(order))
+        size = np.array([len(x) // 4 for x in parts], dtype=np.int64)
+        start, flat = np.cumsum(size) - size, np.frombuffer(b"".join(parts), dtype=np.int32)
+        ids = [ragged(flat, start, size, place[x]) for x in at]
         sizes = np.array([len(x) for x in ids], dtype=np.int64)
         offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
         values = pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32), pa.int32())
         target = to_arrow_schema(schema)
-        own = [left.column(c) for c in names] + [pa.ListArray.from_arrays(offsets, values), pa.array(sizes, pa.int64())]
-        return pa.table([x.cast(f.type) if x.type != f.type else x for x, f in zip(own, target, strict=True)], names=names + ["ids", "n_tokens"])
+        old = [pa.array(texts, target.field(c).type) if c == text_col else left.column(c) for c in names]
+        old += [pa.ListArray.from_arrays(offsets, values), pa.array(sizes, pa.int64())]
+        return pa.table([x.cast(f.type) if x.type != f.type else x for x, f in zip(old, target, strict=True)], names=names + ["ids", "n_tokens"])
 
     ids = dealt.mapInArrow(words, PACKETS).repartition(buckets, "_bucket").mapInArrow(encoded, PACKETS)
-    return dealt.groupBy("_chunk").cogroup(ids.groupBy("_chunk")).applyInArrow(placed, schema)
+    return dealt.groupBy("_lexloom_chunk").cogroup(ids.groupBy("_lexloom_chunk")).applyInArrow(placed, schema)
 
 
 def decode(encoded: DataFrame, ranks: dict[bytes, int], *, ids_col: str = "ids") -> DataFrame:
     """encoded with ``decoded`` (binary): the bytes of its ids. The token-byte table is
     joined where the ids lie; it is broadcast, being as large as the vocabulary."""
-    from lexloom.llm._common import add_columns
-
-    held = encoded.sparkSession.sparkContext.broadcast({i: b for b, i in ranks.items()})
-
-    def run(ids: list) -> list[list]:
-        token = held.value.__getitem__
-        return [[b"".join(map(token, x or ())) for x in ids]]
-
-    return add_columns(encoded, [ids_col], run, {"decoded": "binary"})
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import BinaryType, StructField, StructType
+
+    encoded = encoded.drop("decoded")
+    token = {i: b for b, i in ranks.items()}
+    size = np.zeros(max(token, default=0) + 1, dtype=np.int64)
+    for i, b in token.items():
+        size[i] = len(b)
+    held = encoded.sparkSession.sparkContext.broadcast((size, b"".join(token[i] for i in sorted(token))))
+    schema = StructType([*encoded.schema.fields, StructField("decoded", BinaryType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        size, raw = held.value
+        start, flat = np.cumsum(size) - size, np.frombuffer(raw, dtype=np.uint8)
+        target = to_arrow_schema(schema)
+        for b in batches:
+            out = []
+            ids = b.column(b.schema.get_field_index(ids_col))
+            for k in range(len(ids)):
+                x = ids[k].values
+                out.append(ragged(flat, start, size, np.asarray(x)).tobytes() if x is not None else b"")
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, target.field("decoded").type)], names=[*b.schema.names, "decoded"])
+
+    small_batches(encoded.sparkSession)
+    return encoded.mapInArrow(run, schema)
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

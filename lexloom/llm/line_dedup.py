@@ -246,15 +246,15 @@ def _probe_by_shard(docs: DataFrame, arrays: DataFrame, shards: int, min_chars:
     probes = docs.select(key.alias("_k"), text.alias("_t")).dropDuplicates(["_k"]).mapInPandas(lines, "shard int, salt int, _k long, line long, h1 long, h2 long")
     tables = arrays.mapInPandas(copies, "shard int, salt int, seeds binary, prints binary, counts binary, extra binary")
     hit = probes.groupBy("shard", "salt").cogroup(tables.groupBy("shard", "salt")).applyInPandas(look, "_k long, line long")
-    drops = hit.groupBy("_k").agg(F.collect_list("line").alias("_drop"))
-    joined = docs.withColumn("_k", key).join(drops, "_k", "left").drop("_k")
+    drops = hit.groupBy("_k").agg(F.collect_list("line").alias("_lexloom_drop"))
+    joined = docs.withColumn("_lexloom_k", key).join(drops.withColumnRenamed("_k", "_lexloom_k"), "_lexloom_k", "left").drop("_lexloom_k")
 
     def cut(texts: list, drop: list) -> list[list]:
         raw = [line_keys(t)[0] for t in texts]
         return [[t if t is None or not d else _without(r, np.array(d)) for t, r, d in zip(texts, raw, drop, strict=True)], [len(r) for r in raw], [len(d or ()) for d in drop]]
 
     out = {text_col: "string", "n_lines": "long", "n_dropped": "long"}
-    return add_columns(joined, [text_col, "_drop"], cut, out).drop("_drop")
+    return add_columns(joined, [text_col, "_lexloom_drop"], cut, out).drop("_lexloom_drop")
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

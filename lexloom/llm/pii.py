@@ -78,11 +78,11 @@ def _with_matches(df: DataFrame, name: str, text: str, pattern: str, guard: str)
     and after them, (s, e, v, b, a). The pieces between matches tell all this; places are
     summed within blocks, then blocks are moved by what lies before them."""
     t = F.col(text)
-    df = df.withColumn("_matches", F.when(F.col(guard), F.regexp_extract_all(t, F.lit(f"({pattern})"), F.lit(1))))
-    df = df.withColumn("_pieces", F.when(F.size("_matches") > 0, F.split(t, pattern, -1)))
-    n = F.size("_matches")
-    sides = F.zip_with(F.slice("_pieces", F.lit(1), n), F.slice("_pieces", F.lit(2), n), lambda b, a: F.struct(F.length(b).alias("p"), F.right(b, F.lit(SIDE)).alias("b"), F.left(a, F.lit(1)).alias("a")))
-    df = df.withColumn("_pairs", F.zip_with(sides, "_matches", lambda x, m: F.struct(x["p"].alias("p"), m.alias("v"), x["b"].alias("b"), x["a"].alias("a")))).drop("_matches", "_pieces")
+    df = df.withColumn("_lexloom_matches", F.when(F.col(guard), F.regexp_extract_all(t, F.lit(f"({pattern})"), F.lit(1))))
+    df = df.withColumn("_lexloom_pieces", F.when(F.size("_lexloom_matches") > 0, F.split(t, pattern, -1)))
+    n = F.size("_lexloom_matches")
+    sides = F.zip_with(F.slice("_lexloom_pieces", F.lit(1), n), F.slice("_lexloom_pieces", F.lit(2), n), lambda b, a: F.struct(F.length(b).alias("p"), F.right(b, F.lit(SIDE)).alias("b"), F.left(a, F.lit(1)).alias("a")))
+    df = df.withColumn("_lexloom_pairs", F.zip_with(sides, "_lexloom_matches", lambda x, m: F.struct(x["p"].alias("p"), m.alias("v"), x["b"].alias("b"), x["a"].alias("a")))).drop("_lexloom_matches", "_lexloom_pieces")
     empty = F.array().cast(_SPAN)
 
     def add(acc: Column, x: Column) -> Column:
@@ -91,12 +91,12 @@ def _with_matches(df: DataFrame, name: str, text: str, pattern: str, guard: str)
         return F.struct(e.alias("at"), F.concat(acc["out"], F.array(F.struct(s.alias("s"), e.alias("e"), x["v"].alias("v"), x["b"].alias("b"), x["a"].alias("a")))).alias("out"))
 
     start = F.struct(F.lit(0).alias("at"), empty.alias("out"))
-    blocks = F.when(F.size("_pairs") > 0, F.transform(F.sequence(F.lit(0), F.floor((F.size("_pairs") - 1) / _BLOCK).cast("int")), lambda b: F.aggregate(F.slice("_pairs", b * _BLOCK + 1, F.lit(_BLOCK)), start, add)))
-    df = df.withColumn("_blocks", blocks).drop("_pairs")
-    moved = F.aggregate("_blocks", F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")), lambda acc, b: F.struct((acc["at"] + b["at"]).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")))["out"]
-    df = df.withColumn("_moved", moved)
-    shift = F.zip_with("_blocks", "_moved", lambda b, o: F.transform(b["out"], lambda x: F.struct((x["s"] + o).alias("s"), (x["e"] + o).alias("e"), x["v"].alias("v"), x["b"].alias("b"), x["a"].alias("a"))))
-    return df.withColumn(name, F.coalesce(F.flatten(shift), empty)).drop("_blocks", "_moved")
+    blocks = F.when(F.size("_lexloom_pairs") > 0, F.transform(F.sequence(F.lit(0), F.floor((F.size("_lexloom_pairs") - 1) / _BLOCK).cast("int")), lambda b: F.aggregate(F.slice("_lexloom_pairs", b * _BLOCK + 1, F.lit(_BLOCK)), start, add)))
+    df = df.withColumn("_lexloom_blocks", blocks).drop("_lexloom_pairs")
+    moved = F.aggregate("_lexloom_blocks", F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")), lambda acc, b: F.struct((acc["at"] + b["at"]).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")))["out"]
+    df = df.withColumn("_lexloom_moved", moved)
+    shift = F.zip_with("_lexloom_blocks", "_lexloom_moved", lambda b, o: F.transform(b["out"], lambda x: F.struct((x["s"] + o).alias("s"), (x["e"] + o).alias("e"), x["v"].alias("v"), x["b"].alias("b"), x["a"].alias("a"))))
+    return df.withColumn(name, F.coalesce(F.flatten(shift), empty)).drop("_lexloom_blocks", "_lexloom_moved")
 
 
 def _digits(v: Column) -> Column:
@@ -167,15 +167,15 @@ def propose(docs: DataFrame, text_col: str) -> DataFrame:
     """docs with ``_proposed``: every proposal in each text."""
     df = docs
     for kind in KINDS:
-        df = df.withColumn(f"_need_{kind}", F.coalesce(F.col(text_col).rlike(NEED[kind]), F.lit(False)))
+        df = df.withColumn(f"_lexloom_need_{kind}", F.coalesce(F.col(text_col).rlike(NEED[kind]), F.lit(False)))
     parts = []
     for kind in KINDS:
         for wide, patterns in ((False, BASE), (True, WIDE)):
-            name = f"_{kind}_{int(wide)}"
-            df = _with_matches(df, name, text_col, patterns[kind], f"_need_{kind}")
+            name = f"_lexloom_{kind}_{int(wide)}"
+            df = _with_matches(df, name, text_col, patterns[kind], f"_lexloom_need_{kind}")
             parts.append(_proposals(kind, name, wide))
     own = [c for c in docs.columns]
-    return df.select(*own, F.concat(*parts).alias("_proposed"))
+    return df.select(*own, F.concat(*parts).alias("_lexloom_proposed"))
 
 
 # ---- boosted trees over the table of feature rows -------------------------------
@@ -254,7 +254,7 @@ def calibrated(trees: Trees, positive: dict[int, int], total: dict[int, int]) ->
 def fit(docs: DataFrame, *, text_col: str = "text") -> list[float]:
     """Calibrated probability of each code, from the proposals of all documents."""
     text_col = column_of(docs, text_col)
-    rows = propose(docs.select(text_col), text_col).select(F.explode("_proposed").alias("x"))
+    rows = propose(docs.select(text_col), text_col).select(F.explode("_lexloom_proposed").alias("x"))
     # At most CELLS rows.
     counts = rows.groupBy("x.code").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("x.ok").cast("long")).alias("p")).collect()
     total, positive = {r["code"]: r["n"] for r in counts}, {r["code"]: r["p"] for r in counts}
@@ -268,16 +268,16 @@ def find_pii(docs: DataFrame, model: list[float], *, text_col: str = "text", thr
     table = F.split(F.lit(",".join(f"{p:.6g}" for p in model)), ",")
     found = propose(docs, text_col)
     p = lambda x: F.element_at(table, x["code"] + 1).cast("double")
-    taken = F.filter("_proposed", lambda x: (x["base"] & x["ok"]) | (p(x) >= threshold))
+    taken = F.filter("_lexloom_proposed", lambda x: (x["base"] & x["ok"]) | (p(x) >= threshold))
     # Proposals of one place stand together, a base span first, and only the first stays.
     ordered = F.array_sort(F.transform(taken, lambda x: F.struct(x["k"].alias("k"), x["s"].alias("s"), x["e"].alias("e"), (~(x["base"] & x["ok"])).alias("more"), p(x).alias("p"))))
-    found = found.withColumn("_ordered", ordered)
-    prev = lambda i: F.get("_ordered", i - 1)
-    spans = F.filter("_ordered", lambda x, i: (i == 0) | (prev(i)["k"] != x["k"]) | (prev(i)["s"] != x["s"]) | (prev(i)["e"] != x["e"]))
+    found = found.withColumn("_lexloom_ordered", ordered)
+    prev = lambda i: F.get("_lexloom_ordered", i - 1)
+    spans = F.filter("_lexloom_ordered", lambda x, i: (i == 0) | (prev(i)["k"] != x["k"]) | (prev(i)["s"] != x["s"]) | (prev(i)["e"] != x["e"]))
     kind = lambda x: F.element_at(F.array(*[F.lit(k) for k in KINDS]), x["k"] + 1)
-    out = found.withColumn("_spans", spans)
-    named = F.transform("_spans", lambda x: F.struct(kind(x).alias("kind"), x["s"].alias("s"), x["e"].alias("e"), (~x["more"]).alias("base"), x["p"].alias("p")))
-    return out.withColumn("pii_spans", named).drop("_proposed", "_ordered", "_spans")
+    out = found.withColumn("_lexloom_spans", spans)
+    named = F.transform("_lexloom_spans", lambda x: F.struct(kind(x).alias("kind"), x["s"].alias("s"), x["e"].alias("e"), (~x["more"]).alias("base"), x["p"].alias("p")))
+    return out.withColumn("pii_spans", named).drop("_lexloom_proposed", "_lexloom_ordered", "_lexloom_spans")
 
 
 def redact(found: DataFrame, *, text_col: str = "text") -> DataFrame:
@@ -291,7 +291,7 @@ def redact(found: DataFrame, *, text_col: str = "text") -> DataFrame:
         lambda acc, x: F.when(x["s"] < acc["at"], F.struct(F.greatest(acc["at"], x["e"]).alias("at"), acc["out"].alias("out"))).otherwise(
             F.struct(x["e"].alias("at"), F.concat(acc["out"], F.substring(t, acc["at"] + 1, x["s"] - acc["at"]), F.lit("["), F.upper(x["kind"]), F.lit("]")).alias("out"))),
     )
-    return found.withColumn("_cut", cut).withColumn(text_col, F.concat(F.col("_cut.out"), F.substring(t, F.col("_cut.at") + 1, F.length(t)))).drop("_cut")
+    return found.withColumn("_lexloom_cut", cut).withColumn(text_col, F.concat(F.col("_lexloom_cut.out"), F.substring(t, F.col("_lexloom_cut.at") + 1, F.length(t)))).drop("_lexloom_cut")
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -315,10 +315,10 @@ def cut_repeats(docs: DataFrame, *, length: int = LENGTH, k: int = SEED, group:
     id_col, text_col = column_of(docs, id_col), column_of(docs, text_col)
     small_batches(docs.sparkSession)
     docs = docs.drop("n_bytes", "removed", "kept")
-    keyed = docs.withColumn("_key", row_key(id_col, text_col))
-    src = keyed.select(F.col("_key").alias("key"), F.col(text_col).alias("t")).where("t IS NOT NULL")
+    keyed = docs.withColumn("_lexloom_key", row_key(id_col, text_col))
+    src = keyed.select(F.col("_lexloom_key").alias("key"), F.col(text_col).alias("t")).where("t IS NOT NULL")
     spans = repeats(src, length, k, group).distinct()
-    own = spans.groupBy("key").agg(F.collect_list(F.struct("start", "end")).alias("_spans")).withColumnRenamed("key", "_key")
+    own = spans.groupBy("key").agg(F.collect_list(F.struct("start", "end")).alias("_lexloom_spans")).withColumnRenamed("key", "_lexloom_key")
 
     def cut(texts: list, spans: list) -> list[list]:
         n, removed, kept = [], [], []
@@ -334,8 +334,8 @@ def cut_repeats(docs: DataFrame, *, length: int = LENGTH, k: int = SEED, group:
             kept.append(b"".join([*parts, raw[at:]]))
         return [n, removed, kept]
 
-    out = add_columns(keyed.join(own, "_key", "left").drop("_key"), [text_col, "_spans"], cut, {"n_bytes": "long", "removed": "array<struct<start:long,end:long>>", "kept": "binary"})
-    return out.drop("_spans")
+    out = add_columns(keyed.join(own, "_lexloom_key", "left").drop("_lexloom_key"), [text_col, "_lexloom_spans"], cut, {"n_bytes": "long", "removed": "array<struct<start:long,end:long>>", "kept": "binary"})
+    return out.drop("_lexloom_spans")
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
