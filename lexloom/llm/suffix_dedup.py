@@ -37,6 +37,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lexloom.llm._common import add_columns, as_bytes, column_of, mix64, row_key, small_batches, written
 
@@ -248,8 +249,10 @@ def repeats(src: DataFrame, length: int, k: int, group: int) -> DataFrame:
     once = _seed_rows(src, length, k, True)
     kinds = once.repartition("h").groupBy("h", "rest").agg(F.sum("n").alias("n"), F.min(F.struct("key", "at")).alias("rep"))
     kinds = kinds.select("h", "rest", "n", "rep.key", "rep.at")
-    blocks = kinds.groupBy("h").agg(F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("places"), F.min("n").alias("least")).where("places > 1")
-    found = written(kinds.join(blocks.select("h", "kinds", "least"), "h"), "regions")
+    # Kinds of one minimizer lie in one partition already: this sorts, it doesn't shuffle.
+    block = Window.partitionBy("h")
+    kinds = kinds.withColumns({"kinds": F.count(F.lit(1)).over(block), "places": F.sum("n").over(block), "least": F.min("n").over(block)})
+    found = written(kinds.where("places > 1").drop("places"), "regions")
     # Whole regions that occur twice.
     whole = _seed_rows(src, length, k, False).join(found.where("n > 1").select("h", "rest"), ["h", "rest"], "left_semi").select("key", "at")
     first = F.shiftright("at", 20) - F.shiftright("at", 10).bitwiseAND(1023)
