@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["queries_text"]
+MODULES = ["queries_text", "queries_search"]
 
 
 def _modules():
