@@ -200,7 +200,7 @@ class Trees:
     def __init__(self, positive: dict[int, int], total: dict[int, int], rounds: int = ROUNDS):
         self.levels = np.array(cell_levels())
         codes = sorted(total)
-        x = self.levels[codes].reshape(len(codes), -1)
+        x = self.levels[np.array(codes, dtype=int)]
         pos = np.array([positive.get(c, 0) for c in codes], dtype=float)
         n = np.array([total[c] for c in codes], dtype=float)
         rate = min(0.99, max(0.01, pos.sum() / max(1.0, n.sum())))
