@@ -125,3 +125,9 @@ def add_columns(docs: DataFrame, inputs: list[str], fn, outputs: dict[str, str])
 def column_of(docs: DataFrame, name: str) -> str:
     """The column's name as docs spell it."""
     return next(c for c in docs.columns if c.lower() == name.lower())
+
+
+def hash_below(text: Column, share: Column) -> Column:
+    """Whether a text's hash lies in the lowest share of all hashes: the same texts in any
+    partitioning, chosen without bringing rows together."""
+    return F.xxhash64(text) / F.lit(2.0**64) + 0.5 < share
