@@ -41,7 +41,7 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents into which no benchmark item leaks."""
+    """Documents into which no benchmark item leaks, and those without an id."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
     leaks = decontaminate.find_leaks(docs, items).select("doc_id").where("doc_id IS NOT NULL").distinct()
     return docs.join(leaks, "doc_id", "left_anti").select(*docs.columns)
