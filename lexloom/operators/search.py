@@ -87,7 +87,7 @@ def exact_lookup(wanted: DataFrame, chunks: DataFrame) -> DataFrame:
     """For each question the rows of the first filter that yields any: wanted is
     (qid, priority, provision_type, provision_number, document_id or null)."""
     cond = (F.col("w.provision_type") == F.col("c.provision_type")) & (F.col("w.provision_number") == F.col("c.provision_number")) & F.coalesce(F.col("w.document_id") == F.col("c.document_id"), F.lit(True))
-    hit = chunks.alias("c").join(F.broadcast(wanted.alias("w")), cond).select("w.qid", "w.priority", "c.chunk_id")
+    hit = chunks.alias("c").join(maybe_broadcast(wanted).alias("w"), cond).select("w.qid", "w.priority", "c.chunk_id")
     first = hit.withColumn("p", F.min("priority").over(W.partitionBy("qid")))
     return first.where("priority = p").select("qid", "chunk_id").distinct()
 

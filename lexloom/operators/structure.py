@@ -193,7 +193,7 @@ def numbered(chunks: DataFrame) -> DataFrame:
     own = W.partitionBy("document").orderBy("pos")
     sizes = chunks.groupBy("document").agg(F.count(F.lit(1)).alias("n"))
     before = sizes.withColumn("before", F.coalesce(F.sum("n").over(W.orderBy("document").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("n")
-    x = chunks.withColumn("document_chunk_number", F.row_number().over(own)).join(F.broadcast(before), "document")
+    x = chunks.withColumn("document_chunk_number", F.row_number().over(own)).join(before, "document")
     x = x.withColumn("chunk_number", (F.col("before") + F.col("document_chunk_number")).cast("long")).drop("before")
     return x.withColumn("chunk_id", F.concat_ws("::", "document", "kind", F.coalesce("number", F.lit("unsectioned")), F.concat(F.lit("chunk-"), "document_chunk_number")))
 
