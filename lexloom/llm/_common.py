@@ -131,3 +131,11 @@ def hash_below(text: Column, share: Column) -> Column:
     """Whether a text's hash lies in the lowest share of all hashes: the same texts in any
     partitioning, chosen without bringing rows together."""
     return F.xxhash64(text) / F.lit(2.0**64) + 0.5 < share
+
+
+def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """Columns of the documents table, over as many tasks as there are cores if its files
+    have fewer splits."""
+    df = spark.read.parquet(f"{sf_dir}/documents.parquet").select(*columns)
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

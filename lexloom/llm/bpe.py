@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm._common import small_batches
+from lexloom.llm._common import documents, small_batches
 
 #: Characters of text that one chunk aims at.
 CHUNK_CHARS = 8 << 20
@@ -278,7 +278,7 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     ranks = load_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = documents(spark, sf_dir, "doc_id", "text")
     out = decode(encode(docs, ranks, public_tokenizers.PATTERN).drop("text"), ranks)
     joined = F.array_join(F.col("ids").cast("array<string>"), ",")
     return out.select("doc_id", "n_tokens", F.sha2(joined, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

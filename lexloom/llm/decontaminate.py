@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm._common import column_of, mix64, small_batches
+from lexloom.llm._common import column_of, documents, mix64, small_batches
 from lexloom.llm.near_dedup import WordHash, word_hashes
 
 WORD = re.compile(r"\w+")
@@ -247,5 +247,5 @@ def find_leaks(docs: DataFrame, items: DataFrame, *, distance: float = DISTANCE,
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = documents(spark, sf_dir, "doc_id", "text")
     return find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text"))

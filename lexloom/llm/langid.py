@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lexloom.llm._common import add_columns, column_of, hash_below, small_batches
+from lexloom.llm._common import add_columns, column_of, documents, hash_below, small_batches
 
 #: Languages by family (ISO 639-1).
 FAMILIES = {
@@ -164,7 +164,7 @@ def fold(id_col: str) -> Column:
 
 
 def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
+    docs = documents(spark, sf_dir, "doc_id", "text", "lang")
     model = fit(docs.where(fold("doc_id") != 2))
     rows = docs.select("doc_id", "text", F.coalesce(fold("doc_id") == 2, F.lit(False)).alias("held_out"))
     return identify(rows, model).select("doc_id", "held_out", "lang_pred", "score")

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm._common import add_columns, as_bytes, column_of, small_batches
+from lexloom.llm._common import add_columns, as_bytes, column_of, documents, small_batches
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -163,7 +163,7 @@ def scan_licenses(docs: DataFrame, *, text_col: str = "text", phrases: dict[str,
 
 
 def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = documents(spark, sf_dir, "doc_id", "text")
     found = scan_licenses(docs).select("doc_id", "n_words", "matches", F.filter("matches", lambda m: m["exact"]).alias("base"))
     labels = lambda c: F.array_join(F.array_sort(F.array_distinct(F.col(c)["label"])), ",")
     return found.select(

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm._common import add_columns, column_of, mix64, small_batches, written
+from lexloom.llm._common import add_columns, column_of, documents, mix64, small_batches, written
 
 WHITE = b" \t\n\x0b\x0c\r"
 MIN_DOCS, MIN_CHARS = 10, 1
@@ -258,7 +258,7 @@ def _probe_by_shard(docs: DataFrame, arrays: DataFrame, shards: int, min_chars:
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = documents(spark, sf_dir, "doc_id", "text")
     kept = F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256")
     return drop_lines(docs).select("doc_id", "n_lines", "n_dropped", kept)
 
@@ -266,7 +266,8 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP7_SQL = r"""
 WITH lines AS (
   SELECT doc_id, pos, line, translate(trim(line, E' 	
-'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+
+'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
   FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
                generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents)),
 hot AS (SELECT key FROM lines WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT doc_id) >= 10)

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm._common import as_bytes, column_of, mix64, small_batches, written
+from lexloom.llm._common import as_bytes, column_of, documents, mix64, small_batches, written
 from lexloom.llm.components import components
 
 SHINGLE, PERCENT = 5, 80
@@ -294,7 +294,7 @@ def _search_rest(nodes: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
 
 
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = documents(spark, sf_dir, "doc_id", "text")
     return near_groups(docs, percent=85).withColumnRenamed("id", "doc_id")
 
 

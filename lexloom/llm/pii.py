@@ -31,7 +31,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm._common import column_of
+from lexloom.llm._common import column_of, documents
 
 KINDS = ["email", "ip", "card", "phone"]
 
@@ -295,7 +295,7 @@ def redact(found: DataFrame, *, text_col: str = "text") -> DataFrame:
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = documents(spark, sf_dir, "doc_id", "text")
     found = find_pii(docs, fit(docs))
     base = F.filter("pii_spans", lambda x: x["base"])
     joined = lambda a: F.array_join(F.transform(a, lambda x: F.concat_ws(":", x["kind"], x["s"], x["e"])), ",")

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lexloom.llm._common import add_columns, as_bytes, column_of, mix64, row_key, small_batches, written
+from lexloom.llm._common import add_columns, as_bytes, column_of, documents, mix64, row_key, small_batches, written
 
 LENGTH, SEED = 200, 64
 #: Rows of one block that a task refines, and rows of a task.
@@ -342,6 +342,6 @@ def cut_repeats(docs: DataFrame, *, length: int = LENGTH, k: int = SEED, group:
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = documents(spark, sf_dir, "doc_id", "text")
     cut = cut_repeats(docs)
     return cut.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
