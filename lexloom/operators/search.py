@@ -19,6 +19,13 @@ def maybe_broadcast(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     return F.broadcast(df) if size <= limit else df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over as many tasks as there are cores, if its files give fewer: long texts in a
+    few splits leave the others idle. Inputs with enough splits stay where they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def usable(text: str = "page_content") -> Column:
     """Not blank, not a heading alone, and a body that isn't known to be absent."""
     return (F.trim(F.coalesce(text, F.lit(""))) != "") & ~F.coalesce("heading_only_chunk", F.lit(False)) & F.coalesce("provision_body_present", F.lit(True))
@@ -28,7 +35,7 @@ def postings(corpus: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """(id, size, terms): distinct tokens of each document. Documents are dealt out first,
     since few input splits hold long texts."""
     toks = T.tokens(F.col(text_col))
-    return corpus.select(F.col(id_col).alias("id"), toks.alias("terms")).withColumn("size", F.size("terms"))
+    return spread(corpus).select(F.col(id_col).alias("id"), toks.alias("terms")).withColumn("size", F.size("terms"))
 
 
 def bm25_stats(terms: DataFrame) -> DataFrame:
@@ -45,7 +52,7 @@ def bm25_topk(queries: DataFrame, corpus: DataFrame, k: int, *, qid: str = "item
     before any exchange, so posting lists of other terms never move."""
     asked = queries.select(F.col(qid).alias("qid"), F.explode(T.tokens(F.col(qtext))).alias("term"))
     norm = queries.select(F.col(qid).alias("qid"), T.normalize(F.col(qtext)).alias("q"), F.size(T.tokens(F.col(qtext))).alias("qn"))
-    docs = corpus.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"), T.tokens(F.col(text_col)).alias("terms"), (keep if keep is not None else F.lit(True)).alias("keep"))
+    docs = spread(corpus).select(F.col(id_col).alias("id"), F.col(text_col).alias("t"), T.tokens(F.col(text_col)).alias("terms"), (keep if keep is not None else F.lit(True)).alias("keep"))
     one = docs.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("terms")).alias("avgdl"))
     wanted = asked.select("term").distinct()
     posts = docs.select("id", "keep", F.size("terms").alias("size"), F.explode("terms").alias("term")).join(maybe_broadcast(wanted), "term", "left_semi")
