@@ -10,7 +10,8 @@
 4. Links give components by alternating large-star and small-star.
 5. A bucket whose classes are still in several components is searched in full: each
    class outside the bucket's largest component against all others of the bucket in
-   other components, in blocks of bounded size, by a finer sketch and then the sets. Pairs within a component can't change
+   other components, in blocks of bounded size, by a finer sketch and then the sets;
+   sets too large to travel are compared from their texts. Pairs within a component can't change
    it, so nothing that could is left out.
 
 Defined cases: texts without words (null and empty ones too) have an empty set and link
@@ -41,6 +42,8 @@ BLOCK = 1024
 CHUNK = 1 << 15
 #: Bins of the sketch that classes of one bucket are compared by.
 BINS = 512
+#: Sets of so many shingles at most travel whole and are decided where they meet.
+WHOLE = 512
 
 
 class WordHash(dict):
@@ -156,8 +159,7 @@ class MinHash:
 
 
 def signatures(docs: DataFrame, percent: int, size: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, n, s1, s2, keys, sig, bins): set size, name of the set, buckets, signature and
-    sketch."""
+    """(id, n, s1, s2, keys, sig): set size, name of the set, buckets, signature."""
     bands, rows = banding(percent)
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -168,18 +170,17 @@ def signatures(docs: DataFrame, percent: int, size: int, id_col: str, text_col:
             full = [s for s in sets if len(s)]
             keys: list = [None] * len(sets)
             sigs: list = [None] * len(sets)
-            bins = [sketch(s).tobytes() if len(s) else None for s in sets]
             names = np.zeros((len(sets), 2), dtype=np.int64)
             if full:
                 m = hasher.minima(full)
                 for i, k, s in zip(np.flatnonzero(n), hasher.keys(m), (m & np.uint32(0xFFFF)).astype(np.uint16), strict=True):
                     keys[i], sigs[i] = k, s.tobytes()
                     names[i] = np.frombuffer(xxhash.xxh3_128_digest(sets[i].tobytes()), dtype="<i8")
-            yield pd.DataFrame({"id": b["id"].array, "n": n, "s1": names[:, 0], "s2": names[:, 1], "keys": keys, "sig": sigs, "bins": bins})
+            yield pd.DataFrame({"id": b["id"].array, "n": n, "s1": names[:, 0], "s2": names[:, 1], "keys": keys, "sig": sigs})
 
     small_batches(docs.sparkSession)
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
-    return src.withColumn("id", F.col("id").cast("string")).mapInPandas(sign, "id string, n long, s1 long, s2 long, keys array<long>, sig binary, bins binary").withColumn("id", F.col("id").cast("long"))
+    return src.withColumn("id", F.col("id").cast("string")).mapInPandas(sign, "id string, n long, s1 long, s2 long, keys array<long>, sig binary").withColumn("id", F.col("id").cast("long"))
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, percent: int, size: int, id_col: str, text_col: str) -> DataFrame:
@@ -220,8 +221,8 @@ def near_groups(docs: DataFrame, *, percent: int = PERCENT, size: int = SHINGLE,
     least = least_equal(percent, bands * rows)
     signed = written(signatures(docs, percent, size, id_col, text_col), "signatures")
     named = signed.where("n > 0 AND id IS NOT NULL")
-    classes = written(named.groupBy("s1", "s2").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("keys").alias("keys"), F.first("bins").alias("bins")), "classes")
-    nodes = classes.select("rep", "n", "sig", "keys", "bins")
+    classes = written(named.groupBy("s1", "s2").agg(F.min("id").alias("rep"), F.first("sig").alias("sig"), F.first("keys").alias("keys")), "classes")
+    nodes = classes.select("rep", "sig", "keys")
     buckets = nodes.select("rep", F.explode("keys").alias("key"))
     heads = buckets.groupBy("key").agg(F.min("rep").alias("v"), F.max("rep").alias("w")).where("v <> w").select("key", "v")
     star = buckets.join(heads, "key").where("rep <> v").select(F.col("rep").alias("u"), "v").distinct()
@@ -236,8 +237,8 @@ def near_groups(docs: DataFrame, *, percent: int = PERCENT, size: int = SHINGLE,
     shared = named.join(several, "id", "left_semi").join(classes.select("s1", "s2", "rep"), ["s1", "s2"]).where("id <> rep")
     links = links.unionByName(shared.select(F.col("id").alias("u"), F.col("rep").alias("v")))
     first = written(components(links), "components")
-    rest = _search_rest(nodes, first, percent)
-    more = written(_verified(written(rest, "pairs"), docs, percent, size, id_col, text_col), "links")
+    rest = written(_search_rest(nodes, first, docs, percent, size, id_col, text_col), "pairs")
+    more = written(_verified(rest.where("NOT sure").select("u", "v"), docs, percent, size, id_col, text_col).unionByName(rest.where("sure").select("u", "v")), "links")
     if more.isEmpty():
         comp = first
     else:
@@ -259,38 +260,64 @@ def _alike(pairs: DataFrame, least: int) -> DataFrame:
     return pairs.select("u", "v", "su", "sv").mapInPandas(check, "u long, v long")
 
 
-def _search_rest(nodes: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
-    """Pairs across components that share a bucket and pass the sketch. A bucket is
-    dealt to cells (block of members, block of outsiders), each of bounded size."""
+def _sets(docs: DataFrame, reps: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
+    """(rep, n, bins, whole): size and sketch of the sets of some classes, and the set
+    itself if it is small."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cache = WordHash()
+        for b in batches:
+            sets = [shingles(t, cache, size) for t in b["t"]]
+            yield pd.DataFrame({"rep": b["rep"], "n": [len(s) for s in sets], "bins": [sketch(s).tobytes() for s in sets], "whole": [s.tobytes() if len(s) <= WHOLE else b"" for s in sets]})
+
+    texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("t")).join(reps, "rep", "left_semi")
+    return texts.mapInPandas(run, "rep long, n long, bins binary, whole binary").where("n > 0")
+
+
+def _search_rest(nodes: DataFrame, comp: DataFrame, docs: DataFrame, percent: int, size: int, id_col: str, text_col: str) -> DataFrame:
+    """(u, v, sure): links across components that share a bucket. A bucket is dealt to
+    cells (block of members, block of outsiders), each of bounded size. Pairs that pass the
+    sketch are decided by their sets in the cell, which returns the links that join
+    components, so no more links than rows; pairs with a large set are left to be decided
+    by their texts."""
     placed = nodes.join(comp.select(F.col("id").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     rows = placed.select("rep", "component", F.explode("keys").alias("key"))
     sizes = rows.groupBy("key", "component").agg(F.count(F.lit(1)).alias("k"))
     split = sizes.groupBy("key").agg(F.max_by("component", "k").alias("main"), F.sum("k").alias("m"), F.max("k").alias("most"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
     plan = split.select("key", "main", F.ceil(F.col("m") / BLOCK).cast("int").alias("mb"), F.ceil((F.col("m") - F.col("most")) / BLOCK).cast("int").alias("ob"))
-    wide = written(rows.join(plan, "key").join(nodes.select("rep", "n", "bins"), "rep"), "rest")
+    left = written(rows.join(plan, "key"), "rest")
+    wide = written(left.join(_sets(docs, left.select("rep").distinct(), size, id_col, text_col), "rep"), "rest-sets")
 
     def block(n: str):
         return F.pmod(F.hash("rep"), F.col(n)).cast("int")
 
-    member = wide.select("key", block("mb").alias("i"), F.explode(F.sequence(F.lit(0), F.col("ob") - 1)).alias("j"), "rep", "component", "n", "bins", F.lit(False).alias("out"))
-    outside = wide.where("component <> main").select("key", F.explode(F.sequence(F.lit(0), F.col("mb") - 1)).alias("i"), block("ob").alias("j"), "rep", "component", "n", "bins", F.lit(True).alias("out"))
+    own = ["rep", "component", "n", "bins", "whole"]
+    member = wide.select("key", block("mb").alias("i"), F.explode(F.sequence(F.lit(0), F.col("ob") - 1)).alias("j"), *own, F.lit(False).alias("out"))
+    outside = wide.where("component <> main").select("key", F.explode(F.sequence(F.lit(0), F.col("mb") - 1)).alias("i"), block("ob").alias("j"), *own, F.lit(True).alias("out"))
 
     def compare(b: pd.DataFrame) -> pd.DataFrame:
         a = np.frombuffer(b"".join(b["bins"]), dtype=np.uint8).reshape(len(b), BINS)
         bits, full = (np.packbits(x, axis=1).view(np.uint64) for x in (a & 1, a > 0))
-        n = b["n"].to_numpy()
-        out, comp_, rep = b["out"].to_numpy(bool), b["component"].to_numpy(), b["rep"].to_numpy()
-        members, us, vs = np.flatnonzero(~out), [], []
-        for o in np.flatnonzero(out):
-            others = members[comp_[members] != comp_[o]]
-            near = similar_sketches(a, n, others, bits, full, o, percent)
-            us.append(np.full(len(near), rep[o]))
-            vs.append(rep[near])
-        u = np.concatenate(us) if us else np.zeros(0, np.int64)
-        v = np.concatenate(vs) if vs else np.zeros(0, np.int64)
-        return pd.DataFrame({"u": np.maximum(u, v), "v": np.minimum(u, v)})
-
-    return member.unionByName(outside).groupBy("key", "i", "j").applyInPandas(compare, "u long, v long").distinct()
+        n, rep = b["n"].to_numpy(), b["rep"].to_numpy()
+        whole = [np.frombuffer(x, dtype=np.uint64) for x in b["whole"]]
+        # Components by number; joined ones are renamed in place.
+        group = np.unique(b["component"].to_numpy(), return_inverse=True)[1]
+        members, links = np.flatnonzero(~b["out"].to_numpy(bool)), []
+        for o in np.flatnonzero(b["out"].to_numpy(bool)):
+            others = members[group[members] != group[o]]
+            for m in similar_sketches(a, n, others, bits, full, o, percent):
+                if group[m] == group[o]:
+                    continue
+                sure = len(whole[m]) > 0 and len(whole[o]) > 0
+                if sure:
+                    both = len(np.intersect1d(whole[m], whole[o], assume_unique=True))
+                    if 100 * both < percent * (n[m] + n[o] - both):
+                        continue
+                    group[group == group[o]] = group[m]
+                links.append((max(rep[m], rep[o]), min(rep[m], rep[o]), sure))
+        return pd.DataFrame(links, columns=["u", "v", "sure"]).astype({"u": "int64", "v": "int64", "sure": "bool"})
+
+    return member.unionByName(outside).groupBy("key", "i", "j").applyInPandas(compare, "u long, v long, sure boolean").where("u <> v").distinct()
 
 
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
