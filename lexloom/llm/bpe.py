@@ -37,6 +37,22 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
+_encoders: dict[int, object] = {}
+
+
+def word_encoder(ranks: dict[bytes, int], name: int):
+    """A function from a word's bytes to its ids' bytes: the tiktoken library with a pattern
+    that takes a whole word as one piece, which gives encode_word's ids. One encoder is
+    kept for each set of ranks that a worker meets."""
+    import tiktoken
+
+    if name not in _encoders:
+        _encoders.clear()
+        _encoders[name] = tiktoken.Encoding(f"words-{name}", pat_str=r"(?s).+", mergeable_ranks=ranks, special_tokens={})
+    encode = _encoders[name].encode_ordinary
+    return lambda w: np.array(encode(w.decode("utf-8")), dtype=np.int32).tobytes()
+
+
 class Splitter:
     """All matches of a pattern, as the regex library finds them. In ASCII texts \\p{L} and
     \\p{N} are plain ranges, with which the standard library is three times as fast."""
@@ -186,7 +202,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, *, id_col: st
     chars = docs.agg(F.sum(F.length(text_col))).first()[0] or 0
     buckets = parallel(spark)
     chunks = max(buckets, -(-chars // chunk_chars))
-    held = spark.sparkContext.broadcast(ranks)
+    held, name = spark.sparkContext.broadcast(ranks), hash(frozenset(ranks.items()))
     chunk = F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(chunks)).cast("int")
     # Texts travel compressed.
     dealt = add_columns(docs.withColumn("_lexloom_chunk", chunk), [text_col], _squeeze, {"_lexloom_text": "binary"}).drop(text_col).repartition(chunks, "_lexloom_chunk")
@@ -202,16 +218,19 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, *, id_col: st
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, bytes] = {}
+        one = word_encoder(held.value, name)
         for b in batches:
             out = []
             for block in b.column("_packet").to_pylist():
-                own = unpacked(block)
-                for w in own:
-                    if w not in known:
+                ids = []
+                for w in unpacked(block):
+                    x = known.get(w)
+                    if x is None:
                         if len(known) >= KEPT_WORDS:
                             known.clear()
-                        known[w] = np.array(encode_word(w, held.value), dtype=np.int32).tobytes()
-                out.append(packed([known[w] if w in known else np.array(encode_word(w, held.value), dtype=np.int32).tobytes() for w in own]))
+                        x = known[w] = one(w)
+                    ids.append(x)
+                out.append(packed(ids))
             yield pa.RecordBatch.from_arrays([b.column("_lexloom_chunk"), b.column("_bucket"), pa.array(out, pa.binary())], names=["_lexloom_chunk", "_bucket", "_packet"])
 
     names = [c for c in docs.columns]
