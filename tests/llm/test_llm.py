@@ -110,6 +110,16 @@ def test_bpe_equals_tiktoken_and_round_trips(spark):
     assert bpe.decode(bpe.encode(empty(spark), ranks, P.PATTERN), ranks).count() == 0
 
 
+def test_word_encoder_equals_own_merges():
+    import public_tokenizers as P
+
+    ranks = bpe.load_ranks(P.path("byte_bpe_multi_50k.tiktoken"))
+    one, r = bpe.word_encoder(ranks, 1), random.Random(2)
+    for n in [*range(1, 40), 150, 400]:
+        w = "".join(r.choice("abcdeéß日 \n") for _ in range(n)).encode()
+        assert np.frombuffer(one(w), np.int32).tolist() == bpe.encode_word(w, ranks)
+
+
 # ---- 4 -----------------------------------------------------------------------------
 
 
@@ -186,8 +196,9 @@ def brute_components(texts, percent):
     return [find(i) for i in range(len(texts))], [len(s) for s in sets]
 
 
-@pytest.mark.parametrize("percent", [80, 85])
-def test_near_groups_match_brute_force(spark, percent):
+@pytest.mark.parametrize(("percent", "block"), [(80, 1024), (85, 4)])
+def test_near_groups_match_brute_force(spark, percent, block, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
     r, texts = random.Random(6), []
     for g in range(8):
         base = words(g, 80, 5000).split()
