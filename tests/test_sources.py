@@ -46,3 +46,15 @@ def test_stream_ingest_is_idempotent(spark, tmp_path):
         (folder / f"{k}.json").write_text("\n".join(json.dumps({"chunk_id": i, "text": "x"}) for i in ids))
         ingest.ingest(ingest.read_chunks(spark, str(folder), schema), table, str(tmp_path / "cp")).awaitTermination(60)
     assert sorted(r.chunk_id for r in spark.read.parquet(table).collect()) == ["a", "b", "c"]
+
+
+def test_channel_windows_count_late_events_within_the_watermark(spark, tmp_path):
+    folder = tmp_path / "ev"
+    folder.mkdir()
+    rows = [("2024-01-01T00:01:00Z", "bm25", "success", 1.0), ("2024-01-01T00:02:00Z", "bm25", "error", 2.0), ("2024-01-01T02:00:00Z", "dense", "success", 3.0)]
+    (folder / "a.json").write_text("\n".join(json.dumps(dict(zip(("ts", "channel", "status", "latency"), r, strict=True))) for r in rows))
+    stream = spark.readStream.schema("ts TIMESTAMP, channel STRING, status STRING, latency DOUBLE").json(str(folder))
+    q = ingest.channel_windows(stream).writeStream.format("memory").queryName("windows").outputMode("complete").trigger(availableNow=True).start()
+    q.awaitTermination(60)
+    got = {(r.channel, r.events, r.failures, r.latency) for r in spark.table("windows").collect()}
+    assert got == {("bm25", 2, 1, 3.0), ("dense", 1, 0, 3.0)}
