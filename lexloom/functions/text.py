@@ -47,7 +47,7 @@ def citations(c: Column, prefix: str) -> Column:
 
 def distinct_strings(c: Column) -> Column:
     """Trimmed, non-empty, first of each."""
-    return F.array_distinct(F.filter(F.transform(c, F.trim), lambda x: x != ""))
+    return F.array_distinct(F.filter(F.transform(c, lambda x: F.trim(x)), lambda x: x != ""))
 
 
 def clean_whitespace(c: Column) -> Column:

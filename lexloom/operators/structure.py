@@ -23,7 +23,7 @@ def repeated_edge_lines(pages: DataFrame, share: float = 0.8, depth: int = 4) ->
     """(document, line, n_pages): first and last lines of pages that most pages of their
     document repeat. pages: (document, page, text). The first and last lines of a page are
     sliced within its row, so only they are shuffled."""
-    x = F.filter(F.transform(F.split("text", "\n"), F.trim), lambda v: v != "")
+    x = F.filter(F.transform(F.split("text", "\n"), lambda v: F.trim(v)), lambda v: v != "")
     edge = F.when(F.size(x) > 2 * depth, F.concat(F.slice(x, 1, depth), F.slice(x, -depth, depth))).otherwise(x)
     plain = F.transform(F.filter(edge, lambda v: F.length(v) <= 180), lambda v: F.regexp_replace(F.lower(v), r"\s+", " "))
     keep = F.array_distinct(F.filter(plain, lambda v: (v != "") & ~v.rlike(dims.FOOTER_PATTERN + "$")))

@@ -158,7 +158,8 @@ def deterministic_id_digest(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.sha2(F.concat_ws("|", *[F.col(c).cast("string") for c in ("doc_id", "lang", "source", "n_chars")]), 256).alias("digest"))
 
 
-@query()
+@query("""SELECT doc_id, concat_ws('-', h[1:8], h[9:12], '5' || h[14:16], substring('89ab', (('0x' || h[17])::INT % 4) + 1, 1) || h[18:20], h[21:32]) AS point_id
+  FROM (SELECT doc_id, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode(sha256(concat_ws('|', doc_id, lang, source, n_chars)))) AS h FROM documents)""")
 def deterministic_id(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.deterministic_id(*[F.col(c) for c in ("doc_id", "lang", "source", "n_chars")]).alias("point_id"))
 
@@ -271,7 +272,28 @@ def query_plan(spark, sf_dir):
     return p.select("qid", "question_type", j("document_ids", "documents"), j("concepts", "concepts"), j("sections", "sections"), j("articles", "articles"), "provision_type")
 
 
-@query()
+_NAME = "CASE d " + " ".join(f"WHEN {lit(d[0])} THEN {lit(d[2])}" for d in dims.ROUTES) + " END"
+_DIST_LIST = lambda x: f"list_filter({x}, lambda v, i: list_position({x}, v) = i)"
+_CTX = lambda default: f"CASE WHEN ctx = '' THEN {lit(default)} ELSE ctx END"
+_ON = "CASE c " + " ".join(f"WHEN {lit(c[0])} THEN {lit(c[2])}" for c in dims.CONCEPTS) + " END"
+_EXPANDED = f"""
+WITH p AS (SELECT q.qid, trim(question) AS o, question_type AS t, {_DIST_LIST(_SEC)} AS s, {_DIST_LIST(_ARTS)} AS a, array_to_string(list_transform(CASE WHEN documents = '' THEN []::VARCHAR[] ELSE string_split(documents, ',') END, lambda d: {_NAME}), ' ') AS ctx,
+    CASE WHEN concepts = '' THEN []::VARCHAR[] ELSE string_split(concepts, ',') END AS cs
+  FROM {_QS} JOIN ({_TYPE_SQL}) USING (qid) JOIN ({_DOCS_SQL}) USING (qid) JOIN ({_CONCEPTS_SQL}) USING (qid)),
+e AS (SELECT qid, list_concat(list_concat([o], CASE
+    WHEN t = 'section_lookup' AND len(s) > 0 THEN list_transform(s, lambda x: trim(ctx || ' Section ' || x || ' exact statutory text heading subsections explanation illustration conditions exceptions and punishment'))
+    WHEN t = 'article_lookup' AND len(a) > 0 THEN list_transform(a, lambda x: trim({_CTX('Constitution of Pakistan')} || ' Article ' || x || ' exact constitutional text right scope limitation exception and remedy'))
+    WHEN t = 'punishment' THEN [trim(ctx || ' ' || o || ' exact punishment imprisonment term fine conditions offence elements and applicable statutory provision')]
+    WHEN t = 'definition' THEN [trim(ctx || ' ' || o || ' exact statutory definition legal elements conditions exceptions explanations and illustrations')]
+    WHEN t = 'constitutional_right' THEN [trim({_CTX('Constitution of Pakistan')} || ' ' || o || ' relevant constitutional article right scope safeguard limitation and enforcement')]
+    WHEN t = 'comparison' THEN [trim(ctx || ' ' || o || ' compare statutory definitions legal elements scope conditions exceptions and punishments')]
+    WHEN t = 'fact_scenario' THEN [trim({_CTX('Pakistan criminal laws')} || ' legal provisions directly applicable to this factual scenario: ' || o)]
+    ELSE [trim({_CTX('Pakistan laws')} || ' relevant legal provisions for: ' || o)] END), flatten(list_transform(cs, lambda c: {_ON}))) AS l FROM p),
+u AS (SELECT qid, list_filter({_DIST_LIST('l')}, lambda v: v <> '') AS l FROM e)
+SELECT qid, (unnest(range(1, len(l) + 1)) - 1)::INT AS query_index, unnest(l) AS query FROM u"""
+
+
+@query(_EXPANDED)
 def expand_queries(spark, sf_dir):
     return Q.expand_queries(Q.query_plan(asked(spark)))
 

@@ -88,3 +88,14 @@ def test_percentiles_drop_nan(spark):
     df = spark.createDataFrame([(1.0,), (2.0,), (float("nan"),), (4.0,)], "m DOUBLE")
     r = evaluation.summary(df, ["m"]).first()
     assert (r.n, r.p50, r["mean"]) == (3, 2.0, round(7 / 3, 6))
+
+
+def test_page_is_cleaned(spark):
+    page = "Pakistan Penal Code\n12\nThe impri-\nson\u00adment ofthe \ufb01ne , shallbe 5[paid]\n***"
+    got = structure.clean_page(spark.createDataFrame([(1, page), (2, None)], "id INT, text STRING"))
+    assert {r.id: r.text for r in got.collect()} == {1: "The imprisonment of the fine, shall be 5[paid]", 2: None}
+
+
+def test_distinct_strings_are_trimmed_of_spaces_alone(spark):
+    got = spark.createDataFrame([([" a0", "a0 ", "", "1 b"],)], "x ARRAY<STRING>").select(T.distinct_strings(F.col("x"))).first()[0]
+    assert got == ["a0", "1 b"]
