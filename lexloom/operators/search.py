@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lexloom.functions import text as T
+from lexloom.sources.tables import materialized
 
 K1, B = 1.5, 0.75
 #: Queries up to this estimated size are broadcast; larger sets are joined by shuffle.
@@ -48,14 +49,18 @@ def bm25_stats(terms: DataFrame) -> DataFrame:
 def bm25_topk(queries: DataFrame, corpus: DataFrame, k: int, *, qid: str = "item_id", qtext: str = "text", id_col: str = "doc_id", text_col: str = "text", keep: Column | None = None) -> DataFrame:
     """(qid, id, score, rank): top k by BM25 over distinct tokens, with a bonus if the
     whole normalized query stands in the document. Statistics are those of the whole
-    corpus; keep filters what is scored. The corpus's terms are pruned to the queries'
-    before any exchange, so posting lists of other terms never move."""
+    corpus; keep filters what is scored. Documents' terms are pruned to the queries' before
+    any exchange, so posting lists of other terms never move; the queries' vocabulary goes
+    to every task, so a large query set is run in blocks."""
     asked = queries.select(F.col(qid).alias("qid"), F.explode(T.tokens(F.col(qtext))).alias("term"))
     norm = queries.select(F.col(qid).alias("qid"), T.normalize(F.col(qtext)).alias("q"), F.size(T.tokens(F.col(qtext))).alias("qn"))
-    docs = spread(corpus).select(F.col(id_col).alias("id"), F.col(text_col).alias("t"), T.tokens(F.col(text_col)).alias("terms"), (keep if keep is not None else F.lit(True)).alias("keep"))
-    one = docs.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("terms")).alias("avgdl"))
-    wanted = asked.select("term").distinct()
-    posts = docs.select("id", "keep", F.size("terms").alias("size"), F.explode("terms").alias("term")).join(maybe_broadcast(wanted), "term", "left_semi")
+    wanted = asked.agg(F.collect_set("term").alias("wanted"))
+    kept = keep if keep is not None else F.lit(True)
+    # Each text is tokenized once: what is left of it are its size and the queries' terms.
+    docs = spread(corpus).select(F.col(id_col).alias("id"), T.tokens(F.col(text_col)).alias("terms"), kept.alias("keep")).crossJoin(F.broadcast(wanted))
+    docs = materialized(docs.select("id", "keep", F.size("terms").alias("size"), F.array_intersect("terms", "wanted").alias("terms")), "postings")
+    one = docs.agg(F.count(F.lit(1)).alias("n"), F.avg("size").alias("avgdl"))
+    posts = docs.select("id", "keep", "size", F.explode("terms").alias("term"))
     df = posts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * (K1 + 1) / (1 + K1 * (1 - B + B * F.col("size") / F.col("avgdl")))
@@ -67,7 +72,8 @@ def bm25_topk(queries: DataFrame, corpus: DataFrame, k: int, *, qid: str = "item
     kth = scored.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).groupBy("qid").agg(F.min("s").alias("kth"))
     near = scored.join(maybe_broadcast(kth), "qid").where(F.col("s") >= F.col("kth") - 0.51).drop("kth")
     bonus = F.least(F.lit(0.5), 0.05 * F.greatest(F.lit(1), F.col("qn")))
-    whole = near.join(maybe_broadcast(norm), "qid").join(docs.select("id", T.normalize(F.col("t")).alias("d")), "id")
+    texts = corpus.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
+    whole = near.join(maybe_broadcast(norm), "qid").join(texts, "id").withColumn("d", T.normalize(F.col("t")))
     whole = whole.select("qid", "id", F.round(F.col("s") + F.when(F.col("d").contains(F.col("q")) & (F.col("q") != ""), bonus).otherwise(0.0), 6).alias("score"))
     return top(whole.where("score > 0"), k)
 

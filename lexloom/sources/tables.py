@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -78,3 +81,16 @@ def append_json(df: DataFrame, path: str) -> None:
 
 def write_report(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", "true").csv(path)
+
+
+def materialized(df: DataFrame, name: str) -> DataFrame:
+    """df written to the folder that all executors share, and read back: what several parts
+    of a plan need is computed once, and survives the loss of an executor."""
+    spark = df.sparkSession
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        at = "file://" + tempfile.mkdtemp(prefix="lexloom-")
+        spark.conf.set("spark.checkpoint.dir", at)
+    path = f"{at.rstrip('/')}/lexloom/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
