@@ -10,14 +10,16 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows per Arrow batch handed to Python: keeps batches of long texts small.
-ARROW_ROWS = 512
+#: Rows and bytes of an Arrow batch handed to Python: both sides hold a batch outside the
+#: heap, and long texts make large batches.
+ARROW_ROWS, ARROW_BYTES = 512, 4 << 20
 
 _written: dict[str, list[str]] = {}
 
 
 def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
 def shared_dir(spark: SparkSession) -> str:
