@@ -42,8 +42,8 @@ BLOCK = 1024
 CHUNK = 1 << 15
 #: Bins of the sketch that classes of one bucket are compared by.
 BINS = 512
-#: Sets of so many shingles at most travel whole and are decided where they meet.
-WHOLE = 512
+#: Sets of so many shingles at most travel whole, others as sketches.
+WHOLE = 256
 
 
 class WordHash(dict):
@@ -90,17 +90,22 @@ def least_equal(percent: int, n: int) -> int:
     return max(1, math.floor(n * s - 5 * math.sqrt(n * s * (1 - s))))
 
 
-_EDGES = np.arange(BINS, dtype=np.uint64) << np.uint64(64 - BINS.bit_length() + 1)
+_EDGES = (np.arange(BINS, dtype=np.uint64) << np.uint64(32 - BINS.bit_length() + 1)).astype(np.uint32)
 
 
-def sketch(shingle_set: np.ndarray) -> np.ndarray:
-    """A byte for each range of hashes: of its smallest shingle, 0 if it has none. The
-    bins that agree, among those that either set fills, estimate the similarity; small
-    sets fill a bin with each shingle, so their estimate is close to exact."""
-    at = np.searchsorted(shingle_set, _EDGES)
-    full = at < np.append(at[1:], len(shingle_set))
+def short(shingle_set: np.ndarray) -> np.ndarray:
+    """The upper 32 bits of a set's hashes, in order."""
+    return (shingle_set >> np.uint64(32)).astype(np.uint32)
+
+
+def sketch(hashes: np.ndarray) -> np.ndarray:
+    """A byte for each range of hashes (sorted, 32 bits): of its smallest one, 0 if it has
+    none. The bins that agree, among those that either set fills, estimate the similarity;
+    small sets fill a bin with each shingle, so their estimate is close to exact."""
+    at = np.searchsorted(hashes, _EDGES)
+    full = at < np.append(at[1:], len(hashes))
     out = np.zeros(BINS, dtype=np.uint8)
-    out[full] = (shingle_set[at[full]] % np.uint64(255) + np.uint64(1)).astype(np.uint8)
+    out[full] = (hashes[at[full]] % np.uint32(8_388_593) % np.uint32(255) + np.uint32(1)).astype(np.uint8)
     return out
 
 
@@ -261,25 +266,26 @@ def _alike(pairs: DataFrame, least: int) -> DataFrame:
 
 
 def _sets(docs: DataFrame, reps: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
-    """(rep, n, bins, whole): size and sketch of the sets of some classes, and the set
-    itself if it is small."""
+    """(rep, n, form): size of the sets of some classes, and the set itself in 32-bit
+    hashes, or its sketch if it is large."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cache = WordHash()
         for b in batches:
             sets = [shingles(t, cache, size) for t in b["t"]]
-            yield pd.DataFrame({"rep": b["rep"], "n": [len(s) for s in sets], "bins": [sketch(s).tobytes() for s in sets], "whole": [s.tobytes() if len(s) <= WHOLE else b"" for s in sets]})
+            if sets:
+                yield pd.DataFrame({"rep": b["rep"], "n": [len(s) for s in sets], "form": [(short(s) if len(s) <= WHOLE else sketch(short(s))).tobytes() for s in sets]})
 
     texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("t")).join(reps, "rep", "left_semi")
-    return texts.mapInPandas(run, "rep long, n long, bins binary, whole binary").where("n > 0")
+    return texts.mapInPandas(run, "rep long, n long, form binary").where("n > 0")
 
 
 def _search_rest(nodes: DataFrame, comp: DataFrame, docs: DataFrame, percent: int, size: int, id_col: str, text_col: str) -> DataFrame:
     """(u, v, sure): links across components that share a bucket. A bucket is dealt to
     cells (block of members, block of outsiders), each of bounded size. Pairs that pass the
     sketch are decided by their sets in the cell, which returns the links that join
-    components, so no more links than rows; pairs with a large set are left to be decided
-    by their texts."""
+    components, so no more links than rows; pairs with a large set, and near misses, are
+    left to be decided by their texts."""
     placed = nodes.join(comp.select(F.col("id").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     rows = placed.select("rep", "component", F.explode("keys").alias("key"))
     sizes = rows.groupBy("key", "component").agg(F.count(F.lit(1)).alias("k"))
@@ -291,15 +297,15 @@ def _search_rest(nodes: DataFrame, comp: DataFrame, docs: DataFrame, percent: in
     def block(n: str):
         return F.pmod(F.hash("rep"), F.col(n)).cast("int")
 
-    own = ["rep", "component", "n", "bins", "whole"]
+    own = ["rep", "component", "n", "form"]
     member = wide.select("key", block("mb").alias("i"), F.explode(F.sequence(F.lit(0), F.col("ob") - 1)).alias("j"), *own, F.lit(False).alias("out"))
     outside = wide.where("component <> main").select("key", F.explode(F.sequence(F.lit(0), F.col("mb") - 1)).alias("i"), block("ob").alias("j"), *own, F.lit(True).alias("out"))
 
     def compare(b: pd.DataFrame) -> pd.DataFrame:
-        a = np.frombuffer(b"".join(b["bins"]), dtype=np.uint8).reshape(len(b), BINS)
-        bits, full = (np.packbits(x, axis=1).view(np.uint64) for x in (a & 1, a > 0))
         n, rep = b["n"].to_numpy(), b["rep"].to_numpy()
-        whole = [np.frombuffer(x, dtype=np.uint64) for x in b["whole"]]
+        whole = [np.frombuffer(x, dtype=np.uint32) if k <= WHOLE else None for x, k in zip(b["form"], n, strict=True)]
+        a = np.stack([sketch(w) if w is not None else np.frombuffer(x, dtype=np.uint8) for x, w in zip(b["form"], whole, strict=True)])
+        bits, full = (np.packbits(x, axis=1).view(np.uint64) for x in (a & 1, a > 0))
         # Components by number; joined ones are renamed in place.
         group = np.unique(b["component"].to_numpy(), return_inverse=True)[1]
         members, links = np.flatnonzero(~b["out"].to_numpy(bool)), []
@@ -308,11 +314,16 @@ def _search_rest(nodes: DataFrame, comp: DataFrame, docs: DataFrame, percent: in
             for m in similar_sketches(a, n, others, bits, full, o, percent):
                 if group[m] == group[o]:
                     continue
-                sure = len(whole[m]) > 0 and len(whole[o]) > 0
-                if sure:
-                    both = len(np.intersect1d(whole[m], whole[o], assume_unique=True))
-                    if 100 * both < percent * (n[m] + n[o] - both):
+                sure = False
+                if whole[m] is not None and whole[o] is not None:
+                    both = len(np.intersect1d(whole[m], whole[o]))
+                    # 32 bits may count one shingle too many or too few: such near misses
+                    # are left to the texts.
+                    passes = lambda k: 100 * k >= percent * (n[m] + n[o] - k)  # noqa: B023, E731
+                    if not passes(both + 1):
                         continue
+                    sure = bool(passes(both - 1))
+                if sure:
                     group[group == group[o]] = group[m]
                 links.append((max(rep[m], rep[o]), min(rep[m], rep[o]), sure))
         return pd.DataFrame(links, columns=["u", "v", "sure"]).astype({"u": "int64", "v": "int64", "sure": "bool"})
