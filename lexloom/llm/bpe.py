@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from lexloom.llm._common import documents, small_batches
 
 #: Characters of text that one chunk aims at.
-CHUNK_CHARS = 8 << 20
+CHUNK_CHARS = 4 << 20
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
