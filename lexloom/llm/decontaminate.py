@@ -1,4 +1,4 @@
-"""Benchmark decontamination under edit distance.
+r"""Benchmark decontamination under edit distance.
 
 An item leaks into a text if some stretch of the text is within a word edit distance of
 ``distance`` of the item's length. k edits leave at least n + 1 - 3 - 3 k of the n - 2
@@ -13,10 +13,14 @@ alignment decides.
 The items are a query set: they are read in blocks of bounded size, and each block is
 broadcast and held against all texts.
 
-Defined cases: null and empty texts and items match nothing; items of fewer than
-``min_words`` words aren't searched for (a word or two would match everywhere); repeated
-rows and ids give their matches each once for an id; letter case and punctuation don't
-count; an empty table on either side gives an empty result; other columns play no part.
+Words are runs of ``\w``; in scripts that don't part words by spaces each character is a
+word of its own, and two of them count as one towards ``min_words``. Items below
+``min_words`` are found where all their words stand in a row, without an edit: by hashes
+of all runs of their lengths.
+
+Defined cases: null and empty texts and items, and items without a word, match nothing;
+an item of a word or two matches every text that holds it; repeated rows and ids give
+their matches each once for an id; letter case and punctuation don't count; an empty table on either side gives an empty result; other columns play no part.
 """
 
 from __future__ import annotations
@@ -34,8 +38,16 @@ from pyspark.sql import functions as F
 from lexloom.llm._common import column_of, documents, mix64, small_batches
 from lexloom.llm.near_dedup import WordHash, word_hashes
 
-WORD = re.compile(r"\w+")
-#: Edits for each word of an item; words of an item at least.
+#: Characters of scripts without spaces between words: Thai, Lao, Myanmar, Khmer, Tai,
+#: Balinese, Javanese, Yi, Japanese, Bopomofo and Han; their punctuation is left out.
+_UNSPACED = (
+    "\u0e01-\u0e3a\u0e40-\u0e4e\u0e50-\u0e59\u0e81-\u0edf\u1000-\u1049\u1050-\u109f\u1780-\u17d3\u17d7\u17dc-\u17e9\u1950-\u19da\u1a20-\u1a99\u1b00-\u1b59"
+    "\u3005-\u3007\u3021-\u3029\u3031-\u3035\u3041-\u309a\u309d-\u309f\u30a1-\u30fa\u30fc-\u30ff\u3105-\u312f\u31a0-\u31bf\u31f0-\u31ff\u3400-\u4dbf\u4e00-\ua48c\ua980-\ua9c0\ua9d0-\ua9d9\ua9e0-\ua9fe"
+    "\uaa60-\uaadd\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003fffd"
+)
+WORD = re.compile(rf"[^\W{_UNSPACED}]+|[{_UNSPACED}]")
+UNSPACED, JOINED = re.compile(f"[{_UNSPACED}]"), re.compile(r"\w+")
+#: Edits for each word of an item; words of an item at least, below which none is allowed.
 DISTANCE, MIN_WORDS = 0.2, 5
 #: Hash tables and sampled places of each: a pair whose embeddings agree in a share a of
 #: their places is missed with a chance of (1 - a ** SAMPLED) ** REPEATS; at a = 1/2, which
@@ -52,6 +64,11 @@ def words_of(text: str | None, cache: WordHash) -> np.ndarray:
     return word_hashes([w.encode("utf-8", "surrogatepass") for w in WORD.findall((text or "").lower())], cache)
 
 
+def long_enough(text: str, n: int, min_words: int) -> bool:
+    """Whether an item of n words is searched for with edits."""
+    return 2 * n - len(UNSPACED.findall(text.lower())) >= 2 * min_words or len(JOINED.findall(text)) >= min_words
+
+
 def runs(h: np.ndarray, size: int) -> np.ndarray:
     """Hashes of all runs of so many words."""
     out = np.zeros(max(0, len(h) - size + 1), dtype=np.uint64)
@@ -115,6 +132,12 @@ def align(item: np.ndarray, region: np.ndarray) -> tuple[int, int, int]:
     return int(row[end]), end - int(np.argmin(back)), end
 
 
+def _filter(known: dict[int, list]) -> np.ndarray:
+    bits = np.zeros(1 << _FILTER, dtype=bool)
+    bits[np.fromiter(known, dtype=np.uint64) >> np.uint64(64 - _FILTER)] = True
+    return bits
+
+
 class Items:
     """Word hashes, runs and tables of a block of items."""
 
@@ -122,11 +145,17 @@ class Items:
         cache = WordHash()
         self.distance = distance
         self.ids, self.words = [], []
+        #: Items without edits: number of words -> run -> ids.
+        self.short: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
         for i, t in items:
             h = words_of(t, cache)
-            if len(h) >= min_words:
+            if long_enough(t, len(h), min_words):
                 self.ids.append(i)
                 self.words.append(h)
+            elif len(h):
+                self.short[len(h)][int(runs(h, len(h))[0])].append(i)
+        self.short = {n: dict(v) for n, v in sorted(self.short.items())}
+        self.short_seen = {n: _filter(v) for n, v in self.short.items()}
         self.allowed = [edits(len(h), distance) for h in self.words]
         self.longest = max(map(len, self.words), default=1)
         #: Runs that must stand at a leak.
@@ -137,11 +166,7 @@ class Items:
             for p, r in enumerate(runs(h, size).tolist()):
                 runs_of[size][r].append((k, p))
         self.runs = {s: dict(v) for s, v in runs_of.items()}
-        self.seen = {}
-        for s, v in self.runs.items():
-            bits = np.zeros(1 << _FILTER, dtype=bool)
-            bits[np.fromiter(v, dtype=np.uint64) >> np.uint64(64 - _FILTER)] = True
-            self.seen[s] = bits
+        self.seen = {s: _filter(v) for s, v in self.runs.items()}
         self.walks = [Cgk(r, self.longest) for r in range(REPEATS)]
         #: Of each repeat: key -> items.
         self.tables: list[dict[int, list[int]]] = []
@@ -152,6 +177,21 @@ class Items:
                 table[key].append(k)
             self.tables.append(dict(table))
 
+    def exact(self, doc: str | None, h: np.ndarray) -> Iterator[tuple]:
+        """(doc, item, 0, first word, last word) of the first place of each short item."""
+        r, done = np.zeros(len(h), dtype=np.uint64), 0
+        for n, known in self.short.items():
+            if n > len(h):
+                return
+            for j in range(done, n):
+                r = mix64(r[: len(h) - j] + h[j:] + np.uint64(j))
+            done = n
+            at = np.flatnonzero(self.short_seen[n][r >> np.uint64(64 - _FILTER)])
+            hashes, first = np.unique(r[at], return_index=True)
+            for x, p in zip(hashes.tolist(), at[first].tolist(), strict=True):
+                for i in known.get(x, ()):
+                    yield doc, i, 0, p, p + n - 1
+
     def windows(self, h: np.ndarray) -> set[tuple[int, int]]:
         """(size, start) of the windows that intact runs open."""
         hits: dict[int, list[tuple[int, int]]] = defaultdict(list)
@@ -216,18 +256,21 @@ def find_leaks(docs: DataFrame, items: DataFrame, *, distance: float = DISTANCE,
         held = spark.sparkContext.broadcast(Items(block, distance, min_words))
 
         def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            known, cache, waiting = held.value, WordHash(), []
+            known, cache, waiting, short = held.value, WordHash(), [], []
 
             def found() -> Iterator[pd.DataFrame]:
-                rows = list(known.matches(waiting))
+                rows = [*short, *known.matches(waiting)]
                 waiting.clear()
+                short.clear()
                 if rows:
                     yield pd.DataFrame(rows, columns=["d", "item_id", "distance", "first_word", "last_word"])
 
             for b in batches:
                 for d, t in zip(b["d"].to_list(), b["t"], strict=True):
-                    waiting += known.opened(d, words_of(t, cache))
-                    if len(waiting) >= FLUSH:
+                    h = words_of(t, cache)
+                    waiting += known.opened(d, h)
+                    short += known.exact(d, h)
+                    if max(len(waiting), len(short)) >= FLUSH:
                         yield from found()
             yield from found()
 

@@ -278,6 +278,15 @@ def test_leak_cases(spark):
     assert decontaminate.find_leaks(empty(spark), items).count() == 0 and decontaminate.find_leaks(odd(spark), items.limit(0)).count() == 0
 
 
+def test_short_and_unsegmented_items_leak(spark):
+    zh, ja, th = "我们在春天的早晨沿着河岸慢慢地走，看见许多白色的鸟飞过", "吾輩は猫である", "ภาษาไทยง่าย"
+    items = [(1, zh), (2, ja), (3, "Blue whale"), (4, "zygote"), (5, th), (6, "one two three four"), (7, "!?"), (8, "Blue whale"), (9, "白鸟")]
+    docs = ["昨天" + zh + "了很远", "名前は" + ja + "。", "a blue, whale swims; a blue whale", "the zygotes", "the ZYGOTE", "ก" + th + "ก", "one two three", "one two three four five", "blue green whale", "昨天" + zh.replace("许多", "几只") + "了", "白色鸟", "吾輩は犬である", ""]
+    got = decontaminate.find_leaks(frame(spark, docs), spark.createDataFrame(items, "item_id LONG, text STRING")).collect()
+    assert {(r.doc_id, r.item_id, r.distance) for r in got} == {(0, 1, 0), (1, 2, 0), (2, 3, 0), (2, 8, 0), (4, 4, 0), (5, 5, 0), (7, 6, 0), (9, 1, 2)} and len(got) == 8
+    assert {(r.item_id, r.first_word, r.last_word) for r in got if r.doc_id in (1, 2)} == {(2, 3, 9), (3, 1, 2), (8, 1, 2)}
+
+
 def test_alignment_matches_dynamic_programme():
     r = np.random.default_rng(2)
     for _ in range(60):
