@@ -135,6 +135,12 @@ def hash_below(text: Column, share: Column) -> Column:
     return F.xxhash64(text) / F.lit(2.0**64) + 0.5 < share
 
 
+def share_for(least: int, distinct: int) -> float:
+    """Share of all hashes that holds about four times ``least`` of so many distinct texts;
+    the 60 more keep it from holding fewer where ``least`` is small."""
+    return (4.0 * least + 60) / max(1, distinct)
+
+
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     """Columns of the documents table, over as many tasks as there are cores if its files
     have fewer splits."""

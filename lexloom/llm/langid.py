@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lexloom.llm._common import add_columns, column_of, documents, hash_below, small_batches
+from lexloom.llm._common import add_columns, column_of, documents, hash_below, share_for, small_batches
 
 #: Languages by family (ISO 639-1).
 FAMILIES = {
@@ -126,13 +126,15 @@ def fit(train: DataFrame, *, text_col: str = "text", lang_col: str = "lang", sam
     """Model from rows with a language and a letter; None if there is none."""
     small_batches(train.sparkSession)
     rows = train.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("t")).where("lang IS NOT NULL AND t IS NOT NULL").where(F.col("t").rlike(r"\p{L}"))
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()}
+    # Distinct texts of each language: copies must not make the share smaller.
+    texts = F.countDistinct(F.xxhash64("t")).alias("texts")
+    counts = {r["lang"]: r["texts"] for r in rows.groupBy("lang").agg(texts, F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect()}
     if not counts:
         return None
     each = max(1, sample_rows // len(counts))
     # Of each language the lowest hashes, copies once: first a share that holds about four
     # times as many as asked for, so that few rows are brought together to be cut.
-    share = F.element_at(F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, 4.0 * each / n)]), F.col("lang"))
+    share = F.element_at(F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, share_for(each, n))]), F.col("lang"))
     some = rows.where(F.col("lang").isin(list(counts)) & hash_below(F.col("t"), share))
     once = some.groupBy("lang", F.xxhash64("t").alias("h")).agg(F.first("t").alias("t"))
     picked = once.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("r") <= each)

@@ -330,6 +330,15 @@ def test_quality_separates_and_cases(spark):
     assert quality.fit(empty(spark)) is None and quality.score_quality(empty(spark), w).count() == 0
 
 
+def test_language_of_copies_is_learned(spark):
+    other = {f"x{k}": " ".join(f"{c}{c}{'qvxz'[k]}a" for c in "bcdfghjk") for k in range(4)}
+    rows = [(t, lang) for lang, t in other.items() for _ in range(3000)] + [(words(k, 30), "en") for k in range(300)]
+    model = langid.fit(spark.createDataFrame(rows, "text STRING, lang STRING").repartition(4), sample_rows=50)
+    assert model.langs == ["en", *sorted(other)]
+    got = langid.identify(spark.createDataFrame([(t, lang) for lang, t in other.items()], "text STRING, lang STRING"), model).collect()
+    assert all(r.lang_pred == r.lang for r in got)
+
+
 def test_label_model_finds_the_bad_labeller():
     r = random.Random(1)
     patterns = Counter()
