@@ -339,6 +339,23 @@ def test_language_of_copies_is_learned(spark):
     assert all(r.lang_pred == r.lang for r in got)
 
 
+def test_quality_sample_does_not_shrink_with_copies(spark):
+    texts = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").distinct().orderBy("text").limit(40)
+    seen, fit = [], quality.fit_logistic
+
+    def count(x, p):
+        seen.append(len(x))
+        return fit(x, p)
+
+    quality.fit_logistic = count
+    try:
+        for n in (1, 300):
+            quality.fit(texts.select("text", F.explode(F.sequence(F.lit(1), F.lit(n)))), train_rows=20)
+    finally:
+        quality.fit_logistic = fit
+    assert seen == [20, 20]
+
+
 def test_label_model_finds_the_bad_labeller():
     r = random.Random(1)
     patterns = Counter()
