@@ -6,7 +6,8 @@ machine for each pair of its languages votes, so closely related languages are s
 by machines that see nothing else.
 
 The machines are fitted on a bounded sample, the same share of each language, chosen by
-a hash of the text: SAMPLE_ROWS rows at most. Prediction reads whole texts.
+a hash of the text: SAMPLE_ROWS rows at most, or one of each language if those are more.
+Prediction reads whole texts.
 
 Defined cases: ``und`` with score 0 for null texts and texts without a letter; rows
 without a language, an id or a letter aren't learned from; with one language, it is
@@ -40,8 +41,8 @@ FAMILIES = {
 }
 DIMS = 4096
 GRAMS = (1, 2, 3, 4)
-#: Labelled rows that the machines are fitted on, all languages together, and languages.
-SAMPLE_ROWS, MAX_LANGS = 4000, 200
+#: Labelled rows that the machines are fitted on, all languages together.
+SAMPLE_ROWS = 4000
 
 LETTER = re.compile(r"[^\W\d_]")
 #: ASCII bytes other than letters count as spaces.
@@ -127,15 +128,14 @@ def fit(train: DataFrame, *, text_col: str = "text", lang_col: str = "lang", sam
     small_batches(train.sparkSession)
     rows = train.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("t")).where("lang IS NOT NULL AND t IS NOT NULL").where(F.col("t").rlike(r"\p{L}"))
     # Distinct texts of each language: copies must not make the share smaller.
-    texts = F.countDistinct(F.xxhash64("t")).alias("texts")
-    counts = {r["lang"]: r["texts"] for r in rows.groupBy("lang").agg(texts, F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect()}
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.countDistinct(F.xxhash64("t")).alias("n")).collect()}
     if not counts:
         return None
     each = max(1, sample_rows // len(counts))
     # Of each language the lowest hashes, copies once: first a share that holds about four
     # times as many as asked for, so that few rows are brought together to be cut.
-    share = F.element_at(F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, share_for(each, n))]), F.col("lang"))
-    some = rows.where(F.col("lang").isin(list(counts)) & hash_below(F.col("t"), share))
+    shares = train.sparkSession.createDataFrame([(k, share_for(each, n)) for k, n in sorted(counts.items())], "lang string, share double")
+    some = rows.join(F.broadcast(shares), "lang").where(hash_below(F.col("t"), F.col("share")))
     once = some.groupBy("lang", F.xxhash64("t").alias("h")).agg(F.first("t").alias("t"))
     picked = once.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("r") <= each)
 

@@ -339,6 +339,12 @@ def test_language_of_copies_is_learned(spark):
     assert all(r.lang_pred == r.lang for r in got)
 
 
+def test_all_labelled_languages_are_learned(spark):
+    rows = [(words(k, 12), f"l{k:03d}") for k in range(205)]
+    model = langid.fit(spark.createDataFrame(rows, "text STRING, lang STRING"), sample_rows=100)
+    assert model.langs == [lang for _, lang in rows]
+
+
 def test_quality_sample_does_not_shrink_with_copies(spark):
     texts = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").distinct().orderBy("text").limit(40)
     seen, fit = [], quality.fit_logistic
