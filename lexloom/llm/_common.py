@@ -18,14 +18,19 @@ _written: dict[str, list[str]] = {}
 
 
 def small_batches(spark: SparkSession) -> None:
+    """Bounds Arrow batches for the rest of the session: plans read the setting when they
+    run, which is after an operator has returned."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a local one only where the session names none."""
+    """The folder all executors share, which spark.checkpoint.dir names; in local mode a
+    temporary one where it is unset."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="lexloom-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/") + "/lexloom"
@@ -70,10 +75,11 @@ def _clean() -> None:
             return
 
 
-def row_key(id_col: str, text_col: str) -> Column:
-    """Names a row by what it holds, not by where it lies: recomputed tasks give the
-    same key. Repeated rows get one key and therefore one result each."""
-    return F.xxhash64(F.col(id_col), F.col(text_col))
+def row_keys(id_col: str, text_col: str) -> tuple[Column, Column]:
+    """Name a row by what it holds, not by where it lies: recomputed tasks give the same
+    keys. Two hashes, as one of 64 bits isn't unique in ten billion rows. Repeated rows
+    get the same keys and therefore the same result each."""
+    return F.xxhash64(F.col(id_col), F.col(text_col)), F.xxhash64(F.lit(1), F.col(id_col), F.col(text_col))
 
 
 def parallel(spark: SparkSession) -> int:
@@ -98,15 +104,16 @@ def as_bytes(text) -> bytes:
     return b"" if text is None else text.encode("utf-8", "surrogatepass")
 
 
-def add_columns(docs: DataFrame, inputs: list[str], fn, outputs: dict[str, str]) -> DataFrame:
+def add_columns(docs: DataFrame, inputs: list[str], fn, outputs: dict[str, str], without: tuple[str, ...] = ()) -> DataFrame:
     """docs with columns made by fn, an Arrow batch at a time. fn gets the input columns
     as lists and returns one list for each output. An output replaces a column of docs
-    with the same name, whatever its case; all others pass through as they are."""
+    with the same name, whatever its case; all others but those of ``without`` pass
+    through as they are."""
     import pyarrow as pa
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType, _parse_datatype_string
 
-    new = {c.lower() for c in outputs}
+    new = {c.lower() for c in (*outputs, *without)}
     kept = [f for f in docs.schema.fields if f.name.lower() not in new]
     schema = StructType(kept + _parse_datatype_string(", ".join(f"{c} {t}" for c, t in outputs.items())).fields)
     names, n_kept = [f.name for f in kept], len(kept)
@@ -147,3 +154,18 @@ def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/documents.parquet").select(*columns)
     cores = spark.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+#: Rows of a key that one task of spread_join takes.
+KEY_ROWS = 1 << 16
+
+
+def spread_join(big: DataFrame, small: DataFrame, key: str, total: int) -> DataFrame:
+    """big joined with small, which has each key once and in ``n`` how many rows of big it
+    meets. Keys of many rows are dealt to several tasks, to which small's row is copied.
+    total: rows of big; at most KEY_ROWS keys are heavy, so their list can be broadcast."""
+    each = max(KEY_ROWS, total // KEY_ROWS)
+    heavy = small.where(F.col("n") > each).select(key, F.ceil(F.col("n") / each).cast("int").alias("_parts"))
+    dealt = big.join(F.broadcast(heavy), key, "left").withColumn("_part", F.pmod(F.xxhash64(*big.columns), F.coalesce("_parts", F.lit(1))).cast("int")).drop("_parts")
+    copies = small.withColumn("_part", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.col("n") / each).cast("int") - 1))))
+    return dealt.join(copies, [key, "_part"]).drop("_part", "n")

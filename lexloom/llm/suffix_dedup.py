@@ -4,23 +4,25 @@ Corpus side, in the manner of a sampled suffix index. Every window of ``length``
 has a minimizer: the SEED bytes in it with the smallest hash. Equal windows have equal
 minimizers at equal offsets, so only minimizers that stand at several places can belong
 to a repeat; all others, nearly all of a corpus, drop out after one aggregation by hash.
-A minimizer's windows lie in one region around it. Regions that occur twice as a whole
-are repeats as they stand; counting them is that same aggregation.
+A minimizer's windows lie in one region around it. Equal regions are one row from then
+on, with the number of their places: a region of two places or more is a repeated
+interval as it stands.
 
 What is left are regions with a repeated minimizer that differ in part, at the ends of
-repeats. Here Burrows-Wheeler transforms are merged, restricted to the blocks that
-matter: with the minimizer as one symbol, the rows that begin with it are one block of
-the transform, and shards contribute the text before and after their own. The interleave
-of the shards' rows starts as the block and is refined one symbol an iteration, to the
-right and, over the symbols before the rows, to the left; a row leaves once it is alone.
-The iteration at which neighbours part is their common prefix, so a window that reaches
-o bytes to the left is repeated if its row shares the block of left iteration o and of
-right iteration (rest of the window) with another row. No suffix is sorted again.
+repeats. With the minimizer as one symbol, the rows that begin with it are one block of
+the corpus's transform, to which each shard brings the rows of its own texts. The
+interleave of the block's rows starts as the block itself and is refined one symbol an
+iteration, to the right and, over the symbols before the rows, to the left; a row leaves
+once it is alone. The iteration at which neighbours part is their common prefix, so a
+window that reaches o bytes to the left is repeated if its row shares the block of left
+iteration o and of right iteration (rest of the window) with another row. No suffix is
+sorted again. Transforms of whole shards aren't written down: the README has the figures.
 Blocks of more than ``group`` rows (a passage in a third of all texts, say) would not
 fit a task: their windows are counted by hash, with partial sums before the exchange,
 which gives the same result.
 
-Hashes have 64 bits for a minimizer and 64 more for what surrounds it.
+Hashes have 64 bits for a minimizer and 64 more for what surrounds it; texts are known
+by two hashes of 64 bits.
 
 Defined cases: a null text has no bytes and stays null; a text shorter than ``length``
 is kept whole; cut texts are rejoined as bytes, since a cut may fall within a character;
@@ -37,13 +39,13 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from lexloom.llm._common import add_columns, as_bytes, column_of, documents, mix64, row_key, small_batches, written
+from lexloom.llm._common import add_columns, as_bytes, column_of, documents, mix64, row_keys, small_batches, spread_join, written
 
 LENGTH, SEED = 200, 64
-#: Rows of one block that a task refines, and rows of a task.
-GROUP, TASK_ROWS = 1 << 16, 20_000
+#: Rows of one block that a task refines, rows that a task aims at, and rows that it
+#: refines at a time (whole blocks).
+GROUP, TASK_ROWS, AT_ONCE = 1 << 15, 20_000, 1 << 13
 U64 = np.uint64
 
 
@@ -202,30 +204,32 @@ def _unpack(p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _seed_rows(src: DataFrame, length: int, k: int, counted: bool) -> DataFrame:
-    """(h, rest, key, at, n): a row for each minimizer, or, counted, for each kind of
-    region that an Arrow batch holds."""
+    """(h, rest, k1, k2, at): a row for each minimizer; or, counted, (h, least, most, n):
+    for each that an Arrow batch holds, its number of places and its regions' extremes."""
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            parts = [(key, *seeds(as_bytes(t), length, k)) for key, t in zip(b["key"], b["t"], strict=True)]
+            parts = [(i, *seeds(as_bytes(t), length, k)) for i, t in enumerate(b["t"])]
             parts = [p for p in parts if len(p[1])]
             if not parts:
                 continue
             h, rest = (np.concatenate([p[i] for p in parts]).view(np.int64) for i in (1, 2))
-            at = np.concatenate([_pack(*p[3:]) for p in parts])
-            key = np.concatenate([np.full(len(p[1]), p[0], dtype=np.int64) for p in parts])
-            out = pd.DataFrame({"h": h, "rest": rest, "key": key, "at": at})
             if counted:
                 order = np.lexsort((rest, h))
-                first = np.flatnonzero(np.concatenate([[True], (h[order][1:] != h[order][:-1]) | (rest[order][1:] != rest[order][:-1])]))
-                out = out.iloc[order[first]].assign(n=np.diff(np.append(first, len(h))))
-            yield out
+                h, rest = h[order], rest[order]
+                first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+                n = np.diff(np.append(first, len(h)))
+                yield pd.DataFrame({"h": h[first], "least": rest[first], "most": rest[first + n - 1], "n": n})
+            else:
+                at = np.concatenate([_pack(*p[3:]) for p in parts])
+                row = np.repeat([p[0] for p in parts], [len(p[1]) for p in parts])
+                yield pd.DataFrame({"h": h, "rest": rest, "k1": b["k1"].to_numpy()[row], "k2": b["k2"].to_numpy()[row], "at": at})
 
-    return src.mapInPandas(rows, "h long, rest long, key long, at long" + ", n long" * counted)
+    return src.mapInPandas(rows, "h long, least long, most long, n long" if counted else "h long, rest long, k1 long, k2 long, at long")
 
 
 def _squeezed(src: DataFrame) -> DataFrame:
-    """(key, z): texts compressed for an exchange."""
+    """(k1, k2, z): texts compressed for an exchange."""
 
     def run(texts: list) -> list[list]:
         import zstandard
@@ -233,7 +237,7 @@ def _squeezed(src: DataFrame) -> DataFrame:
         c = zstandard.ZstdCompressor(level=3)
         return [[c.compress(as_bytes(t)) for t in texts]]
 
-    return add_columns(src, ["t"], run, {"z": "binary"}).select("key", "z")
+    return add_columns(src, ["t"], run, {"z": "binary"}, without=("t",))
 
 
 def _raw(z: bytes) -> bytes:
@@ -243,54 +247,62 @@ def _raw(z: bytes) -> bytes:
 
 
 def repeats(src: DataFrame, length: int, k: int, group: int) -> DataFrame:
-    """(key, start, end): stretches whose every window of ``length`` bytes is repeated.
-    src: (key, t)."""
-    span = length - k
-    once = _seed_rows(src, length, k, True)
-    kinds = once.repartition("h").groupBy("h", "rest").agg(F.sum("n").alias("n"), F.min(F.struct("key", "at")).alias("rep"))
-    kinds = kinds.select("h", "rest", "n", "rep.key", "rep.at")
-    # Kinds of one minimizer lie in one partition already: this sorts, it doesn't shuffle.
-    block = Window.partitionBy("h")
-    kinds = kinds.withColumns({"kinds": F.count(F.lit(1)).over(block), "places": F.sum("n").over(block), "least": F.min("n").over(block)})
-    found = written(kinds.where("places > 1").drop("places"), "regions")
+    """(k1, k2, start, end): stretches whose every window of ``length`` bytes is repeated.
+    src: (k1, k2, t)."""
+    span, key = length - k, ["k1", "k2"]
+    # Minimizers of several places; mixed ones have different regions.
+    several = _seed_rows(src, length, k, True).groupBy("h").agg(F.min("least").alias("least"), F.max("most").alias("most"), F.sum("n").alias("n"))
+    several = written(several.where("n > 1").select("h", (F.col("least") != F.col("most")).alias("mixed")), "minimizers")
+    found = written(_seed_rows(src, length, k, False).join(several, "h"), "regions")
+    kinds = found.groupBy("h", "rest", "mixed").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*key, "at")).alias("rep"))
+    kinds = written(kinds.select("h", "rest", "mixed", "n", "rep.*"), "kinds")
     # Whole regions that occur twice.
-    whole = _seed_rows(src, length, k, False).join(found.where("n > 1").select("h", "rest"), ["h", "rest"], "left_semi").select("key", "at")
+    whole = found.join(kinds.where("n > 1").select("h", "rest"), ["h", "rest"], "left_semi").select(*key, "at")
     first = F.shiftright("at", 20) - F.shiftright("at", 10).bitwiseAND(1023)
-    whole = whole.select("key", first.alias("start"), (F.shiftright("at", 20) + k + F.col("at").bitwiseAND(1023)).alias("end"))
-    # Regions that share their minimizer with other ones.
-    asked = found.where("kinds > 1 AND least = 1").select("h", "key", "at", (F.col("n") == 1).alias("open"), F.col("kinds") > group)
-    asked = asked.toDF("h", "key", "at", "open", "large").groupBy("key").agg(F.collect_list(F.struct("h", "at", "open", "large")).alias("asked"))
+    whole = whole.select(*key, first.alias("start"), (F.shiftright("at", 20) + k + F.col("at").bitwiseAND(1023)).alias("end"))
+    # Regions that share their minimizer with other ones, if some of them occur once.
+    blocks = kinds.where("mixed").groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("n").alias("rarest")).where("rarest = 1")
+    rows = kinds.where("mixed").select("h", *key, "at", (F.col("n") == 1).alias("open"))
+    asked = spread_join(rows, blocks.select("h", "n", (F.col("n") > group).alias("large")), "h", kinds.count())
+    asked = asked.groupBy(*key).agg(F.collect_list(F.struct("h", "at", "open", "large")).alias("asked"))
+
     def context(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for key, z, own in zip(b["key"], b["z"], b["asked"], strict=True):
+            for k1, k2, z, own in zip(b["k1"], b["k2"], b["z"], b["asked"], strict=True):
                 raw = _raw(z)
                 for r in own:
                     at, left, right = (int(x) for x in _unpack(r["at"]))
-                    out.append((r["h"], key, at, r["open"], r["large"], raw[at - left : at][::-1], raw[at + k : at + k + right]))
+                    out.append((r["h"], k1, k2, at, r["open"], r["large"], raw[at - left : at][::-1], raw[at + k : at + k + right]))
             if out:
-                yield pd.DataFrame(out, columns=["h", "key", "at", "open", "large", "before", "after"])
+                yield pd.DataFrame(out, columns=["h", "k1", "k2", "at", "open", "large", "before", "after"])
 
-    schema = "h long, key long, at long, open boolean, large boolean, before binary, after binary"
-    rows = written(asked.join(_squeezed(src), "key").select("key", "z", "asked").mapInPandas(context, schema), "contexts")
+    schema = "h long, k1 long, k2 long, at long, open boolean, large boolean, before binary, after binary"
+    rows = written(asked.join(_squeezed(src), key).select(*key, "z", "asked").mapInPandas(context, schema), "contexts")
     small, large = rows.where("NOT large").drop("large"), rows.where("large")
     tasks = max(1, -(-small.count() // TASK_ROWS))
 
     def spans_of(b: pd.DataFrame, hit: np.ndarray) -> pd.DataFrame:
         i, o = np.nonzero(hit & b["open"].to_numpy(bool)[:, None])
         start = b["at"].to_numpy()[i] - o
-        if not len(i):
-            return pd.DataFrame({"key": [], "start": [], "end": []})
         # Windows of a row that follow each other are one stretch.
         order = np.lexsort((start, i))
         i, start = i[order], start[order]
-        new = np.flatnonzero(np.concatenate([[True], (i[1:] != i[:-1]) | (start[1:] != start[:-1] + 1)]))
-        return pd.DataFrame({"key": b["key"].to_numpy()[i[new]], "start": start[new], "end": start[np.append(new[1:], len(i)) - 1] + length})
+        new = np.flatnonzero(np.concatenate([[True], (i[1:] != i[:-1]) | (start[1:] != start[:-1] + 1)])) if len(i) else i
+        return pd.DataFrame({"k1": b["k1"].to_numpy()[i[new]], "k2": b["k2"].to_numpy()[i[new]], "start": start[new], "end": start[np.append(new[1:], len(i)) - 1] + length if len(i) else start})
 
     def refine(b: pd.DataFrame) -> pd.DataFrame:
-        return spans_of(b, repeated_windows(b["h"].to_numpy(), b["before"].to_list(), b["after"].to_list(), span))
-
-    part = small.groupBy(F.pmod(F.xxhash64("h"), F.lit(tasks))).applyInPandas(refine, "key long, start long, end long")
+        b = b.sort_values("h", kind="stable")
+        ends = np.flatnonzero(np.append(b["h"].to_numpy()[1:] != b["h"].to_numpy()[:-1], True)) + 1
+        out, at = [], 0
+        while at < len(b):
+            end = int(ends[max(np.searchsorted(ends, at + AT_ONCE, side="right") - 1, np.searchsorted(ends, at, side="right"))])
+            part = b.iloc[at:end]
+            out.append(spans_of(part, repeated_windows(part["h"].to_numpy(), part["before"].to_list(), part["after"].to_list(), span)))
+            at = end
+        return pd.concat(out)
+
+    part = small.groupBy(F.pmod(F.xxhash64("h"), F.lit(tasks))).applyInPandas(refine, "k1 long, k2 long, start long, end long")
     return whole.unionByName(part).unionByName(_large_blocks(large, length, span))
 
 
@@ -299,29 +311,32 @@ def _large_blocks(rows: DataFrame, length: int, span: int) -> DataFrame:
 
     def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for h, key, at, open_, before, after in zip(b["h"], b["key"], b["at"], b["open"], b["before"], b["after"], strict=True):
+            for h, k1, k2, at, open_, before, after in zip(*(b[c] for c in ("h", "k1", "k2", "at", "open", "before", "after")), strict=True):
                 o = np.arange(max(0, span - len(after)), min(span, len(before)) + 1)
                 if len(o):
                     x, y = Rolling(before), Rolling(after)
                     zero = np.zeros_like(o)
                     a, c = x.hashes(zero, o), y.hashes(zero, span - o)
-                    yield pd.DataFrame({"w1": mix64(a + c * U64(3) + U64(h & (1 << 63) - 1) + o.astype(np.uint64)).view(np.int64), "w2": mix64(c + a * U64(5)).view(np.int64), "key": key, "start": at - o, "open": open_})
+                    yield pd.DataFrame({"w1": mix64(a + c * U64(3) + U64(h & (1 << 63) - 1) + o.astype(np.uint64)).view(np.int64), "w2": mix64(c + a * U64(5)).view(np.int64), "k1": k1, "k2": k2, "start": at - o, "open": open_})
 
-    w = rows.select("h", "key", "at", "open", "before", "after").mapInPandas(windows, "w1 long, w2 long, key long, start long, open boolean")
+    w = rows.select("h", "k1", "k2", "at", "open", "before", "after").mapInPandas(windows, "w1 long, w2 long, k1 long, k2 long, start long, open boolean")
     hot = w.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("w1", "w2")
-    return w.where("open").join(hot, ["w1", "w2"], "left_semi").select("key", "start", (F.col("start") + length).alias("end"))
+    return w.where("open").join(hot, ["w1", "w2"], "left_semi").select("k1", "k2", "start", (F.col("start") + length).alias("end"))
 
 
 def cut_repeats(docs: DataFrame, *, length: int = LENGTH, k: int = SEED, group: int = GROUP, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with n_bytes, removed (array of (start, end) byte runs) and kept (binary: the
     bytes that stay)."""
+    if not 0 < length - k < 1024:
+        raise ValueError("length must exceed k by 1 to 1023")
     id_col, text_col = column_of(docs, id_col), column_of(docs, text_col)
     small_batches(docs.sparkSession)
     docs = docs.drop("n_bytes", "removed", "kept")
-    keyed = docs.withColumn("_lexloom_key", row_key(id_col, text_col))
-    src = keyed.select(F.col("_lexloom_key").alias("key"), F.col(text_col).alias("t")).where("t IS NOT NULL")
+    keys = ["_lexloom_k1", "_lexloom_k2"]
+    keyed = docs.withColumns(dict(zip(keys, row_keys(id_col, text_col), strict=True)))
+    src = keyed.select(*[F.col(c).alias(c[-2:]) for c in keys], F.col(text_col).alias("t")).where("t IS NOT NULL")
     spans = repeats(src, length, k, group).distinct()
-    own = spans.groupBy("key").agg(F.collect_list(F.struct("start", "end")).alias("_lexloom_spans")).withColumnRenamed("key", "_lexloom_key")
+    own = spans.groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "end")).alias("_lexloom_spans")).toDF(*keys, "_lexloom_spans")
 
     def cut(texts: list, spans: list) -> list[list]:
         n, removed, kept = [], [], []
@@ -337,7 +352,7 @@ def cut_repeats(docs: DataFrame, *, length: int = LENGTH, k: int = SEED, group:
             kept.append(b"".join([*parts, raw[at:]]))
         return [n, removed, kept]
 
-    out = add_columns(keyed.join(own, "_lexloom_key", "left").drop("_lexloom_key"), [text_col, "_lexloom_spans"], cut, {"n_bytes": "long", "removed": "array<struct<start:long,end:long>>", "kept": "binary"})
+    out = add_columns(keyed.join(own, keys, "left").drop(*keys), [text_col, "_lexloom_spans"], cut, {"n_bytes": "long", "removed": "array<struct<start:long,end:long>>", "kept": "binary"})
     return out.drop("_lexloom_spans")
 
 
