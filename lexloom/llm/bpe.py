@@ -1,18 +1,24 @@
 """Byte-level BPE encoding and decoding with a given rank file.
 
 Texts are dealt to chunks by what they hold. Each chunk lists its distinct pre-tokens,
-which stand at known positions of its texts. The pre-tokens of all chunks are shuffled
-by word, so that every distinct word is encoded once; its ids go back to the chunks that
-hold it, where texts are reassembled by position. Decoding explodes ids with positions
-at the document, and joins the token-byte table, whose size is that of the vocabulary.
+which stand at known positions of its texts: the explode happens within the chunk, whose
+positions needn't travel, as splitting a text again gives them again. The pre-tokens of
+all chunks are shuffled by word, in packets of a chunk and a group of words, so that
+every distinct word is encoded once in its group's task; its ids go back to the chunks
+that hold it, where texts are reassembled by position. Decoding looks each id up in the
+token-byte table: a join with a table as large as the vocabulary, which is broadcast and
+held as arrays.
 
 A pre-token's own copies are counted within its chunk, before the exchange, so a word
-that all texts share costs a row a chunk. Chunks and groups of words are of bounded size.
+that all texts share costs a row a chunk. Chunks are of bounded size, partitions hold as
+many chunks as there are for them, one in memory at a time; groups of words are at most
+GROUPS, so that packets stay fewer than words.
 
 Defined cases: a null or empty text has no tokens and decodes to the empty string; rows
 are told apart by their place in the chunk, so repeated rows and null ids need no care;
-an empty table gives an empty table; unpaired surrogates can't occur in Spark strings.
-Other columns pass through, and one named like an output column gives way to it.
+an empty table gives an empty table;
+unpaired surrogates can't occur in Spark strings. Other columns pass through, and one
+named like an output column gives way to it.
 """
 
 from __future__ import annotations
@@ -29,6 +35,8 @@ from lexloom.llm._common import documents, small_batches
 
 #: Characters of text that one chunk aims at.
 CHUNK_CHARS = 4 << 20
+#: Groups that words are dealt to at most, a task each.
+GROUPS = 1024
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -42,7 +50,7 @@ _encoders: dict[int, object] = {}
 
 def word_encoder(ranks: dict[bytes, int], name: int):
     """A function from a word's bytes to its ids' bytes: the tiktoken library with a pattern
-    that takes a whole word as one piece, which gives encode_word's ids. One encoder is
+    that takes a whole word as one piece, which gives the ids of its merges. One encoder is
     kept for each set of ranks that a worker meets."""
     import tiktoken
 
@@ -74,57 +82,6 @@ class Splitter:
         return self.fast(text) if text.isascii() and not self.odd(text) else self.exact(text)
 
 
-def encode_word(word: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """Merges the adjacent pair of lowest rank, leftmost first, until none is left.
-    Long words use a heap over a linked list: n log n."""
-    if word in ranks:
-        return [ranks[word]]
-    if len(word) > 128:
-        return _encode_long(word, ranks)
-    parts = [word[i : i + 1] for i in range(len(word))]
-    pair = [ranks.get(word[i : i + 2]) for i in range(len(word) - 1)]
-    while True:
-        best, at = None, -1
-        for i, r in enumerate(pair):
-            if r is not None and (best is None or r < best):
-                best, at = r, i
-        if best is None:
-            return [ranks[p] for p in parts]
-        parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        del pair[at]
-        if at:
-            pair[at - 1] = ranks.get(parts[at - 1] + parts[at])
-        if at < len(parts) - 1:
-            pair[at] = ranks.get(parts[at] + parts[at + 1])
-
-
-def _encode_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
-    import heapq
-
-    n = len(word)
-    end, prev = list(range(1, n + 1)), list(range(-1, n - 1))
-    heap = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(word[i : i + 2])) is not None]
-    heapq.heapify(heap)
-    alive = [True] * n
-    while heap:
-        _, i, stop = heapq.heappop(heap)
-        if not alive[i] or end[i] >= n or end[end[i]] != stop or not alive[end[i]]:
-            continue
-        j = end[i]
-        alive[j], end[i] = False, stop
-        if stop < n:
-            prev[stop] = i
-            if (r := ranks.get(word[i : end[stop]])) is not None:
-                heapq.heappush(heap, (r, i, end[stop]))
-        if (p := prev[i]) >= 0 and (r := ranks.get(word[p:stop])) is not None:
-            heapq.heappush(heap, (r, p, stop))
-    out, i = [], 0
-    while i < n:
-        out.append(ranks[word[i : end[i]]])
-        i = end[i]
-    return out
-
-
 def packed(parts: list[bytes]) -> bytes:
     """Byte strings as one compressed block: count, lengths, contents."""
     import zstandard
@@ -200,21 +157,26 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, *, id_col: st
     id_col, text_col = column_of(docs, id_col), column_of(docs, text_col)
     docs = docs.drop("ids", "n_tokens")
     chars = docs.agg(F.sum(F.length(text_col))).first()[0] or 0
-    buckets = parallel(spark)
-    chunks = max(buckets, -(-chars // chunk_chars))
+    parts = parallel(spark)
+    buckets, chunks = min(parts, GROUPS), max(parts, -(-chars // chunk_chars))
     held, name = spark.sparkContext.broadcast(ranks), hash(frozenset(ranks.items()))
     chunk = F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(chunks)).cast("int")
     # Texts travel compressed.
-    dealt = add_columns(docs.withColumn("_lexloom_chunk", chunk), [text_col], _squeeze, {"_lexloom_text": "binary"}).drop(text_col).repartition(chunks, "_lexloom_chunk")
+    dealt = add_columns(docs.withColumn("_lexloom_chunk", chunk), [text_col], _squeeze, {"_lexloom_text": "binary"}, without=(text_col,)).repartition(parts, "_lexloom_chunk")
+
+    def packets(c: int, seen: set) -> Iterator[pa.RecordBatch]:
+        for k, v in _by_bucket(seen, buckets).items():
+            yield pa.RecordBatch.from_pydict({"_lexloom_chunk": pa.array([c], pa.int32()), "_bucket": pa.array([k], pa.int32()), "_packet": pa.array([packed(v)], pa.binary())})
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find, seen = Splitter(pattern), {}
+        find, now, seen = Splitter(pattern), None, set()
         for b in batches:
             for c, z in zip(b.column("_lexloom_chunk").to_pylist(), b.column("_lexloom_text").to_pylist(), strict=True):
-                seen.setdefault(c, set()).update(find(_unsqueeze(z)))
-        for c in list(seen):
-            for k, v in _by_bucket(seen.pop(c), buckets).items():
-                yield pa.RecordBatch.from_pydict({"_lexloom_chunk": pa.array([c], pa.int32()), "_bucket": pa.array([k], pa.int32()), "_packet": pa.array([packed(v)], pa.binary())})
+                if c != now:
+                    yield from packets(now, seen)
+                    now, seen = c, set()
+                seen.update(find(_unsqueeze(z)))
+        yield from packets(now, seen)
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, bytes] = {}
@@ -259,7 +221,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, *, id_col: st
         old += [pa.ListArray.from_arrays(offsets, values), pa.array(sizes, pa.int64())]
         return pa.table([x.cast(f.type) if x.type != f.type else x for x, f in zip(old, target, strict=True)], names=names + ["ids", "n_tokens"])
 
-    ids = dealt.mapInArrow(words, PACKETS).repartition(buckets, "_bucket").mapInArrow(encoded, PACKETS)
+    ids = dealt.sortWithinPartitions("_lexloom_chunk").mapInArrow(words, PACKETS).repartition(buckets, "_bucket").mapInArrow(encoded, PACKETS)
     return dealt.groupBy("_lexloom_chunk").cogroup(ids.groupBy("_lexloom_chunk")).applyInArrow(placed, schema)
 
 
