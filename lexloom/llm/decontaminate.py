@@ -286,7 +286,8 @@ def find_leaks(docs: DataFrame, items: DataFrame, *, distance: float = DISTANCE,
     parts.append(against(block))
     found = reduce(DataFrame.unionByName, parts)
     best = F.min(F.struct("distance", "first_word", "last_word")).alias("m")
-    return found.groupBy(F.col("d").cast("long").alias("doc_id"), "item_id").agg(best).select("doc_id", "item_id", "m.*")
+    kind = docs.schema[column_of(docs, id_col)].dataType
+    return found.groupBy(F.col("d").cast(kind).alias("doc_id"), "item_id").agg(best).select("doc_id", "item_id", "m.*")
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

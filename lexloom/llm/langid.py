@@ -18,12 +18,12 @@ other columns pass through, and one named like an output column gives way to it.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -44,7 +44,7 @@ GRAMS = (1, 2, 3, 4)
 #: Labelled rows that the machines are fitted on, all languages together.
 SAMPLE_ROWS = 4000
 
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 #: ASCII bytes other than letters count as spaces.
 _FOLD = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
 

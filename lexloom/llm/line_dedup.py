@@ -16,6 +16,7 @@ through, and one named like an output column gives way to it.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -222,15 +223,16 @@ def _probe_by_shard(docs: DataFrame, arrays: DataFrame, shards: int, min_chars:
     total = docs.select(F.sum(F.length(F.coalesce(text, F.lit(""))) - F.length(F.replace(F.coalesce(text, F.lit("")), F.lit("\n"))) + 1)).first()[0] or 0
     each = total // shards
     salts = spark.sparkContext.broadcast({r["shard"]: 1 + (r["load"] + each) // PROBES for r in arrays.select("shard", "load").toLocalIterator()})
-    key = F.xxhash64(text)
+    # Two hashes of a text: where one coincides, the other doesn't.
+    key = F.unhex(F.concat(*[F.lpad(F.hex(h), 16, "0") for h in (F.xxhash64(text), F.xxhash64(F.lit(1), text))]))
 
     def lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for k, t in zip(b["_k"], b["_t"], strict=True):
                 _, at, h = _hits(t, min_chars)
                 shard = shard_of(np.ascontiguousarray(h[:, 0]), shards)
-                salt = [(k + int(i)) % salts.value.get(int(s), 1) for s, i in zip(shard, at, strict=True)]
-                yield pd.DataFrame({"shard": shard, "salt": np.array(salt, dtype=np.int32), "_k": np.full(len(at), k), "line": at, "h1": h[:, 0], "h2": h[:, 1]})
+                salt = [(zlib.crc32(k) + int(i)) % salts.value.get(int(s), 1) for s, i in zip(shard, at, strict=True)]
+                yield pd.DataFrame({"shard": shard, "salt": np.array(salt, dtype=np.int32), "_k": [k] * len(at), "line": at, "h1": h[:, 0], "h2": h[:, 1]})
 
     def copies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -239,13 +241,13 @@ def _probe_by_shard(docs: DataFrame, arrays: DataFrame, shards: int, min_chars:
 
     def look(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
-            return pd.DataFrame({"_k": pd.Series(dtype="int64"), "line": pd.Series(dtype="int64")})
+            return pd.DataFrame({"_k": pd.Series(dtype="object"), "line": pd.Series(dtype="int64")})
         n = Shard(*b.iloc[0][["seeds", "prints", "counts", "extra"]]).probe(a[["h1", "h2"]].to_numpy())
         return a.loc[n > 0, ["_k", "line"]]
 
-    probes = docs.select(key.alias("_k"), text.alias("_t")).dropDuplicates(["_k"]).mapInPandas(lines, "shard int, salt int, _k long, line long, h1 long, h2 long")
+    probes = docs.select(key.alias("_k"), text.alias("_t")).dropDuplicates(["_k"]).mapInPandas(lines, "shard int, salt int, _k binary, line long, h1 long, h2 long")
     tables = arrays.mapInPandas(copies, "shard int, salt int, seeds binary, prints binary, counts binary, extra binary")
-    hit = probes.groupBy("shard", "salt").cogroup(tables.groupBy("shard", "salt")).applyInPandas(look, "_k long, line long")
+    hit = probes.groupBy("shard", "salt").cogroup(tables.groupBy("shard", "salt")).applyInPandas(look, "_k binary, line long")
     drops = hit.groupBy("_k").agg(F.collect_list("line").alias("_lexloom_drop"))
     joined = docs.withColumn("_lexloom_k", key).join(drops.withColumnRenamed("_k", "_lexloom_k"), "_lexloom_k", "left").drop("_lexloom_k")
 

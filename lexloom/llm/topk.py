@@ -133,7 +133,7 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, *, k: int = K, id_col: s
         x = F.col(vec_col)
         fit = x.isNotNull() & F.col(id_col).isNotNull() & F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e.cast("double")) & (F.abs(e.cast("double")) < float("inf")))
         v = F.transform(x, lambda e: F.floor(e.cast("double") * scale).cast("long"))
-        return df.where(fit & (F.size(x) > 0)).select(F.col(id_col).cast("long").alias("id"), v.alias("v"), F.size(x).alias("dim"))
+        return df.where(fit).select(F.col(id_col).cast("long").alias("id"), v.alias("v"), F.size(x).alias("dim"))
 
     rows, asked = whole(vectors), whole(queries)
     n_rows = max(1, -(-rows.count() // block_rows))
