@@ -6,18 +6,24 @@
    The number of bands follows from the similarity: a linked pair shares no bucket with
    a probability of at most MISS.
 3. In each bucket every class is a candidate of the smallest one (a star, not all
-   pairs). The signature comes first, then the full sets decide.
+   pairs). Four bits of each minimum (the sketch) come first, then the full sets decide.
 4. Links give components by alternating large-star and small-star.
 5. A bucket whose classes are still in several components is searched in full: each
    class outside the bucket's largest component against all others of the bucket in
-   other components, in blocks of bounded size, by a finer sketch and then the sets;
-   sets too large to travel are compared from their texts. Pairs within a component can't change
-   it, so nothing that could is left out.
+   other components, in cells (block of members, block of outsiders) of bounded size, each
+   pair in the first bucket that it shares. Sketches tell which classes of a cell need
+   their full sets; with these the cell decides and returns the links that join
+   components, so no more rows than it has. Pairs within a component can't change it, so
+   nothing that could is left out.
+
+Full sets are made for classes that a candidate pair names, and travel to cells once,
+whatever the number of their pairs there; a head of many pairs is dealt to several cells.
 
 Defined cases: texts without words (null and empty ones too) have an empty set and link
 with nothing; rows that share an id are one document for linking; rows without an id
-link with nothing, have no component and are kept; repeated rows get the same result
-each; an empty table gives an empty result; other columns play no part.
+link with nothing, have no component and are kept; ids may have any type with an order;
+repeated rows get the same result each; an empty table gives an empty result; other
+columns play no part.
 """
 
 from __future__ import annotations
@@ -31,19 +37,19 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm._common import as_bytes, column_of, documents, mix64, small_batches, written
+from lexloom.llm._common import add_columns, as_bytes, column_of, documents, forget, mix64, small_batches, spread_join, written
 from lexloom.llm.components import components
 
 SHINGLE, PERCENT = 5, 80
 MISS = 1e-6
 #: Classes of a bucket that one task compares with as many others.
 BLOCK = 1024
+#: Rows of small cells that are handed to a task at a time.
+PACK = 4096
+#: Shingles of all sets that a cell of pairs aims at.
+WEIGHT = 1 << 20
 #: Shingles that are hashed at a time.
 CHUNK = 1 << 15
-#: Bins of the sketch that classes of one bucket are compared by.
-BINS = 512
-#: Sets of so many shingles at most travel whole, others as sketches.
-WHOLE = 256
 
 
 class WordHash(dict):
@@ -84,46 +90,29 @@ def banding(percent: int) -> tuple[int, int]:
     return math.ceil(math.log(MISS) / math.log(1 - s**rows)), rows
 
 
-def least_equal(percent: int, n: int) -> int:
-    """Equal minima that a linked pair has but for a chance of 3 in ten millions."""
-    s = percent / 100
-    return max(1, math.floor(n * s - 5 * math.sqrt(n * s * (1 - s))))
-
+def most_apart(percent: int, n: int) -> int:
+    """How many of n minima differ in four bits at most in a linked pair, but for a chance
+    of MISS: the quantile of a binomial distribution."""
+    p, total, k = (1 - percent / 100) * 15 / 16, 0.0, -1
+    while total < 1 - MISS and k < n:
+        k += 1
+        total += math.comb(n, k) * p**k * (1 - p) ** (n - k)
+    return k
 
-_EDGES = (np.arange(BINS, dtype=np.uint64) << np.uint64(32 - BINS.bit_length() + 1)).astype(np.uint32)
 
+_ONES = np.uint64(0x1111111111111111)
 
-def short(shingle_set: np.ndarray) -> np.ndarray:
-    """The upper 32 bits of a set's hashes, in order."""
-    return (shingle_set >> np.uint64(32)).astype(np.uint32)
 
-
-def sketch(hashes: np.ndarray) -> np.ndarray:
-    """A byte for each range of hashes (sorted, 32 bits): of its smallest one, 0 if it has
-    none. The bins that agree, among those that either set fills, estimate the similarity;
-    small sets fill a bin with each shingle, so their estimate is close to exact."""
-    at = np.searchsorted(hashes, _EDGES)
-    full = at < np.append(at[1:], len(hashes))
-    out = np.zeros(BINS, dtype=np.uint8)
-    out[full] = (hashes[at[full]] % np.uint32(8_388_593) % np.uint32(255) + np.uint32(1)).astype(np.uint8)
-    return out
+def apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Number of unequal minima of sketches (rows of 64-bit words)."""
+    x = a ^ b
+    x |= x >> np.uint64(2)
+    x |= x >> np.uint64(1)
+    return np.bitwise_count(x & _ONES).sum(axis=-1)
 
 
-def similar_sketches(a: np.ndarray, n: np.ndarray, others: np.ndarray, bits: np.ndarray, full: np.ndarray, i: int, percent: int) -> np.ndarray:
-    """Those of others (row numbers of a; n: set sizes) whose sketch allows the similarity
-    to row i but for a chance of 3 in ten millions. Sizes come first, then one bit of each
-    bin. The bins are a sample of the union without replacement, which the deviation of
-    the estimate follows."""
-    s = percent / 100
-    others = others[(100 * n[others] >= percent * n[i]) & (100 * n[i] >= percent * n[others])]
-    filled = np.bitwise_count(full[others] | full[i]).sum(axis=1)
-    union = (n[others] + n[i]) / (1 + s)
-    var = filled * s * (1 - s) * np.clip((union - filled) / np.maximum(union - 1, 1), 0, 1)
-    apart = np.bitwise_count(bits[others] ^ bits[i]).sum(axis=1)
-    keep = apart <= filled * (1 - s) / 2 + 1 + 5 * np.sqrt(filled * (1 - s) / 4 + var / 4)
-    others, filled, var = others[keep], filled[keep], var[keep]
-    same = ((a[others] == a[i]) & (a[i] > 0)).sum(axis=1)
-    return others[same >= s * filled - 1 - 5 * np.sqrt(var)]
+def as_words(sketches) -> np.ndarray:
+    return np.frombuffer(b"".join(sketches), dtype=np.uint64).reshape(len(sketches), -1)
 
 
 class MinHash:
@@ -162,92 +151,112 @@ class MinHash:
             h = mix64(h * _POWERS[1] + m[:, :, j] + np.uint64(1))
         return h.view(np.int64)
 
+    def sketches(self, minima: np.ndarray) -> np.ndarray:
+        """Four bits of each minimum, two in a byte, filled up to whole words of 64 bits."""
+        low = (minima & np.uint32(15)).astype(np.uint8)
+        low = np.pad(low, ((0, 0), (0, -low.shape[1] % 16)))
+        return low[:, ::2] << 4 | low[:, 1::2]
 
-def signatures(docs: DataFrame, percent: int, size: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, n, s1, s2, keys, sig): set size, name of the set, buckets, signature."""
-    bands, rows = banding(percent)
-
-    def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hasher, cache = MinHash(bands, rows), WordHash()
-        for b in batches:
-            sets = [shingles(t, cache, size) for t in b["t"]]
-            n = np.array([len(s) for s in sets], dtype=np.int64)
-            full = [s for s in sets if len(s)]
-            keys: list = [None] * len(sets)
-            sigs: list = [None] * len(sets)
-            names = np.zeros((len(sets), 2), dtype=np.int64)
-            if full:
-                m = hasher.minima(full)
-                for i, k, s in zip(np.flatnonzero(n), hasher.keys(m), (m & np.uint32(0xFFFF)).astype(np.uint16), strict=True):
-                    keys[i], sigs[i] = k, s.tobytes()
-                    names[i] = np.frombuffer(xxhash.xxh3_128_digest(sets[i].tobytes()), dtype="<i8")
-            yield pd.DataFrame({"id": b["id"].array, "n": n, "s1": names[:, 0], "s2": names[:, 1], "keys": keys, "sig": sigs})
-
-    small_batches(docs.sparkSession)
-    src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
-    return src.withColumn("id", F.col("id").cast("string")).mapInPandas(sign, "id string, n long, s1 long, s2 long, keys array<long>, sig binary").withColumn("id", F.col("id").cast("long"))
-
-
-def _verified(pairs: DataFrame, docs: DataFrame, percent: int, size: int, id_col: str, text_col: str) -> DataFrame:
-    """Pairs (u, v) whose full sets are similar enough. Only texts that a pair names are
-    shuffled."""
-    ids = pairs.select(F.col("u").alias("id")).unionByName(pairs.select(F.col("v").alias("id"))).distinct()
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).join(ids, "id", "left_semi")
-    a = texts.select(F.col("id").alias("u"), F.col("t").alias("a"))
-    b = texts.select(F.col("id").alias("v"), F.col("t").alias("b"))
-
-    def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cache, sets = WordHash(), {}
-
-        def of(i: int, text: str) -> np.ndarray:
-            s = sets.get((i, text))
-            if s is None:
-                if len(sets) >= 64:
-                    sets.clear()
-                s = sets[i, text] = shingles(text, cache, size)
-            return s
 
-        for p in batches:
-            ok = []
-            for u, v, x, y in zip(p["u"], p["v"], p["a"], p["b"], strict=True):
-                p1, p2 = of(v, y), of(u, x)
-                both = len(np.intersect1d(p1, p2, assume_unique=True))
-                ok.append(both > 0 and 100 * both >= percent * (len(p1) + len(p2) - both))
-            yield p.loc[ok, ["u", "v"]]
-
-    return pairs.join(a, "u").join(b, "v").select("u", "v", "a", "b").mapInPandas(check, "u long, v long")
+def signatures(docs: DataFrame, percent: int, size: int) -> DataFrame:
+    """docs (id, t) as (id, n, s1, s2, keys, sketch): set size, name of the set, buckets."""
+    bands, rows = banding(percent)
+    cache, hasher = WordHash(), MinHash(bands, rows)
+
+    def sign(texts: list) -> list[list]:
+        sets = [shingles(t, cache, size) for t in texts]
+        full = [s for s in sets if len(s)]
+        keys: list = [None] * len(sets)
+        sketches: list = [None] * len(sets)
+        names = np.zeros((len(sets), 2), dtype=np.int64)
+        if full:
+            m = hasher.minima(full)
+            for i, k, s in zip(np.flatnonzero([len(s) for s in sets]), hasher.keys(m), hasher.sketches(m), strict=True):
+                keys[i], sketches[i] = k, s.tobytes()
+                names[i] = np.frombuffer(xxhash.xxh3_128_digest(sets[i].tobytes()), dtype="<i8")
+        return [[len(s) for s in sets], names[:, 0], names[:, 1], keys, sketches]
+
+    return add_columns(docs, ["t"], sign, {"n": "long", "s1": "long", "s2": "long", "keys": "array<long>", "sketch": "binary"}, without=("t",))
+
+
+def _sets(docs: DataFrame, named: DataFrame, size: int) -> DataFrame:
+    """(id, form): full sets of the ids that are named. Texts are joined by sorting whatever
+    the number of ids, which grows with the corpus, so that small tables show what large
+    ones cost."""
+    cache = WordHash()
+    texts = docs.join(named.select("id").distinct().hint("merge"), "id", "left_semi")
+    return written(add_columns(texts, ["t"], lambda ts: [[shingles(t, cache, size).tobytes() for t in ts]], {"form": "binary"}, without=("t",)), "sets")
+
+
+def linked(a: np.ndarray, others: list[np.ndarray], percent: int) -> np.ndarray:
+    """Which of the other sets are similar enough to a."""
+    sizes = np.array([len(x) for x in others])
+    if not len(a) or not sizes.all():
+        return np.array([bool(len(a)) and len(x) > 0 and bool(linked(a, [x], percent)[0]) for x in others]) if len(others) > 1 else np.zeros(1, dtype=bool)
+    flat = np.concatenate(others)
+    hit = a[np.minimum(np.searchsorted(a, flat), len(a) - 1)] == flat
+    both = np.add.reduceat(hit, np.cumsum(sizes) - sizes, dtype=np.int64)
+    return 100 * both >= percent * (len(a) + sizes - both)
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, percent: int, size: int) -> DataFrame:
+    """(u, v): pairs (cell, u, v) whose full sets are similar enough, but for those whose
+    ends others of the same cell join already."""
+    named = pairs.select("cell", F.col("u").alias("id")).unionByName(pairs.select("cell", F.col("v").alias("id"))).distinct()
+    sets = _sets(docs, named, size)
+
+    def check(p: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
+        own: dict = {}
+        for i, form in zip(s["id"], s["form"], strict=True):
+            own.setdefault(i, []).append(np.frombuffer(form, dtype=np.uint64))
+        top = {i: i for i in own}
+
+        def root(i):
+            while top[i] != i:
+                top[i] = i = top[top[i]]
+            return i
+
+        out = []
+        for u, v in zip(p["u"], p["v"], strict=True):
+            a, b = root(u), root(v)
+            if a != b and any(linked(x, [y], percent)[0] for x in own[u] for y in own[v]):
+                top[a] = b
+                out.append((u, v))
+        return pd.DataFrame(out, columns=["u", "v"]) if out else p[["u", "v"]].iloc[:0]
+
+    kind = docs.schema["id"].dataType.simpleString()
+    placed = named.join(sets, "id").select(F.col("cell").alias("at"), "id", "form")
+    links = pairs.groupBy("cell").cogroup(placed.groupBy("at")).applyInPandas(check, f"u {kind}, v {kind}")
+    out = written(links, "links")
+    forget(sets)
+    return out
 
 
 def near_groups(docs: DataFrame, *, percent: int = PERCENT, size: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id, kept): one row for each row of docs; component_id
     is the smallest id that links lead to, kept tells whether it is the row's own."""
-    id_col, text_col = column_of(docs, id_col), column_of(docs, text_col)
+    docs = docs.select(F.col(column_of(docs, id_col)).alias("id"), F.col(column_of(docs, text_col)).alias("t"))
+    small_batches(docs.sparkSession)
     bands, rows = banding(percent)
-    least = least_equal(percent, bands * rows)
-    signed = written(signatures(docs, percent, size, id_col, text_col), "signatures")
+    most = most_apart(percent, bands * rows)
+    signed = written(signatures(docs, percent, size), "signatures")
     named = signed.where("n > 0 AND id IS NOT NULL")
-    classes = written(named.groupBy("s1", "s2").agg(F.min("id").alias("rep"), F.first("sig").alias("sig"), F.first("keys").alias("keys")), "classes")
-    nodes = classes.select("rep", "sig", "keys")
-    buckets = nodes.select("rep", F.explode("keys").alias("key"))
-    heads = buckets.groupBy("key").agg(F.min("rep").alias("v"), F.max("rep").alias("w")).where("v <> w").select("key", "v")
-    star = buckets.join(heads, "key").where("rep <> v").select(F.col("rep").alias("u"), "v").distinct()
-
-    def sig(name: str) -> DataFrame:
-        return nodes.select(F.col("rep").alias(name), F.col("sig").alias("s" + name))
-
-    alike = _alike(star.join(sig("u"), "u").join(sig("v"), "v"), least)
-    links = written(_verified(written(alike, "pairs"), docs, percent, size, id_col, text_col), "links")
+    classes = written(named.groupBy("s1", "s2").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("keys").alias("keys")), "classes")
+    nodes = classes.select("rep", "n", "sketch", "keys")
+    buckets = classes.select("rep", F.explode("keys").alias("key"))
+    heads = buckets.groupBy("key").agg(F.min("rep").alias("v"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    # Classes in buckets with others, each with its bucket's smallest.
+    shared = written(spread_join(buckets, heads, "key", classes.count() * bands), "buckets")
+    star = _star_pairs(shared, nodes, percent, most)
+    links = _verified(star, docs, percent, size)
     # Rows of one id whose texts differ: their classes are one node's.
     several = named.groupBy("id").agg(F.min("s1").alias("p"), F.max("s1").alias("q")).where("p <> q").select("id")
-    shared = named.join(several, "id", "left_semi").join(classes.select("s1", "s2", "rep"), ["s1", "s2"]).where("id <> rep")
-    links = links.unionByName(shared.select(F.col("id").alias("u"), F.col("rep").alias("v")))
+    same = named.join(several, "id", "left_semi").join(classes.select("s1", "s2", "rep"), ["s1", "s2"]).where("id <> rep")
+    links = links.unionByName(same.select(F.col("id").alias("u"), F.col("rep").alias("v")))
     first = written(components(links), "components")
-    rest = written(_search_rest(nodes, first, docs, percent, size, id_col, text_col), "pairs")
-    more = written(_verified(rest.where("NOT sure").select("u", "v"), docs, percent, size, id_col, text_col).unionByName(rest.where("sure").select("u", "v")), "links")
-    if more.isEmpty():
-        comp = first
-    else:
-        comp = written(components(links.unionByName(more)), "components")
+    more = _rest_links(shared, nodes, first, docs, percent, size, most)
+    forget(shared)
+    comp = first if more.isEmpty() else written(components(links.unionByName(more)), "components")
     to = comp.select(F.col("id").alias("rep"), F.col("component").alias("c"))
     out = signed.select("id", "n", "s1", "s2").join(classes.select("s1", "s2", "rep"), ["s1", "s2"], "left").join(to, "rep", "left")
     own_comp = F.when(F.col("n") > 0, F.coalesce("c", "rep", "id")).otherwise(F.col("id"))
@@ -255,80 +264,103 @@ def near_groups(docs: DataFrame, *, percent: int = PERCENT, size: int = SHINGLE,
     return out.withColumn("kept", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)))
 
 
-def _alike(pairs: DataFrame, least: int) -> DataFrame:
-    def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            if len(b):
-                x, y = (np.frombuffer(b"".join(b[c]), dtype=np.uint16).reshape(len(b), -1) for c in ("su", "sv"))
-                yield b.loc[(x == y).sum(axis=1) >= least, ["u", "v"]]
-
-    return pairs.select("u", "v", "su", "sv").mapInPandas(check, "u long, v long")
+def _cell(weight: int, *parts: str):
+    """Number of a cell: natural ones (by parts) are packed, as their weights add up."""
+    return F.pmod(F.xxhash64(*parts), F.lit(max(1, -(-weight // WEIGHT))))
 
 
-def _sets(docs: DataFrame, reps: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
-    """(rep, n, form): size of the sets of some classes, and the set itself in 32-bit
-    hashes, or its sketch if it is large."""
+def _star_pairs(shared: DataFrame, nodes: DataFrame, percent: int, most: int) -> DataFrame:
+    """(cell, u, v): classes and smallest ones of their buckets with like sketches."""
+    star = shared.where("rep <> v").select(F.col("rep").alias("u"), "v").distinct()
+    kind = shared.schema["rep"].dataType.simpleString()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cache = WordHash()
+    def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            sets = [shingles(t, cache, size) for t in b["t"]]
-            if sets:
-                yield pd.DataFrame({"rep": b["rep"], "n": [len(s) for s in sets], "form": [(short(s) if len(s) <= WHOLE else sketch(short(s))).tobytes() for s in sets]})
-
-    texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("t")).join(reps, "rep", "left_semi")
-    return texts.mapInPandas(run, "rep long, n long, form binary").where("n > 0")
-
-
-def _search_rest(nodes: DataFrame, comp: DataFrame, docs: DataFrame, percent: int, size: int, id_col: str, text_col: str) -> DataFrame:
-    """(u, v, sure): links across components that share a bucket. A bucket is dealt to
-    cells (block of members, block of outsiders), each of bounded size. Pairs that pass the
-    sketch are decided by their sets in the cell, which returns the links that join
-    components, so no more links than rows; pairs with a large set, and near misses, are
-    left to be decided by their texts."""
-    placed = nodes.join(comp.select(F.col("id").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    rows = placed.select("rep", "component", F.explode("keys").alias("key"))
-    sizes = rows.groupBy("key", "component").agg(F.count(F.lit(1)).alias("k"))
-    split = sizes.groupBy("key").agg(F.max_by("component", "k").alias("main"), F.sum("k").alias("m"), F.max("k").alias("most"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-    plan = split.select("key", "main", F.ceil(F.col("m") / BLOCK).cast("int").alias("mb"), F.ceil((F.col("m") - F.col("most")) / BLOCK).cast("int").alias("ob"))
-    left = written(rows.join(plan, "key"), "rest")
-    wide = written(left.join(_sets(docs, left.select("rep").distinct(), size, id_col, text_col), "rep"), "rest-sets")
+            if len(b):
+                yield b.loc[apart(as_words(b["su"]), as_words(b["sv"])) <= most, ["u", "v", "nu"]]
+
+    for c in "uv":
+        star = star.join(nodes.select(F.col("rep").alias(c), F.col("n").alias("n" + c), F.col("sketch").alias("s" + c)), c)
+    fits = star.where((100 * F.least("nu", "nv") >= percent * F.greatest("nu", "nv")))
+    pairs = written(fits.select("u", "v", "nu", "su", "sv").mapInPandas(check, f"u {kind}, v {kind}, nu long"), "pairs")
+    weight = pairs.agg(F.sum("nu")).first()[0] or 0
+    # A head of many pairs is dealt to several cells; there are few such heads.
+    heavy = pairs.groupBy("v").agg(F.ceil(F.sum("nu") / max(WEIGHT, weight >> 16)).alias("parts")).where("parts > 1")
+    dealt = pairs.join(F.broadcast(heavy), "v", "left").withColumn("part", F.pmod(F.xxhash64("u"), F.coalesce("parts", F.lit(1))))
+    return dealt.select(_cell(weight, "v", "part").alias("cell"), "u", "v")
+
+
+def _met(b: pd.DataFrame, group: np.ndarray, percent: int, most: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Of a cell's rows each outsider, with the members that it may be linked with: in
+    another component (group, which may change meanwhile), of like size and sketch, and
+    first met in this bucket. Two outsiders meet once, at the larger id."""
+    n, rep, words, keys = b["n"].to_numpy(), b["rep"].to_numpy(), as_words(b["sketch"]), np.stack(b["keys"].to_list())
+    out, away, band = b["out"].to_numpy(bool), b["away"].to_numpy(bool), b["band"].iloc[0]
+    members = np.flatnonzero(~out)
+    for o in np.flatnonzero(out):
+        own = members[(100 * n[members] >= percent * n[o]) & (100 * n[o] >= percent * n[members])]
+        own = own[(group[own] != group[o]) & (~away[own] | (rep[own] < rep[o]))]
+        own = own[apart(words[own], words[o]) <= most]
+        yield o, own[(keys[own] == keys[o]).argmax(axis=1) == band]
+
+
+def _rest_links(shared: DataFrame, nodes: DataFrame, comp: DataFrame, docs: DataFrame, percent: int, size: int, most: int) -> DataFrame:
+    """(u, v): links between components within buckets, at least as many as join them."""
+    kind = shared.schema["rep"].dataType.simpleString()
+    rows = shared.select("key", "rep").join(comp.select(F.col("id").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    rows = rows.join(nodes.select("rep", "n"), "rep")
+    sizes = rows.groupBy("key", "component").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("w"))
+    split = sizes.groupBy("key").agg(F.max_by("component", F.struct("k", "component")).alias("main"), F.sum("k").alias("n"), F.sum("w").alias("w"), F.max("k").alias("most"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    blocks = lambda rows, weight: F.greatest(F.ceil(rows / BLOCK), F.ceil(weight / WEIGHT)).cast("int")
+    plan = split.select("key", "main", "n", blocks(F.col("n"), F.col("w")).alias("mb"), blocks(F.col("n") - F.col("most"), F.col("w") * (F.col("n") - F.col("most")) / F.col("n")).alias("ob"))
+    left = spread_join(rows.select("key", "rep", "component"), plan, "key", shared.count())
+    left = written(left.withColumn("away", F.col("component") != F.col("main")).drop("main").join(nodes, "rep").withColumn("band", (F.array_position("keys", F.col("key")) - 1).cast("int")), "rest")
 
     def block(n: str):
         return F.pmod(F.hash("rep"), F.col(n)).cast("int")
 
-    own = ["rep", "component", "n", "form"]
-    member = wide.select("key", block("mb").alias("i"), F.explode(F.sequence(F.lit(0), F.col("ob") - 1)).alias("j"), *own, F.lit(False).alias("out"))
-    outside = wide.where("component <> main").select("key", F.explode(F.sequence(F.lit(0), F.col("mb") - 1)).alias("i"), block("ob").alias("j"), *own, F.lit(True).alias("out"))
+    own = ["rep", "component", "n", "sketch", "keys", "band", "away"]
+    member = left.select("key", block("mb").alias("i"), F.explode(F.sequence(F.lit(0), F.col("ob") - 1)).alias("j"), *own, F.lit(False).alias("out"))
+    outside = left.where("away").select("key", F.explode(F.sequence(F.lit(0), F.col("mb") - 1)).alias("i"), block("ob").alias("j"), *own, F.lit(True).alias("out"))
+
+    # Small cells are packed: each task call takes several.
+    packs = max(1, -(-2 * left.count() // PACK))
+
+    def each(b: pd.DataFrame, f) -> pd.DataFrame:
+        out = pd.concat([f(x.reset_index(drop=True)) for _, x in b.groupby(["key", "i", "j"], sort=False)])
+        # Columns of strings must leave as they come: one array each.
+        return out.astype({c: object for c in ("rep", "component", "u", "v") if c in out and out[c].dtype.kind not in "iuO"})
 
-    def compare(b: pd.DataFrame) -> pd.DataFrame:
-        n, rep = b["n"].to_numpy(), b["rep"].to_numpy()
-        whole = [np.frombuffer(x, dtype=np.uint32) if k <= WHOLE else None for x, k in zip(b["form"], n, strict=True)]
-        a = np.stack([sketch(w) if w is not None else np.frombuffer(x, dtype=np.uint8) for x, w in zip(b["form"], whole, strict=True)])
-        bits, full = (np.packbits(x, axis=1).view(np.uint64) for x in (a & 1, a > 0))
-        # Components by number; joined ones are renamed in place.
+    def needed(b: pd.DataFrame) -> pd.DataFrame:
         group = np.unique(b["component"].to_numpy(), return_inverse=True)[1]
-        members, links = np.flatnonzero(~b["out"].to_numpy(bool)), []
-        for o in np.flatnonzero(b["out"].to_numpy(bool)):
-            others = members[group[members] != group[o]]
-            for m in similar_sketches(a, n, others, bits, full, o, percent):
-                if group[m] == group[o]:
-                    continue
-                sure = False
-                if whole[m] is not None and whole[o] is not None:
-                    both = len(np.intersect1d(whole[m], whole[o]))
-                    # 32 bits may count one shingle too many or too few: such near misses
-                    # are left to the texts.
-                    passes = lambda k: 100 * k >= percent * (n[m] + n[o] - k)  # noqa: B023, E731
-                    if not passes(both + 1):
-                        continue
-                    sure = bool(passes(both - 1))
-                if sure:
-                    group[group == group[o]] = group[m]
-                links.append((max(rep[m], rep[o]), min(rep[m], rep[o]), sure))
-        return pd.DataFrame(links, columns=["u", "v", "sure"]).astype({"u": "int64", "v": "int64", "sure": "bool"})
-
-    return member.unionByName(outside).groupBy("key", "i", "j").applyInPandas(compare, "u long, v long, sure boolean").where("u <> v").distinct()
+        use = np.zeros(len(b), dtype=bool)
+        for o, others in _met(b, group, percent, most):
+            if len(others):
+                use[o] = use[others] = True
+        return b[use]
+
+    def decide(b: pd.DataFrame) -> pd.DataFrame:
+        group = np.unique(b["component"].to_numpy(), return_inverse=True)[1]
+        rep, sets, links = b["rep"].to_numpy(), [np.frombuffer(x, dtype=np.uint64) for x in b["form"]], []
+        for o, others in _met(b, group, percent, most):
+            # A few at a time: what joins spares the rest of that component.
+            for at in range(0, len(others), 32):
+                few = others[at : at + 32]
+                few = few[group[few] != group[o]]
+                for m in few[linked(sets[o], [sets[m] for m in few], percent)] if len(few) else few:
+                    if group[m] != group[o]:
+                        group[group == group[o]] = group[m]
+                        links.append((rep[o], rep[m]))
+        return pd.DataFrame(links, columns=["u", "v"]) if links else pd.DataFrame({"u": rep[:0], "v": rep[:0]})
+
+    columns = f"key long, i int, j int, rep {kind}, component {kind}, n long, sketch binary, keys array<long>, band int, away boolean, out boolean"
+    pack = F.pmod(F.xxhash64("key", "i", "j"), F.lit(packs))
+    used = written(member.unionByName(outside).groupBy(pack).applyInPandas(lambda b: each(b, needed), columns), "cells")
+    sets = _sets(docs, used.select(F.col("rep").alias("id")), size)
+    links = used.join(sets.withColumnRenamed("id", "rep"), "rep").groupBy(pack).applyInPandas(lambda b: each(b, decide), f"u {kind}, v {kind}")
+    out = written(links, "links")
+    forget(left, used, sets)
+    return out
 
 
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
