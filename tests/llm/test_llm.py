@@ -1,6 +1,7 @@
 """The corpus operators against brute force, and their defined cases."""
 
 import hashlib
+import math
 import random
 import re
 from collections import Counter, defaultdict
@@ -10,6 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lexloom.llm import _common as common
 from lexloom.llm import bpe, components, decontaminate, langid, licenses, line_dedup, near_dedup, pii, quality, suffix_dedup, topk
 
 SCHEMA = "doc_id LONG, text STRING, lang STRING, source STRING, n_chars LONG, ids STRING, score STRING, matches STRING, n_lines STRING, _key STRING, _text STRING"
@@ -66,6 +68,23 @@ def test_substring_cases(spark):
     assert suffix_dedup.cut_repeats(empty(spark)).count() == 0
 
 
+def test_substring_output_replaces_columns_of_its_name(spark):
+    t = words(6, 80)
+    docs = spark.createDataFrame([(1, t, "a", "b"), (2, "x" + t, "c", "d")], "doc_id LONG, text STRING, Removed STRING, n_bytes STRING")
+    got = suffix_dedup.cut_repeats(docs)
+    assert sorted(got.columns) == ["doc_id", "kept", "n_bytes", "removed", "text"]
+    assert [(len(r.removed), bytes(r.kept)) for r in sorted(got.collect(), key=lambda r: r.doc_id)] == [(1, b""), (1, b"x")]
+
+
+def test_hot_block_is_dealt_to_several_tasks(spark, monkeypatch):
+    monkeypatch.setattr(common, "KEY_ROWS", 4)
+    shared = words(1, 45)
+    texts = [words(k, 20) + " " + shared + " " + words(k + 50, 20) for k in range(20)]
+    for group in (1 << 15, 5):
+        got = suffix_dedup.cut_repeats(frame(spark, texts), group=group).collect()
+        assert [bytes(r.kept) for r in sorted(got, key=lambda r: r.doc_id)] == brute_repeats(texts, 200)
+
+
 def test_repeated_rows_lose_what_they_share(spark):
     t = words(5, 100)
     rows = suffix_dedup.cut_repeats(spark.createDataFrame([(1, t), (1, t)], "doc_id LONG, text STRING")).collect()
@@ -110,6 +129,16 @@ def test_bpe_equals_tiktoken_and_round_trips(spark):
     assert bpe.decode(bpe.encode(empty(spark), ranks, P.PATTERN), ranks).count() == 0
 
 
+def merges(word, ranks):
+    """The adjacent pair of lowest rank is merged, leftmost first, until none is left."""
+    parts = [word[i : i + 1] for i in range(len(word))]
+    while True:
+        best = min(((ranks[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)) if a + b in ranks), default=None)
+        if best is None:
+            return [ranks[p] for p in parts]
+        parts[best[1] : best[1] + 2] = [parts[best[1]] + parts[best[1] + 1]]
+
+
 def test_word_encoder_equals_own_merges():
     import public_tokenizers as P
 
@@ -117,7 +146,7 @@ def test_word_encoder_equals_own_merges():
     one, r = bpe.word_encoder(ranks, 1), random.Random(2)
     for n in [*range(1, 40), 150, 400]:
         w = "".join(r.choice("abcdeéß日 \n") for _ in range(n)).encode()
-        assert np.frombuffer(one(w), np.int32).tolist() == bpe.encode_word(w, ranks)
+        assert np.frombuffer(one(w), np.int32).tolist() == merges(w, ranks)
 
 
 # ---- 4 -----------------------------------------------------------------------------
@@ -126,7 +155,7 @@ def test_word_encoder_equals_own_merges():
 def test_top_k_matches_brute_force(spark):
     rng = np.random.default_rng(1)
     v = [(i, rng.normal(size=7).round(1).tolist()) for i in range(90)]
-    v += [(90, None), (91, [1.0, None] + [0.0] * 5), (92, [float("nan")] * 7), (93, [float("inf")] * 7), (94, v[0][1]), (95, v[0][1]), (96, [0.0] * 7), (97, [-3.5] * 7), (98, [1.0]), (None, v[1][1])]
+    v += [(90, None), (91, [1.0, None] + [0.0] * 5), (92, [float("nan")] * 7), (93, [float("inf")] * 7), (94, v[0][1]), (95, v[0][1]), (96, [0.0] * 7), (97, [-3.5] * 7), (98, [1.0]), (None, v[1][1]), (100, []), (101, []), (102, [])]
     df = spark.createDataFrame(v, "vec_id LONG, embedding ARRAY<DOUBLE>")
     good = {i: np.floor(64 * np.array(x)).astype(int) for i, x in v if i is not None and x is not None and len(x) == 7 and all(y is not None and np.isfinite(y) for y in x)}
     got = topk.exact_top_k(df, df.where("vec_id % 10 = 0"), k=6, block_rows=16, block_queries=4).collect()
@@ -136,7 +165,11 @@ def test_top_k_matches_brute_force(spark):
     for q in [i for i in good if i % 10 == 0]:
         best = sorted(((int(good[q] @ x), i) for i, x in good.items() if i != q), key=lambda p: (-p[0], p[1]))[:6]
         assert sorted(have[q]) == [(k + 1, i, s) for k, (s, i) in enumerate(best)]
+    # Vectors without components meet each other, with a score of 0.
+    assert sorted(have[100]) == [(1, 101, 0), (2, 102, 0)]
     assert topk.exact_top_k(df.limit(0), df.limit(0)).count() == 0
+    clash = df.withColumns({"score": F.lit("x"), "rank": F.lit("y"), "query_id": F.lit("z"), "dim": F.lit(1), "rb": F.lit(2)})
+    assert topk.exact_top_k(clash, clash.where("vec_id = 0"), k=2).count() == 2
 
 
 # ---- 5 -----------------------------------------------------------------------------
@@ -167,6 +200,22 @@ def test_base_spans_match_brute_force(spark):
     assert pii.find_pii(empty(spark), pii.fit(empty(spark))).count() == 0
 
 
+def test_added_spans_reach_their_precision(spark):
+    r = random.Random(7)
+    digits = lambda n: "".join(r.choice("0123456789") for _ in range(n))
+    rows = []
+    for k in range(400):
+        rows.append(f"write to user{k} [at] host{k}.org today")
+        rows.append(f"order {digits(4)} {digits(4)} {digits(4)} {digits(4)} shipped")
+    docs = frame(spark, rows)
+    model = pii.fit(docs)
+    found = pii.find_pii(docs, model).collect()
+    assert all(len(x.pii_spans) == 1 and not x.pii_spans[0].base and x.text[x.pii_spans[0].s :].startswith("user") for x in found if x.doc_id % 2 == 0)
+    assert not any(not s.base for x in found if x.doc_id % 2 for s in x.pii_spans)
+    precision, recall, n = model.held["email"]
+    assert precision >= pii.PRECISION and recall == 1.0 and n > 50 and model.least[2] > 1
+
+
 def test_redaction(spark):
     docs = spark.createDataFrame([(1, "mail x@y.org or 10.0.0.1 é"), (2, None)], "doc_id LONG, text STRING")
     got = {r.doc_id: r.text for r in pii.redact(pii.find_pii(docs, pii.fit(docs))).collect()}
@@ -199,6 +248,9 @@ def brute_components(texts, percent):
 @pytest.mark.parametrize(("percent", "block"), [(80, 1024), (85, 4)])
 def test_near_groups_match_brute_force(spark, percent, block, monkeypatch):
     monkeypatch.setattr(near_dedup, "BLOCK", block)
+    if block == 4:
+        monkeypatch.setattr(near_dedup, "WEIGHT", 300)
+        monkeypatch.setattr(common, "KEY_ROWS", 4)
     r, texts = random.Random(6), []
     for g in range(8):
         base = words(g, 80, 5000).split()
@@ -219,10 +271,43 @@ def test_near_group_cases(spark):
     assert near_dedup.near_groups(empty(spark)).count() == 0
 
 
-def test_components_of_a_path(spark):
+def test_near_groups_take_any_id(spark):
+    t = words(1, 40)
+    rows = [("b", t), ("a", t + " end"), ("c", words(2, 40)), (None, t), ("a", "other words of the same id here"), ("d", "other words of the same id here")]
+    got = near_dedup.near_groups(spark.createDataFrame(rows, "doc_id STRING, text STRING")).collect()
+    assert sorted((r.id, r.component_id, r.kept) for r in got if r.id) == [("a", "a", True), ("a", "a", True), ("b", "a", False), ("c", "c", True), ("d", "a", False)]
+    assert [(r.component_id, r.kept) for r in got if r.id is None] == [(None, True)]
+    r, texts = random.Random(3), []
+    for g in range(3):
+        base = words(g, 60, 5000).split()
+        for _ in range(12):
+            w = list(base)
+            for _ in range(r.randrange(1, 4)):
+                w[r.randrange(len(w))] = "x%d" % r.randrange(9999)
+            texts.append(" ".join(w))
+    comp, _ = brute_components(texts, 80)
+    named = spark.createDataFrame([(f"d{i:03d}", t) for i, t in enumerate(texts)], "doc_id STRING, text STRING")
+    for docs, name in ((named, lambda i: f"d{i:03d}"), (named.withColumn("doc_id", F.encode("doc_id", "UTF-8")), lambda i: b"d%03d" % i)):
+        got = {r.id: r.component_id for r in near_dedup.near_groups(docs).collect()}
+        assert got == {name(i): name(c) for i, c in enumerate(comp)}
+
+
+def test_quantile_of_unequal_minima():
+    for percent, n in ((85, 120), (80, 108)):
+        p, k = (1 - percent / 100) * 15 / 16, near_dedup.most_apart(percent, n)
+        tail = sum(math.comb(n, j) * p**j * (1 - p) ** (n - j) for j in range(k + 1, n + 1))
+        assert tail <= 2 * near_dedup.MISS < sum(math.comb(n, j) * p**j * (1 - p) ** (n - j) for j in range(k - 1, n + 1))
+    a = np.array([[0x0123456789ABCDEF, 0]], dtype=np.uint64)
+    assert near_dedup.apart(a, a ^ np.array([[0x0F000000000000F8, 1]], dtype=np.uint64)).tolist() == [4]
+
+
+def test_components_of_a_path(spark, monkeypatch):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 99), (7, 7)], "u LONG, v LONG")
     got = {r.id: r.component for r in components.components(edges).collect()}
     assert all(got[i] == 0 for i in range(41)) and got[100] == got[99] == 99
+    monkeypatch.setattr(common, "KEY_ROWS", 3)
+    hub = spark.createDataFrame([(f"n{i:02d}", "m") for i in range(40)], "u STRING, v STRING")
+    assert {r.component for r in components.components(hub).collect()} == {"m"}
 
 
 # ---- 7 -----------------------------------------------------------------------------
@@ -312,6 +397,8 @@ def test_language_accuracy_and_cases(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     model = langid.fit(docs.where(langid.fold("doc_id") != 2))
     rows = langid.identify(docs.where(langid.fold("doc_id") == 2), model).collect()
+    marks = langid.identify(frame(spark, ["² ½ Ⅷ", "١٢٣", "ª", "ß"]), model).collect()
+    assert [r.lang_pred == "und" for r in sorted(marks, key=lambda r: r.doc_id)] == [True, True, False, False]
     assert sum(r.lang == r.lang_pred for r in rows) >= 0.9 * len(rows)
     got = langid.identify(odd(spark), model).collect()
     assert {r.lang_pred for r in got if r.text in (None, "", "\n\n", "123 !?")} == {"und"} and all(0 <= r.score <= 1 for r in got)
@@ -391,6 +478,19 @@ def test_pipeline_stages(spark):
     assert last.where("NOT round_trip").count() == 0 and last.count() == now.count()
 
 
+def test_pipeline_judges_rows_without_an_id(spark):
+    import corpus_pipeline as cp
+
+    sf = "/root/testdata/sf0.001"
+    item = spark.read.parquet(f"{sf}/benchmark.parquet").where("length(text) > 60").first().text
+    rows = [(None, words(8, 40) + " " + item), (None, words(3, 50)), (None, words(3, 50) + " end"), (7, words(4, 50)), (7, words(9, 40) + " " + item)]
+    docs = spark.createDataFrame(rows, "doc_id LONG, text STRING")
+    one = cp.keep_one_of_near_copies(spark, docs, sf)
+    assert one.count() == 4
+    left = cp.decontaminated(spark, docs, sf).collect()
+    assert sorted((r.doc_id is None, r.text) for r in left) == sorted((i is None, t) for i, t in rows[1:4])
+
+
 def test_pipeline_stages_take_odd_rows(spark):
     import corpus_pipeline as cp
 
