@@ -2,13 +2,14 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as
 Parquet and read again as the next stage's docs. All but the last return the columns of
-documents. Defined cases are those of the operators; rows without an id are kept by
-near-dedup, and repeated rows leave it as one row.
+documents. Defined cases are those of the operators. Stages that drop rows know a row by
+its id and its text, so rows without an id are judged like others, and rows that share an
+id each for itself; rows with the same id and text leave near-dedup as one.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexloom.llm import bpe, decontaminate, line_dedup, near_dedup, quality
@@ -18,6 +19,13 @@ from lexloom.llm._common import written
 ORACLE_SQL = None
 
 
+def _row(docs: DataFrame) -> Column:
+    """A row's id and text as 24 bytes in the order of ids of at least 0; others come last."""
+    own = F.coalesce(F.hex(F.col("doc_id").cast("long")), F.lit("F" * 16))
+    parts = [own, F.hex(F.xxhash64("text")), F.hex(F.xxhash64(F.lit(1), "text"))]
+    return F.unhex(F.concat(*[F.lpad(p, 16, "0") for p in parts]))
+
+
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts."""
     scored = quality.score_quality(docs, quality.fit(docs))
@@ -34,17 +42,19 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, of the smallest id, of each group of near copies."""
-    groups = near_dedup.near_groups(docs)
-    gone = groups.where("NOT kept").select(F.col("id").alias("doc_id")).distinct()
-    kept = docs.join(gone, "doc_id", "left_anti")
-    return kept.distinct().select(*docs.columns)
+    keyed = docs.withColumn("_lexloom_row", _row(docs))
+    groups = near_dedup.near_groups(keyed, id_col="_lexloom_row")
+    gone = groups.where("NOT kept").select(F.col("id").alias("_lexloom_row")).distinct()
+    kept = keyed.join(gone, "_lexloom_row", "left_anti")
+    return kept.groupBy("_lexloom_row").agg(F.min(F.struct(*docs.columns)).alias("d")).select("d.*")
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents into which no benchmark item leaks, and those without an id."""
+    """Documents into which no benchmark item leaks."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
-    leaks = decontaminate.find_leaks(docs, items).select("doc_id").where("doc_id IS NOT NULL").distinct()
-    return docs.join(leaks, "doc_id", "left_anti").select(*docs.columns)
+    keyed = docs.withColumn("_lexloom_row", F.hex(_row(docs)))
+    leaks = decontaminate.find_leaks(keyed, items, id_col="_lexloom_row").select(F.col("doc_id").alias("_lexloom_row")).distinct()
+    return keyed.join(leaks, "_lexloom_row", "left_anti").select(*docs.columns)
 
 
 def tokenized(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
