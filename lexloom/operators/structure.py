@@ -209,30 +209,6 @@ def provision_sequence(chunks: DataFrame) -> DataFrame:
 # ---- audit ------------------------------------------------------------------------
 
 
-def row_issues(chunks: DataFrame) -> DataFrame:
-    """(id, category, field): rules that a row breaks. A row without an id or document is
-    checked no further."""
-    c = F.col
-
-    def issue(cond: Column, category: str, field: str) -> Column:
-        return F.when(cond, F.struct(F.lit(category).alias("category"), F.lit(field).alias("field")))
-
-    gone = lambda x: F.trim(F.coalesce(c(x), F.lit(""))) == ""
-    early = [issue(gone("document_id"), "missing_required_field", "document_id"), issue(gone("chunk_id"), "missing_required_field", "chunk_id")]
-    late = [
-        issue(~c("provision_type").isin("section", "article"), "consistency_error", "provision_type"),
-        issue(gone("provision_number"), "missing_required_field", "provision_number"),
-        issue(~gone("provision_number") & ~F.coalesce(T.canonical_number(c("provision_number")) == c("provision_number"), F.lit(False)), "consistency_error", "provision_number"),
-        issue(F.coalesce(c("page"), F.lit(0)) < 1, "type_error", "page"),
-        issue(F.coalesce(c("part"), F.lit(0)) < 1, "type_error", "part"),
-        issue((c("subsection_path_key") != "") & c("component_type").isNull(), "consistency_error", "component_type"),
-        issue((F.size(F.split("subsection_path_key", "/")) >= 2) & (c("component_type") == "subsection"), "consistency_error", "component_type"),
-        issue(c("heading_only_chunk") & F.coalesce("provision_body_present", F.lit(False)), "consistency_error", "provision_body_present"),
-    ]
-    found = F.filter(F.when(gone("document_id") | gone("chunk_id"), F.array(*early)).otherwise(F.array(*late)), lambda x: x.isNotNull())
-    return chunks.select("id", F.inline(found))
-
-
 def sequence_issues(seq: DataFrame) -> DataFrame:
     """(document, kind, field) broken by stored ordinals and links: one ordinal a provision,
     1..n without gaps, links to the neighbours."""

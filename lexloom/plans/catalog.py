@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["queries_text", "queries_search", "queries_structure", "queries_eval"]
+MODULES = ["queries_text", "queries_search", "queries_structure", "queries_metadata", "queries_eval"]
 
 
 def _modules():

@@ -195,45 +195,6 @@ def source_order(spark, sf_dir):
     return chunks(spark, sf_dir).select("id", F.row_number().over(w).cast("long").alias("place"))
 
 
-_BROKEN = f"""(SELECT id, CASE WHEN id % 23 = 0 THEN '' ELSE document_id END AS document_id, CASE WHEN id % 29 = 0 THEN NULL ELSE chunk_id END AS chunk_id, CASE WHEN id % 31 = 0 THEN 'rule' ELSE provision_type END AS provision_type,
-  CASE WHEN id % 37 = 0 THEN NULL WHEN id % 41 = 0 THEN '9-a' ELSE provision_number END AS provision_number, CASE WHEN id % 43 = 0 THEN 0 ELSE page END AS page, CASE WHEN id % 47 = 0 THEN NULL ELSE part END AS part, subsection_path_key,
-  CASE WHEN id % 53 = 0 THEN NULL WHEN id % 59 = 0 THEN 'subsection' ELSE component_type END AS component_type, heading_only_chunk, provision_body_present FROM {_CHUNKS})"""
-
-
-def broken(spark, sf_dir):
-    table(spark, sf_dir, "documents").createOrReplaceTempView("documents_as_chunks")
-    return spark.sql("SELECT * FROM " + _BROKEN.replace("FROM documents)", "FROM documents_as_chunks)").replace("VARCHAR", "STRING"))
-
-
-_GONE = lambda c: f"trim(coalesce({c}, '')) = ''"
-_RULES = [
-    ("provision_type NOT IN ('section', 'article')", "consistency_error", "provision_type"), (_GONE("provision_number"), "missing_required_field", "provision_number"),
-    (f"NOT {_GONE('provision_number')} AND NOT coalesce(({canon('provision_number')}) = provision_number, false)", "consistency_error", "provision_number"),
-    ("coalesce(page, 0) < 1", "type_error", "page"), ("coalesce(part, 0) < 1", "type_error", "part"), ("subsection_path_key <> '' AND component_type IS NULL", "consistency_error", "component_type"),
-    ("len(string_split(subsection_path_key, '/')) >= 2 AND component_type = 'subsection'", "consistency_error", "component_type"), ("heading_only_chunk AND coalesce(provision_body_present, false)", "consistency_error", "provision_body_present"),
-]
-_EARLY = f"({_GONE('document_id')} OR {_GONE('chunk_id')})"
-_ISSUES = " UNION ALL ".join(
-    [f"SELECT id, 'missing_required_field' AS category, '{c}' AS field FROM {_BROKEN} WHERE {_GONE(c)}" for c in ("document_id", "chunk_id")] + [f"SELECT id, '{a}', '{f}' FROM {_BROKEN} WHERE NOT {_EARLY} AND {w}" for w, a, f in _RULES]
-)
-
-
-@query(_ISSUES)
-def row_rules(spark, sf_dir):
-    return S.row_issues(broken(spark, sf_dir))
-
-
-@query(f"SELECT category, field, count(*) AS n FROM ({_ISSUES}) GROUP BY ALL")
-def audit_counts(spark, sf_dir):
-    return row_rules(spark, sf_dir).groupBy("category", "field").agg(F.count(F.lit(1)).alias("n"))
-
-
-@query(f"SELECT id, category || ':' || field AS error FROM ({_ISSUES}) ORDER BY id, category, field LIMIT 25")
-def ingest_gate(spark, sf_dir):
-    """The first errors that stop an ingest: a report of 25."""
-    return row_rules(spark, sf_dir).orderBy("id", "category", "field").limit(25).select("id", F.concat_ws(":", "category", "field").alias("error"))
-
-
 _SB = f"(SELECT document, kind, number, CASE WHEN ordinal % 3 = 0 THEN ordinal + 1 ELSE ordinal END AS ordinal, CASE WHEN ordinal % 2 = 0 THEN NULL ELSE previous END AS previous, next FROM ({_SEQUENCE}))"
 
 
