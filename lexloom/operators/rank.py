@@ -81,11 +81,28 @@ def special_penalty(number: Column, document: Column, question: Column) -> Colum
     return out
 
 
-def final_score(semantic: Column, boost: Column, keyword: Column, concept: Column, fusion: Column, penalty: Column, heading: Column) -> Column:
-    raw = 0.55 * F.coalesce(semantic, F.lit(0.0)) + 0.20 * boost + 0.15 * keyword + 0.10 * concept + F.least(F.lit(0.08), 2 * fusion) - penalty - F.when(heading, 0.25).otherwise(0.0)
+def final_score(semantic: Column, boost: Column, keyword: Column, concept: Column, fusion: Column, penalty: Column, suspicious: Column, heading: Column) -> Column:
+    raw = 0.55 * F.coalesce(semantic, F.lit(0.0)) + 0.20 * boost + 0.15 * keyword + 0.10 * concept + F.least(F.lit(0.08), 2 * fusion)
+    raw = raw - penalty - F.when(suspicious, 0.05).otherwise(0.0) - F.when(heading, 0.25).otherwise(0.0)
     return F.round(clamp(raw), 6)
 
 
+def by_score() -> list[Column]:
+    """The order of scored candidates: best score, most queries, best similarity, first
+    part, last key."""
+    return [F.desc("final"), F.desc("matched"), F.coalesce("semantic", F.lit(0.0)).desc(), F.asc("part"), F.desc("key")]
+
+
+def concept_coverage(concepts: Column, document: Column, number: Column) -> Column:
+    """Array of the concepts that a row covers: its document and number are among those the
+    concept prefers, where it prefers any."""
+    own = []
+    for name, _, _, docs, sections, _ in dims.CONCEPTS:
+        fits = (document.isin(docs) if docs else F.lit(True)) & (number.isin(sections) if sections else F.lit(True))
+        own.append(F.when(F.array_contains(concepts, name) & fits, name))
+    return F.array_compact(F.array(*own))
+
+
 def near_dup_pairs(ranked: DataFrame, threshold: float = 0.94) -> DataFrame:
     """Pairs of rows of one provision and part whose tokens overlap enough; groups of a
     provision are its parts in one answer, so pairs stay few."""
@@ -129,9 +146,16 @@ def select_context(ranked: DataFrame, provisions: int, rows: int) -> DataFrame:
     return ranked.join(g.select("qid", "provision", "g"), ["qid", "provision"]).withColumn("place", F.row_number().over(place)).where(F.col("place") <= rows)
 
 
-def confidence(ranked: DataFrame) -> DataFrame:
-    """(qid, score, label) from the ten best: top, mean, provisions and concept coverage."""
-    ten = ranked.where("rank <= 10")
-    x = ten.groupBy("qid").agg(F.max("semantic").alias("top"), F.avg("semantic").alias("mean"), F.count_distinct("provision").alias("provisions"), F.max("coverage").alias("coverage"))
-    s = F.round(0.45 * F.coalesce("top", F.lit(0.0)) + 0.30 * F.coalesce("mean", F.lit(0.0)) + 0.15 * F.least(F.lit(1.0), F.col("provisions") / 3) + 0.10 * F.col("coverage"), 3)
-    return x.select("qid", s.alias("score")).withColumn("label", F.when(F.col("score") >= 0.72, "High").when(F.col("score") >= 0.48, "Medium").otherwise("Low"))
+def confidence(ranked: DataFrame, selected: DataFrame) -> DataFrame:
+    """(qid, score, label, coverage): from the similarities of the ten best rows, the
+    provisions of the selected ones, and the share of the question's concepts that some
+    selected row covers (all, if it has none; or if a concept prefers nothing). ranked:
+    (qid, rank, semantic); selected: (qid, provision, document, number, concepts)."""
+    ten = ranked.where("rank <= 10").groupBy("qid").agg(F.max("semantic").alias("top"), F.avg("semantic").alias("mean"))
+    free = [c[0] for c in dims.CONCEPTS if not c[3] and not c[4]]
+    own = selected.withColumn("covered", F.array_union(concept_coverage(F.col("concepts"), F.col("document"), F.col("number")), F.array_intersect("concepts", F.array(*map(F.lit, free)))))
+    own = own.groupBy("qid").agg(F.count_distinct("provision").alias("provisions"), F.size(F.array_distinct(F.flatten(F.collect_list("covered")))).alias("k"), F.max(F.size("concepts")).alias("n"))
+    x = ten.join(own, "qid", "left")
+    coverage = F.when(F.coalesce("n", F.lit(0)) > 0, F.col("k") / F.col("n")).otherwise(1.0)
+    s = 0.45 * F.coalesce("top", F.lit(0.0)) + 0.30 * F.coalesce("mean", F.lit(0.0)) + 0.15 * F.least(F.lit(1.0), F.coalesce("provisions", F.lit(0)) / 3) + 0.10 * coverage
+    return x.select("qid", F.round(s, 3).alias("score"), F.when(s >= 0.72, "High").when(s >= 0.48, "Medium").otherwise("Low").alias("label"), F.round(coverage, 3).alias("coverage"))

@@ -14,10 +14,14 @@ K1, B = 1.5, 0.75
 BROADCAST_BYTES = 32 << 20
 
 
+def estimated_bytes(df: DataFrame) -> int:
+    """The optimizer's own estimate."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def maybe_broadcast(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """df with a broadcast hint if the optimizer's own estimate of it is below the limit."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return F.broadcast(df) if size <= limit else df
+    """df with a broadcast hint if its estimated size is below the limit."""
+    return F.broadcast(df) if estimated_bytes(df) <= limit else df
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -50,17 +54,21 @@ def bm25_topk(queries: DataFrame, corpus: DataFrame, k: int, *, qid: str = "item
     """(qid, id, score, rank): top k by BM25 over distinct tokens, with a bonus if the
     whole normalized query stands in the document. Statistics are those of the whole
     corpus; keep filters what is scored. Documents' terms are pruned to the queries' before
-    any exchange, so posting lists of other terms never move; the queries' vocabulary goes
-    to every task, so a large query set is run in blocks."""
+    any exchange, so posting lists of other terms never move: within the row, by the
+    queries' vocabulary, if that is small enough to go to every task, else by a semi-join."""
     asked = queries.select(F.col(qid).alias("qid"), F.explode(T.tokens(F.col(qtext))).alias("term"))
     norm = queries.select(F.col(qid).alias("qid"), T.normalize(F.col(qtext)).alias("q"), F.size(T.tokens(F.col(qtext))).alias("qn"))
-    wanted = asked.agg(F.collect_set("term").alias("wanted"))
+    few = estimated_bytes(queries) <= BROADCAST_BYTES
     kept = keep if keep is not None else F.lit(True)
     # Each text is tokenized once: what is left of it are its size and the queries' terms.
-    docs = spread(corpus).select(F.col(id_col).alias("id"), T.tokens(F.col(text_col)).alias("terms"), kept.alias("keep")).crossJoin(F.broadcast(wanted))
-    docs = materialized(docs.select("id", "keep", F.size("terms").alias("size"), F.array_intersect("terms", "wanted").alias("terms")), "postings")
+    docs = spread(corpus).select(F.col(id_col).alias("id"), T.tokens(F.col(text_col)).alias("terms"), kept.alias("keep")).withColumn("size", F.size("terms"))
+    if few:
+        docs = docs.crossJoin(F.broadcast(asked.agg(F.collect_set("term").alias("wanted")))).withColumn("terms", F.array_intersect("terms", "wanted")).drop("wanted")
+    docs = materialized(docs.select("id", "keep", "size", "terms"), "postings")
     one = docs.agg(F.count(F.lit(1)).alias("n"), F.avg("size").alias("avgdl"))
     posts = docs.select("id", "keep", "size", F.explode("terms").alias("term"))
+    if not few:
+        posts = posts.join(asked.select("term").distinct(), "term", "left_semi")
     df = posts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * (K1 + 1) / (1 + K1 * (1 - B + B * F.col("size") / F.col("avgdl")))

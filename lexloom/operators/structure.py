@@ -12,6 +12,7 @@ from pyspark.sql.types import ArrayType, StringType
 
 from lexloom.functions import text as T
 from lexloom.plans import dims
+from lexloom.sources.tables import materialized
 
 
 def exploded_lines(pages: DataFrame, text: str = "text") -> DataFrame:
@@ -189,10 +190,14 @@ def window_chunks(docs: DataFrame, size: int = 1000, step: int = 850) -> DataFra
 
 def numbered(chunks: DataFrame) -> DataFrame:
     """Numbers within the document, and the chunk's name. The global number follows from
-    the documents' sizes, so no window runs over all rows."""
+    the documents' sizes: these are sorted into ranges and summed within each; one window
+    runs over the ranges' totals, of which there are as many as partitions."""
     own = W.partitionBy("document").orderBy("pos")
     sizes = chunks.groupBy("document").agg(F.count(F.lit(1)).alias("n"))
-    before = sizes.withColumn("before", F.coalesce(F.sum("n").over(W.orderBy("document").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("n")
+    sizes = materialized(sizes.repartitionByRange("document").withColumn("range", F.spark_partition_id()), "sizes")
+    up_to = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    ranges = sizes.groupBy("range").agg(F.sum("n").alias("n")).withColumn("first", up_to(W.orderBy("range"))).drop("n")
+    before = sizes.withColumn("within", up_to(W.partitionBy("range").orderBy("document"))).join(ranges, "range").select("document", (F.col("first") + F.col("within")).alias("before"))
     x = chunks.withColumn("document_chunk_number", F.row_number().over(own)).join(before, "document")
     x = x.withColumn("chunk_number", (F.col("before") + F.col("document_chunk_number")).cast("long")).drop("before")
     return x.withColumn("chunk_id", F.concat_ws("::", "document", "kind", F.coalesce("number", F.lit("unsectioned")), F.concat(F.lit("chunk-"), "document_chunk_number")))

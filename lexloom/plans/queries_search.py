@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -9,8 +11,10 @@ from lexloom.functions import text as T
 from lexloom.operators import rank as R
 from lexloom.operators import search as S
 from lexloom.plans import dims
+from lexloom.plans import questions as Q
 from lexloom.plans.queries_text import table
-from lexloom.plans.sqltext import frame, lit, norm, toks, values
+from lexloom.plans.sqltext import cited, frame, lit, norm, phrase, toks, values
+from lexloom.sources.tables import materialized
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -113,7 +117,7 @@ def _vec(keep: str, k: int) -> str:
 def vector_questions(spark, sf_dir):
     """Each benchmark item with the stored vector of its number, standing in for a model."""
     b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("vec_id"))
-    return table(spark, sf_dir, "embeddings").join(F.broadcast(b), "vec_id").select(F.col("vec_id").alias("qid"), F.transform("embedding", lambda x: x.cast("double")).alias("q"))
+    return table(spark, sf_dir, "embeddings").join(S.maybe_broadcast(b), "vec_id").select(F.col("vec_id").alias("qid"), F.transform("embedding", lambda x: x.cast("double")).alias("q"))
 
 
 @query(_vec("true", 5))
@@ -167,14 +171,30 @@ def neighbor_routes(spark, sf_dir):
     return r.select("qid", "docs", "provision_type", "provision_number").dropDuplicates()
 
 
-_CAND = f"SELECT qid, id, 'lexical' AS method, 0 AS query_index, score, rank FROM ({_bm25('true', 20)}) UNION ALL SELECT qid, id, 'vector', 0, score, rank FROM ({_vec('true', 20)})"
+#: Provisions that items cite, standing in for citations: one of a document, or of any.
+_CITED = "(SELECT item_id AS qid, CAST(item_id % 40 AS VARCHAR) AS number, 'src' || CAST(item_id % 20 AS VARCHAR) AS document FROM benchmark)"
+_EXACT = f"""SELECT qid, id FROM (SELECT *, min(priority) OVER (PARTITION BY qid) AS p FROM (
+  SELECT b.qid, c.id, CASE WHEN c.document_id = b.document THEN 1 ELSE 2 END AS priority FROM {_CITED} b JOIN {_CHUNKS} c ON c.provision_type = 'section' AND c.provision_number = b.number)) WHERE priority = p"""
+_NEAR = f"""SELECT qid, id, min("offset") AS "offset" FROM (SELECT e.qid, c.id, abs(c.ordinal - p.ordinal) AS "offset" FROM ({_EXACT}) e JOIN {_CHUNKS} p ON p.id = e.id JOIN {_CHUNKS} c ON c.document_id = p.document_id AND c.provision_type = p.provision_type AND abs(c.ordinal - p.ordinal) <= 1)
+WHERE (qid, id) NOT IN ({_EXACT}) GROUP BY qid, id"""
+_CAND = f"""SELECT qid, id, 'lexical' AS method, 0 AS query_index, score, rank FROM ({_bm25('true', 20)}) UNION ALL SELECT qid, id, 'vector', 0, score, rank FROM ({_vec('true', 20)})
+UNION ALL SELECT qid, id, 'exact', 0, NULL, (row_number() OVER (PARTITION BY qid ORDER BY id))::INT FROM ({_EXACT}) UNION ALL SELECT qid, id, 'neighbor', 0, NULL, (row_number() OVER (PARTITION BY qid ORDER BY "offset", id))::INT FROM ({_NEAR})"""
 
 
 def _candidates(spark, sf_dir):
+    """All four channels: exact, lexical, vector, neighbours in source order."""
+    b = table(spark, sf_dir, "benchmark")
+    c = chunks(spark, sf_dir)
     tag = lambda df, m: df.select("qid", "id", F.lit(m).alias("method"), F.lit(0).alias("query_index"), "score", "rank")
-    lexical = S.bm25_topk(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"), 20)
+    lexical = S.bm25_topk(b, table(spark, sf_dir, "documents"), 20)
     dense = S.vector_topk(vector_questions(spark, sf_dir), table(spark, sf_dir, "embeddings"), 20)
-    return tag(lexical, "lexical").unionByName(tag(dense, "vector"))
+    number, document = (F.col("item_id") % 40).cast("string"), F.concat(F.lit("src"), F.col("item_id") % 20)
+    wanted = b.select(F.col("item_id").alias("qid"), F.lit("section").alias("provision_type"), number.alias("provision_number"), F.explode(F.array(F.struct(F.lit(1).alias("priority"), document.alias("document_id")), F.struct(F.lit(2).alias("priority"), F.lit(None).cast("string").alias("document_id")))).alias("w")).select("qid", "provision_type", "provision_number", "w.*")
+    exact = S.exact_lookup(wanted, c).join(c.select("chunk_id", "id", "document_id", "provision_type", "ordinal"), "chunk_id")
+    probes = exact.select(F.struct("qid", "id").alias("probe"), "document_id", "provision_type", "ordinal")
+    near = S.neighbors(probes, c, 1).select("probe.qid", "id", F.abs("offset").alias("offset")).groupBy("qid", "id").agg(F.min("offset").alias("offset")).join(exact.select("qid", "id"), ["qid", "id"], "left_anti")
+    place = lambda df, *by: df.select("qid", "id", F.lit(None).cast("double").alias("score"), F.row_number().over(W.partitionBy("qid").orderBy(*by)).alias("rank"))
+    return tag(lexical, "lexical").unionByName(tag(dense, "vector")).unionByName(tag(place(exact, "id"), "exact")).unionByName(tag(place(near, "offset", "id"), "neighbor"))
 
 
 @query(_CAND)
@@ -261,29 +281,56 @@ def special_penalty(spark, sf_dir):
     return _feats(spark).select("i", R.special_penalty(F.col("number"), F.col("document"), F.col("question")).alias("penalty"))
 
 
-@query("SELECT event_id, round(greatest(0.0, least(1.0, 0.55 * coalesce(CASE WHEN value < 50 THEN value / 100 END, 0) + 0.20 * (user_id % 3) / 2 + 0.15 * (event_id % 7) / 7 + 0.10 * (event_id % 5) / 5 + least(0.08, 2.0 / (60 + event_id % 40)) - CASE WHEN event_id % 9 = 0 THEN 0.4 ELSE 0.0 END - CASE WHEN event_id % 11 = 0 THEN 0.25 ELSE 0.0 END)), 6)::DOUBLE AS final FROM events")
+@query("SELECT event_id, round(greatest(0.0, least(1.0, 0.55 * coalesce(CASE WHEN value < 50 THEN value / 100 END, 0) + 0.20 * (user_id % 3) / 2 + 0.15 * (event_id % 7) / 7 + 0.10 * (event_id % 5) / 5 + least(0.08, 2.0 / (60 + event_id % 40)) - CASE WHEN event_id % 9 = 0 THEN 0.4 ELSE 0.0 END - CASE WHEN event_id % 13 = 0 THEN 0.05 ELSE 0.0 END - CASE WHEN event_id % 11 = 0 THEN 0.25 ELSE 0.0 END)), 6)::DOUBLE AS final FROM events")
 def final_score(spark, sf_dir):
     e, i = table(spark, sf_dir, "events"), F.col("event_id")
-    s = R.final_score(F.when(F.col("value") < 50, F.col("value") / 100), (F.col("user_id") % 3) / 2, (i % 7) / 7, (i % 5) / 5, 1.0 / (60 + i % 40), F.when(i % 9 == 0, 0.4).otherwise(0.0), i % 11 == 0)
+    s = R.final_score(F.when(F.col("value") < 50, F.col("value") / 100), (F.col("user_id") % 3) / 2, (i % 7) / 7, (i % 5) / 5, 1.0 / (60 + i % 40), F.when(i % 9 == 0, 0.4).otherwise(0.0), i % 13 == 0, i % 11 == 0)
     return e.select("event_id", s.alias("final"))
 
 
-_HYBRID = f"""
-SELECT * FROM (SELECT qid, id, methods, final, (row_number() OVER (PARTITION BY qid ORDER BY final DESC, matched DESC, id DESC))::INT AS rank FROM (
-  SELECT f.qid, f.id, f.methods, f.matched, round(greatest(0.0, least(1.0, 0.55 * coalesce(semantic, 0) + 0.15 * {_OVER.format(q=toks('b.text'), d=toks('d.source || chr(32) || substring(d.text, 1, 1600)'))} + least(0.08, 2 * fusion))), 6) AS final
-  FROM ({_rrf('(' + _CAND + ')')}) f JOIN benchmark b ON b.item_id = f.qid JOIN documents d ON d.doc_id = f.id)) WHERE rank <= 5"""
+#: Documents as provisions for the ranking: some of them of the penal code, numbers from
+#: 300 on, the text's beginning as title.
+_RANKED_DOCS = """(SELECT doc_id AS id, CASE WHEN doc_id % 20 < 5 THEN 'ppc_1860' ELSE source END AS document, source, CAST(300 + doc_id % 110 AS VARCHAR) AS number, substring(text, 1, 40) AS title, text AS content,
+  CAST(doc_id % 2 + 1 AS INT) AS part, 'c' || CAST(doc_id AS VARCHAR) AS key, doc_id % 17 = 0 AS suspicious, doc_id % 11 = 0 AS heading FROM documents)"""
+
+
+def _plain(x: str) -> str:
+    """A marker as questions are normalized."""
+    return re.sub(r"\s+", " ", re.sub(r"[^a-z0-9\-\s]", " ", x.lower())).strip()
+
+
+def _has(c: tuple) -> str:
+    return "(" + " OR ".join(phrase(norm("b.text"), lit(re.escape(_plain(m)).replace("\\ ", " ").replace("\\-", "-"))) for m in c[1]) + ")"
+
+
+_Q = "(SELECT b.item_id AS qid, b.text AS question, " + norm("b.text") + " AS n, " + toks("b.text") + f" AS qt, list_concat({cited('b.text', dims.SECTION_PREFIX)}, {cited('b.text', dims.ARTICLE_PREFIX)}) AS explicit, " + ", ".join(f"{_has(c)} AS has_{c[0]}" for c in dims.CONCEPTS) + " FROM benchmark b)"
+_CONCEPT = "greatest(" + ", ".join(_concept_sql(c).replace(f"concepts = '{c[0]}'", f"has_{c[0]}") for c in dims.CONCEPTS) + ")"
+_PREFERRED = "(" + " OR ".join(f"(has_{c[0]} AND number IN ({', '.join(map(lit, c[4]))}))" for c in dims.CONCEPTS if c[4]) + ")"
+_BOOST = f"CASE WHEN list_contains(explicit, number) THEN 1.0 WHEN {norm('title')} <> '' AND contains(n, {norm('title')}) THEN 0.9 WHEN len({toks('title')}) > 0 AND len(list_intersect(qt, {toks('title')})) >= least(2, len({toks('title')})) THEN 0.65 WHEN {_PREFERRED} THEN 0.75 ELSE 0.0 END"
+_SCORED = f"""(SELECT *, (row_number() OVER (PARTITION BY qid ORDER BY final DESC, matched DESC, coalesce(semantic, 0) DESC, part, key DESC))::INT AS rank FROM (
+  SELECT f.*, d.* EXCLUDE (id), q.* EXCLUDE (qid), round(greatest(0.0, least(1.0, 0.55 * coalesce(semantic, 0) + 0.20 * {_BOOST} + 0.15 * {_OVER.format(q='qt', d=toks('d.source || chr(32) || substring(d.content, 1, 1600)'))} + 0.10 * round({_CONCEPT}, 6)
+    + least(0.08, 2 * fusion) - (CASE {_PEN} ELSE 0.0 END) - CASE WHEN suspicious THEN 0.05 ELSE 0.0 END - CASE WHEN heading THEN 0.25 ELSE 0.0 END)), 6)::DOUBLE AS final
+  FROM ({_rrf('(' + _CAND + ')')}) f JOIN {_Q} q ON q.qid = f.qid JOIN {_RANKED_DOCS} d ON d.id = f.id))"""
+_HYBRID = f"SELECT qid, id, methods, final, rank FROM {_SCORED} WHERE rank <= 5"
 
 
 def ranked(spark, sf_dir):
-    """Fused and scored candidates of each benchmark item."""
+    """Fused and scored candidates of each benchmark item, all features in."""
     fused = R.rrf_fusion(_candidates(spark, sf_dir).withColumnRenamed("rank", "retrieval_rank"))
-    b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("q"))
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "source", "text")
-    x = fused.join(S.maybe_broadcast(b), "qid").join(d, "id")
-    zero = F.lit(0.0)
-    final = R.final_score(F.col("semantic"), zero, R.keyword_overlap(F.col("q"), F.col("source"), F.substring("text", 1, 1600)), zero, F.col("fusion"), zero, F.lit(False))
-    order = W.partitionBy("qid").orderBy(F.desc("final"), F.desc("matched"), F.desc("id"))
-    return x.withColumn("final", final).withColumn("rank", F.row_number().over(order))
+    b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("question"))
+    q = b.join(Q.detect_concepts(b), "qid").withColumn("explicit", F.concat(T.citations(F.col("question"), dims.SECTION_PREFIX), T.citations(F.col("question"), dims.ARTICLE_PREFIX)))
+    sections = F.create_map(*[x for c in dims.CONCEPTS for x in (F.lit(c[0]), F.array(*map(F.lit, c[4])).cast("array<string>"))])
+    q = q.withColumn("preferred", F.flatten(F.transform("concepts", lambda c: F.element_at(sections, c))))
+    table(spark, sf_dir, "documents").createOrReplaceTempView("documents_as_chunks")
+    d = spark.sql("SELECT * FROM " + _RANKED_DOCS.replace("FROM documents)", "FROM documents_as_chunks)").replace("VARCHAR", "STRING"))
+    x = fused.join(S.maybe_broadcast(q), "qid").join(d, "id")
+    c = F.col
+    final = R.final_score(
+        c("semantic"), R.match_boost(c("explicit"), c("number"), c("title"), c("question"), c("preferred")), R.keyword_overlap(c("question"), c("source"), F.substring("content", 1, 1600)),
+        R.concept_overlap(c("concepts"), c("title"), c("content"), c("number"), c("document")), c("fusion"), R.special_penalty(c("number"), c("document"), c("question")), c("suspicious"), c("heading"),
+    )
+    x = x.withColumn("final", final)
+    return x.withColumn("rank", F.row_number().over(W.partitionBy("qid").orderBy(*R.by_score())))
 
 
 @query(_HYBRID)
@@ -348,11 +395,19 @@ def select_context(spark, sf_dir):
     return R.select_context(r, 2, 3).select("qid", "id", "place")
 
 
-@query(f"""SELECT qid, score, CASE WHEN score >= 0.72 THEN 'High' WHEN score >= 0.48 THEN 'Medium' ELSE 'Low' END AS label FROM (
-  SELECT qid, round(0.45 * coalesce(max(final), 0) + 0.30 * coalesce(avg(final), 0) + 0.15 * least(1.0, count(DISTINCT id % 3) / 3.0::DOUBLE) + 0.10, 3) AS score FROM ({_HYBRID}) GROUP BY qid)""")
+def _covered(c: tuple) -> str:
+    fits = [f"document IN ({', '.join(map(lit, c[3]))})"] * bool(c[3]) + [f"number IN ({', '.join(map(lit, c[4]))})"] * bool(c[4])
+    return f"max((has_{c[0]} AND {' AND '.join(fits) or 'true'})::INT) FILTER (rank <= 5)"
+
+
+@query(f"""SELECT qid, round(s, 3) AS score, CASE WHEN s >= 0.72 THEN 'High' WHEN s >= 0.48 THEN 'Medium' ELSE 'Low' END AS label, round(coverage, 3) AS coverage FROM (
+  SELECT qid, coverage, 0.45 * top + 0.30 * mean + 0.15 * least(1.0, provisions / 3.0::DOUBLE) + 0.10 * coverage AS s FROM (
+    SELECT qid, coalesce(max(semantic), 0) AS top, coalesce(avg(semantic), 0) AS mean, count(DISTINCT document || number) FILTER (rank <= 5) AS provisions,
+      CASE WHEN any_value({' + '.join(f'has_{c[0]}::INT' for c in dims.CONCEPTS)}) = 0 THEN 1.0::DOUBLE ELSE ({' + '.join(map(_covered, dims.CONCEPTS))})::DOUBLE / any_value({' + '.join(f'has_{c[0]}::INT' for c in dims.CONCEPTS)}) END AS coverage
+    FROM {_SCORED} WHERE rank <= 10 GROUP BY qid))""")
 def confidence(spark, sf_dir):
-    r = hybrid_rank(spark, sf_dir).select("qid", "rank", F.col("final").alias("semantic"), (F.col("id") % 3).alias("provision"), F.lit(1.0).alias("coverage"))
-    return R.confidence(r)
+    r = materialized(ranked(spark, sf_dir).where("rank <= 10").select("qid", "rank", "semantic", "document", "number", "concepts"), "ranked")
+    return R.confidence(r, r.where("rank <= 5").withColumn("provision", F.concat("document", "number")))
 
 
 @query(f"SELECT qid, string_agg('[Source ' || rank || '] ' || upper(provision) || chr(10) || content, chr(10) || '---' || chr(10) ORDER BY rank) AS context FROM {_DV} GROUP BY qid")
