@@ -50,6 +50,20 @@ def sample_metrics(retrieved: DataFrame, expected: DataFrame, k: int = 5) -> Dat
     )
 
 
+def answer_metrics(contexts: DataFrame, samples: DataFrame) -> DataFrame:
+    """contexts (sample, document, kind, number), samples (sample, document, kind, numbers
+    array, response) -> one row a sample: whether the expected document was retrieved, all
+    expected numbers of it, and whether the answer cites a source. Without an expected
+    document or number the first two are false; a null kind stands for any."""
+    want = samples.withColumn("numbers", F.array_distinct(F.transform("numbers", F.upper)))
+    hit = contexts.join(want.select("sample", F.col("document").alias("d"), F.col("kind").alias("k"), "numbers"), "sample")
+    here = F.coalesce(F.col("document") == F.col("d"), F.col("d").isNull())
+    number = F.when(here & F.coalesce(F.col("kind") == F.col("k"), F.col("k").isNull()) & F.expr("array_contains(numbers, upper(number))"), F.upper("number"))
+    own = hit.groupBy("sample").agg(F.max(F.coalesce(F.col("document") == F.col("d"), F.lit(False))).alias("doc"), F.count_distinct(number).alias("n"))
+    x = want.join(own, "sample", "left")
+    return x.select("sample", F.coalesce("doc", F.lit(False)).alias("document_accuracy"), ((F.size("numbers") > 0) & (F.coalesce("n", F.lit(0)) == F.size("numbers"))).alias("provision_accuracy"), F.coalesce(F.col("response").rlike(r"\[Source\s+\d+\]"), F.lit(False)).alias("citation_presence"))
+
+
 def summary(metrics: DataFrame, names: list[str]) -> DataFrame:
     """Means without NaN, exact linear percentiles, counts: one row a metric."""
     long = metrics.select(F.explode(F.array(*[F.struct(F.lit(n).alias("metric"), F.nanvl(F.col(n).cast("double"), F.lit(None)).alias("value")) for n in names])).alias("m")).select("m.*")

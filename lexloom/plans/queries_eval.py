@@ -53,6 +53,21 @@ def sample_metrics(spark, sf_dir):
     return _metrics(spark, sf_dir)
 
 
+_CTX = "(SELECT conv_id AS sample, 'doc' || ((turn + conv_id) % 3)::VARCHAR AS document, CASE WHEN turn % 2 = 0 THEN 'section' ELSE 'article' END AS kind, (turn % 4)::VARCHAR || 'a' AS number FROM conversations)"
+_WANT = "(SELECT conv_id AS sample, CASE WHEN conv_id % 7 <> 0 THEN 'doc' || (conv_id % 3)::VARCHAR END AS document, CASE WHEN conv_id % 4 = 0 THEN 'section' END AS kind, CASE WHEN conv_id % 5 = 0 THEN []::VARCHAR[] WHEN conv_id % 5 < 3 THEN ['0A'] ELSE ['0A', '3a'] END AS numbers, CASE WHEN conv_id % 2 = 0 THEN 'See [Source 1].' ELSE 'See source 1.' END AS response FROM conversations GROUP BY conv_id)"
+
+
+@query(f"""SELECT w.sample, coalesce(bool_or(c.document = w.document), false) AS document_accuracy, len(any_value(w.numbers)) > 0 AND count(DISTINCT upper(c.number)) FILTER ((w.document IS NULL OR c.document = w.document) AND (w.kind IS NULL OR c.kind = w.kind) AND list_contains(list_transform(w.numbers, lambda x: upper(x)), upper(c.number))) = len(any_value(w.numbers)) AS provision_accuracy,
+  regexp_matches(any_value(w.response), '\\[Source\\s+\\d+\\]') AS citation_presence FROM {_WANT} w LEFT JOIN {_CTX} c ON c.sample = w.sample GROUP BY w.sample""")
+def answer_metrics(spark, sf_dir):
+    c, i, t = table(spark, sf_dir, "conversations"), F.col("conv_id"), F.col("turn")
+    doc = lambda x: F.concat(F.lit("doc"), (x % 3).cast("string"))
+    ctx = c.select(i.alias("sample"), doc(t + i).alias("document"), F.when(t % 2 == 0, "section").otherwise("article").alias("kind"), F.concat((t % 4).cast("string"), F.lit("a")).alias("number"))
+    numbers = F.when(i % 5 == 0, F.array().cast("array<string>")).when(i % 5 < 3, F.array(F.lit("0A"))).otherwise(F.array(F.lit("0A"), F.lit("3a")))
+    want = c.select("conv_id").distinct().select(i.alias("sample"), F.when(i % 7 != 0, doc(i)).alias("document"), F.when(i % 4 == 0, "section").alias("kind"), numbers.alias("numbers"), F.when(i % 2 == 0, "See [Source 1].").otherwise("See source 1.").alias("response"))
+    return E.answer_metrics(ctx, want)
+
+
 def _some(*names):
     def f(spark, sf_dir):
         return _metrics(spark, sf_dir).select("sample", *names)

@@ -9,6 +9,7 @@ from lexloom.plans import dims
 from lexloom.plans.queries_search import _CHUNKS, chunks
 from lexloom.plans.queries_text import _LN, lines, table
 from lexloom.plans.sqltext import canon, frame, lit, values
+from lexloom.sources import tables as SRC
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -228,6 +229,19 @@ def unexpected_points(spark, sf_dir):
     return table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id")).distinct().join(e, "id", "left_anti")
 
 
+@query("SELECT doc_id FROM documents WHERE source <> 'src4' OR source IS NULL")
+def delete_by_predicate(spark, sf_dir):
+    """What deleting a document's points leaves."""
+    return SRC.kept_rows(table(spark, sf_dir, "documents"), F.col("source") == "src4").select("doc_id")
+
+
+@query("SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY lang, sha256(text) ORDER BY doc_id) AS r FROM documents) WHERE r = 1")
+def delete_duplicates(spark, sf_dir):
+    """What deleting repeated points leaves."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "lang", F.sha2("text", 256).alias("h"))
+    return d.join(SRC.repeats(d, ["lang", "h"]), "id", "left_anti").select(F.col("id").alias("doc_id"))
+
+
 @query("SELECT doc_id FROM documents WHERE source <> 'src4'")
 def archived_filter(spark, sf_dir):
     return table(spark, sf_dir, "documents").where("source <> 'src4'").select("doc_id")

@@ -310,3 +310,17 @@ _RX = lambda i: f"unnest(regexp_extract_all(question, {lit(_REF)}, {i}))"  # noq
   WHERE base_number IS NOT NULL GROUP BY ALL""")
 def extract_references(spark, sf_dir):
     return Q.references(asked(spark))
+
+
+_DH = "CASE c " + " ".join(f"WHEN {lit(c[0])} THEN {lit(c[3]) if c[3] else '[]::VARCHAR[]'}" for c in dims.CONCEPTS) + " END"
+_SH = "CASE c " + " ".join(f"WHEN {lit(c[0])} THEN {lit(c[4]) if c[4] else '[]::VARCHAR[]'}" for c in dims.CONCEPTS) + " END"
+
+
+@query(f"""WITH p AS (SELECT q.qid, question_type AS t, list_concat({_DIST_LIST(_SEC)}, {_DIST_LIST(_ARTS)}) AS n, CASE WHEN concepts = '' THEN []::VARCHAR[] ELSE string_split(concepts, ',') END AS cs
+  FROM {_QS} JOIN ({_TYPE_SQL}) USING (qid) JOIN ({_CONCEPTS_SQL}) USING (qid)),
+h AS (SELECT *, coalesce(flatten(list_transform(cs, lambda c: {_DH})), []) AS d, coalesce(flatten(list_transform(cs, lambda c: {_SH})), []) AS s FROM p),
+u AS (SELECT *, {_DIST_LIST('s')} AS su, CASE WHEN t = 'fact_scenario' AND list_contains(cs, 'theft') THEN list_concat(n, list_sort(list_distinct(s))) ELSE n END AS nn FROM h)
+SELECT qid, array_to_string({_DIST_LIST('d')}, ',') AS document_hints, array_to_string(su, ',') AS section_hints, array_to_string({_DIST_LIST('nn')}, ',') AS numbers FROM u""")
+def concept_hints(spark, sf_dir):
+    h = Q.concept_hints(Q.query_plan(asked(spark)))
+    return h.select("qid", *[F.array_join(c, ",").alias(c) for c in ("document_hints", "section_hints", "numbers")])

@@ -69,6 +69,17 @@ def query_plan(questions: DataFrame, top_k: int = 6) -> DataFrame:
     return q.withColumn("provision_type", kind).withColumn("retrieval_k", k).withColumn("final_k", lookup(dims.FINAL_K, F.col("question_type"), dims.FINAL_K_ELSE)).drop("n")
 
 
+def concept_hints(plan: DataFrame) -> DataFrame:
+    """(qid, document_hints, section_hints, numbers): what the detected concepts prefer, in
+    their order, and the cited numbers, to which a scenario of theft adds its sections."""
+    own = lambda i: F.create_map(*[x for c in dims.CONCEPTS for x in (F.lit(c[0]), F.array(*map(F.lit, c[i])).cast("array<string>"))])
+    hints = lambda i: F.array_distinct(F.flatten(F.transform("concepts", lambda c: F.element_at(own(i), c))))
+    sections = F.transform(hints(4), F.upper)
+    theft = (F.col("question_type") == "fact_scenario") & F.array_contains("concepts", "theft")
+    cited = F.concat("sections", "articles")
+    return plan.select("qid", hints(3).alias("document_hints"), sections.alias("section_hints"), F.array_distinct(F.when(theft, F.concat(cited, F.array_sort(sections))).otherwise(cited)).alias("numbers"))
+
+
 def expand_queries(plan: DataFrame) -> DataFrame:
     """(qid, query_index, query): the question, one expansion by type, concept queries."""
     names = F.create_map(*[F.lit(x) for d in dims.ROUTES for x in (d[0], d[2])])

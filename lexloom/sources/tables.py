@@ -75,6 +75,41 @@ def write_partitioned(df: DataFrame, path: str, by: str, order: str, mode: str =
     df.hint("rebalance", by).sortWithinPartitions(by, order).write.mode(mode).partitionBy(by).parquet(path)
 
 
+def kept_rows(store: DataFrame, gone: Column) -> DataFrame:
+    """The rows that a deletion by predicate leaves: those for which it is false or null."""
+    return store.where(~F.coalesce(gone, F.lit(False)))
+
+
+def repeats(store: DataFrame, key: list[Column | str], id_col: str = "id") -> DataFrame:
+    """Ids of the rows whose key a row of a smaller id has: what deduplication deletes. Keys
+    that occur once leave after the partial sums."""
+    k = [F.struct(*key).alias("_key")]
+    first = store.select(*k, id_col).groupBy("_key").agg(F.min(id_col).alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    return store.select(*k, id_col).join(first.select("_key", "_first"), "_key").where(F.col(id_col) > F.col("_first")).select(id_col)
+
+
+def delete_rows(spark: SparkSession, path: str, to: str, gone: Column) -> int:
+    """Writes what a deletion leaves of the table at path to another path, which readers
+    are pointed at once it is whole, and tells how many rows went."""
+    store = spark.read.parquet(path)
+    kept_rows(store, gone).write.parquet(to)
+    return store.count() - spark.read.parquet(to).count()
+
+
+def delete_repeats(spark: SparkSession, path: str, to: str, key: list[Column | str], id_col: str = "id") -> int:
+    """The same for rows that repeat the key of an earlier one."""
+    store = spark.read.parquet(path)
+    store.join(repeats(store, key, id_col), id_col, "left_anti").write.parquet(to)
+    return store.count() - spark.read.parquet(to).count()
+
+
+def reset(df: DataFrame, path: str) -> int:
+    """Drops and recreates the table at path with df's columns and no row, and tells how
+    many rows it holds: 0, or the reset failed."""
+    df.limit(0).write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path).count()
+
+
 def append_json(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path)
 
@@ -89,6 +124,8 @@ def materialized(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="lexloom-")
         spark.conf.set("spark.checkpoint.dir", at)
     path = f"{at.rstrip('/')}/lexloom/{name}-{uuid.uuid4().hex}"
