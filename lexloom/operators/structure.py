@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
@@ -134,44 +135,61 @@ def context_heading(short: Column, kind: Column, number: Column, title: Column,
 
 
 def child_components(lines: DataFrame) -> DataFrame:
-    """(doc, pos, label, kind, path): markers at line starts; a clause takes the last
-    subsection before it."""
-    x = lines.select("doc", "pos", F.regexp_extract("line", r"^\s*\(([A-Za-z]+|\d+)\)", 1).alias("label")).where("label <> ''")
+    """(doc, pos, label, kind, path, key): markers at line starts. A number opens a
+    subsection; letters are a clause of the last subsection, and nothing before one."""
+    x = lines.select("doc", "pos", F.regexp_extract("line", CHILD_MARKER, 1).alias("label")).where("label <> ''")
     x = x.withColumn("label", F.lower("label")).withColumn("kind", F.when(F.col("label").rlike(r"^\d+$"), "subsection").otherwise("clause"))
     current = F.last(F.when(F.col("kind") == "subsection", F.col("label")), ignorenulls=True).over(W.partitionBy("doc").orderBy("pos"))
-    return x.withColumn("path", F.when(F.col("kind") == "subsection", F.col("label")).otherwise(F.concat_ws("/", current, "label")))
+    x = x.withColumn("path", F.when(F.col("kind") == "subsection", F.array("label")).otherwise(F.array(current, "label")))
+    return x.where(~F.array_contains(F.transform("path", lambda v: v.isNull()), True)).withColumn("key", F.array_join("path", "."))
 
 
-SEPARATORS = ["\n\n", "\n", ". ", " ", ""]
+CHILD_MARKER = r"^\s*\(([A-Za-z]+|\d+)\)\s*"
 
+# Where a long text is cut, the best place first.
+SEPARATORS = [
+    r"\n(?=Explanation(?:\s+\d+)?\s*[:.\-—–]?)", r"\n(?=Illustrations?\s*[:.\-—–]?\s*$)", r"\n(?=\(\d+\)\s+)", r"\n(?=\([a-z]\)\s+)", r"\n(?=\([ivxlcdm]+\)\s+)",
+    r"\n\n+", r"\n", r"(?<=[.!?])\s+", r"\s+", "",
+]
+#: Characters of a chunk with its heading, what neighbours share, and the least of a body.
+LIMIT, OVERLAP, LEAST = 1000, 150, 200
 
-def split_text(text: str, limit: int, overlap: int) -> list[str]:
-    """Pieces of at most limit characters, cut at the first separator of the list that
-    serves; neighbours share up to overlap characters of whole pieces."""
 
-    def pieces(t: str, level: int) -> list[str]:
-        if len(t) <= limit:
-            return [t] if t else []
+def split_text(text: str, limit: int, overlap: int) -> list[str]:
+    """Pieces of less than limit characters, cut before the first separator of the list that
+    occurs, longer ones again by the next; pieces are put together while they fit, and
+    neighbours share whole pieces of up to overlap characters."""
+
+    def joined(pieces: list[str]) -> list[str]:
+        out, now, size = [], [], 0
+        for p in pieces:
+            if now and size + len(p) > limit:
+                out.append("".join(now).strip())
+                while now and (size > overlap or size + len(p) > limit):
+                    size -= len(now.pop(0))
+            now.append(p)
+            size += len(p)
+        return [x for x in [*out, "".join(now).strip()] if x]
+
+    def cut(t: str, level: int) -> list[str]:
+        while SEPARATORS[level] and not re.search(SEPARATORS[level], t):
+            level += 1
         sep = SEPARATORS[level]
-        if not sep:
-            return [t[i : i + limit] for i in range(0, len(t), limit)]
-        parts = t.split(sep)
-        parts = [p + sep for p in parts[:-1]] + parts[-1:]
-        return [y for p in parts for y in pieces(p, level + 1)]
-
-    out, now = [], []
-    for p in pieces(text, 0):
-        if now and sum(map(len, now)) + len(p) > limit:
-            out.append("".join(now).strip())
-            while now and (sum(map(len, now)) > overlap or sum(map(len, now)) + len(p) > limit):
-                now.pop(0)
-        now.append(p)
-    if now:
-        out.append("".join(now).strip())
-    return [x for x in out if x]
-
-
-def split_chunks(docs: DataFrame, limit: int = 1000, overlap: int = 150) -> DataFrame:
+        at = [m.start() for m in re.finditer(sep, t)] if sep else range(1, len(t))
+        bounds = [0, *at, len(t)]
+        out, short = [], []
+        for piece in (t[i:j] for i, j in zip(bounds, bounds[1:], strict=False) if i < j):
+            if len(piece) < limit or not sep:
+                short.append(piece)
+                continue
+            out += joined(short) + cut(piece, level + 1)
+            short = []
+        return out + joined(short)
+
+    return cut(text, 0) if text else []
+
+
+def split_chunks(docs: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
     """(id, part, chunk). The cuts depend on each other, hence a pandas function."""
 
     def cut(s: pd.Series) -> pd.Series:
@@ -181,6 +199,78 @@ def split_chunks(docs: DataFrame, limit: int = 1000, overlap: int = 150) -> Data
     return docs.select("id", F.posexplode(pieces("text")).alias("part", "chunk"))
 
 
+def heading_chunks(bodies: DataFrame) -> DataFrame:
+    """bodies (..., heading, body) with part, parts and chunk: each part of the body below
+    the heading, which together fit the limit; a body that fits is one part, an empty one
+    the heading alone."""
+
+    def cut(b: pd.Series, h: pd.Series) -> pd.Series:
+        out = []
+        for body, heading in zip(b.fillna("").str.strip(), h.fillna(""), strict=True):
+            limit = max(LEAST, LIMIT - len(heading) - 2)
+            parts = [body] if len(body) <= limit else split_text(body, limit, min(OVERLAP, limit - 1))
+            out.append([f"{heading}\n\n{p}".strip() for p in parts])
+        return pd.Series(out)
+
+    pieces = F.pandas_udf(cut, ArrayType(StringType()))("body", "heading")
+    own = [c for c in bodies.columns if c not in ("heading", "body")]
+    return bodies.withColumn("_parts", pieces).select(*own, F.size("_parts").alias("parts"), F.posexplode("_parts").alias("part", "chunk")).withColumn("part", F.col("part") + 1)
+
+
+def provision_chunks(provisions: DataFrame) -> DataFrame:
+    """(id, path, part, parts, chunk): chunks of each provision (id, short, kind, number,
+    title, body), and of each of its child components below a heading of its own. A lone
+    subsection adds nothing to its parent."""
+    head = lambda path: context_heading(F.col("short"), F.col("kind"), F.col("number"), F.col("title"), path)
+    none = F.array().cast("array<string>")
+    parents = provisions.select("id", F.lit("").alias("path"), head(none).alias("heading"), "body")
+    # Lines from one marker to the next are a component's.
+    lines = provisions.select(F.col("id").alias("doc"), F.posexplode(F.split(F.trim("body"), "\n")).alias("pos", "line"))
+    found = child_components(lines).select("doc", "pos", "path", "key")
+    order = W.partitionBy("doc").orderBy("pos")
+    marked = lines.withColumn("marker", F.col("line").rlike(CHILD_MARKER)).withColumn("start", F.max(F.when(F.col("marker"), F.col("pos"))).over(order)).where("start IS NOT NULL")
+    texts = marked.groupBy("doc", F.col("start").alias("pos")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda v: v["line"]), "\n").alias("text"))
+    kids = found.join(texts, ["doc", "pos"])
+    several = found.groupBy("doc").agg(F.count(F.lit(1)).alias("n"), F.max(F.size("path")).alias("deep")).where("n > 1 OR deep > 1").select("doc")
+    kids = kids.join(several, "doc", "left_semi").withColumnRenamed("doc", "id").join(provisions.drop("body"), "id")
+    children = kids.select("id", F.concat(F.col("key"), F.lit("@"), F.col("pos")).alias("path"), head(F.col("path")).alias("heading"), F.trim(F.regexp_replace("text", CHILD_MARKER, "")).alias("body"))
+    return heading_chunks(parents.unionByName(children))
+
+
+def provision_body(kind: Column, number: Column, title: Column, text: Column, heading_only: Column, body_present: Column) -> Column:
+    """Whether a provision's text has a body of at least 80 characters besides its heading,
+    on pages that have one."""
+    t = F.trim(text)
+    forms = [F.concat(number, F.lit(". "), title), F.concat(F.initcap(kind), F.lit(" "), number, F.lit(". "), title), F.concat(F.initcap(kind), F.lit(" "), number, F.lit(": "), title)]
+    rest = t
+    for f in reversed(forms):
+        rest = F.when(F.startswith(F.lower(t), F.lower(f)), F.substring(t, F.length(f) + 1, F.length(t))).otherwise(rest)
+    n = F.length(F.trim(F.regexp_replace(F.regexp_replace(rest, r"^[ :.—–\n]+", ""), r"\s+", " ")))
+    return (n >= 80) & ~F.coalesce(heading_only, F.lit(False)) & F.coalesce(body_present, F.lit(True))
+
+
+# Lines that begin a part of a document.
+BOUNDARIES = [
+    r"(?i)^\s*CHAPTER\s+([IVXLCDM]+|\d+)\s*$", r"(?i)^\s*PART\s+([IVXLCDM]+|\d+)\s*$",
+    r"(?i)^\s*(?:THE\s+)?(?:FIRST\s+|SECOND\s+|THIRD\s+|FOURTH\s+|FIFTH\s+|SIXTH\s+|SEVENTH\s+|EIGHTH\s+)?SCHEDULE\b[^\n]*$", r"(?i)^\s*PREAMBLE\s*$",
+    r"^\s*(OF\s+[A-Z][A-Z\s,.'()\-]+)\s*$", r"^\s*(Of\s+[A-Z][A-Za-z\s,.'()\-]+)\s*$",
+]
+ROMAN = r"^\s*([IVXLCDM]+)\s*$"
+
+
+def structural_boundaries(lines: DataFrame) -> DataFrame:
+    """(doc, pos): lines that begin a chapter, part, schedule, preamble or subject, and lone
+    Roman numerals whose next line that isn't blank is a subject."""
+    c = F.col("line")
+    plain = c.rlike(BOUNDARIES[0])
+    for p in BOUNDARIES[1:]:
+        plain = plain | c.rlike(p)
+    after = W.partitionBy("doc").orderBy("pos").rowsBetween(1, W.unboundedFollowing)
+    following = F.first(F.when(F.trim("line") != "", F.trim("line")), ignorenulls=True).over(after)
+    subject = F.coalesce(F.col("next").rlike(BOUNDARIES[4]) | F.col("next").rlike(BOUNDARIES[5]), F.lit(False))
+    return lines.withColumn("next", following).where(plain | (c.rlike(ROMAN) & subject)).select("doc", "pos")
+
+
 def window_chunks(docs: DataFrame, size: int = 1000, step: int = 850) -> DataFrame:
     """(id, part, chunk): windows of a fixed width."""
     n = F.greatest(F.lit(1), F.ceil((F.length("text") - (size - step)) / step)).cast("int")

@@ -144,12 +144,44 @@ def context_heading(spark, sf_dir):
     return c.select("id", S.context_heading(f("document_id"), f("provision_type"), f("provision_number"), F.concat(F.lit("T"), f("id")), path).alias("heading"))
 
 
-@query(rf"""SELECT doc, pos, label, kind, CASE WHEN kind = 'subsection' THEN label ELSE concat_ws('/', last_value(CASE WHEN kind = 'subsection' THEN label END IGNORE NULLS) OVER (PARTITION BY doc ORDER BY pos), label) END AS path FROM (
-  SELECT *, CASE WHEN regexp_matches(label, '^\d+$') THEN 'subsection' ELSE 'clause' END AS kind FROM (SELECT doc, pos, lower(regexp_extract(line, '^\s*\(([A-Za-z]+|\d+)\)', 1)) AS label FROM {_PV}) WHERE label <> '')""")
+@query(rf"""SELECT doc, pos, label, kind, path, array_to_string(path, '.') AS key FROM (SELECT doc, pos, label, kind, CASE WHEN kind = 'subsection' THEN [label] ELSE [last_value(CASE WHEN kind = 'subsection' THEN label END IGNORE NULLS) OVER (PARTITION BY doc ORDER BY pos), label] END AS path FROM (
+  SELECT *, CASE WHEN regexp_matches(label, '^\d+$') THEN 'subsection' ELSE 'clause' END AS kind FROM (SELECT doc, pos, lower(regexp_extract(line, '^\s*\(([A-Za-z]+|\d+)\)', 1)) AS label FROM {_PV}) WHERE label <> '')) WHERE path[1] IS NOT NULL""")
 def child_components(spark, sf_dir):
     return S.child_components(_prov(spark))
 
 
+_BND = " OR ".join(f"regexp_matches(line, {lit(p)})" for p in S.BOUNDARIES)
+
+
+@query(f"""SELECT doc, pos FROM (SELECT *, first_value(CASE WHEN trim(line) <> '' THEN trim(line) END IGNORE NULLS) OVER (PARTITION BY doc ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS next FROM {_LN})
+WHERE {_BND} OR (regexp_matches(line, {lit(S.ROMAN)}) AND coalesce(regexp_matches(next, {lit(S.BOUNDARIES[4])}) OR regexp_matches(next, {lit(S.BOUNDARIES[5])}), false))""")
+def structural_boundaries(spark, sf_dir):
+    return S.structural_boundaries(lines(spark))
+
+
+_HEADS = ["number || '. ' || title", "'Section ' || number || '. ' || title", "'Section ' || number || ': ' || title"]
+_BODY = "CASE " + " ".join(f"WHEN starts_with(lower(t), lower({h})) THEN substring(t, length({h}) + 1)" for h in _HEADS) + " ELSE t END"
+_BODIES = "(SELECT doc_id, (doc_id % 40)::VARCHAR AS number, substring(text, 1, 12) AS title, CASE doc_id % 3 WHEN 0 THEN (doc_id % 40)::VARCHAR || '. ' || substring(text, 1, 12) || ': ' || substring(text, 13, 40 + doc_id % 90) WHEN 1 THEN 'section ' || (doc_id % 40)::VARCHAR || ': ' || substring(text, 1, 12) || substring(text, 13, doc_id % 150) ELSE substring(text, 1, doc_id % 160) END AS text FROM documents)"
+
+
+@query(rf"SELECT doc_id, length(trim(regexp_replace(regexp_replace({_BODY}, '^[ :.—–\n]+', ''), '\s+', ' ', 'g'))) >= 80 AND doc_id % 11 <> 0 AND doc_id % 13 <> 0 AS body_present FROM (SELECT *, trim(text) AS t FROM {_BODIES})")
+def provision_body(spark, sf_dir):
+    i, t = F.col("doc_id"), F.col("text")
+    number, title = (i % 40).cast("string"), F.substring("text", 1, 12)
+    x = F.when(i % 3 == 0, F.concat(number, F.lit(". "), title, F.lit(": "), F.substring(t, F.lit(13), (40 + i % 90).cast("int"))))
+    x = x.when(i % 3 == 1, F.concat(F.lit("section "), number, F.lit(": "), title, F.substring(t, F.lit(13), (i % 150).cast("int")))).otherwise(F.substring(t, F.lit(1), (i % 160).cast("int")))
+    d = table(spark, sf_dir, "documents").select("doc_id", number.alias("number"), title.alias("title"), x.alias("x"))
+    return d.select("doc_id", S.provision_body(F.lit("section"), F.col("number"), F.col("title"), F.col("x"), i % 11 == 0, i % 13 != 0).alias("body_present"))
+
+
+@query()
+def provision_chunks(spark, sf_dir):
+    """Documents as provisions: lines are subsections, and every third one opens clauses."""
+    line = lambda v, i: F.when(i % 3 == 0, F.concat(F.lit("("), (F.floor(i / 3) + 1).cast("string"), F.lit(") "), v)).otherwise(F.concat(F.lit("("), F.when(i % 3 == 1, "a").otherwise("b"), F.lit(") "), v))
+    d = table(spark, sf_dir, "documents")
+    return S.provision_chunks(d.select(F.col("doc_id").alias("id"), F.col("source").alias("short"), F.lit("section").alias("kind"), (F.col("doc_id") % 40).cast("string").alias("number"), F.lit("").alias("title"), F.array_join(F.transform(F.split("text", "\n"), line), "\n").alias("body")))
+
+
 @query()
 def split_chunks(spark, sf_dir):
     return S.split_chunks(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"))

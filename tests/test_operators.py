@@ -99,3 +99,61 @@ def test_page_is_cleaned(spark):
 def test_distinct_strings_are_trimmed_of_spaces_alone(spark):
     got = spark.createDataFrame([([" a0", "a0 ", "", "1 b"],)], "x ARRAY<STRING>").select(T.distinct_strings(F.col("x"))).first()[0]
     assert got == ["a0", "1 b"]
+
+
+def test_greedy_near_duplicates_match_a_plain_loop(spark):
+    import random
+
+    r = random.Random(5)
+    rows = [(q, 100 * q + i, r.choice("ab"), r.randrange(2), " ".join(r.choice("pqrstuvw") * 3 for _ in range(r.randrange(1, 7))), i) for q in range(4) for i in range(25)]
+    df = spark.createDataFrame(rows, "qid LONG, id LONG, provision STRING, part INT, content STRING, rank INT")
+    kept, want = {}, set()
+    for q, i, p, part, text, _ in sorted(rows, key=lambda x: (x[0], x[5])):
+        own, group = set(text.split()), kept.setdefault((q, p, part), [])
+        if not any(len(own & k) / len(own | k) >= 0.6 for k in group):
+            group.append(own)
+            want.add(i)
+    assert {x.id for x in rank.near_dup_greedy(df, 0.6).collect()} == want
+
+
+def test_provision_chunks_match_a_plain_loop(spark):
+    import random
+    import re
+
+    r = random.Random(8)
+    marks = ["(1) ", "(2)", "(a) ", "(b) ", "(iv) ", "", "", "Explanation.- "]
+    rows = []
+    for i in range(40):
+        body = "\n".join(r.choice(marks) + " ".join("word%d" % r.randrange(99) + r.choice(["", "", "."]) for _ in range(r.randrange(1, 90))) for _ in range(r.randrange(1, 9)))
+        rows.append((i, "ATA", "section", str(i), r.choice(["", "Some title"]), body))
+    rows += [(50, "PPC", "article", "9A", "t", ""), (51, "PPC", "article", "9B", None, "(1) alone"), (52, "PPC", "section", "7", "x", "y" * 2500)]
+    want = []
+    for i, short, kind, number, title, body in rows:
+        head = f"{short} | {kind.title()} {number}" + (f": {title}" if title else "")
+        texts = [("", head, body)]
+        ls, now, kids = body.strip().split("\n"), None, []
+        for at, line in enumerate(ls):
+            m = re.match(structure.CHILD_MARKER, line)
+            if m:
+                label = m[1].lower()
+                now = label if label.isdigit() else now
+                end = next((j for j in range(at + 1, len(ls)) if re.match(structure.CHILD_MARKER, ls[j])), len(ls))
+                path = [label] if label.isdigit() else [now, label]
+                if now is not None:
+                    kids.append((path, at, re.sub(structure.CHILD_MARKER, "", "\n".join(ls[at:end])).strip()))
+        if len(kids) > 1 or any(len(p) > 1 for p, _, _ in kids):
+            texts += [(".".join(p) + f"@{at}", f"{head} | {kind.title()} {number}" + "".join(f"({x})" for x in p), t) for p, at, t in kids]
+        for path, h, t in texts:
+            limit = max(200, 1000 - len(h) - 2)
+            parts = [t.strip()] if len(t.strip()) <= limit else structure.split_text(t.strip(), limit, 150)
+            want += [(i, path, n, len(parts), f"{h}\n\n{p}".strip()) for n, p in enumerate(parts, 1)]
+    df = spark.createDataFrame(rows, "id LONG, short STRING, kind STRING, number STRING, title STRING, body STRING")
+    got = [(x.id, x.path, x.part, x.parts, x.chunk) for x in structure.provision_chunks(df).collect()]
+    assert sorted(got) == sorted(want)
+
+
+def test_pieces_fit_overlap_and_hold_the_text():
+    text = "\n\n".join(" ".join(f"w{i}x{j}." for j in range(i % 30 + 1)) for i in range(60))
+    pieces = structure.split_text(text, 300, 60)
+    assert all(0 < len(p) <= 300 for p in pieces) and set(text.split()) == {w for p in pieces for w in p.split()}
+    assert any(a.split()[-1] in b for a, b in zip(pieces, pieces[1:], strict=False)) and structure.split_text("a" * 950, 300, 0) == ["a" * 300] * 3 + ["a" * 50]

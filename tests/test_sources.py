@@ -58,3 +58,32 @@ def test_channel_windows_count_late_events_within_the_watermark(spark, tmp_path)
     q.awaitTermination(60)
     got = {(r.channel, r.events, r.failures, r.latency) for r in spark.table("windows").collect()}
     assert got == {("bm25", 2, 1, 3.0), ("dense", 1, 0, 3.0)}
+
+
+def test_delete_by_predicate_and_repeats(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    rows = [(1, "a", "x"), (2, "a", "x"), (3, None, "x"), (4, "b", None), (5, "b", None), (6, "a", "y")]
+    df = spark.createDataFrame(rows, "id LONG, doc STRING, text STRING")
+    a, b, c, d = (str(tmp_path / n) for n in "abcd")
+    df.write.parquet(a)
+    assert tables.delete_rows(spark, a, b, F.col("doc") == "a") == 3 and sorted(r.id for r in spark.read.parquet(b).collect()) == [3, 4, 5]
+    assert tables.delete_repeats(spark, a, c, ["doc", F.sha2("text", 256).alias("h")]) == 2 and sorted(r.id for r in spark.read.parquet(c).collect()) == [1, 3, 4, 6]
+    assert tables.reset(df, d) == 0 and spark.read.parquet(d).columns == df.columns
+
+
+def test_metadata_rules_stop_early(spark):
+    from lexloom.operators import metadata as M
+
+    empty = dict.fromkeys(M.FIELDS)
+    row = empty | {"document_id": "d", "chunk_id": "d::section::1::part-1::chunk-1", "provision_type": "Section", "provision_number": "1", "provision_ordinal": 1}
+    rows = [empty, row | {"provision_type": "rule"}, row | {"is_unsectioned_chunk": True}, row | {"provision_number": " "}]
+    schema = "id LONG, " + ", ".join(f"{k} {t}" for k, t in M.FIELDS.items())
+    df = spark.createDataFrame([(i, *r.values()) for i, r in enumerate(rows)], schema)
+    got = {}
+    for r in M.row_issues(df).collect():
+        got.setdefault(r.id, set()).add((r.field, r.rule))
+    assert got[0] == {(f, "blank") for f in M.TEXTS}
+    assert ("provision_type", "known") in got[1] and not any(f == "section_number" for f, _ in got[1])
+    assert {("provision_number", "unsectioned"), ("provision_ordinal", "unsectioned"), ("provision_identity", "unsectioned")} <= got[2] and ("chunk_id", "form") not in got[2]
+    assert ("provision_number", "blank") in got[3] and ("base_provision_number", "blank") not in got[3]
