@@ -338,25 +338,28 @@ def hybrid_rank(spark, sf_dir):
     return ranked(spark, sf_dir).where("rank <= 5").select("qid", "id", "methods", "final", "rank")
 
 
-_DUPS = [(1, 1, "a", 1, "one two three four five", 1, 0.9, 1), (1, 2, "a", 1, "one two three four five", 2, 0.8, 2), (1, 3, "a", 2, "one two three four five", 3, 0.7, 3), (1, 4, "b", 1, "six seven eight", 4, 0.6, 4), (1, 5, "b", 2, "nine ten", 5, 0.5, 5), (2, 6, "c", 1, "alpha beta gamma", 1, 0.4, 7), (2, 7, "c", 1, "alpha beta gamma delta", 2, 0.3, 8)]
-_DV = values("d", "qid, id, provision, part, content, rank, final, page", _DUPS)
+#: The ten best rows of each item, as parts of three provisions.
+_BEST = f"(SELECT qid, id, (id % 3)::VARCHAR AS provision, part, substring(content, 1, 300) AS content, rank, final, (id % 9 + 1)::INT AS page FROM {_SCORED} WHERE rank <= 10)"
+_DV = _BEST + " AS d"
 
 
-def _dups(spark):
-    return frame(spark, "qid LONG, id LONG, provision STRING, part INT, content STRING, rank INT, final DOUBLE, page INT", _DUPS)
+def _dups(spark, sf_dir):
+    i = F.col("id")
+    r = ranked(spark, sf_dir).where("rank <= 10")
+    return materialized(r.select("qid", "id", (i % 3).cast("string").alias("provision"), "part", F.substring("content", 1, 300).alias("content"), "rank", "final", (i % 9 + 1).cast("int").alias("page")), "best")
 
 
 _JAC = "len(list_intersect({a}, {b}))::DOUBLE / len(list_distinct(list_concat({a}, {b})))"
 
 
-@query(f"SELECT * FROM (SELECT a.qid, a.id AS kept, b.id AS dup, round({_JAC.format(a=toks('a.content'), b=toks('b.content'))}, 6) AS similarity FROM {_DV.replace('AS d(', 'AS a(')} JOIN {_DV.replace('AS d(', 'AS b(')} ON a.qid = b.qid AND a.provision = b.provision AND a.part = b.part AND a.rank < b.rank) WHERE similarity >= 0.7")
+@query(f"SELECT * FROM (SELECT a.qid, a.id AS kept, b.id AS dup, round({_JAC.format(a=toks('a.content'), b=toks('b.content'))}, 6) AS similarity FROM {_BEST} AS a JOIN {_BEST} AS b ON a.qid = b.qid AND a.provision = b.provision AND a.part = b.part AND a.rank < b.rank) WHERE similarity >= 0.1")
 def near_dup_pairs(spark, sf_dir):
-    return R.near_dup_pairs(_dups(spark), 0.7)
+    return R.near_dup_pairs(_dups(spark, sf_dir), 0.1)
 
 
 @query()
 def near_dup_greedy(spark, sf_dir):
-    return R.near_dup_greedy(_dups(spark), 0.94).select("qid", "id")
+    return R.near_dup_greedy(_dups(spark, sf_dir), 0.94).select("qid", "id")
 
 
 @query(f"SELECT a.item_id AS a, b.item_id AS b, round({_JAC.format(a=toks('a.text'), b=toks('b.text'))}, 6) AS jaccard FROM benchmark a JOIN benchmark b ON a.item_id < b.item_id WHERE len(list_intersect({toks('a.text')}, {toks('b.text')})) > 0")
@@ -378,13 +381,13 @@ def dedup_best(spark, sf_dir):
 @query(f"SELECT qid, id, (row_number() OVER (PARTITION BY qid ORDER BY pinned, rank, id))::INT AS place FROM (SELECT qid, id, min(pinned) AS pinned, min(rank) AS rank FROM (SELECT qid, id, 1 AS pinned, rank FROM {_DV} UNION ALL SELECT 1, 5, 0, 0) GROUP BY qid, id)")
 def exact_pinning(spark, sf_dir):
     pins = frame(spark, "qid LONG, id LONG, pinned INT, rank INT", [(1, 5, 0, 0)])
-    x = _dups(spark).select("qid", "id", F.lit(1).alias("pinned"), "rank").unionByName(pins).groupBy("qid", "id").agg(F.min("pinned").alias("pinned"), F.min("rank").alias("rank"))
+    x = _dups(spark, sf_dir).select("qid", "id", F.lit(1).alias("pinned"), "rank").unionByName(pins).groupBy("qid", "id").agg(F.min("pinned").alias("pinned"), F.min("rank").alias("rank"))
     return x.select("qid", "id", F.row_number().over(W.partitionBy("qid").orderBy("pinned", "rank", "id")).alias("place"))
 
 
-@query(f"SELECT qid, provision, string_agg(content, chr(10) || chr(10) ORDER BY part, rank) AS content, min(p0)::INT AS page_start, max(p1)::INT AS page_end FROM (SELECT qid, provision, content, min(part) AS part, min(rank) AS rank, min(page) AS p0, max(page) AS p1 FROM {_DV} GROUP BY qid, provision, content) GROUP BY qid, provision")
+@query(f"SELECT qid, provision, string_agg(content, chr(10) || chr(10) ORDER BY first) AS content, min(p0)::INT AS page_start, max(p1)::INT AS page_end FROM (SELECT qid, provision, content, min({{'part': part, 'rank': rank}}) AS first, min(page) AS p0, max(page) AS p1 FROM {_DV} GROUP BY qid, provision, content) GROUP BY qid, provision")
 def merge_parts(spark, sf_dir):
-    return R.merge_parts(_dups(spark).withColumnRenamed("rank", "chunk"))
+    return R.merge_parts(_dups(spark, sf_dir).withColumnRenamed("rank", "chunk"))
 
 
 @query(f"""WITH r AS (SELECT qid, id, final, (id % 3)::VARCHAR AS provision FROM ({_HYBRID})), g AS (SELECT *, row_number() OVER w AS g, coalesce(sum(n) OVER (PARTITION BY qid ORDER BY best DESC, provision ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
@@ -413,7 +416,7 @@ def confidence(spark, sf_dir):
 @query(f"SELECT qid, string_agg('[Source ' || rank || '] ' || upper(provision) || chr(10) || content, chr(10) || '---' || chr(10) ORDER BY rank) AS context FROM {_DV} GROUP BY qid")
 def format_context(spark, sf_dir):
     block = F.concat(F.lit("[Source "), F.col("rank"), F.lit("] "), F.upper("provision"), F.lit("\n"), F.col("content"))
-    x = _dups(spark).select("qid", F.struct("rank", block.alias("b")).alias("s")).groupBy("qid").agg(F.array_sort(F.collect_list("s")).alias("s"))
+    x = _dups(spark, sf_dir).select("qid", F.struct("rank", block.alias("b")).alias("s")).groupBy("qid").agg(F.array_sort(F.collect_list("s")).alias("s"))
     return x.select("qid", F.array_join(F.transform("s", lambda v: v["b"]), "\n---\n").alias("context"))
 
 
@@ -423,7 +426,7 @@ _ANS = [(1, "See [Source 2] and [source 4]."), (2, "No citation.")]
 @query(f"""SELECT d.qid, d.id FROM {_DV} JOIN (SELECT qid, list_transform(regexp_extract_all(answer, '(?i)\\[source (\\d+)\\]', 1), lambda x: x::INT) AS cited FROM {values('a', 'qid, answer', _ANS)}) a USING (qid) WHERE len(cited) = 0 OR list_contains(cited, d.rank)""")
 def cited_sources(spark, sf_dir):
     a = frame(spark, "qid LONG, answer STRING", _ANS).withColumn("cited", F.regexp_extract_all("answer", F.lit(r"(?i)\[source (\d+)\]"), F.lit(1)).cast("array<int>"))
-    return _dups(spark).join(F.broadcast(a), "qid").where((F.size("cited") == 0) | F.expr("array_contains(cited, rank)")).select("qid", "id")
+    return _dups(spark, sf_dir).join(F.broadcast(a), "qid").where((F.size("cited") == 0) | F.expr("array_contains(cited, rank)")).select("qid", "id")
 
 
 _EXPL = [(1, "3", "section"), (2, "999", "section"), (3, None, None)]
