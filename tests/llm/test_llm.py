@@ -357,6 +357,32 @@ def test_leaks_exact_and_edited(spark):
     assert got == want
 
 
+def test_leaks_reach_their_recall_against_a_full_search(spark):
+    r = random.Random(12)
+    items = [words(2000 + i, r.randrange(12, 30), 800).split() for i in range(25)]
+    docs = []
+    for k in range(120):
+        w = list(items[k % 25])
+        for _ in range(r.randrange(0, len(w) // 4 + 2)):
+            p = r.randrange(len(w))
+            w[p : p + 1] = r.choice([[], ["new%d" % r.randrange(99)], [w[p], "put"]])
+        docs.append(words(k, 15, 800).split() + w + words(k + 500, 15, 800).split())
+
+    def nearest(item, doc):
+        row = [0] * (len(doc) + 1)
+        for i, x in enumerate(item, 1):
+            old, row = row, [i]
+            for j, y in enumerate(doc, 1):
+                row.append(min(old[j] + 1, row[j - 1] + 1, old[j - 1] + (x != y)))
+        return min(row)
+
+    want = {(d, i, n) for d, doc in enumerate(docs) for i, item in enumerate(items) if (n := nearest(item, doc)) <= decontaminate.edits(len(item), decontaminate.DISTANCE)}
+    a = spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(docs)], "doc_id LONG, text STRING")
+    b = spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(items)], "item_id LONG, text STRING")
+    got = {(x.doc_id, x.item_id, x.distance) for x in decontaminate.find_leaks(a.unionByName(a.limit(5)), b).collect()}
+    assert got <= want and len(got) >= 0.9 * len(want) > 60
+
+
 def test_leak_cases(spark):
     items = spark.createDataFrame([(1, "some text without an id line")], "item_id LONG, text STRING")
     assert [(r.doc_id, r.item_id) for r in decontaminate.find_leaks(odd(spark), items).collect()] == [(None, 1)]
