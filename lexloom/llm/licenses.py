@@ -1,12 +1,16 @@
 """Licence scans with a positional rare-token index.
 
 The words of every template and phrase have an inverse document frequency over all
-documents. The index holds a few of the rarest words of each template with their
-positions. A file looks up its own occurrences of such words, rarest first; each posting
-proposes where the template would start, and places on which enough words fall are
-verified: at a phrase, every word must stand at its relative position; at a template,
-the share of matching words is its score and its mandatory key phrases must stand within
-reach. A phrase is indexed by its rarest word alone, so each of its places is found.
+documents. The index holds the rarest words of each template with their positions: two
+places more than a match may miss, so a match holds two of them at least. A file looks up
+its own occurrences of such words; each posting proposes where the template would start,
+and places on which two fall are verified: at a phrase, every word must stand at its
+relative position; at a template, the share of matching words is its score and its
+mandatory key phrases must stand within reach. A phrase is indexed by its rarest word
+alone, so each of its places is found.
+
+Licences are given by their sentences, each a template, so that a body with sentences
+left out, put in or reworded is still met by the others.
 
 Defined cases: a null or empty text has no words and no matches, score 0; words of
 documents that don't occur in the index play no part; an empty table gives an empty
@@ -52,10 +56,28 @@ TEMPLATES = [
     ("cc-by-4.0", "licensed under cc by 4 0", ["cc by 4"]),
     ("cc0", "dedicated to the public domain under cc0 1 0 universal", ["public domain", "cc0"]),
     ("unlicense", "this is free and unencumbered software released into the public domain", ["free and unencumbered software"]),
+    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", ["this permission notice", "substantial portions of the software"]),
+    ("mit", "including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software", ["publish distribute sublicense", "copies of the software"]),
+    ("mit", "in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise", ["authors or copyright holders", "action of contract"]),
+    ("apache-2.0", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied", ["distributed under the license", "warranties or conditions of any kind"]),
+    ("apache-2.0", "see the license for the specific language governing permissions and limitations under the license", ["specific language governing permissions"]),
+    ("gpl", "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose", ["in the hope that it will be useful", "without any warranty"]),
+    ("gpl", "you should have received a copy of the gnu general public license along with this program", ["received a copy of the gnu general public license"]),
+    ("lgpl", "you should have received a copy of the gnu lesser general public license along with this library", ["gnu lesser general public license"]),
+    ("bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer", ["redistributions of source code", "following disclaimer"]),
+    ("bsd", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution", ["redistributions in binary form", "following disclaimer"]),
+    ("bsd-3-clause", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", ["endorse or promote products", "specific prior written permission"]),
+    ("isc", "provided that the above copyright notice and this permission notice appear in all copies", ["this permission notice appear in all copies"]),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software", ["express or implied warranty", "authors be held liable"]),
+    ("zlib", "altered source versions must be plainly marked as such and must not be misrepresented as being the original software", ["altered source versions", "plainly marked"]),
+    ("mpl-2.0", "if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0", ["copy of the mpl", "mozilla org mpl"]),
+    ("unlicense", "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary", ["anyone is free to copy", "compiled binary"]),
+    ("cc-by-4.0", "this work is licensed under a creative commons attribution 4 0 international license", ["creative commons attribution"]),
+    ("cc-by-sa", "this work is licensed under a creative commons attribution sharealike 4 0 international license", ["attribution sharealike"]),
+    ("cc-by-nc", "this work is licensed under a creative commons attribution noncommercial 4 0 international license", ["attribution noncommercial"]),
 ]
-#: Rare words a template is indexed by; least share of its words at a place; how far a
-#: key phrase may stand from the place.
-ANCHORS, LEAST, REACH = 6, 0.7, 12
+#: Least share of a template's words at a place; how far a key phrase may stand from it.
+LEAST, REACH = 0.7, 12
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -87,11 +109,15 @@ class RareIndex:
         self.idf = {w: math.log1p(n_docs / (1 + df.get(w, 0))) for t in templates for w in t.words}
         postings = defaultdict(list)
         for k, t in enumerate(templates):
-            distinct = sorted(set(t.words), key=lambda w: (-self.idf[w], w))[: 1 if t.exact else ANCHORS]
-            for w in distinct:
-                # A phrase needs one position of its anchor, a template all.
+            # A phrase needs one position of its rarest word; a template all positions of
+            # so many words that a match, which may miss some, holds two.
+            need = 1 if t.exact else min(len(t.words), math.floor((1 - LEAST) * len(t.words) + 1e-9) + 2)
+            for w in sorted(set(t.words), key=lambda w: (-self.idf[w], w)):
+                if need <= 0:
+                    break
                 at = [i for i, x in enumerate(t.words) if x == w]
                 postings[w] += [(k, i) for i in (at[:1] if t.exact else at)]
+                need -= len(at)
         self.postings = dict(postings)
 
     def scan(self, words: list[bytes]) -> list[tuple[str, int, int, float, bool]]:
