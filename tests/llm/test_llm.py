@@ -105,6 +105,28 @@ def test_licence_places_match_brute_force(spark):
         assert sorted((m.label, m.first_word) for m in found[i].matches if m.exact) == want and found[i].n_words == len(w)
 
 
+def test_templates_match_brute_force(spark):
+    r = random.Random(4)
+    known = [t for t in licenses.all_templates() if not t.exact]
+    texts = []
+    for _ in range(60):
+        w = [b.decode() for b in r.choice(known).words]
+        for _ in range(r.randrange(0, len(w) // 3 + 1)):
+            w[r.randrange(len(w))] = r.choice(["other", "the", "license", "software"])
+        texts.append(" ".join(["before"] * r.randrange(3) + w[r.choice([0, 0, 1]) :] + ["after the license"] * r.randrange(3)))
+    found = {x.doc_id: x for x in licenses.scan_licenses(frame(spark, [*texts, " ".join(texts)])).collect()}
+    for i, text in enumerate([*texts, " ".join(texts)]):
+        w, want = text.encode().split(), set()
+        for t in known:
+            n = len(t.words)
+            for s in range(1 - n, len(w)):
+                same = sum(0 <= s + k < len(w) and w[s + k] == x for k, x in enumerate(t.words))
+                lo, hi = max(0, s - licenses.REACH), s + n + licenses.REACH
+                if same >= licenses.LEAST * n and all(any(w[a : a + len(key)] == key for a in range(lo, max(0, hi))) for key in t.keys):
+                    want.add((t.label, max(0, s), min(len(w), s + n) - 1, round(same / n, 9)))
+        assert {(m.label, m.first_word, m.last_word, round(m.score, 9)) for m in found[i].matches if not m.exact} == want
+
+
 def test_templates_need_their_key_phrases(spark):
     texts = ["Released under the MIT license.", "released under the mitt licence", "Licensed under the Apache License, Version 2.0."]
     got = {r.doc_id: {m.label for m in r.matches} for r in licenses.scan_licenses(frame(spark, texts)).collect()}
