@@ -56,40 +56,28 @@ def clean_whitespace(c: Column) -> Column:
     return F.regexp_replace(F.translate(x, " ", " "), "\r\n?", "\n")
 
 
+def substituted(c: Column, steps: list[tuple[str, str]]) -> Column:
+    """c after substitutions in order; \1 stands for a group."""
+    return reduce(lambda x, s: F.regexp_replace(x, s[0], s[1].replace("\\", "$")), steps, c)
+
+
 def dehyphenate(c: Column) -> Column:
     """Words and numbers that a line end has split."""
-    x = F.regexp_replace(c, r"([A-Za-z])-\s*\n\s*([a-z])", "$1$2")
-    return F.regexp_replace(x, r"\b(\d+)-\s*\n\s*([A-Z])\.", "$1-$2.")
+    return substituted(c, dims.SPLIT_WORDS)
 
 
 def ocr_repair(c: Column) -> Column:
-    for wrong, right in dims.OCR_REPAIRS.items():
-        c = F.regexp_replace(c, r"(?i)\Q" + wrong + r"\E", right)
-    c = F.regexp_replace(c, r"\b(a|an|the|of|to|for|in|on|by|or|and)([A-Z][a-z]{2,})\b", "$1 $2")
-    follow = "the|a|an|any|every|his|her|their|this|that|which|whom|whose|person|property|law|code|court|section|offence|imprisonment|fine|government|case|accused|convict|servant|agent|public"
-    c = F.regexp_replace(c, rf"(?i)\b(and|or|the|of|to|for|with|in|on|by)({follow})\b", "$1 $2")
-    return F.regexp_replace(c, r"([A-Za-z])(\d{2,4})\b", "$1 $2")
+    """Joined words: the listed ones, then those of the patterns."""
+    return substituted(c, [(r"(?i)\Q" + wrong + r"\E", right) for wrong, right in dims.OCR_REPAIRS.items()] + dims.JOINED_WORDS)
 
 
 def strip_citation_marks(c: Column) -> Column:
     """Amendment marks within a line, in order; text they enclose stays."""
-    steps = [
-        (r"\b\d+\[\s*(\(\d+\))", "$1"),
-        (r"(\w)\d+\[([A-Za-z(\"'])", "$1 $2"),
-        (r"\]\s*\d+([;,.:\s]|$)", "$1"),
-        (r"(^|[^\w])\d+\[\]($|[^\w])", "$1$2"),
-        (r"(^|[^\w])\d+\[($|[^\w])", "$1$2"),
-        (r"(^|[^\w])\[\d+\]($|[^\w])", "$1$2"),
-        (r"(^|[^\w])\]([;,.:\s]|$)", "$1$2"),
-        (r"(?i)([a-z_])\d+(\s+(?:but|provided|except|and)\b)", "$1$2"),
-        (r"\s{2,}", " "),
-    ]
-    return F.trim(reduce(lambda x, s: F.regexp_replace(x, *s), steps, c))
+    return F.trim(substituted(c, dims.CITATION_MARKS))
 
 
 def punct_spacing(c: Column) -> Column:
-    steps = [(r"[ \t]+([,.;:!?])", "$1"), (r"([,;:!?])([A-Za-z])", "$1 $2"), (r"\([ \t]+", "("), (r"[ \t]+\)", ")"), (r"([A-Za-z])(\d{2,4})\b", "$1 $2"), (r"[ \t]{2,}", " "), (r"\n{3,}", "\n\n")]
-    return F.trim(reduce(lambda x, s: F.regexp_replace(x, *s), steps, c))
+    return F.trim(substituted(c, dims.SPACING))
 
 
 def is_artifact(line: Column) -> Column:

@@ -86,6 +86,21 @@ OCR_REPAIRS = {
     "isliable": "is liable",
 }
 
+# Substitutions, in order; \1 stands for a group. Words that a line end splits;
+# words that scanning joins; amendment marks within a line; spacing of marks.
+SPLIT_WORDS = [(r"([A-Za-z])-\s*\n\s*([a-z])", r"\1\2"), (r"\b(\d+)-\s*\n\s*([A-Z])\.", r"\1-\2.")]
+JOINED_WORDS = [
+    (r"\b(a|an|the|of|to|for|in|on|by|or|and)([A-Z][a-z]{2,})\b", r"\1 \2"),
+    (r"(?i)\b(and|or|the|of|to|for|with|in|on|by)(the|a|an|any|every|his|her|their|this|that|which|whom|whose|person|property|law|code|court|section|offence|imprisonment|fine|government|case|accused|convict|servant|agent|public)\b", r"\1 \2"),
+    (r"([A-Za-z])(\d{2,4})\b", r"\1 \2"),
+]
+CITATION_MARKS = [
+    (r"\b\d+\[\s*(\(\d+\))", r"\1"), (r"(\w)\d+\[([A-Za-z(\"'])", r"\1 \2"), (r"\]\s*\d+([;,.:\s]|$)", r"\1"), (r"(^|[^\w])\d+\[\]($|[^\w])", r"\1\2"),
+    (r"(^|[^\w])\d+\[($|[^\w])", r"\1\2"), (r"(^|[^\w])\[\d+\]($|[^\w])", r"\1\2"), (r"(^|[^\w])\]([;,.:\s]|$)", r"\1\2"),
+    (r"(?i)([a-z_])\d+(\s+(?:but|provided|except|and)\b)", r"\1\2"), (r"\s{2,}", " "),
+]
+SPACING = [(r"[ \t]+([,.;:!?])", r"\1"), (r"([,;:!?])([A-Za-z])", r"\1 \2"), (r"\([ \t]+", "("), (r"[ \t]+\)", ")"), (r"([A-Za-z])(\d{2,4})\b", r"\1 \2"), (r"[ \t]{2,}", " "), (r"\n{3,}", "\n\n")]
+
 # Whole lines that are headers, footers or marks of a page.
 HEADER_PATTERNS = [r"\s*Pakistan\s+Penal\s+Code(?:\s*\([^)]*\))?\s*", r"\s*Pakistan\s+Penal\s+Code\s*\(Act\s+XLV\s+of\s+1860\)\s*"]
 FOOTER_PATTERN = r"\s*(?:page\s*)?\d+\s*"

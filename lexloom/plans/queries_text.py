@@ -53,19 +53,17 @@ def clean_whitespace(spark, sf_dir):
     return _hashed(table(spark, sf_dir, "documents"), T.clean_whitespace(F.col("text")))
 
 
-@query(_DOC.format(x=sql_replace("text", (r"([A-Za-z])-\s*\n\s*([a-z])", r"\1\2"), (r"\b(\d+)-\s*\n\s*([A-Z])\.", r"\1-\2."))))
+@query(_DOC.format(x=sql_replace("text", *dims.SPLIT_WORDS)))
 def dehyphenate(spark, sf_dir):
     return _hashed(table(spark, sf_dir, "documents"), T.dehyphenate(F.col("text")))
 
 
 _OCR = [(r"(?i)" + w.replace(",", "[,]"), r) for w, r in dims.OCR_REPAIRS.items()]
-_OCR += [
-    (r"\b(a|an|the|of|to|for|in|on|by|or|and)([A-Z][a-z]{2,})\b", r"\1 \2"),
-    (r"(?i)\b(and|or|the|of|to|for|with|in|on|by)(the|a|an|any|every|his|her|their|this|that|which|whom|whose|person|property|law|code|court|section|offence|imprisonment|fine|government|case|accused|convict|servant|agent|public)\b", r"\1 \2"),
-    (r"([A-Za-z])(\d{2,4})\b", r"\1 \2"),
-]
+_OCR += dims.JOINED_WORDS
 
 
+#: Over benchmark items, whose letters are ASCII: word boundaries beside other letters differ
+#: between the engines.
 @query(f"SELECT item_id AS doc_id, md5(x) AS h, length(x) AS n FROM (SELECT item_id, {sql_replace('text', *_OCR)} AS x FROM benchmark)")
 def ocr_repair(spark, sf_dir):
     b = table(spark, sf_dir, "benchmark").withColumnRenamed("item_id", "doc_id")
@@ -85,22 +83,12 @@ def lines(spark):
     return frame(spark, "pos LONG, line STRING, doc STRING", LINES)
 
 
-_MARKS = [
-    (r"\b\d+\[\s*(\(\d+\))", r"\1"), (r"(\w)\d+\[([A-Za-z(\"'])", r"\1 \2"), (r"\]\s*\d+([;,.:\s]|$)", r"\1"), (r"(^|[^\w])\d+\[\]($|[^\w])", r"\1\2"),
-    (r"(^|[^\w])\d+\[($|[^\w])", r"\1\2"), (r"(^|[^\w])\[\d+\]($|[^\w])", r"\1\2"), (r"(^|[^\w])\]([;,.:\s]|$)", r"\1\2"),
-    (r"(?i)([a-z_])\d+(\s+(?:but|provided|except|and)\b)", r"\1\2"), (r"\s{2,}", " "),
-]
-
-
-@query(f"SELECT pos, trim({sql_replace('line', *_MARKS)}) AS line FROM {_LN}")
+@query(f"SELECT pos, trim({sql_replace('line', *dims.CITATION_MARKS)}) AS line FROM {_LN}")
 def strip_citation_marks(spark, sf_dir):
     return lines(spark).select("pos", T.strip_citation_marks(F.col("line")).alias("line"))
 
 
-_PUNCT = [(r"[ \t]+([,.;:!?])", r"\1"), (r"([,;:!?])([A-Za-z])", r"\1 \2"), (r"\([ \t]+", "("), (r"[ \t]+\)", ")"), (r"([A-Za-z])(\d{2,4})\b", r"\1 \2"), (r"[ \t]{2,}", " "), (r"\n{3,}", "\n\n")]
-
-
-@query(f"SELECT doc_id, md5(x) AS h, length(x) AS n FROM (SELECT doc_id, trim({sql_replace('text', *_PUNCT)}) AS x FROM documents)")
+@query(f"SELECT doc_id, md5(x) AS h, length(x) AS n FROM (SELECT doc_id, trim({sql_replace('text', *dims.SPACING)}) AS x FROM documents)")
 def punct_spacing(spark, sf_dir):
     return _hashed(table(spark, sf_dir, "documents").withColumn("x", T.punct_spacing(F.col("text"))), F.col("x"))
 
