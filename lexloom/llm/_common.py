@@ -160,12 +160,13 @@ def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
 KEY_ROWS = 1 << 16
 
 
-def spread_join(big: DataFrame, small: DataFrame, key: str, total: int) -> DataFrame:
+def spread_join(big: DataFrame, small: DataFrame, key: str | list[str], total: int) -> DataFrame:
     """big joined with small, which has each key once and in ``n`` how many rows of big it
     meets. Keys of many rows are dealt to several tasks, to which small's row is copied.
     total: rows of big; at most KEY_ROWS keys are heavy, so their list can be broadcast."""
+    key = [key] if isinstance(key, str) else key
     each = max(KEY_ROWS, total // KEY_ROWS)
-    heavy = small.where(F.col("n") > each).select(key, F.ceil(F.col("n") / each).cast("int").alias("_parts"))
+    heavy = small.where(F.col("n") > each).select(*key, F.ceil(F.col("n") / each).cast("int").alias("_parts"))
     dealt = big.join(F.broadcast(heavy), key, "left").withColumn("_part", F.pmod(F.xxhash64(*big.columns), F.coalesce("_parts", F.lit(1))).cast("int")).drop("_parts")
     copies = small.withColumn("_part", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.col("n") / each).cast("int") - 1))))
-    return dealt.join(copies, [key, "_part"]).drop("_part", "n")
+    return dealt.join(copies, [*key, "_part"]).drop("_part", "n")

@@ -257,7 +257,7 @@ def repeats(src: DataFrame, length: int, k: int, group: int) -> DataFrame:
     kinds = found.groupBy("h", "rest", "mixed").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*key, "at")).alias("rep"))
     kinds = written(kinds.select("h", "rest", "mixed", "n", "rep.*"), "kinds")
     # Whole regions that occur twice.
-    whole = found.join(kinds.where("n > 1").select("h", "rest"), ["h", "rest"], "left_semi").select(*key, "at")
+    whole = spread_join(found.drop("mixed"), kinds.where("n > 1").select("h", "rest", "n"), ["h", "rest"], found.count()).select(*key, "at")
     first = F.shiftright("at", 20) - F.shiftright("at", 10).bitwiseAND(1023)
     whole = whole.select(*key, first.alias("start"), (F.shiftright("at", 20) + k + F.col("at").bitwiseAND(1023)).alias("end"))
     # Regions that share their minimizer with other ones, if some of them occur once.
