@@ -16,6 +16,9 @@ QUERIES = {
     "op8_decontaminate": ("decontaminate", None),
     "op9_langid": ("langid", None),
     "op10_quality": ("quality", None),
+    "op11_runs": ("runs", None),
+    "op12_exact_dedup": ("exact_dedup", "OP12_SQL"),
+    "op13_filter_audit": ("filter_audit", "OP13_SQL"),
 }
 
 
