@@ -2,15 +2,18 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as
 Parquet and read again as the next stage's docs. All but the last return the columns of
-documents. Defined cases are those of the operators. Stages that drop rows know a row by
-its id and its text, so rows without an id are judged like others, and rows that share an
-id each for itself; rows with the same id and text leave near-dedup as one.
+documents. Defined cases are those of the operators. Ids and other columns may have any
+type. Stages that drop rows know a row by its id and its text, so rows without an id are
+judged like others, and rows that share an id each for itself. Of rows alike in both
+near-dedup keeps one, as of any group that it links; those without words it doesn't link
+and keeps, as it keeps rows alike only in the id.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from lexloom.llm import bpe, decontaminate, line_dedup, near_dedup, quality
 from lexloom.llm._common import written
@@ -20,10 +23,16 @@ ORACLE_SQL = None
 
 
 def _row(docs: DataFrame) -> Column:
-    """A row's id and text as 24 bytes in the order of ids of at least 0; others come last."""
-    own = F.coalesce(F.hex(F.col("doc_id").cast("long")), F.lit("F" * 16))
-    parts = [own, F.hex(F.xxhash64("text")), F.hex(F.xxhash64(F.lit(1), "text"))]
-    return F.unhex(F.concat(*[F.lpad(p, 16, "0") for p in parts]))
+    """A row's id and text as bytes in the order of the ids; rows without an id come last.
+    Whole numbers become 8 bytes in their order, other ids the bytes of their text."""
+    c, kind = F.col("doc_id"), docs.schema["doc_id"].dataType
+    if isinstance(kind, IntegralType):
+        # The sign's bit turned, so that negative numbers come first.
+        own = F.lpad(F.hex(c.cast("long").bitwiseXOR(F.lit(-(2**63)))), 16, "0")
+    else:
+        own = F.concat(F.hex(F.encode(c.cast("string"), "UTF-8")), F.lit("00"))
+    text = [F.lpad(F.hex(h), 16, "0") for h in (F.xxhash64("text"), F.xxhash64(F.lit(1), "text"))]
+    return F.unhex(F.concat(F.when(c.isNull(), "FF").otherwise(F.concat(F.lit("01"), own)), *text))
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,10 +52,13 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, of the smallest id, of each group of near copies."""
     keyed = docs.withColumn("_lexloom_row", _row(docs))
-    groups = near_dedup.near_groups(keyed, id_col="_lexloom_row")
-    gone = groups.where("NOT kept").select(F.col("id").alias("_lexloom_row")).distinct()
-    kept = keyed.join(gone, "_lexloom_row", "left_anti")
-    return kept.groupBy("_lexloom_row").agg(F.min(F.struct(*docs.columns)).alias("d")).select("d.*")
+    groups = near_dedup.near_groups(keyed, id_col="_lexloom_row").groupBy(F.col("id").alias("_lexloom_row"))
+    rows = groups.agg(F.bool_or(~F.col("kept")).alias("_lexloom_gone"), F.count(F.lit(1)).alias("n"), F.max("n_shingles").alias("k"))
+    # Only these matter: rows that go, and those that come more than once.
+    marked = keyed.join(rows.where("_lexloom_gone OR (n > 1 AND k > 0)").drop("n", "k"), "_lexloom_row", "left")
+    once = marked.where("_lexloom_gone IS NULL")
+    again = marked.where("NOT _lexloom_gone").dropDuplicates(["_lexloom_row"])
+    return once.unionByName(again).select(*docs.columns)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

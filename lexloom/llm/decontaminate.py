@@ -249,10 +249,10 @@ def find_leaks(docs: DataFrame, items: DataFrame, *, distance: float = DISTANCE,
     spark = docs.sparkSession
     small_batches(spark)
     src = docs.select(F.col(column_of(docs, id_col)).cast("string").alias("d"), F.col(column_of(docs, text_col)).alias("t")).where("t IS NOT NULL")
-    asked = items.select(F.col(column_of(items, item_col)).cast("long").alias("i"), F.col(column_of(items, item_text_col)).alias("t")).where("i IS NOT NULL AND t IS NOT NULL").distinct()
-    schema = "d string, item_id long, distance long, first_word long, last_word long"
+    asked = items.select(F.col(column_of(items, item_col)).cast("string").alias("i"), F.col(column_of(items, item_text_col)).alias("t")).where("i IS NOT NULL AND t IS NOT NULL").distinct()
+    schema = "d string, item_id string, distance long, first_word long, last_word long"
 
-    def against(block: list[tuple[int, str]]) -> DataFrame:
+    def against(block: list[tuple[str, str]]) -> DataFrame:
         held = spark.sparkContext.broadcast(Items(block, distance, min_words))
 
         def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -286,8 +286,8 @@ def find_leaks(docs: DataFrame, items: DataFrame, *, distance: float = DISTANCE,
     parts.append(against(block))
     found = reduce(DataFrame.unionByName, parts)
     best = F.min(F.struct("distance", "first_word", "last_word")).alias("m")
-    kind = docs.schema[column_of(docs, id_col)].dataType
-    return found.groupBy(F.col("d").cast(kind).alias("doc_id"), "item_id").agg(best).select("doc_id", "item_id", "m.*")
+    kind, item_kind = docs.schema[column_of(docs, id_col)].dataType, items.schema[column_of(items, item_col)].dataType
+    return found.groupBy(F.col("d").cast(kind).alias("doc_id"), F.col("item_id").cast(item_kind).alias("item_id")).agg(best).select("doc_id", "item_id", "m.*")
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -133,7 +133,7 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, *, k: int = K, id_col: s
         x = F.col(vec_col)
         fit = x.isNotNull() & F.col(id_col).isNotNull() & F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e.cast("double")) & (F.abs(e.cast("double")) < float("inf")))
         v = F.transform(x, lambda e: F.floor(e.cast("double") * scale).cast("long"))
-        return df.where(fit).select(F.col(id_col).cast("long").alias("id"), v.alias("v"), F.size(x).alias("dim"))
+        return df.where(fit).select(F.col(id_col).alias("id"), v.alias("v"), F.size(x).alias("dim"))
 
     rows, asked = whole(vectors), whole(queries)
     n_rows = max(1, -(-rows.count() // block_rows))
@@ -146,10 +146,14 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, *, k: int = K, id_col: s
     asked = asked.withColumn("qb", block(2, n_queries)).withColumn("rb", F.explode(F.sequence(F.lit(0), F.lit(n_rows - 1))))
     cell = ["qb", "rb", "dim"]
 
+    kind = rows.schema["id"].dataType.simpleString()
+
     def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        return cell_top(a, b if len(a) else b.iloc[:0], k) if len(a) and len(b) else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+        if len(a) and len(b):
+            return cell_top(a, b, k)
+        return pd.DataFrame({"query_id": b["id"].iloc[:0], "vec_id": b["id"].iloc[:0], "score": np.zeros(0, np.int64)})
 
-    best = asked.groupBy(*cell).cogroup(rows.groupBy(*cell)).applyInPandas(run, "query_id long, vec_id long, score long")
+    best = asked.groupBy(*cell).cogroup(rows.groupBy(*cell)).applyInPandas(run, f"query_id {kind}, vec_id {kind}, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

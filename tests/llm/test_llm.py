@@ -550,10 +550,35 @@ def test_pipeline_stages_take_odd_rows(spark):
             assert name == "bpe" or out.columns == docs.columns
 
 
+def test_pipeline_stages_take_any_id_and_column(spark):
+    import corpus_pipeline as cp
+
+    sf = "/root/testdata/sf0.001"
+    item = spark.read.parquet(f"{sf}/benchmark.parquet").where("length(text) > 60").first().text
+    rows = [("b", words(3, 50), {"k": 1}), ("a", words(3, 50) + " end", {"k": 2}), ("a", words(4, 50), {"k": 3}), ("a", words(4, 50), {"k": 4}), ("c", "", {"k": 5}), ("c", "", {"k": 6}), (None, item, None)]
+    docs = spark.createDataFrame(rows, "doc_id STRING, text STRING, more MAP<STRING, INT>")
+    for name, stage in cp.STAGES:
+        stage(spark, docs, sf).collect()
+    one = cp.keep_one_of_near_copies(spark, docs, sf).collect()
+    assert sorted((r.doc_id or "", r.text) for r in one) == sorted([("a", rows[1][1]), ("a", rows[2][1]), ("c", ""), ("c", ""), ("", item)])
+    assert len(cp.decontaminated(spark, docs, sf).collect()) == 6
+    signed = spark.createDataFrame([(-5, words(3, 50)), (2, words(3, 50))], "doc_id INT, text STRING")
+    assert [r.doc_id for r in cp.keep_one_of_near_copies(spark, signed, sf).collect()] == [-5]
+
+
+def test_ids_of_items_and_vectors_may_be_strings(spark):
+    item = words(5, 20)
+    leaks = decontaminate.find_leaks(frame(spark, ["x " + item]), spark.createDataFrame([("q1", item)], "item_id STRING, text STRING"))
+    assert [(r.doc_id, r.item_id) for r in leaks.collect()] == [(0, "q1")]
+    v = spark.createDataFrame([("b", [1.0, 0.0]), ("a", [1.0, 0.0]), ("c", [0.0, 1.0])], "vec_id STRING, embedding ARRAY<FLOAT>")
+    got = topk.exact_top_k(v, v.where("vec_id = 'c'"), k=2).collect()
+    assert sorted((r.query_id, r.rank, r.vec_id) for r in got) == [("c", 1, "a"), ("c", 2, "b")]
+
+
 def test_contract_columns(spark):
     from lexloom.llm import registry
 
-    assert len(registry.queries()) == 10
+    assert len(registry.queries()) == 13
     one = topk.op4_topk(spark, "/root/testdata/sf0.001")
     assert one.dtypes[:4] == [("query_id", "bigint"), ("rank", "int"), ("vec_id", "bigint"), ("score", "bigint")]
     digest = line_dedup.op7_line_dedup(spark, "/root/testdata/sf0.001").where(F.col("doc_id") == 0).first()
