@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -50,15 +51,35 @@ def distinct_strings(c: Column) -> Column:
     return F.array_distinct(F.filter(F.transform(c, lambda x: F.trim(x)), lambda x: x != ""))
 
 
+def uni(pattern: str) -> str:
+    """The pattern with classes and boundaries of all scripts, not of ASCII alone."""
+    return "(?U)" + pattern
+
+
+def stripped(c: Column) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.regexp_replace(c, uni(r"^\s+|\s+$"), "")
+
+
 def clean_whitespace(c: Column) -> Column:
     """Invisible characters out, hard spaces to spaces, line ends to LF."""
-    x = F.regexp_replace(c, "[­​‌‍⁠﻿]", "")
-    return F.regexp_replace(F.translate(x, " ", " "), "\r\n?", "\n")
+    x = F.regexp_replace(c, "[\u00ad\u200b\u200c\u200d\u2060\ufeff]", "")
+    return F.regexp_replace(F.translate(x, "\u00a0", " "), "\r\n?", "\n")
 
 
 def substituted(c: Column, steps: list[tuple[str, str]]) -> Column:
-    """c after substitutions in order; \1 stands for a group."""
-    return reduce(lambda x, s: F.regexp_replace(x, s[0], s[1].replace("\\", "$")), steps, c)
+    """c after substitutions in order; \\1 stands for a group."""
+    return reduce(lambda x, s: F.regexp_replace(x, uni(s[0]), s[1].replace("\\", "$")), steps, c)
+
+
+def counted(c: Column, steps: list[tuple[str, str]]) -> Column:
+    """(t, n): the same, and how many places were substituted. Texts without a place of any
+    step, which most are, are scanned once."""
+    own = F.array(*[F.struct(F.lit(uni(p)).alias("p"), F.lit(r.replace("\\", "$")).alias("r")) for p, r in steps])
+    once = "|".join(f"(?:{p})" for p, _ in steps)
+    none = F.struct(c.alias("t"), F.lit(0).cast("long").alias("n"))
+    step = lambda acc, s: F.struct(F.regexp_replace(acc["t"], s["p"], s["r"]).alias("t"), (acc["n"] + F.regexp_count(acc["t"], s["p"])).alias("n"))
+    return F.when(c.rlike(uni(once)), F.aggregate(own, none, step)).otherwise(none)
 
 
 def dehyphenate(c: Column) -> Column:
@@ -66,24 +87,38 @@ def dehyphenate(c: Column) -> Column:
     return substituted(c, dims.SPLIT_WORDS)
 
 
+#: Joined words: the listed ones, then those of the patterns.
+OCR_STEPS = [(r"(?i)" + re.escape(wrong), right) for wrong, right in dims.OCR_REPAIRS.items()] + dims.JOINED_WORDS
+
+
 def ocr_repair(c: Column) -> Column:
-    """Joined words: the listed ones, then those of the patterns."""
-    return substituted(c, [(r"(?i)\Q" + wrong + r"\E", right) for wrong, right in dims.OCR_REPAIRS.items()] + dims.JOINED_WORDS)
+    return substituted(c, OCR_STEPS)
 
 
 def strip_citation_marks(c: Column) -> Column:
     """Amendment marks within a line, in order; text they enclose stays."""
-    return F.trim(substituted(c, dims.CITATION_MARKS))
+    return stripped(substituted(c, dims.CITATION_MARKS))
 
 
 def punct_spacing(c: Column) -> Column:
-    return F.trim(substituted(c, dims.SPACING))
+    return stripped(substituted(c, dims.SPACING))
 
 
 def is_artifact(line: Column) -> Column:
     """Whole lines that are headers, footers or isolated marks."""
-    patterns = [f"(?i)^(?:{p})$" for p in [*dims.HEADER_PATTERNS, dims.FOOTER_PATTERN]] + [f"^(?:{p})$" for p in dims.ARTIFACT_PATTERNS]
-    return reduce(lambda a, b: a | b, [line.rlike(p) for p in patterns])
+    return is_header(line) | is_footer(line) | is_mark(line)
+
+
+def is_header(line: Column) -> Column:
+    return reduce(lambda a, b: a | b, [line.rlike(uni(f"(?i)^(?:{p})$")) for p in dims.HEADER_PATTERNS])
+
+
+def is_footer(line: Column) -> Column:
+    return line.rlike(uni(f"(?i)^(?:{dims.FOOTER_PATTERN})$"))
+
+
+def is_mark(line: Column) -> Column:
+    return line.rlike(uni("|".join(f"^(?:{p})$" for p in dims.ARTIFACT_PATTERNS)))
 
 
 def token_count(c: Column) -> Column:

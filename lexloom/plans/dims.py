@@ -88,18 +88,35 @@ OCR_REPAIRS = {
 
 # Substitutions, in order; \1 stands for a group. Words that a line end splits;
 # words that scanning joins; amendment marks within a line; spacing of marks.
-SPLIT_WORDS = [(r"([A-Za-z])-\s*\n\s*([a-z])", r"\1\2"), (r"\b(\d+)-\s*\n\s*([A-Z])\.", r"\1-\2.")]
+SPLIT_WORDS = [(r"(?<=[A-Za-z])-\s*\n\s*(?=[a-z])", ""), (r"\b(\d+)-\s*\n\s*([A-Z])\.", r"\1-\2.")]
 JOINED_WORDS = [
     (r"\b(a|an|the|of|to|for|in|on|by|or|and)([A-Z][a-z]{2,})\b", r"\1 \2"),
-    (r"(?i)\b(and|or|the|of|to|for|with|in|on|by)(the|a|an|any|every|his|her|their|this|that|which|whom|whose|person|property|law|code|court|section|offence|imprisonment|fine|government|case|accused|convict|servant|agent|public)\b", r"\1 \2"),
-    (r"([A-Za-z])(\d{2,4})\b", r"\1 \2"),
+    (r"(?i)\b(and|or|the|of|to|for|with|in|on|by)(?=(?:the|a|an|any|every|his|her|their|this|that|which|whom|whose|person|property|law|code|court|section|offence|imprisonment|fine|government|case|accused|convict|servant|agent|public)\b)", r"\1 "),
+    (r"(?<=[A-Za-z])(?=\d{2,4}\b)", " "),
 ]
 CITATION_MARKS = [
-    (r"\b\d+\[\s*(\(\d+\))", r"\1"), (r"(\w)\d+\[([A-Za-z(\"'])", r"\1 \2"), (r"\]\s*\d+([;,.:\s]|$)", r"\1"), (r"(^|[^\w])\d+\[\]($|[^\w])", r"\1\2"),
-    (r"(^|[^\w])\d+\[($|[^\w])", r"\1\2"), (r"(^|[^\w])\[\d+\]($|[^\w])", r"\1\2"), (r"(^|[^\w])\]([;,.:\s]|$)", r"\1\2"),
-    (r"(?i)([a-z_])\d+(\s+(?:but|provided|except|and)\b)", r"\1\2"), (r"\s{2,}", " "),
+    (r"\b\d+\[\s*(\(\d+\))", r"\1"), (r"(?<=\w)\d+\[(?=[A-Za-z(\"'])", " "), (r"\]\s*\d+(?=[;,.:\s]|$)", ""), (r"(?<!\w)\d+\[\](?!\w)", ""),
+    (r"(?<!\w)\d+\[(?!\w)", ""), (r"(?<!\w)\[\d+\](?!\w)", ""), (r"(?<!\w)\](?=[;,.:\s]|$)", ""),
+    (r"(?i)(?<=\w)\d+(?=\s+(?:but|provided|except|and)\b)", ""), (r"\s{2,}", " "),
 ]
-SPACING = [(r"[ \t]+([,.;:!?])", r"\1"), (r"([,;:!?])([A-Za-z])", r"\1 \2"), (r"\([ \t]+", "("), (r"[ \t]+\)", ")"), (r"([A-Za-z])(\d{2,4})\b", r"\1 \2"), (r"[ \t]{2,}", " "), (r"\n{3,}", "\n\n")]
+SPACING = [(r"\s+([,.;:?!])", r"\1"), (r"([,.;:?!])(?=[A-Za-z])", r"\1 "), (r"\(\s+", "("), (r"\s+\)", ")"), (r"(?<=[A-Za-z])(?=\d{2,4}\b)", " "), (r"[ \t]{2,}", " "), (r"\n{3,}", "\n\n")]
+
+# Forms of lines that structure a page, and words that begin a provision's body.
+SECTION_LINE = r"^\s*(\d+(?:-[A-Za-z]+)?[A-Za-z]?)\.\s*(.*?)\s*$"
+CHAPTER_LINE = r"^\s*CHAPTER\s+([IVXLCDM]+|\d+)\s*$"
+ROMAN_LINE = r"^\s*([IVXLCDM]{1,8})\s*$"
+PART_LINE = r"^\s*PART\s+([IVXLCDM]+|\d+)\s*$"
+EXPLANATION_LINE = r"^\s*Explanation(?:\s+(\d+))?\s*[:.-]?\s*(.*)$"
+ILLUSTRATION_LINE = r"^\s*Illustrations?\s*[:.-]?\s*$"
+ENUMERATION_LINE = r"^\s*\((?:[a-zA-Z]|\d+|[ivxlcdm]+)\)\s*"
+BODY_STARTER = r"(?:Whoever|Any person|Every person|Nothing|Where|When|If|A person|Provided|In this section|For the purposes of)\b"
+
+# Terms that a page's keywords are taken from, and how many at most.
+LEGAL_TERMS = [
+    "abetment", "agent", "breach of trust", "cheating", "criminal force", "dishonestly", "embezzlement", "entrusted", "fine", "fraud", "fraudulently", "homicide", "imprisonment",
+    "intention", "mischief", "misappropriation", "movable property", "murder", "offence", "property", "punishment", "rioting", "servant", "theft", "unlawful assembly",
+]
+MOST_KEYWORDS = 15
 
 # Whole lines that are headers, footers or marks of a page.
 HEADER_PATTERNS = [r"\s*Pakistan\s+Penal\s+Code(?:\s*\([^)]*\))?\s*", r"\s*Pakistan\s+Penal\s+Code\s*\(Act\s+XLV\s+of\s+1860\)\s*"]
