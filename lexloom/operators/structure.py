@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import unicodedata
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -12,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
 from lexloom.functions import text as T
+from lexloom.operators import ordered
 from lexloom.plans import dims
 from lexloom.sources.tables import materialized
 
@@ -68,48 +68,39 @@ def paragraphs(lines: DataFrame) -> DataFrame:
     return x.where("NOT blank").groupBy("doc", "paragraph").agg(F.array_join(F.transform(own, lambda v: v["line"]), " ").alias("text"))
 
 
-def nfkc(c: Column) -> Column:
-    """Compatibility normalization, which has no built-in function."""
-
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
-
-    return F.pandas_udf(run, StringType())(c)
-
-
-def clean_page(pages: DataFrame) -> DataFrame:
-    """(id, text) cleaned: characters, hyphens, joined words, artifacts, marks, spacing."""
-    c = T.ocr_repair(T.dehyphenate(T.clean_whitespace(nfkc(F.col("text")))))
-    x = pages.select("id", F.split(c, "\n").alias("ls"))
-    kept = F.filter("ls", lambda v: ~T.is_artifact(v))
-    return x.select("id", T.punct_spacing(F.array_join(F.transform(kept, T.strip_citation_marks), "\n")).alias("text"))
-
-
 # ---- chunks ---------------------------------------------------------------------
 
 
 def page_offsets(pages: DataFrame) -> DataFrame:
     """[start, end) of each page in its document's joined text, two characters between."""
-    order = W.partitionBy("document").orderBy("page")
-    before = F.sum(F.length("text") + 2).over(order.rowsBetween(W.unboundedPreceding, -1))
-    return pages.select("document", "page", F.coalesce(before, F.lit(0)).cast("long").alias("start"), (F.coalesce(before, F.lit(0)) + F.length("text")).cast("long").alias("end"))
+    x = pages.select("document", "page", F.length("text").cast("long").alias("size")).withColumn("step", F.col("size") + 2)
+    x = ordered.totals(ordered.ranged(x.where("document IS NOT NULL"), "document", "page"), ["document"], ["page"], {"start": "step"})
+    return x.select("document", "page", "start", (F.col("start") + F.col("size")).alias("end"))
 
 
 def pages_of(spans: DataFrame, offsets: DataFrame) -> DataFrame:
-    """(document, span, pages): pages that overlap each span of their document."""
-    s, o = spans.alias("s"), offsets.alias("o")
-    hit = s.join(o, (F.col("s.document") == F.col("o.document")) & (F.col("o.end") > F.col("s.start")) & (F.col("o.start") < F.col("s.end")))
-    return hit.groupBy("s.document", "s.span").agg(F.array_join(F.array_sort(F.collect_set("o.page")).cast("array<string>"), ",").alias("pages"))
+    """(document, span, pages): pages that overlap each span of their document. One sweep
+    over the bounds of both: how many pages end up to a span's start, and how many start
+    before its end, are the numbers of the pages that it overlaps, so that the join with them
+    is by number. Pages of a document follow one another."""
+    o = ordered.places(ordered.ranged(offsets.select("document", "page", F.col("start").cast("long"), F.col("end").cast("long")), "document", "start", "page"), ["document"], ["start", "page"], "k")
+    o = materialized(o.drop("_range"), "numbered_pages")
+    none = F.lit(None).cast(spans.schema["span"].dataType)
+    bound = lambda df, at, tie, ends, starts, span: df.select("document", F.col(at).cast("long").alias("at"), F.lit(tie).alias("tie"), F.lit(ends).cast("long").alias("ends"), F.lit(starts).cast("long").alias("starts"), span.alias("span"))
+    swept = bound(o, "end", 0, 1, 0, none).unionByName(bound(o, "start", 3, 0, 1, none)).unionByName(bound(spans, "start", 1, 0, 0, F.col("span"))).unionByName(bound(spans, "end", 2, 0, 0, F.col("span")))
+    swept = ordered.totals(ordered.ranged(swept, "document", "at", "tie"), ["document"], ["at", "tie"], {"ended": "ends", "started": "starts"}).where("span IS NOT NULL")
+    near = swept.groupBy("document", "span").agg(F.max(F.when(F.col("tie") == 1, F.col("ended"))).alias("lo"), F.max(F.when(F.col("tie") == 2, F.col("started"))).alias("hi")).where("hi > lo")
+    hit = near.select("document", "span", F.explode(F.sequence(F.col("lo") + 1, F.col("hi"))).alias("k")).join(o, ["document", "k"])
+    return hit.groupBy("document", "span").agg(F.array_join(F.array_sort(F.collect_set("page")).cast("array<string>"), ",").alias("pages"))
 
 
 def provision_candidates(lines: DataFrame) -> DataFrame:
-    """(doc, pos, number, title): lines that open a provision, by form and reject rules."""
-    p = r"(?i)^[ \t]*(?:\d+\[\s*)?(?:(section|article)\s+)?(\d+(?:\s*-\s*[A-Za-z]+|[A-Za-z]+)?)\s*(?:\.\s*(?:[-—–]\s*)?|[—–:-]\s*)([^\n]+)"
-    g = lambda i: F.regexp_extract("line", p, i)
-    x = lines.select("doc", "pos", T.canonical_number(g(2)).alias("number"), F.trim(g(3)).alias("title"))
-    number = F.col("number").rlike(r"^\d+[A-Z]{0,2}$") & ~F.col("number").rlike(r"^(?:1[89]\d\d|20\d\d|2100)$")
-    title = F.length("title").between(2, 600) & ~F.col("title").rlike(r"^[\[\]()]") & F.col("title").rlike(r"^\w") & ~F.col("title").rlike(r"(?i)^(?:inserted|substituted|subs\.|omitted|added|amended|repealed)\b")
-    return x.where(number & title)
+    """(doc, pos, number, title): lines that open a section, by form and reject rules."""
+    from lexloom.operators.provisions import valid_candidate
+
+    g = lambda i: F.regexp_extract("line", "(?i)" + dims.PROVISION, i)
+    x = lines.select("doc", "pos", g(1).alias("label"), T.canonical_number(g(2)).alias("number"), T.stripped(g(3)).alias("title"))
+    return x.where(valid_candidate(F.col("label"), F.col("number"), F.col("title"), F.lit("section"))).select("doc", "pos", "number", "title")
 
 
 def next_boundary(starts: DataFrame, bounds: DataFrame) -> DataFrame:
@@ -279,17 +270,10 @@ def window_chunks(docs: DataFrame, size: int = 1000, step: int = 850) -> DataFra
 
 
 def numbered(chunks: DataFrame) -> DataFrame:
-    """Numbers within the document, and the chunk's name. The global number follows from
-    the documents' sizes: these are sorted into ranges and summed within each; one window
-    runs over the ranges' totals, of which there are as many as partitions."""
-    own = W.partitionBy("document").orderBy("pos")
-    sizes = chunks.groupBy("document").agg(F.count(F.lit(1)).alias("n"))
-    sizes = materialized(sizes.repartitionByRange("document").withColumn("range", F.spark_partition_id()), "sizes")
-    up_to = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    ranges = sizes.groupBy("range").agg(F.sum("n").alias("n")).withColumn("first", up_to(W.orderBy("range"))).drop("n")
-    before = sizes.withColumn("within", up_to(W.partitionBy("range").orderBy("document"))).join(ranges, "range").select("document", (F.col("first") + F.col("within")).alias("before"))
-    x = chunks.withColumn("document_chunk_number", F.row_number().over(own)).join(before, "document")
-    x = x.withColumn("chunk_number", (F.col("before") + F.col("document_chunk_number")).cast("long")).drop("before")
+    """Numbers over all documents and within each, by its pos, and the chunk's name."""
+    x = ordered.ranged(chunks.withColumn("_all", F.lit(0)), "document", "pos")
+    x = ordered.places(x, ["document"], ["pos"], "document_chunk_number").withColumn("document_chunk_number", F.col("document_chunk_number").cast("int"))
+    x = ordered.places(x, ["_all"], ["document", "pos"], "chunk_number").drop("_all", "_range")
     return x.withColumn("chunk_id", F.concat_ws("::", "document", "kind", F.coalesce("number", F.lit("unsectioned")), F.concat(F.lit("chunk-"), "document_chunk_number")))
 
 
@@ -297,8 +281,10 @@ def provision_sequence(chunks: DataFrame) -> DataFrame:
     """(document, kind, number, ordinal, previous, next): provisions in the order of their
     first appearance, per document and kind."""
     first = chunks.where("number IS NOT NULL").groupBy("document", "kind", "number").agg(F.min("pos").alias("pos"))
-    w = W.partitionBy("document", "kind").orderBy("pos")
-    return first.select("document", "kind", "number", F.row_number().over(w).alias("ordinal"), F.lag("number").over(w).alias("previous"), F.lead("number").over(w).alias("next"))
+    key, order = ["document", "kind"], ["pos", "number"]
+    x = ordered.places(ordered.ranged(first, *key, *order), key, order, "ordinal")
+    x = ordered.carried(ordered.carried(x, key, order, {"previous": "number"}), key, order, {"next": "number"}, ahead=True)
+    return x.select(*key, "number", F.col("ordinal").cast("int").alias("ordinal"), "previous", "next")
 
 
 # ---- audit ------------------------------------------------------------------------
@@ -307,7 +293,8 @@ def provision_sequence(chunks: DataFrame) -> DataFrame:
 def sequence_issues(seq: DataFrame) -> DataFrame:
     """(document, kind, field) broken by stored ordinals and links: one ordinal a provision,
     1..n without gaps, links to the neighbours."""
-    w = W.partitionBy("document", "kind").orderBy("ordinal", "number")
-    x = seq.withColumns({"want": F.row_number().over(w), "p": F.lag("number").over(w), "n": F.lead("number").over(w)})
+    key, order = ["document", "kind"], ["ordinal", "number"]
+    x = ordered.places(ordered.ranged(seq, *key, *order), key, order, "want")
+    x = ordered.carried(ordered.carried(x, key, order, {"p": "number"}), key, order, {"n": "number"}, ahead=True)
     bad = F.filter(F.array(F.when(F.col("ordinal") != F.col("want"), F.lit("ordinal")), F.when(~F.col("previous").eqNullSafe(F.col("p")), F.lit("previous")), F.when(~F.col("next").eqNullSafe(F.col("n")), F.lit("next"))), lambda v: v.isNotNull())
     return x.select("document", "kind", "number", F.explode(bad).alias("field"))

@@ -111,6 +111,15 @@ ILLUSTRATION_LINE = r"^\s*Illustrations?\s*[:.-]?\s*$"
 ENUMERATION_LINE = r"^\s*\((?:[a-zA-Z]|\d+|[ivxlcdm]+)\)\s*"
 BODY_STARTER = r"(?:Whoever|Any person|Every person|Nothing|Where|When|If|A person|Provided|In this section|For the purposes of)\b"
 
+# A line that opens a provision (label, number, title); titles that none has; a
+# title with the beginning of the body in its line, and lines that begin a body.
+PROVISION = r"^[ \t]*(?:\d+\[\s*)?(?:(section|article)\s+)?(\d+(?:\s*-\s*[A-Za-z]+|[A-Za-z]+)?)\s*(?:\.\s*(?:[-—–]\s*)?|[—–:-]\s*)([^\n]+)"
+NO_TITLES = [r"[\[\]]", r"[\W_]+$", r"(?:of\s+\d{4}|schedule\b|article\b|section\b|inserted\b|substituted\b|omitted\b|amended\b|renumbered\b|repealed\b)", r"(?:subs\.?|footnote\b|note\b|page\b|header\b|footer\b)"]
+INLINE_BODY = r"^(.*?)(?:\.\s*)?[-—–:]\s*(\(\d+\).*|(?:Whoever|Any person|Every person|Nothing|Where|When|If|A person|Provided|In this (?:section|article)|For the purposes of|This Act|The provisions|In this Chapter|In case of|Subject to|Notwithstanding|It shall|There shall|No person)\b.*)$"
+BODY_START = r"(?:\(\d+\)|Whoever|Any person|Every person|Nothing|Where|When|If\b|A person|Provided|In this section|In this article|For the purposes of|This Act|The provisions|In this Chapter|In case of|Subject to|Notwithstanding|It shall|There shall|No person|A person who)"
+# Lines of a title, and its characters, at most.
+LONGEST_TITLE_LINE, LONGEST_TITLE = 160, 220
+
 # Terms that a page's keywords are taken from, and how many at most.
 LEGAL_TERMS = [
     "abetment", "agent", "breach of trust", "cheating", "criminal force", "dishonestly", "embezzlement", "entrusted", "fine", "fraud", "fraudulently", "homicide", "imprisonment",

@@ -75,7 +75,10 @@ def paragraphs(spark, sf_dir):
 
 @query()
 def clean_page(spark, sf_dir):
-    return S.clean_page(table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), F.col("html").alias("text")))
+    """Web pages as the pages of their host: the cleaned text, what was done and found."""
+    host = F.coalesce(F.regexp_extract("url", "://([^/:]+)", 1), F.lit(""))
+    cleaned = C.clean_pages(table(spark, sf_dir, "pages").select(host.alias("document"), F.col("page_id").alias("page"), F.col("html").alias("text")))
+    return cleaned.select("document", F.col("page").alias("id"), "text", "counters.*", "found.*")
 
 
 @query(f"SELECT doc, count(*) FILTER (regexp_matches(line, '^\\S+\\.$')) AS heads, sum(length(line))::BIGINT AS chars, count(*) FILTER (regexp_matches(line, '^\\S+\\.$')) > 0 AND sum(length(line)) < greatest(120, 45 * count(*) FILTER (regexp_matches(line, '^\\S+\\.$'))) AS heading_only FROM {_LINES} GROUP BY doc")
