@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lexloom.operators import cleaning as C
+from lexloom.operators import provisions as P
 from lexloom.operators import structure as S
+from lexloom.functions import text as T
 from lexloom.plans import dims
 from lexloom.plans.queries_search import _CHUNKS, chunks
-from lexloom.plans.queries_text import _LN, lines, table
+from lexloom.plans.queries_text import _LN, lines, picked, stripped_sql, table
 from lexloom.plans.sqltext import canon, frame, lit, values
 from lexloom.sources import tables as SRC
 
@@ -52,13 +55,13 @@ _KIND = f"""CASE WHEN trim(line) = '' THEN 'blank' WHEN regexp_matches(line, {li
 @query(f"""SELECT doc, pos, line, max((kind = 'note')::INT) OVER (PARTITION BY doc, island) = 1 AND kind <> 'blank' AS removed FROM (
   SELECT *, sum((kind IN ('note', 'text'))::INT) OVER (PARTITION BY doc ORDER BY pos) AS island FROM (SELECT doc, pos, line, {_KIND} AS kind FROM {_LN}))""")
 def amendment_regions(spark, sf_dir):
-    return S.amendment_regions(lines(spark))
+    return S.amendment_regions(lines(spark, sf_dir))
 
 
 @query(r"""SELECT doc, pos, number, next AS title FROM (SELECT doc, pos, upper(regexp_extract(line, '(?i)^\s*(?:CHAPTER\s+)?([IVXLCDM]+)\s*$', 1)) AS number, lead(line) OVER (PARTITION BY doc ORDER BY pos) AS next FROM """ + _LN + r""")
 WHERE number <> '' AND (regexp_matches(next, '(?i)^OF ') OR (length(regexp_replace(next, '[^A-Za-z]', '', 'g')) > 0 AND length(regexp_replace(next, '[^A-Z]', '', 'g'))::DOUBLE / length(regexp_replace(next, '[^A-Za-z]', '', 'g')) >= 0.8))""")
 def chapter_headings(spark, sf_dir):
-    return S.chapter_headings(lines(spark))
+    return S.chapter_headings(lines(spark, sf_dir))
 
 
 _LINES = "(SELECT doc_id AS doc, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents)"
@@ -81,6 +84,63 @@ def clean_page(spark, sf_dir):
     return cleaned.select("document", F.col("page").alias("id"), "text", "counters.*", "found.*")
 
 
+@query()
+def clean_documents(spark, sf_dir):
+    """Documents as the pages of their source, cleaned, with counters and findings."""
+    return C.clean_pages(pages(spark, sf_dir)).select("document", "page", F.md5("text").alias("h"), "counters.*", "found.*")
+
+
+@query()
+def cleaning_counters(spark, sf_dir):
+    """The 20 counters of each source, added up over its pages."""
+    return C.cleaning_totals(C.clean_pages(pages(spark, sf_dir)))
+
+
+def legal_pages(spark, sf_dir):
+    """Documents as pages of laws: most open a provision, some a chapter, some go on."""
+    i = F.col("doc_id")
+    head = F.concat(F.when(i % 5 == 0, "CHAPTER II\n\nOF THE COURTS\n\n").otherwise(""), F.when(i % 4 != 3, F.concat((i % 90 + 1).cast("string"), F.lit(". "))).otherwise(""))
+    return table(spark, sf_dir, "documents").select(F.col("source").alias("document"), i.alias("page"), F.concat(head, "text").alias("text"))
+
+
+def _laws(spark, sf_dir):
+    """Kinds and names of the documents that sources stand for: small tables, a row each."""
+    own = table(spark, sf_dir, "documents").where("source IS NOT NULL").select(F.col("source").alias("document")).distinct()
+    kind = F.when(F.col("document").endswith("3"), "article").otherwise("section").alias("kind")
+    return own.select("document", kind), own.select("document", F.concat("document", F.lit(".pdf")).alias("document_name"), F.concat(F.lit("The Act of "), "document").alias("document_title"), F.upper("document").alias("document_short_name"), F.lit("act").alias("document_type"))
+
+
+@query()
+def legal_blocks(spark, sf_dir):
+    """Provisions of the laws: number, title over several lines, text, pages."""
+    b = P.provision_blocks(legal_pages(spark, sf_dir), _laws(spark, sf_dir)[0])
+    return b.select("document", "kind", "start.page", "start.pos", "number", "title", F.md5("text").alias("h"), F.array_join(F.col("pages").cast("array<string>"), ",").alias("pages"), "unsectioned")
+
+
+@query()
+def legal_chunks(spark, sf_dir):
+    """Chunks of the cleaned laws with the metadata that the audit checks."""
+    kinds, names = _laws(spark, sf_dir)
+    cleaned = SRC.materialized(C.clean_pages(legal_pages(spark, sf_dir)), "cleaned")
+    x = P.legal_chunks(cleaned.select("document", "page", "text"), cleaned.select("document", "page", "found"), kinds, names)
+    return x.withColumn("h", F.md5("chunk")).drop("chunk")
+
+
+_TITLE_STOP = " OR ".join(f"regexp_matches(v, {lit(p)})" for p in ["(?i)^" + dims.BODY_START, "(?i)" + dims.PROVISION, r"(?i)^\s*\((?:\d+|[a-z]|[ivxlcdm]+)\)\s+", r"(?i)^\s*Explanation(?:\s+\d+)?\s*[:.\-—–]?", r"(?i)^\s*Illustrations?\s*[:.\-—–]?\s*$", *(b for b in S.BOUNDARIES if "PREAMBLE" not in b)])
+
+
+@query(f"""SELECT doc_id, f AS flags, CASE WHEN n = 0 THEN '' ELSE substring({stripped_sql("regexp_replace(array_to_string(list_filter(x[1:n], lambda v: v <> ''), ' '), '[ :.]+$', '')")}, 1, {dims.LONGEST_TITLE}) END AS title FROM (
+  SELECT *, length(regexp_extract(f, {lit(P.TITLE_PART)})) AS n FROM (
+    SELECT doc_id, x, array_to_string(list_transform(x, lambda v: CASE WHEN v = '' THEN 'b' WHEN {_TITLE_STOP} OR length(v) > {dims.LONGEST_TITLE_LINE} THEN 's' WHEN regexp_matches(v, '[.:]$') THEN 'e' ELSE 'c' END), '') AS f
+    FROM (SELECT doc_id, list_transform(string_split(text, chr(10)), lambda v: {stripped_sql('v')}) AS x FROM documents WHERE text IS NOT NULL)))""")
+def multiline_titles(spark, sf_dir):
+    """What of each document's lines would belong to a title over several lines."""
+    x = F.transform(F.split("text", "\n"), T.stripped)
+    d = table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", x.alias("x")).withColumn("flags", F.array_join(F.transform("x", P.title_flags), ""))
+    part = F.filter(F.slice("x", F.lit(1), F.length(F.regexp_extract("flags", P.TITLE_PART, 0))), lambda v: v != "")
+    return d.select("doc_id", "flags", P.cut_title(part).alias("title"))
+
+
 @query(f"SELECT doc, count(*) FILTER (regexp_matches(line, '^\\S+\\.$')) AS heads, sum(length(line))::BIGINT AS chars, count(*) FILTER (regexp_matches(line, '^\\S+\\.$')) > 0 AND sum(length(line)) < greatest(120, 45 * count(*) FILTER (regexp_matches(line, '^\\S+\\.$'))) AS heading_only FROM {_LINES} GROUP BY doc")
 def body_presence(spark, sf_dir):
     h = F.sum(F.col("line").rlike(r"^\S+\.$").cast("long"))
@@ -111,20 +171,28 @@ def span_overlap_join(spark, sf_dir):
     return S.pages_of(F.broadcast(s), page_offsets(spark, sf_dir))
 
 
-_PROV = [("a", i, t) for i, t in enumerate(["CHAPTER I", "1. Short title and extent", "(1) This Act may be called", "(a) first clause", "(b) second clause", "(2) It extends", "(a) again", "2[7. Definitions", "1Subs. by Act", "1990. A year", "Article 9A - Safeguards", "12. Substituted by law", "8-A: Powers of court", "9. x", "Explanation", "10. (bracket", "PART II", "11. Appeals lie to the court"])]
-_PV = values("l", "doc, pos, line", _PROV)
-_PAT = lit(r"(?i)^[ \t]*(?:\d+\[\s*)?(?:(section|article)\s+)?(\d+(?:\s*-\s*[A-Za-z]+|[A-Za-z]+)?)\s*(?:\.\s*(?:[-—–]\s*)?|[—–:-]\s*)([^\n]+)")
-_CANDS = rf"""SELECT doc, pos, number, title FROM (SELECT doc, pos, {canon(f'regexp_extract(line, {_PAT}, 2)')} AS number, trim(regexp_extract(line, {_PAT}, 3)) AS title FROM {_PV})
-WHERE regexp_matches(number, '^\d+[A-Z]{{0,2}}$') AND NOT regexp_matches(number, '^(?:1[89]\d\d|20\d\d|2100)$') AND length(title) BETWEEN 2 AND 600 AND NOT regexp_matches(title, '^[\[\]()]') AND regexp_matches(title, '^\w') AND NOT regexp_matches(title, '(?i)^(?:inserted|substituted|subs\.|omitted|added|amended|repealed)\b')"""
+#: Forms of lines of a law, around the lines of documents; # stands for a number.
+_PROV = [
+    "CHAPTER I", "#. Short title and {}", "(1) This Act may be {}", "(a) first {}", "(b) {}", "(2) It extends {}", "(a) again", "2[#. Definitions", "1Subs. by {}", "1990. A year", "Article #A - {}", "#. Substituted by law",
+    "#-A: Powers of {}", "#. x", "Explanation", "#. [bracket", "PART II", "#. Appeals lie to {}",
+]
+_PV = f"""(SELECT doc_id AS doc, pos, replace(replace({lit(_PROV)}[(doc_id + pos) % {len(_PROV)} + 1], '{{}}', line), '#', (doc_id % 90 + pos)::VARCHAR) AS line FROM (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents)) AS l"""
+_PAT = lit("(?i)" + dims.PROVISION.replace(r"([^\n]+)", r"(.+)"))
+_NOT = " OR ".join(f"regexp_matches(title, {lit('(?i)^' + t)})" for t in dims.NO_TITLES)
+_CANDS = rf"""SELECT doc, pos, number, title FROM (SELECT doc, pos, lower(regexp_extract(line, {_PAT}, 1)) AS label, {canon(f'regexp_extract(line, {_PAT}, 2)')} AS number, {stripped_sql(f'regexp_extract(line, {_PAT}, 3)')} AS title FROM {_PV})
+WHERE label IN ('', 'section') AND regexp_matches(number, '^\d+[A-Z]{{0,2}}$') AND NOT regexp_matches(number, '^(?:1[89]\d\d|20\d\d|2100)$') AND length(title) BETWEEN 2 AND 600 AND NOT ({_NOT})"""
 
 
-def _prov(spark):
-    return frame(spark, "doc STRING, pos LONG, line STRING", _PROV)
+def _prov(spark, sf_dir):
+    x = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    line = F.replace(picked(_PROV, F.col("doc") + F.col("pos")), F.lit("{}"), F.col("line"))
+    return x.select("doc", F.col("pos").cast("long").alias("pos"), F.replace(line, F.lit("#"), (F.col("doc") % 90 + F.col("pos")).cast("string")).alias("line"))
 
 
 @query(_CANDS)
 def provision_candidates(spark, sf_dir):
-    return S.provision_candidates(_prov(spark))
+    return S.provision_candidates(_prov(spark, sf_dir))
 
 
 @query("SELECT c.c_custkey AS doc, s.start, (SELECT min(b) FROM (VALUES (5), (12), (12), (30)) t(b) WHERE b > s.start AND b < s.stop)::BIGINT AS boundary FROM (SELECT c_custkey FROM customer) c CROSS JOIN (VALUES (0, 5), (3, 11), (5, 40), (12, 20), (30, 90)) s(start, stop)")
@@ -137,7 +205,7 @@ def next_boundary(spark, sf_dir):
 
 @query(f'SELECT doc, number, title, pos AS first, lead(pos) OVER (PARTITION BY doc ORDER BY pos) - 1 AS "last" FROM ({_CANDS})')
 def provision_blocks(spark, sf_dir):
-    return S.provision_blocks(S.provision_candidates(_prov(spark)))
+    return S.provision_blocks(S.provision_candidates(_prov(spark, sf_dir)))
 
 
 @query(f"""SELECT id, concat_ws(' | ', document_id, upper(provision_type[1]) || provision_type[2:] || ' ' || provision_number || ': T' || id, CASE WHEN subsection_path_key <> '' THEN upper(provision_type[1]) || provision_type[2:] || ' ' || provision_number || '(' || replace(subsection_path_key, '/', ')(') || ')' END) AS heading FROM {_CHUNKS}""")
@@ -150,7 +218,7 @@ def context_heading(spark, sf_dir):
 @query(rf"""SELECT doc, pos, label, kind, path, array_to_string(path, '.') AS key FROM (SELECT doc, pos, label, kind, CASE WHEN kind = 'subsection' THEN [label] ELSE [last_value(CASE WHEN kind = 'subsection' THEN label END IGNORE NULLS) OVER (PARTITION BY doc ORDER BY pos), label] END AS path FROM (
   SELECT *, CASE WHEN regexp_matches(label, '^\d+$') THEN 'subsection' ELSE 'clause' END AS kind FROM (SELECT doc, pos, lower(regexp_extract(line, '^\s*\(([A-Za-z]+|\d+)\)', 1)) AS label FROM {_PV}) WHERE label <> '')) WHERE path[1] IS NOT NULL""")
 def child_components(spark, sf_dir):
-    return S.child_components(_prov(spark))
+    return S.child_components(_prov(spark, sf_dir))
 
 
 _BND = " OR ".join(f"regexp_matches(line, {lit(p)})" for p in S.BOUNDARIES)
@@ -159,7 +227,7 @@ _BND = " OR ".join(f"regexp_matches(line, {lit(p)})" for p in S.BOUNDARIES)
 @query(f"""SELECT doc, pos FROM (SELECT *, first_value(CASE WHEN trim(line) <> '' THEN trim(line) END IGNORE NULLS) OVER (PARTITION BY doc ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS next FROM {_LN})
 WHERE {_BND} OR (regexp_matches(line, {lit(S.ROMAN)}) AND coalesce(regexp_matches(next, {lit(S.BOUNDARIES[4])}) OR regexp_matches(next, {lit(S.BOUNDARIES[5])}), false))""")
 def structural_boundaries(spark, sf_dir):
-    return S.structural_boundaries(lines(spark))
+    return S.structural_boundaries(lines(spark, sf_dir))
 
 
 _HEADS = ["number || '. ' || title", "'Section ' || number || '. ' || title", "'Section ' || number || ': ' || title"]

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from lexloom.functions import text as T
@@ -34,11 +37,41 @@ QUESTIONS = [
     (11, "A mob started a riot and a stampede caused death of two persons in the market on a busy day"), (12, "Is kidnapping covered by sec 365-A(1)?"),
     (13, "   "), (14, "What constitutes abetment versus conspiracy"), (15, "She found a lost wallet on the road and later decided to keep it"),
 ]
-_QS = values("q", "qid, question", QUESTIONS)
+#: What users say in conversations, each turn after one of the questions: planning has as
+#: many questions as there are turns.
+_QS = f"(SELECT conv_id * 1000 + turn AS qid, {lit([q for _, q in QUESTIONS])}[(conv_id + turn) % {len(QUESTIONS)} + 1] || ' ' || coalesce(text, '') AS question FROM conversations WHERE role = 'user') AS q"
+
+
+def picked(values_: list[str], index) -> Column:
+    """The value at a row's index, which goes round."""
+    return F.element_at(F.array(*map(F.lit, values_)), (F.pmod(index, F.lit(len(values_))) + 1).cast("int"))
+
+
+def asked(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations").where("role = 'user'")
+    question = F.concat(picked([q for _, q in QUESTIONS], F.col("conv_id") + F.col("turn")), F.lit(" "), F.coalesce("text", F.lit("")))
+    return c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("qid"), question.alias("question"))
+
+
+#: White space and word characters of all scripts for an engine whose classes are ASCII, and
+#: the substitutions of dims without look-arounds, which it lacks. A place that shares a
+#: neighbour with the one before is found by a second pass.
+_SP, _W = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]", r"[\pL\pN_]"
+_NW = r"[^\pL\pN_]"
+SPLIT_WORDS = [(rf"([A-Za-z])-{_SP}*\n{_SP}*([a-z])", r"\1\2"), (rf"\b(\d+)-{_SP}*\n{_SP}*([A-Z])\.", r"\1-\2.")]
+JOINED_WORDS = [
+    dims.JOINED_WORDS[0], (re.sub(r"\(\?=\(\?:(.*)\)\\b\)$", r"((?:\1)\\b)", dims.JOINED_WORDS[1][0]), r"\1 \2"), (r"([A-Za-z])(\d{2,4})\b", r"\1 \2"),
+]
+CITATION_MARKS = [
+    dims.CITATION_MARKS[0], (rf"({_W})\d+\[([A-Za-z(\"'])", r"\1 \2"), (rf"\]{_SP}*\d+([;,.:\s]|$)", r"\1"), (rf"(^|{_NW})\d+\[\]({_NW}|$)", r"\1\2"),
+    *[(rf"(^|{_NW})\d+\[({_NW}|$)", r"\1\2")] * 2, *[(rf"(^|{_NW})\[\d+\]({_NW}|$)", r"\1\2")] * 2, (rf"(^|{_NW})\]([;,.:\s]|$)", r"\1\2"),
+    (rf"(?i)({_W})\d+({_SP}+(?:but|provided|except|and)\b)", r"\1\2"), (rf"{_SP}{{2,}}", " "),
+]
+SPACING = [(rf"{_SP}+([,.;:?!])", r"\1"), (r"([,.;:?!])([A-Za-z])", r"\1 \2"), (rf"\({_SP}+", "("), (rf"{_SP}+\)", ")"), (r"([A-Za-z])(\d{2,4})\b", r"\1 \2"), (r"[ \t]{2,}", " "), (r"\n{3,}", "\n\n")]
 
 
-def asked(spark):
-    return frame(spark, "qid LONG, question STRING", QUESTIONS)
+def stripped_sql(x: str) -> str:
+    return f"regexp_replace({x}, '^{_SP}+|{_SP}+$', '', 'g')"
 
 
 _DOC = "SELECT doc_id, md5({x}) AS h, length({x}) AS n FROM documents"
@@ -53,13 +86,13 @@ def clean_whitespace(spark, sf_dir):
     return _hashed(table(spark, sf_dir, "documents"), T.clean_whitespace(F.col("text")))
 
 
-@query(_DOC.format(x=sql_replace("text", *dims.SPLIT_WORDS)))
+@query(_DOC.format(x=sql_replace("text", *SPLIT_WORDS)))
 def dehyphenate(spark, sf_dir):
     return _hashed(table(spark, sf_dir, "documents"), T.dehyphenate(F.col("text")))
 
 
 _OCR = [(r"(?i)" + w.replace(",", "[,]"), r) for w, r in dims.OCR_REPAIRS.items()]
-_OCR += dims.JOINED_WORDS
+_OCR += JOINED_WORDS
 
 
 #: Over benchmark items, whose letters are ASCII: word boundaries beside other letters differ
@@ -70,25 +103,27 @@ def ocr_repair(spark, sf_dir):
     return _hashed(b.withColumn("x", T.ocr_repair(F.col("text"))), F.col("x"))
 
 
+#: Forms of lines of a legal text, around the lines of documents.
 LINES = [
-    (1, "12[ (1) text of the subsection", "d"), (2, "personal law115[but shall not include] 115; more", "d"), (3, "a [12] mark", "d"), (4, "12[]", "d"), (5, "]  14", "d"),
-    (6, "page 12", "d"), (7, "Pakistan Penal Code (Act XLV of 1860)", "d"), (8, "***", "d"), (9, "302. Punishment of qatl-e-amd: Whoever commits", "d"), (10, "CHAPTER XVI", "d"),
-    (11, "OF OFFENCES AFFECTING THE HUMAN BODY", "d"), (12, "IV", "d"), (13, "OF HURT", "d"), (14, "1 Inserted by Act X of 1990", "d"), (15, "by Act of Parliament", "d"), (16, "Whoever causes hurt", "d"),
-    (17, "2 Substituted by Ordinance", "d"), (18, "for the words and figures", "d"), (19, "", "d"), (20, "Explanation 1 for the purposes", "d"), (21, "See section 34 , and Sec. 35-A of the act ( note )", "d"), (22, "7A. Title of a section", "d"),
+    "12[ (1) {}", "personal law115[but shall not {}] 115; more", "a [12] {}", "12[]", "]  14", "page 12", "Pakistan Penal Code (Act XLV of 1860)", "***", "302. Punishment of {}: Whoever commits", "CHAPTER XVI",
+    "OF OFFENCES AFFECTING THE HUMAN BODY", "IV", "OF HURT", "1 Inserted by {}", "by Act of {}", "Whoever causes {}", "2 Substituted by Ordinance", "for the words {}", "", "Explanation 1 for {}",
+    "See section 34 , and Sec. 35-A of {} ( note )", "7A. {}", "a 1[ 2[ {} and 2019 but", "{}",
 ]
-_LN = values("l", "pos, line, doc", LINES)
+_LN = f"""(SELECT doc_id AS doc, pos, replace({lit(LINES)}[(doc_id + pos) % {len(LINES)} + 1], '{{}}', line) AS line FROM (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents)) AS l"""
 
 
-def lines(spark):
-    return frame(spark, "pos LONG, line STRING, doc STRING", LINES)
+def lines(spark, sf_dir):
+    x = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    return x.select("doc", F.col("pos").cast("long").alias("pos"), F.replace(picked(LINES, F.col("doc") + F.col("pos")), F.lit("{}"), F.col("line")).alias("line"))
 
 
-@query(f"SELECT pos, trim({sql_replace('line', *dims.CITATION_MARKS)}) AS line FROM {_LN}")
+@query(f"SELECT doc, pos, {stripped_sql(sql_replace('line', *CITATION_MARKS))} AS line FROM {_LN}")
 def strip_citation_marks(spark, sf_dir):
-    return lines(spark).select("pos", T.strip_citation_marks(F.col("line")).alias("line"))
+    return lines(spark, sf_dir).select("doc", "pos", T.strip_citation_marks(F.col("line")).alias("line"))
 
 
-@query(f"SELECT doc_id, md5(x) AS h, length(x) AS n FROM (SELECT doc_id, trim({sql_replace('text', *dims.SPACING)}) AS x FROM documents)")
+@query(f"SELECT doc_id, md5(x) AS h, length(x) AS n FROM (SELECT doc_id, {stripped_sql(sql_replace('text', *SPACING))} AS x FROM documents)")
 def punct_spacing(spark, sf_dir):
     return _hashed(table(spark, sf_dir, "documents").withColumn("x", T.punct_spacing(F.col("text"))), F.col("x"))
 
@@ -96,30 +131,41 @@ def punct_spacing(spark, sf_dir):
 _ART = " OR ".join([f"regexp_matches(line, {lit('(?i)^(?:' + p + ')$')})" for p in [*dims.HEADER_PATTERNS, dims.FOOTER_PATTERN]] + [f"regexp_matches(line, {lit('^(?:' + p + ')$')})" for p in dims.ARTIFACT_PATTERNS])
 
 
-@query(f"SELECT pos, line FROM {_LN} WHERE NOT ({_ART})")
+@query(f"SELECT doc, pos, line FROM {_LN} WHERE NOT ({_ART})")
 def drop_artifacts(spark, sf_dir):
-    return lines(spark).where(~T.is_artifact(F.col("line"))).select("pos", "line")
+    return lines(spark, sf_dir).where(~T.is_artifact(F.col("line"))).select("doc", "pos", "line")
+
 
+_CUT = lit(rf'(?is)^(.+?):{_SP}*(["(\[\'\s]*{dims.BODY_STARTER}.*)$')
+_FORM = lit("(?is)" + dims.SECTION_LINE.replace(r"\s", _SP))
 
-@query(rf"SELECT pos, regexp_extract(line, '^(\d+(?:-[A-Za-z]+)?[A-Za-z]?)\.\s+([^:]*)', 1) AS number, trim(regexp_extract(line, '^(\d+(?:-[A-Za-z]+)?[A-Za-z]?)\.\s+([^:]*)', 2)) AS title FROM {_LN} WHERE regexp_matches(line, '^\d+(?:-[A-Za-z]+)?[A-Za-z]?\.\s+\S')")
+
+@query(rf"""SELECT doc, pos, number, CASE WHEN body = '' THEN rest ELSE regexp_replace({stripped_sql('before')}, '[ ,;.\-]+$', '') END AS title, body FROM (
+  SELECT *, regexp_extract(rest, {_CUT}, 1) AS before, regexp_extract(rest, {_CUT}, 2) AS body FROM (
+    SELECT doc, pos, regexp_extract(line, {_FORM}, 1) AS number, regexp_extract(line, {_FORM}, 2) AS rest FROM {_LN}) WHERE rest <> '')""")
 def section_headings(spark, sf_dir):
-    p = r"^(\d+(?:-[A-Za-z]+)?[A-Za-z]?)\.\s+([^:]*)"
-    return lines(spark).where(F.col("line").rlike(r"^\d+(?:-[A-Za-z]+)?[A-Za-z]?\.\s+\S")).select("pos", F.regexp_extract("line", p, 1).alias("number"), F.trim(F.regexp_extract("line", p, 2)).alias("title"))
+    """Number, title and what of the body stands in the heading's line."""
+    from lexloom.operators.cleaning import section_heading
+
+    return lines(spark, sf_dir).select("doc", "pos", section_heading(F.col("line")).alias("s")).where("s IS NOT NULL").select("doc", "pos", "s.*")
 
 
 @query(rf"SELECT doc_id, array_to_string(list_distinct_keep, ',') AS refs FROM (SELECT qid AS doc_id, list_transform(list_filter(list_transform(range(1, len(r) + 1), lambda i: struct_pack(i := i, v := r[i])), lambda s: list_position(r, s.v) = s.i), lambda s: s.v) AS list_distinct_keep FROM (SELECT qid, list_transform(regexp_extract_all(question, '(?i){dims.LEGAL_REFERENCE}', 1), lambda x: upper(x)) AS r FROM {_QS}))")
 def legal_refs(spark, sf_dir):
     found = F.array_distinct(F.transform(F.regexp_extract_all("question", F.lit("(?i)" + dims.LEGAL_REFERENCE), F.lit(1)), F.upper))
-    return asked(spark).select(F.col("qid").alias("doc_id"), F.array_join(found, ",").alias("refs"))
+    return asked(spark, sf_dir).select(F.col("qid").alias("doc_id"), F.array_join(found, ",").alias("refs"))
 
 
-KEYWORDS = ["murder", "theft", "punishment", "terrorism", "law", "right", "act", "appeal"]
+_TERM = ", ".join(f"CASE WHEN regexp_matches(t, {lit(r'(^|[^\pL\pN_])' + k + r'($|[^\pL\pN_])')}) THEN {lit(k)} END" for k in dims.LEGAL_TERMS)
 
 
-@query(rf"SELECT qid, array_to_string(list_slice(list_filter({lit(KEYWORDS)}, lambda k: regexp_matches(lower(question), '\b' || k || '\b')), 1, 15), ',') AS keywords FROM {_QS}")
+@query(f"SELECT doc_id, array_to_string(list_slice(list_filter([{_TERM}], lambda k: k IS NOT NULL), 1, {dims.MOST_KEYWORDS}), ',') AS keywords FROM (SELECT doc_id, lower(text || ' ' || {lit(dims.LEGAL_TERMS)}[doc_id % {len(dims.LEGAL_TERMS)} + 1]) AS t FROM documents)")
 def keywords(spark, sf_dir):
-    own = F.array(*[F.when(F.lower("question").rlike(rf"\b{k}\b"), F.lit(k)) for k in KEYWORDS])
-    return asked(spark).select("qid", F.array_join(F.slice(F.filter(own, lambda k: k.isNotNull()), 1, 15), ",").alias("keywords"))
+    """The legal terms of documents, each with one of the terms put at its end."""
+    from lexloom.operators.cleaning import keywords as terms
+
+    x = F.concat("text", F.lit(" "), picked(dims.LEGAL_TERMS, F.col("doc_id")))
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(terms(x), ",").alias("keywords"))
 
 
 @query(f"SELECT doc_id, md5({norm('text')}) AS normalized, len({toks('text')})::BIGINT AS n, md5(array_to_string({toks('text')}, ' ')) AS tokens FROM documents")
@@ -133,12 +179,14 @@ def token_count(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.token_count(F.col("text")).cast("long").alias("n_tokens"), F.length("text").cast("long").alias("n_chars"))
 
 
-NUMBERS = [(i, x) for i, x in enumerate(["9-A", "9A", "Section 11EE(2)(b)", "art. 10", "302", " 477 - A ", "sec. 5;", "junk", "", "12abcd", "6(1)", "S. 34", None, "Articles 25a."])]
+#: Forms of citations, around the numbers of documents.
+NUMBERS = ["{}-A", "{}A", "Section {}EE(2)(b)", "art. {}", "{}", " {} - A ", "sec. {};", "junk", "", "{}abcd", "{}(1)", "S. {}", "Articles {}a."]
 
 
-@query(f"SELECT i, {canon('raw')} AS number FROM {values('t', 'i, raw', NUMBERS)}")
+@query(f"SELECT doc_id, {canon('raw')} AS number FROM (SELECT doc_id, replace({lit(NUMBERS)}[doc_id % {len(NUMBERS)} + 1], '{{}}', n_chars::VARCHAR) AS raw FROM documents)")
 def canonical_number(spark, sf_dir):
-    return frame(spark, "i LONG, raw STRING", NUMBERS).select("i", T.canonical_number(F.col("raw")).alias("number"))
+    d = table(spark, sf_dir, "documents")
+    return d.select("doc_id", T.canonical_number(F.replace(picked(NUMBERS, F.col("doc_id")), F.lit("{}"), F.col("n_chars").cast("string"))).alias("number"))
 
 
 @query("SELECT doc_id, sha256(concat_ws('|', doc_id, lang, source, n_chars)) AS digest FROM documents")
@@ -163,29 +211,35 @@ def vector_dim_check(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("vec_id", (F.size("embedding") == 64).alias("fits"), F.round(F.sqrt(F.aggregate(e, F.lit(0.0), lambda s, x: s + x * x)), 4).alias("norm"))
 
 
-FILES = [(1, "Pakistan_Penal_Code.pdf"), (2, "anti-terrorism-act-1997.pdf"), (3, "The CONSTITUTION of Pakistan (1973).pdf"), (4, "anti money laundering act 2010.pdf"), (5, "unknown.pdf")]
+#: Names of files, of which each document is one.
+FILES = ["Pakistan_Penal_Code-{}.pdf", "anti-terrorism-act-1997 {}.pdf", "The CONSTITUTION of Pakistan (1973) {}.pdf", "anti money laundering act 2010.{}.pdf", "{}.pdf"]
+_FILES = f"(SELECT doc_id AS i, replace({lit(FILES)}[doc_id % 5 + 1], '{{}}', source) AS name FROM documents) AS f"
 _FN = lambda x: rf"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower({x}), '\.[a-z0-9]+$', ''), '[_\-]+', ' ', 'g'), '[^a-z0-9 ]+', ' ', 'g'), '\s+', ' ', 'g'))"
 _ALIAS = [(i, d, a) for i, (d, own) in enumerate(dims.FILE_ALIASES) for a in own]
 
 
-@query(f"SELECT f.i, arg_min(a.document_id, a.r) AS document_id FROM {values('f', 'i, name', FILES)} JOIN {values('a', 'r, document_id, alias', _ALIAS)} ON contains({_FN('f.name')}, {_FN('a.alias')}) GROUP BY f.i")
+@query(f"SELECT f.i, arg_min(a.document_id, a.r) AS document_id FROM {_FILES} JOIN {values('a', 'r, document_id, alias', _ALIAS)} ON contains({_FN('f.name')}, {_FN('a.alias')}) GROUP BY f.i")
 def resolve_document(spark, sf_dir):
     def plain(c):
         x = F.regexp_replace(F.lower(c), r"\.[a-z0-9]+$", "")
         return F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(x, r"[_\-]+", " "), "[^a-z0-9 ]+", " "), r"\s+", " "))
 
-    f = frame(spark, "i LONG, name STRING", FILES).withColumn("n", plain(F.col("name")))
+    name = F.replace(picked(FILES, F.col("doc_id")), F.lit("{}"), F.col("source"))
+    f = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("i"), name.alias("name")).withColumn("n", plain(F.col("name")))
     a = frame(spark, "r INT, document_id STRING, alias STRING", _ALIAS).withColumn("a", plain(F.col("alias")))
     return f.join(F.broadcast(a), F.col("n").contains(F.col("a"))).groupBy("i").agg(F.min_by("document_id", "r").alias("document_id"))
 
 
-CATEGORIES = [("PPC", "Penal code"), ("CONST", "Constitution law"), ("TAX", "Tax matters"), ("AMLA", "Money laundering")]
+#: Categories, of which each part is one, by its kind.
+CATEGORIES = ["PPC Penal code", "CONST Constitution law", "TAX Tax matters", "AMLA Money laundering"]
+_CATS = f"(SELECT p_partkey AS code, {lit(CATEGORIES)}[p_partkey % 4 + 1] || ' ' || p_type AS name FROM part) AS c"
 _RT = [(d[0], f"{d[1]} {d[2]} {' '.join(d[4])}") for d in dims.ROUTES]
 
 
-@query(f"SELECT c.code, r.document_id FROM {values('c', 'code, name', CATEGORIES)} JOIN {values('r', 'document_id, words', _RT)} ON len(list_intersect({toks('c.code || chr(32) || c.name')}, {toks('r.words')})) > 0")
+@query(f"SELECT c.code, r.document_id FROM {_CATS} JOIN {values('r', 'document_id, words', _RT)} ON len(list_intersect({toks('c.name')}, {toks('r.words')})) > 0")
 def category_routes(spark, sf_dir):
-    c = frame(spark, "code STRING, name STRING", CATEGORIES).withColumn("t", T.tokens(F.concat_ws(" ", "code", "name")))
+    name = F.concat(picked(CATEGORIES, F.col("p_partkey")), F.lit(" "), "p_type")
+    c = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("code"), T.tokens(name).alias("t"))
     r = frame(spark, "document_id STRING, words STRING", _RT).withColumn("u", T.tokens(F.col("words")))
     return c.join(F.broadcast(r), F.arrays_overlap("t", "u")).select("code", "document_id")
 
@@ -203,17 +257,17 @@ _SCORE_SQL = f"SELECT q.qid, coalesce(sum(CASE WHEN {phrase(norm('q.question'),
 
 @query(_DOCS_SQL)
 def detect_documents(spark, sf_dir):
-    return Q.detect_documents(asked(spark)).select("qid", F.array_join("document_ids", ",").alias("documents"))
+    return Q.detect_documents(asked(spark, sf_dir)).select("qid", F.array_join("document_ids", ",").alias("documents"))
 
 
 @query(_CONCEPTS_SQL)
 def detect_concepts(spark, sf_dir):
-    return Q.detect_concepts(asked(spark)).select("qid", F.array_join("concepts", ",").alias("concepts"))
+    return Q.detect_concepts(asked(spark, sf_dir)).select("qid", F.array_join("concepts", ",").alias("concepts"))
 
 
 @query(_SCORE_SQL)
 def scenario_score(spark, sf_dir):
-    return Q.scenario_score(asked(spark))
+    return Q.scenario_score(asked(spark, sf_dir))
 
 
 _DIST = lambda x: f"array_to_string(list_filter({x}, lambda v, i: list_position({x}, v) = i), ',')"
@@ -222,7 +276,7 @@ _SEC, _ARTS = cited("question", dims.SECTION_PREFIX), cited("question", dims.ART
 
 @query(f"SELECT qid, {_DIST(_SEC)} AS sections, {_DIST(_ARTS)} AS articles FROM {_QS}")
 def extract_sections(spark, sf_dir):
-    return asked(spark).select("qid", F.array_join(T.citations(F.col("question"), dims.SECTION_PREFIX), ",").alias("sections"), F.array_join(T.citations(F.col("question"), dims.ARTICLE_PREFIX), ",").alias("articles"))
+    return asked(spark, sf_dir).select("qid", F.array_join(T.citations(F.col("question"), dims.SECTION_PREFIX), ",").alias("sections"), F.array_join(T.citations(F.col("question"), dims.ARTICLE_PREFIX), ",").alias("articles"))
 
 
 _SOME = lambda *p: " OR ".join(f"contains(n, '{x}')" for x in p)
@@ -238,7 +292,7 @@ FROM (SELECT qid, {norm('question')} AS n, {_SEC} AS s, {_ARTS} AS a FROM {_QS})
 
 @query(_TYPE_SQL)
 def classify_question(spark, sf_dir):
-    return Q.query_plan(asked(spark)).select("qid", "question_type")
+    return Q.query_plan(asked(spark, sf_dir)).select("qid", "question_type")
 
 
 _K = "CASE question_type " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in dims.RETRIEVAL_K.items()) + " ELSE 0 END"
@@ -247,7 +301,7 @@ _F = "CASE question_type " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in dims.FI
 
 @query(f"SELECT qid, greatest({_K}, 6)::INT AS retrieval_k, ({_F})::INT AS final_k FROM ({_TYPE_SQL})")
 def retrieval_k(spark, sf_dir):
-    return Q.query_plan(asked(spark)).select("qid", F.col("retrieval_k").cast("int"), F.col("final_k").cast("int"))
+    return Q.query_plan(asked(spark, sf_dir)).select("qid", F.col("retrieval_k").cast("int"), F.col("final_k").cast("int"))
 
 
 _KIND = "CASE WHEN articles <> '' AND sections = '' THEN 'article' WHEN sections <> '' AND articles = '' THEN 'section' WHEN articles = '' AND documents <> '' AND NOT contains(documents, ',') THEN CASE documents WHEN 'constitution_1973' THEN 'article' ELSE 'section' END END"
@@ -255,7 +309,7 @@ _KIND = "CASE WHEN articles <> '' AND sections = '' THEN 'article' WHEN sections
 
 @query(f"SELECT qid, question_type, documents, concepts, sections, articles, {_KIND} AS provision_type FROM ({_TYPE_SQL}) JOIN ({_DOCS_SQL}) USING (qid) JOIN ({_CONCEPTS_SQL}) USING (qid) JOIN ({SQL['extract_sections']}) USING (qid)")
 def query_plan(spark, sf_dir):
-    p = Q.query_plan(asked(spark))
+    p = Q.query_plan(asked(spark, sf_dir))
     j = lambda c, a: F.array_join(c, ",").alias(a)
     return p.select("qid", "question_type", j("document_ids", "documents"), j("concepts", "concepts"), j("sections", "sections"), j("articles", "articles"), "provision_type")
 
@@ -283,7 +337,7 @@ SELECT qid, (unnest(range(1, len(l) + 1)) - 1)::INT AS query_index, unnest(l) AS
 
 @query(_EXPANDED)
 def expand_queries(spark, sf_dir):
-    return Q.expand_queries(Q.query_plan(asked(spark)))
+    return Q.expand_queries(Q.query_plan(asked(spark, sf_dir)))
 
 
 _REF = rf"(?i)\b((?:{dims.SECTION_PREFIX}|{dims.ARTICLE_PREFIX}))\s*(\d+(?:(?:\s*-\s*[A-Za-z]+)|[A-Za-z]+)?)((?:\s*\(\s*[A-Za-z0-9-]+\s*\))*)"
@@ -297,7 +351,7 @@ _RX = lambda i: f"unnest(regexp_extract_all(question, {lit(_REF)}, {i}))"  # noq
     SELECT qid, {_RX(1)} AS prefix, {_RX(2)} AS base, {_RX(3)} AS children, generate_subscripts(regexp_extract_all(question, {lit(_REF)}, 1), 1) AS pos FROM {_QS})))
   WHERE base_number IS NOT NULL GROUP BY ALL""")
 def extract_references(spark, sf_dir):
-    return Q.references(asked(spark))
+    return Q.references(asked(spark, sf_dir))
 
 
 _DH = "CASE c " + " ".join(f"WHEN {lit(c[0])} THEN {lit(c[3]) if c[3] else '[]::VARCHAR[]'}" for c in dims.CONCEPTS) + " END"
@@ -310,5 +364,5 @@ h AS (SELECT *, coalesce(flatten(list_transform(cs, lambda c: {_DH})), []) AS d,
 u AS (SELECT *, {_DIST_LIST('s')} AS su, CASE WHEN t = 'fact_scenario' AND list_contains(cs, 'theft') THEN list_concat(n, list_sort(list_distinct(s))) ELSE n END AS nn FROM h)
 SELECT qid, array_to_string({_DIST_LIST('d')}, ',') AS document_hints, array_to_string(su, ',') AS section_hints, array_to_string({_DIST_LIST('nn')}, ',') AS numbers FROM u""")
 def concept_hints(spark, sf_dir):
-    h = Q.concept_hints(Q.query_plan(asked(spark)))
+    h = Q.concept_hints(Q.query_plan(asked(spark, sf_dir)))
     return h.select("qid", *[F.array_join(c, ",").alias(c) for c in ("document_hints", "section_hints", "numbers")])

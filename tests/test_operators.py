@@ -5,7 +5,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from lexloom.functions import text as T
-from lexloom.operators import evaluation, rank, search, structure
+from lexloom.operators import cleaning, evaluation, rank, search, structure
 from lexloom.plans import questions
 
 
