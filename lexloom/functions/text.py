@@ -17,11 +17,14 @@ def normalize(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(x, r"[^a-z0-9\-\s]", " "), r"\s+", " "))
 
 
+#: Tokens of two characters or more, which need no normalizing of what stands between them.
+TOKEN = "[a-z0-9]{2,}(?:-[a-z0-9]+)?|[a-z0-9]-[a-z0-9]+"
+
+
 def tokens(c: Column) -> Column:
     """Distinct meaningful tokens, in order of appearance."""
-    found = F.regexp_extract_all(normalize(c), F.lit(r"[a-z0-9]+(?:-[a-z0-9]+)?"), F.lit(0))
-    stop = F.array(*[F.lit(w) for w in dims.STOP_WORDS])
-    return F.array_distinct(F.filter(found, lambda t: (F.length(t) > 1) & ~F.array_contains(stop, t)))
+    found = F.regexp_extract_all(F.translate(F.lower(c), "–—", "--"), F.lit(TOKEN), F.lit(0))
+    return F.array_except(found, F.array(*[F.lit(w) for w in dims.STOP_WORDS]))
 
 
 def has_phrase(text: Column, phrase: Column) -> Column:

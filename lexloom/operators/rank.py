@@ -60,15 +60,21 @@ def concept_overlap(concepts: Column, title: Column, content: Column, number: Co
     return F.round(F.greatest(*[one(c) for c in dims.CONCEPTS]), 6)
 
 
-def match_boost(explicit: Column, number: Column, title: Column, question: Column, preferred: Column) -> Column:
-    """1 for an explicit number, .9 for the title in the question, .65 for enough shared
-    tokens, .75 for a preferred provision; the first that holds."""
-    n, t = T.normalize(question), T.normalize(title)
+def match_boost(kind: Column, number: Column, title: Column, document: Column, question: Column, sections: Column, articles: Column, concepts: Column) -> Column:
+    """1 for the first section or article that the question cites, in a provision of that
+    kind; .9 for the title in the question, .65 for enough shared tokens, .75 for a provision
+    that a concept prefers, in a document that it prefers if it does any; the first that holds."""
+    n, t, own = T.normalize(question), T.normalize(title), F.upper(F.trim(number))
     shared = F.size(F.array_intersect(T.tokens(question), T.tokens(title)))
+    first = lambda c: F.coalesce(own == F.upper(F.get(c, F.lit(0))), F.lit(False))
+    liked = F.lit(False)
+    for name, _, _, docs, numbers, _ in dims.CONCEPTS:
+        if numbers:
+            liked = liked | (F.array_contains(concepts, name) & own.isin(numbers) & (document.isin(docs) if docs else F.lit(True)))
     return (
-        F.when(F.array_contains(explicit, number), 1.0).when((t != "") & n.contains(t), 0.9)
+        F.when((kind == "section") & first(sections), 1.0).when((kind == "article") & first(articles), 1.0).when((t != "") & n.contains(t), 0.9)
         .when((F.size(T.tokens(title)) > 0) & (shared >= F.least(F.lit(2), F.size(T.tokens(title)))), 0.65)
-        .when(F.array_contains(preferred, number), 0.75).otherwise(0.0)
+        .when(F.coalesce(liked, F.lit(False)), 0.75).otherwise(0.0)
     )
 
 
@@ -137,12 +143,13 @@ def merge_parts(parts: DataFrame) -> DataFrame:
 
 
 def select_context(ranked: DataFrame, provisions: int, rows: int) -> DataFrame:
-    """Whole groups of the best provisions, until enough rows are taken, then cut."""
-    g = ranked.groupBy("qid", "provision").agg(F.max("final").alias("best"), F.count(F.lit(1)).alias("n"))
-    w = W.partitionBy("qid").orderBy(F.desc("best"), "provision")
+    """Whole groups of the best provisions, by their best final score, then their best
+    similarity, until enough rows are taken; then cut, each group in the order of its parts."""
+    g = ranked.groupBy("qid", "provision").agg(F.max("final").alias("best"), F.max(F.coalesce("semantic", F.lit(0.0))).alias("near"), F.count(F.lit(1)).alias("n"))
+    w = W.partitionBy("qid").orderBy(F.desc("best"), F.desc("near"), "provision")
     g = g.withColumn("g", F.row_number().over(w)).withColumn("before", F.sum("n").over(w.rowsBetween(W.unboundedPreceding, -1)))
     g = g.where((F.col("g") <= provisions) & (F.coalesce("before", F.lit(0)) < rows))
-    place = W.partitionBy("qid").orderBy("g", F.desc("final"), "id")
+    place = W.partitionBy("qid").orderBy("g", "part", "rank", "id")
     return ranked.join(g.select("qid", "provision", "g"), ["qid", "provision"]).withColumn("place", F.row_number().over(place)).where(F.col("place") <= rows)
 
 

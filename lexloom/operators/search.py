@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -96,12 +100,80 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
 
 
-def vector_topk(queries: DataFrame, vectors: DataFrame, k: int, *, where: Column | None = None) -> DataFrame:
-    """Exact cosine top k of unit vectors; queries (qid, q), vectors (vec_id, embedding).
-    The filter lies below the join. Queries are a stated set, broadcast while small."""
-    v = vectors if where is None else vectors.where(where)
-    pairs = v.select(F.col("vec_id").alias("id"), "embedding").crossJoin(maybe_broadcast(queries))
-    return top(pairs.select("qid", "id", F.round(dot(F.col("embedding"), F.col("q")), 6).alias("score")), k)
+#: Queries that every task holds as a matrix, and vectors that are multiplied at a time.
+HELD_QUERIES, VECTOR_BLOCK = 4096, 8192
+
+
+def vector_topk(queries: DataFrame, vectors: DataFrame, k: int, *, where: Column | None = None, held: int = HELD_QUERIES) -> DataFrame:
+    """Exact cosine top k of unit vectors; queries (qid, q), vectors (vec_id, embedding). The
+    filter lies below all else. A block of vectors is multiplied with a matrix of queries, and
+    only what can still be among the k best of a query leaves it: each task keeps the k-th
+    score of every query, and a block whose longest vector can't reach it is skipped. Up to
+    ``held`` queries go to every task; more are met in cells of both kinds of blocks. Vectors
+    with another dimension than the query, or null, take no part."""
+    v = (vectors if where is None else vectors.where(where)).select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v")).where("id IS NOT NULL AND v IS NOT NULL")
+    q = queries.select("qid", F.col("q").cast("array<double>").alias("q")).where("qid IS NOT NULL AND q IS NOT NULL")
+    schema = f"qid {q.schema['qid'].dataType.simpleString()}, id {v.schema['id'].dataType.simpleString()}, score double"
+    few = q.limit(held + 1).collect()
+    if len(few) <= held:
+        known = q.sparkSession.sparkContext.broadcast(_by_size([r["qid"] for r in few], [r["q"] for r in few]))
+
+        def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            best = [np.full(len(ids), -np.inf) for ids, _ in known.value.values()]
+            for b in batches:
+                for ids, m in _by_size(b["id"].tolist(), b["v"].tolist()).values():
+                    for floor, (qids, qm) in zip(best, known.value.values(), strict=True):
+                        if qm.shape[1] == m.shape[1]:
+                            yield from _block_top(qids, qm, ids, m, k, floor)
+
+        found = v.mapInPandas(scan, schema)
+    else:
+        n_q, n_v = (-(-df.count() // size) for df, size in ((q, held), (v, VECTOR_BLOCK)))
+        cells_q = q.withColumn("i", F.pmod(F.xxhash64("qid"), F.lit(n_q))).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(n_v - 1))))
+        cells_v = v.withColumn("j", F.pmod(F.xxhash64("id"), F.lit(n_v)).cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))).cast("long"))
+
+        def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+            parts = []
+            for qids, qm in _by_size(a["qid"].tolist(), a["q"].tolist()).values():
+                for ids, m in _by_size(b["id"].tolist(), b["v"].tolist()).values():
+                    if qm.shape[1] == m.shape[1]:
+                        parts += _block_top(qids, qm, ids, m, k, np.full(len(qids), -np.inf))
+            return pd.concat(parts) if parts else pd.DataFrame({"qid": a["qid"].iloc[:0], "id": b["id"].iloc[:0], "score": np.zeros(0)})
+
+        found = cells_q.groupBy("i", "j").cogroup(cells_v.groupBy("i", "j")).applyInPandas(meet, schema)
+    return top(found, k)
+
+
+def _by_size(ids: list, vectors: list) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Vectors without nulls as one matrix for each dimension."""
+    groups: dict[int, list] = {}
+    for i, v in zip(ids, vectors, strict=True):
+        if v is not None and all(x is not None for x in v):
+            groups.setdefault(len(v), []).append((i, v))
+    return {n: (_objects([i for i, _ in rows]), np.array([v for _, v in rows], dtype=np.float64).reshape(len(rows), n)) for n, rows in groups.items()}
+
+
+def _objects(values: list) -> np.ndarray:
+    out = np.empty(len(values), dtype=object)
+    out[:] = values
+    return out
+
+
+def _block_top(qids: np.ndarray, q: np.ndarray, ids: np.ndarray, v: np.ndarray, k: int, floor: np.ndarray) -> Iterator[pd.DataFrame]:
+    """The rows of a block that may be among the k best of a query, at most k, of equal scores
+    those of the smaller ids; floor: the k-th scores so far, which it raises."""
+    longest = np.linalg.norm(v, axis=1).max() if len(v) else 0.0
+    able = np.flatnonzero(np.linalg.norm(q, axis=1) * longest + 1e-6 >= floor)
+    if not len(able) or not len(v):
+        return
+    scores = np.round(q[able] @ v.T, 6)
+    if scores.shape[1] > k:
+        last = np.partition(scores, -k, axis=1)[:, -k]
+        floor[able] = np.maximum(floor[able], last)
+    a, b = np.nonzero(scores >= floor[able][:, None])
+    if len(a):
+        rows = pd.DataFrame({"a": a, "id": ids[b].tolist(), "score": scores[a, b]}).sort_values(["a", "score", "id"], ascending=[True, False, True], kind="stable").groupby("a").head(k)
+        yield pd.DataFrame({"qid": qids[able][rows["a"]].tolist(), "id": rows["id"].tolist(), "score": rows["score"].to_numpy()})
 
 
 def exact_lookup(wanted: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -122,7 +194,42 @@ def child_or_parent(refs: DataFrame, chunks: DataFrame) -> DataFrame:
 
 
 def neighbors(probes: DataFrame, chunks: DataFrame, radius: int) -> DataFrame:
-    """Rows within radius of a probe in the source order of its document and type."""
-    p, c = probes.alias("p"), chunks.alias("c")
-    on = (F.col("p.document_id") == F.col("c.document_id")) & (F.col("p.provision_type") == F.col("c.provision_type")) & F.col("c.ordinal").between(F.col("p.ordinal") - radius, F.col("p.ordinal") + radius)
-    return p.join(c, on).select("p.probe", "c.id", (F.col("c.ordinal") - F.col("p.ordinal")).alias("offset"))
+    """Rows within radius of a probe in the source order of its document and type: each probe
+    names the places that it looks at, which are joined by equality."""
+    p = probes.withColumn("offset", F.explode(F.sequence(F.lit(-radius), F.lit(radius)))).withColumn("ordinal", F.col("ordinal") + F.col("offset"))
+    return p.join(chunks.select("document_id", "provision_type", "ordinal", "id"), ["document_id", "provision_type", "ordinal"]).select("probe", "id", "offset")
+
+
+def fetch_candidates(plan: DataFrame, queries: DataFrame, vectors: DataFrame, embeddings: DataFrame, chunks: DataFrame, routes: DataFrame, k: int, radius: int = 1) -> DataFrame:
+    """(qid, id, method, query_index, score, rank) of four channels, with all that each finds.
+
+    plan: (qid, document_ids, sections, articles); queries: (qid, query_index, query), the
+    question and its expansions; vectors: (qid, query_index, q); embeddings: (vec_id,
+    embedding); chunks: (id, text, document_id, provision_type, provision_number, ordinal);
+    routes: (qid, scope, number). All queries of all questions share one scan of the corpus a
+    channel. Cited provisions come from the question's documents, else from any. Neighbours
+    are what stands around the section of each route, which ranks them for itself."""
+    asked = materialized(queries.select(F.struct("qid", "query_index").alias("key"), "query"), "queries")
+    tag = lambda df, m, qid, index: df.select(qid.alias("qid"), "id", F.lit(m).alias("method"), index.cast("int").alias("query_index"), "score", "rank")
+    lexical = bm25_topk(asked, chunks, k, qid="key", qtext="query", id_col="id", text_col="text")
+    # A query's name is its number and the question's, as text: it goes through Python.
+    dense = vector_topk(vectors.select(F.concat_ws(" ", "query_index", "qid").alias("qid"), "q"), embeddings, k)
+    cut = lambda i: F.get(F.split("qid", " ", 2), F.lit(i))
+    cited = lambda names, kind: F.transform(names, lambda n: F.struct(F.lit(kind).alias("provision_type"), n.alias("provision_number")))
+    cite = F.concat(cited("sections", "section"), cited("articles", "article"))
+    scope = F.concat(F.transform("document_ids", lambda d: F.struct(F.lit(1).alias("priority"), d.alias("document_id"))), F.array(F.struct(F.lit(2).alias("priority"), F.lit(None).cast("string").alias("document_id"))))
+    wanted = plan.select("qid", F.explode(cite).alias("c"), scope.alias("s")).select("qid", "c.*", F.explode("s").alias("s")).select("qid", "provision_type", "provision_number", "s.*")
+    places = chunks.select("id", F.col("id").alias("chunk_id"), "document_id", "provision_type", "provision_number", "ordinal")
+    null = F.lit(None).cast("double").alias("score")
+    exact = exact_lookup(wanted, places).withColumnRenamed("chunk_id", "id")
+    exact = exact.select("qid", "id", F.lit("exact").alias("method"), F.lit(0).alias("query_index"), null, F.row_number().over(W.partitionBy("qid").orderBy("id")).alias("rank"))
+    r = maybe_broadcast(routes.withColumn("provision_type", F.lit("section")).withColumnRenamed("number", "provision_number"))
+    probes = places.join(r, ["provision_type", "provision_number"]).where(F.col("scope").isNull() | F.expr("array_contains(scope, document_id)"))
+    probes = probes.select(F.struct("qid", "scope", "provision_number").alias("probe"), "document_id", "provision_type", "ordinal")
+    near = neighbors(probes, places, radius).groupBy("probe", "id").agg(F.min(F.abs("offset")).alias("away"))
+    last = queries.groupBy("qid").agg((F.max("query_index") + 1).cast("int").alias("query_index"))
+    near = near.withColumn("rank", F.row_number().over(W.partitionBy("probe").orderBy("away", "id"))).select("probe.qid", "id", "rank").join(maybe_broadcast(last), "qid")
+    near = near.select("qid", "id", F.lit("neighbor").alias("method"), "query_index", null, "rank")
+    lexical = tag(lexical, "lexical", F.col("qid.qid"), F.col("qid.query_index"))
+    dense = tag(dense, "vector", cut(1).cast(queries.schema["qid"].dataType), cut(0))
+    return lexical.unionByName(dense).unionByName(exact).unionByName(near)

@@ -12,7 +12,8 @@ from lexloom.operators import rank as R
 from lexloom.operators import search as S
 from lexloom.plans import dims
 from lexloom.plans import questions as Q
-from lexloom.plans.queries_text import table
+from lexloom.plans import queries_text as QT
+from lexloom.plans.queries_text import picked, table
 from lexloom.plans.sqltext import cited, frame, lit, norm, phrase, toks, values
 from lexloom.sources.tables import materialized
 
@@ -89,9 +90,9 @@ def bm25_stats(spark, sf_dir):
     return s.select("term", "df", "n", F.round("avgdl", 6).alias("avgdl"))
 
 
-def _bm25(keep: str, k: int) -> str:
+def _bm25(keep: str, k: int, queries: str = "(SELECT item_id AS qid, text FROM benchmark)") -> str:
     return f"""
-WITH d AS MATERIALIZED {_TERMS}, s AS (SELECT count(*) AS n, avg(len(terms)) AS avgdl FROM d), q AS (SELECT item_id AS qid, {norm('text')} AS q, {toks('text')} AS ts FROM benchmark),
+WITH d AS MATERIALIZED {_TERMS}, s AS (SELECT count(*) AS n, avg(len(terms)) AS avgdl FROM d), q AS MATERIALIZED (SELECT qid, {norm('text')} AS q, {toks('text')} AS ts FROM {queries}),
 p AS (SELECT id, source, len(terms) AS size, unnest(terms) AS term FROM d), qt AS (SELECT qid, unnest(ts) AS term FROM q), f AS (SELECT term, count(*) AS df FROM p GROUP BY term),
 h AS (SELECT qid, id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * 2.5 / (1 + 1.5 * (0.25 + 0.75 * size / avgdl))) AS s FROM qt JOIN p USING (term) JOIN f USING (term), s WHERE {keep} GROUP BY qid, id),
 b AS (SELECT qid, id, round(s + CASE WHEN q <> '' AND contains({norm('d.t')}, q) THEN least(0.5, 0.05 * greatest(1, len(ts))) ELSE 0 END, 6) AS score FROM h JOIN q USING (qid) JOIN d USING (id))
@@ -158,43 +159,74 @@ def neighbors(spark, sf_dir):
     return S.neighbors(probes, c, 2)
 
 
-_ROUTES = [(1, "src1,src2", "src2,src3", "section", "5"), (1, "src2", "src2", "section", "5"), (2, "src9", "src1", "section", "7"), (3, "", "src4", "article", "2")]
+#: Documents as the provisions of laws: some of the penal code, numbers from 300 on that go
+#: on with the corpus, the text's beginning as title.
+_LAW = """(SELECT doc_id AS id, text, CASE WHEN doc_id % 20 < 5 THEN 'ppc_1860' ELSE source END AS document_id, CASE WHEN doc_id % 7 = 0 THEN 'article' ELSE 'section' END AS provision_type,
+  CAST(300 + CAST(floor(doc_id / 20) AS INT) AS VARCHAR) AS provision_number, CAST(floor(doc_id / 20) AS INT) AS ordinal, source, substring(text, 1, 40) AS title, text AS content,
+  CAST(doc_id % 2 + 1 AS INT) AS part, 'c' || CAST(doc_id AS VARCHAR) AS key, doc_id % 17 = 0 AS suspicious, doc_id % 11 = 0 AS heading, CAST(doc_id % 9 + 1 AS INT) AS page FROM documents)"""
 
 
-@query(f"SELECT DISTINCT qid, docs, provision_type, provision_number FROM (SELECT qid, provision_type, provision_number, array_to_string(list_sort(CASE WHEN explicit = '' THEN string_split(concept, ',') ELSE list_intersect(string_split(explicit, ','), string_split(concept, ',')) END), ',') AS docs FROM {values('r', 'qid, explicit, concept, provision_type, provision_number', _ROUTES)}) WHERE docs <> ''")
+def law(spark, sf_dir):
+    table(spark, sf_dir, "documents").createOrReplaceTempView("documents_as_chunks")
+    return spark.sql("SELECT * FROM " + _LAW.replace("FROM documents)", "FROM documents_as_chunks)").replace("VARCHAR", "STRING"))
+
+
+#: Benchmark items as what is asked, each after one of the questions.
+_BQ = f"(SELECT item_id AS qid, {lit([q for _, q in QT.QUESTIONS])}[item_id % {len(QT.QUESTIONS)} + 1] || ' ' || text AS question FROM benchmark) AS q"
+_of_items = lambda sql: sql.replace(QT._QS, _BQ)
+_DOCS_B, _CONCEPTS_B, _QUERIES_B = map(_of_items, (QT._DOCS_SQL, QT._CONCEPTS_SQL, QT._EXPANDED))
+
+
+def item_questions(spark, sf_dir):
+    question = F.concat(picked([q for _, q in QT.QUESTIONS], F.col("item_id")), F.lit(" "), "text")
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), question.alias("question"))
+
+
+_PREFER = values("k", "concept, number, docs", [(c[0], n, c[3]) for c in dims.CONCEPTS for n in c[4]])
+
+
+def _routes(docs: str, concepts: str) -> str:
+    return f"""SELECT DISTINCT qid, scope, number FROM (SELECT qid, number, CASE WHEN own = [] AND docs = [] THEN NULL WHEN own = [] THEN list_sort(docs) WHEN docs = [] THEN list_sort(own) ELSE list_sort(list_intersect(own, docs)) END AS scope FROM (
+  SELECT c.qid, k.number, k.docs::VARCHAR[] AS docs, CASE WHEN d.documents = '' THEN []::VARCHAR[] ELSE string_split(d.documents, ',') END AS own
+  FROM (SELECT qid, unnest(string_split(concepts, ',')) AS concept FROM ({concepts})) c JOIN {_PREFER} ON k.concept = c.concept JOIN ({docs}) d ON d.qid = c.qid)) WHERE scope IS NULL OR scope <> []"""
+
+
+@query(f"SELECT qid, coalesce(array_to_string(scope, ','), '') AS docs, number FROM ({_routes(QT._DOCS_SQL, QT._CONCEPTS_SQL)})")
 def neighbor_routes(spark, sf_dir):
-    """Concept documents within the question's own; disjoint ones are skipped, equal routes run once."""
-    r = frame(spark, "qid LONG, explicit STRING, concept STRING, provision_type STRING, provision_number STRING", _ROUTES)
-    c = F.split("concept", ",")
-    docs = F.when(F.col("explicit") == "", c).otherwise(F.array_intersect(F.split("explicit", ","), c))
-    r = r.withColumn("docs", F.array_join(F.array_sort(docs), ",")).where("docs <> ''")
-    return r.select("qid", "docs", "provision_type", "provision_number").dropDuplicates()
-
-
-#: Provisions that items cite, standing in for citations: one of a document, or of any.
-_CITED = "(SELECT item_id AS qid, CAST(item_id % 40 AS VARCHAR) AS number, 'src' || CAST(item_id % 20 AS VARCHAR) AS document FROM benchmark)"
-_EXACT = f"""SELECT qid, id FROM (SELECT *, min(priority) OVER (PARTITION BY qid) AS p FROM (
-  SELECT b.qid, c.id, CASE WHEN c.document_id = b.document THEN 1 ELSE 2 END AS priority FROM {_CITED} b JOIN {_CHUNKS} c ON c.provision_type = 'section' AND c.provision_number = b.number)) WHERE priority = p"""
-_NEAR = f"""SELECT qid, id, min("offset") AS "offset" FROM (SELECT e.qid, c.id, abs(c.ordinal - p.ordinal) AS "offset" FROM ({_EXACT}) e JOIN {_CHUNKS} p ON p.id = e.id JOIN {_CHUNKS} c ON c.document_id = p.document_id AND c.provision_type = p.provision_type AND abs(c.ordinal - p.ordinal) <= 1)
-WHERE (qid, id) NOT IN ({_EXACT}) GROUP BY qid, id"""
-_CAND = f"""SELECT qid, id, 'lexical' AS method, 0 AS query_index, score, rank FROM ({_bm25('true', 20)}) UNION ALL SELECT qid, id, 'vector', 0, score, rank FROM ({_vec('true', 20)})
-UNION ALL SELECT qid, id, 'exact', 0, NULL, (row_number() OVER (PARTITION BY qid ORDER BY id))::INT FROM ({_EXACT}) UNION ALL SELECT qid, id, 'neighbor', 0, NULL, (row_number() OVER (PARTITION BY qid ORDER BY "offset", id))::INT FROM ({_NEAR})"""
-
-
-def _candidates(spark, sf_dir):
-    """All four channels: exact, lexical, vector, neighbours in source order."""
-    b = table(spark, sf_dir, "benchmark")
-    c = chunks(spark, sf_dir)
-    tag = lambda df, m: df.select("qid", "id", F.lit(m).alias("method"), F.lit(0).alias("query_index"), "score", "rank")
-    lexical = S.bm25_topk(b, table(spark, sf_dir, "documents"), 20)
-    dense = S.vector_topk(vector_questions(spark, sf_dir), table(spark, sf_dir, "embeddings"), 20)
-    number, document = (F.col("item_id") % 40).cast("string"), F.concat(F.lit("src"), F.col("item_id") % 20)
-    wanted = b.select(F.col("item_id").alias("qid"), F.lit("section").alias("provision_type"), number.alias("provision_number"), F.explode(F.array(F.struct(F.lit(1).alias("priority"), document.alias("document_id")), F.struct(F.lit(2).alias("priority"), F.lit(None).cast("string").alias("document_id")))).alias("w")).select("qid", "provision_type", "provision_number", "w.*")
-    exact = S.exact_lookup(wanted, c).join(c.select("chunk_id", "id", "document_id", "provision_type", "ordinal"), "chunk_id")
-    probes = exact.select(F.struct("qid", "id").alias("probe"), "document_id", "provision_type", "ordinal")
-    near = S.neighbors(probes, c, 1).select("probe.qid", "id", F.abs("offset").alias("offset")).groupBy("qid", "id").agg(F.min("offset").alias("offset")).join(exact.select("qid", "id"), ["qid", "id"], "left_anti")
-    place = lambda df, *by: df.select("qid", "id", F.lit(None).cast("double").alias("score"), F.row_number().over(W.partitionBy("qid").orderBy(*by)).alias("rank"))
-    return tag(lexical, "lexical").unionByName(tag(dense, "vector")).unionByName(tag(place(exact, "id"), "exact")).unionByName(tag(place(near, "offset", "id"), "neighbor"))
+    """Where each user turn's concepts send the neighbour channel: their sections in the
+    documents that question and concept allow; disjoint ones are skipped, equal routes are one."""
+    r = Q.concept_routes(Q.query_plan(QT.asked(spark, sf_dir)))
+    return r.select("qid", F.coalesce(F.array_join("scope", ","), F.lit("")).alias("docs"), "number")
+
+
+_EXACT = f"""SELECT DISTINCT qid, id FROM (SELECT *, min(priority) OVER (PARTITION BY qid) AS p FROM (
+  SELECT w.qid, c.id, CASE WHEN list_contains(string_split(d.documents, ','), c.document_id) THEN 1 ELSE 2 END AS priority FROM (
+    SELECT qid, 'section' AS kind, unnest({QT._SEC}) AS number FROM {_BQ} UNION SELECT qid, 'article', unnest({QT._ARTS}) FROM {_BQ}) w
+  JOIN {_LAW} c ON c.provision_type = w.kind AND c.provision_number = w.number JOIN ({_DOCS_B}) d ON d.qid = w.qid)) WHERE priority = p"""
+_NEAR = f"""SELECT qid, scope, number, id, min(away) AS away FROM (SELECT r.*, c.id, abs(c.ordinal - p.ordinal) AS away FROM ({_routes(_DOCS_B, _CONCEPTS_B)}) r
+  JOIN {_LAW} p ON p.provision_type = 'section' AND p.provision_number = r.number AND (r.scope IS NULL OR list_contains(r.scope, p.document_id))
+  JOIN {_LAW} c ON c.document_id = p.document_id AND c.provision_type = p.provision_type AND abs(c.ordinal - p.ordinal) <= 1) GROUP BY ALL"""
+#: A query's vector: the stored one of the item's number and the query's.
+_QVEC = f"(SELECT x.qid * 100 + x.query_index AS qid, e.embedding FROM ({_QUERIES_B}) x JOIN embeddings e ON e.vec_id = x.qid + x.query_index)"
+_CAND = f"""SELECT (qid // 100)::BIGINT AS qid, id, 'lexical' AS method, (qid % 100)::INT AS query_index, score, rank FROM ({_bm25('true', 20, f'(SELECT qid * 100 + query_index AS qid, query AS text FROM ({_QUERIES_B}))')})
+UNION ALL SELECT (qid // 100)::BIGINT, id, 'vector', (qid % 100)::INT, score, rank FROM (SELECT *, (row_number() OVER (PARTITION BY qid ORDER BY score DESC, id))::INT AS rank FROM (
+  SELECT q.qid, v.vec_id AS id, round(list_inner_product(v.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score FROM {_QVEC} q, embeddings v)) WHERE rank <= 20
+UNION ALL SELECT qid, id, 'exact', 0, NULL, (row_number() OVER (PARTITION BY qid ORDER BY id))::INT FROM ({_EXACT})
+UNION ALL SELECT n.qid, id, 'neighbor', k, NULL, (row_number() OVER (PARTITION BY n.qid, scope, number ORDER BY away, id))::INT FROM ({_NEAR}) n JOIN (SELECT qid, (max(query_index) + 1)::INT AS k FROM ({_QUERIES_B}) GROUP BY qid) USING (qid)"""
+
+
+def _planned(spark, sf_dir):
+    return materialized(Q.query_plan(item_questions(spark, sf_dir)), "plan")
+
+
+def _candidates(spark, sf_dir, plan=None):
+    """All four channels for each item and its expanded queries."""
+    plan = _planned(spark, sf_dir) if plan is None else plan
+    queries = materialized(Q.expand_queries(plan), "expanded")
+    e = table(spark, sf_dir, "embeddings")
+    own = queries.select("qid", "query_index", (F.col("qid") + F.col("query_index")).alias("vec_id"))
+    vectors = e.join(S.maybe_broadcast(own), "vec_id").select("qid", "query_index", F.col("embedding").alias("q"))
+    return S.fetch_candidates(plan, queries, vectors, e, law(spark, sf_dir), Q.concept_routes(plan), 20)
 
 
 @query(_CAND)
@@ -202,8 +234,10 @@ def candidates(spark, sf_dir):
     return _candidates(spark, sf_dir)
 
 
-#: A small candidate set with duplicates, nulls and ties.
-_RRF = [(1, 10, "vector", 0, 0.9, 1), (1, 11, "vector", 0, 0.8, 2), (1, 10, "vector", 0, 0.7, 3), (1, 12, "vector", 0, None, 4), (1, 10, "lexical", 0, 7.5, 1), (1, 12, "lexical", 0, 7.5, 2), (1, 13, "neighbor", 1, None, 1), (2, 11, "vector", 1, 1.4, 1), (2, 12, "vector", 1, None, 3), (2, 13, "vector", 1, None, 2), (2, 11, "lexical", 1, 3.0, 1)]
+#: Events as candidates: of a user's question by three channels, two queries each, with
+#: duplicates, ties and channels without scores.
+_EVENTS = """(SELECT user_id AS qid, event_id % 50 AS id, CASE event_id % 4 WHEN 0 THEN 'neighbor' WHEN 1 THEN 'lexical' ELSE 'vector' END AS method, CAST(event_id % 3 AS INT) AS query_index,
+  CASE WHEN event_id % 4 <> 0 AND event_id % 7 <> 0 THEN CAST(round(value / 100, 1) AS DOUBLE) END AS score, CAST(event_id % 20 + 1 AS INT) AS rank FROM events)"""
 
 
 def _rrf(source: str) -> str:
@@ -212,22 +246,22 @@ def _rrf(source: str) -> str:
     SELECT *, row_number() OVER (PARTITION BY qid, method, query_index ORDER BY score IS NULL, score DESC, rank, id) AS r FROM {source}) GROUP BY ALL) GROUP BY qid, id"""
 
 
-_CV = values("c", "qid, id, method, query_index, score, rank", _RRF)
-_CV_CLEAN = f"(SELECT qid, id, method, query_index, score::DOUBLE AS score, rank FROM {_CV})"
+_CV = _EVENTS
 
 
-def _small(spark):
-    return frame(spark, "qid LONG, id LONG, method STRING, query_index INT, score DOUBLE, rank INT", _RRF)
+def _events(spark, sf_dir):
+    table(spark, sf_dir, "events").createOrReplaceTempView("events_as_candidates")
+    return spark.sql("SELECT * FROM " + _EVENTS.replace("FROM events)", "FROM events_as_candidates)"))
 
 
-@query(_rrf(_CV_CLEAN))
+@query(_rrf(_CV))
 def rrf_fusion(spark, sf_dir):
-    return R.rrf_fusion(_small(spark).withColumnRenamed("rank", "retrieval_rank"))
+    return R.rrf_fusion(_events(spark, sf_dir).withColumnRenamed("rank", "retrieval_rank"))
 
 
 @query(f"SELECT qid, id, array_to_string(list_sort(list_distinct(list(method))), ',') AS methods, array_to_string(list_sort(list_distinct(list(query_index))), ',') AS indices, count(DISTINCT method || query_index) AS matched_queries FROM {_CV} GROUP BY qid, id")
 def provenance(spark, sf_dir):
-    c = _small(spark)
+    c = _events(spark, sf_dir)
     return c.groupBy("qid", "id").agg(F.array_join(F.array_sort(F.collect_set("method")), ",").alias("methods"), F.array_join(F.array_sort(F.collect_set("query_index")).cast("array<string>"), ",").alias("indices"), F.count_distinct("method", "query_index").alias("matched_queries"))
 
 
@@ -246,11 +280,15 @@ _FEAT = [
     (1, "What is the punishment for theft", "Theft", "theft punishment movable property", "378", "ppc_1860", "theft"), (2, "Who is an agent entrusted with dominion", "Criminal breach of trust", "entrusted clerk servant agent", "405", "ppc_1860", "breach_of_trust"),
     (3, "section 302", "Punishment of murder", "death", "302", "ppc_1860", "murder"), (4, "inheritance dispute", "Heir", "wali", "317", "ppc_1860", ""), (5, "fair trial", "Safeguards as to arrest", "right", "10A", "constitution_1973", ""), (6, "acts of terrorism", "Terrorism", "act of terrorism section 6", "6", "ata_1997", "terrorism"),
 ]
-_FV = values("f", "i, question, title, content, number, document, concepts", _FEAT)
+#: Documents in these roles, each with its own text behind what is given.
+_FCOL = ["question", "title", "content", "number", "document", "concepts"]
+_FV = "(SELECT doc_id AS i, " + ", ".join(f"{lit([f[k + 1] for f in _FEAT])}[doc_id % {len(_FEAT)} + 1]" + (" || ' ' || text" if c in ("question", "content") else "") + f" AS {c}" for k, c in enumerate(_FCOL)) + ", CASE WHEN doc_id % 7 = 0 THEN 'article' ELSE 'section' END AS kind FROM documents)"
 
 
-def _feats(spark):
-    return frame(spark, "i LONG, question STRING, title STRING, content STRING, number STRING, document STRING, concepts STRING", _FEAT)
+def _feats(spark, sf_dir):
+    own = lambda k, c: picked([f[k + 1] for f in _FEAT], F.col("doc_id"))
+    cols = [(F.concat(own(k, c), F.lit(" "), "text") if c in ("question", "content") else own(k, c)).alias(c) for k, c in enumerate(_FCOL)]
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("i"), *cols, F.when(F.col("doc_id") % 7 == 0, "article").otherwise("section").alias("kind"))
 
 
 def _concept_sql(c: tuple) -> str:
@@ -264,13 +302,23 @@ def _concept_sql(c: tuple) -> str:
 
 @query(f"SELECT i, round(greatest({', '.join(map(_concept_sql, dims.CONCEPTS))}), 6) AS overlap FROM {_FV}")
 def concept_overlap(spark, sf_dir):
-    return _feats(spark).select("i", R.concept_overlap(F.split("concepts", ","), F.col("title"), F.col("content"), F.col("number"), F.col("document")).alias("overlap"))
+    return _feats(spark, sf_dir).select("i", R.concept_overlap(F.split("concepts", ","), F.col("title"), F.col("content"), F.col("number"), F.col("document")).alias("overlap"))
+
 
+def _boost(q: str, has, document: str, kind: str) -> str:
+    """q: prefix of the question's columns question, n and qt; has: condition of a concept."""
+    first = lambda c: f"coalesce(upper(trim(number)) = upper(({c})[1]), false)"
+    liked = " OR ".join(f"({has(c)} AND upper(number) IN ({', '.join(map(lit, c[4]))})" + (f" AND {document} IN ({', '.join(map(lit, c[3]))})" if c[3] else "") + ")" for c in dims.CONCEPTS if c[4])
+    sections, articles = cited(q + "question", dims.SECTION_PREFIX), cited(q + "question", dims.ARTICLE_PREFIX)
+    return f"""CASE WHEN {kind} = 'section' AND {first(sections)} THEN 1.0 WHEN {kind} = 'article' AND {first(articles)} THEN 1.0 WHEN {norm('title')} <> '' AND contains({q}n, {norm('title')}) THEN 0.9
+  WHEN len({toks('title')}) > 0 AND len(list_intersect({q}qt, {toks('title')})) >= least(2, len({toks('title')})) THEN 0.65 WHEN {liked} THEN 0.75 ELSE 0.0 END"""
 
-@query(f"""SELECT i, CASE WHEN number = '302' THEN 1.0 WHEN t <> '' AND contains(n, t) THEN 0.9 WHEN len(tt) > 0 AND len(list_intersect(qt, tt)) >= least(2, len(tt)) THEN 0.65 WHEN number = '405' THEN 0.75 ELSE 0.0 END::DOUBLE AS boost
-  FROM (SELECT i, number, {norm('question')} AS n, {norm('title')} AS t, {toks('question')} AS qt, {toks('title')} AS tt FROM {_FV})""")
+
+@query(f"SELECT i, ({_boost('', lambda c: f'concepts = {lit(c[0])}', 'document', 'kind')})::DOUBLE AS boost FROM (SELECT *, {norm('question')} AS n, {toks('question')} AS qt FROM {_FV})")
 def match_boost(spark, sf_dir):
-    return _feats(spark).select("i", R.match_boost(F.array(F.lit("302")), F.col("number"), F.col("title"), F.col("question"), F.array(F.lit("405"))).alias("boost"))
+    c = F.col
+    s, a = (T.citations(c("question"), p) for p in (dims.SECTION_PREFIX, dims.ARTICLE_PREFIX))
+    return _feats(spark, sf_dir).select("i", R.match_boost(c("kind"), c("number"), c("title"), c("document"), c("question"), s, a, F.split("concepts", ",")).alias("boost"))
 
 
 _PEN = " ".join(f"WHEN upper(number) = '{s}' AND document = 'ppc_1860' AND NOT ({' OR '.join(f'contains({norm("question")}, {lit(w)})' for w in ws)}) THEN 0.4" for s, ws in dims.REQUIREMENTS.items())
@@ -278,7 +326,7 @@ _PEN = " ".join(f"WHEN upper(number) = '{s}' AND document = 'ppc_1860' AND NOT (
 
 @query(f"SELECT i, (CASE {_PEN} ELSE 0.0 END)::DOUBLE AS penalty FROM {_FV}")
 def special_penalty(spark, sf_dir):
-    return _feats(spark).select("i", R.special_penalty(F.col("number"), F.col("document"), F.col("question")).alias("penalty"))
+    return _feats(spark, sf_dir).select("i", R.special_penalty(F.col("number"), F.col("document"), F.col("question")).alias("penalty"))
 
 
 @query("SELECT event_id, round(greatest(0.0, least(1.0, 0.55 * coalesce(CASE WHEN value < 50 THEN value / 100 END, 0) + 0.20 * (user_id % 3) / 2 + 0.15 * (event_id % 7) / 7 + 0.10 * (event_id % 5) / 5 + least(0.08, 2.0 / (60 + event_id % 40)) - CASE WHEN event_id % 9 = 0 THEN 0.4 ELSE 0.0 END - CASE WHEN event_id % 13 = 0 THEN 0.05 ELSE 0.0 END - CASE WHEN event_id % 11 = 0 THEN 0.25 ELSE 0.0 END)), 6)::DOUBLE AS final FROM events")
@@ -288,12 +336,6 @@ def final_score(spark, sf_dir):
     return e.select("event_id", s.alias("final"))
 
 
-#: Documents as provisions for the ranking: some of them of the penal code, numbers from
-#: 300 on, the text's beginning as title.
-_RANKED_DOCS = """(SELECT doc_id AS id, CASE WHEN doc_id % 20 < 5 THEN 'ppc_1860' ELSE source END AS document, source, CAST(300 + doc_id % 110 AS VARCHAR) AS number, substring(text, 1, 40) AS title, text AS content,
-  CAST(doc_id % 2 + 1 AS INT) AS part, 'c' || CAST(doc_id AS VARCHAR) AS key, doc_id % 17 = 0 AS suspicious, doc_id % 11 = 0 AS heading FROM documents)"""
-
-
 def _plain(x: str) -> str:
     """A marker as questions are normalized."""
     return re.sub(r"\s+", " ", re.sub(r"[^a-z0-9\-\s]", " ", x.lower())).strip()
@@ -303,33 +345,28 @@ def _has(c: tuple) -> str:
     return "(" + " OR ".join(phrase(norm("b.text"), lit(re.escape(_plain(m)).replace("\\ ", " ").replace("\\-", "-"))) for m in c[1]) + ")"
 
 
-_Q = "(SELECT b.item_id AS qid, b.text AS question, " + norm("b.text") + " AS n, " + toks("b.text") + f" AS qt, list_concat({cited('b.text', dims.SECTION_PREFIX)}, {cited('b.text', dims.ARTICLE_PREFIX)}) AS explicit, " + ", ".join(f"{_has(c)} AS has_{c[0]}" for c in dims.CONCEPTS) + " FROM benchmark b)"
-_CONCEPT = "greatest(" + ", ".join(_concept_sql(c).replace(f"concepts = '{c[0]}'", f"has_{c[0]}") for c in dims.CONCEPTS) + ")"
-_PREFERRED = "(" + " OR ".join(f"(has_{c[0]} AND number IN ({', '.join(map(lit, c[4]))}))" for c in dims.CONCEPTS if c[4]) + ")"
-_BOOST = f"CASE WHEN list_contains(explicit, number) THEN 1.0 WHEN {norm('title')} <> '' AND contains(n, {norm('title')}) THEN 0.9 WHEN len({toks('title')}) > 0 AND len(list_intersect(qt, {toks('title')})) >= least(2, len({toks('title')})) THEN 0.65 WHEN {_PREFERRED} THEN 0.75 ELSE 0.0 END"
+_Q = f"(SELECT b.qid, b.text AS question, {norm('b.text')} AS n, {toks('b.text')} AS qt, " + ", ".join(f"{_has(c)} AS has_{c[0]}" for c in dims.CONCEPTS) + f" FROM (SELECT qid, question AS text FROM {_BQ}) b)"
+_CONCEPT = "greatest(" + ", ".join(_concept_sql(c).replace(f"concepts = '{c[0]}'", f"has_{c[0]}").replace("number", "provision_number").replace("(document ", "(document_id ") for c in dims.CONCEPTS) + ")"
+_BOOST = _boost("", lambda c: f"has_{c[0]}", "document_id", "provision_type").replace("trim(number)", "trim(provision_number)").replace("upper(number)", "upper(provision_number)")
+_PEN_LAW = _PEN.replace("upper(number)", "upper(provision_number)").replace("document =", "document_id =")
 _SCORED = f"""(SELECT *, (row_number() OVER (PARTITION BY qid ORDER BY final DESC, matched DESC, coalesce(semantic, 0) DESC, part, key DESC))::INT AS rank FROM (
   SELECT f.*, d.* EXCLUDE (id), q.* EXCLUDE (qid), round(greatest(0.0, least(1.0, 0.55 * coalesce(semantic, 0) + 0.20 * {_BOOST} + 0.15 * {_OVER.format(q='qt', d=toks('d.source || chr(32) || substring(d.content, 1, 1600)'))} + 0.10 * round({_CONCEPT}, 6)
-    + least(0.08, 2 * fusion) - (CASE {_PEN} ELSE 0.0 END) - CASE WHEN suspicious THEN 0.05 ELSE 0.0 END - CASE WHEN heading THEN 0.25 ELSE 0.0 END)), 6)::DOUBLE AS final
-  FROM ({_rrf('(' + _CAND + ')')}) f JOIN {_Q} q ON q.qid = f.qid JOIN {_RANKED_DOCS} d ON d.id = f.id))"""
+    + least(0.08, 2 * fusion) - (CASE {_PEN_LAW} ELSE 0.0 END) - CASE WHEN suspicious THEN 0.05 ELSE 0.0 END - CASE WHEN heading THEN 0.25 ELSE 0.0 END)), 6)::DOUBLE AS final
+  FROM ({_rrf('(' + _CAND + ')')}) f JOIN {_Q} q ON q.qid = f.qid JOIN {_LAW} d ON d.id = f.id))"""
 _HYBRID = f"SELECT qid, id, methods, final, rank FROM {_SCORED} WHERE rank <= 5"
 
 
 def ranked(spark, sf_dir):
-    """Fused and scored candidates of each benchmark item, all features in."""
-    fused = R.rrf_fusion(_candidates(spark, sf_dir).withColumnRenamed("rank", "retrieval_rank"))
-    b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("question"))
-    q = b.join(Q.detect_concepts(b), "qid").withColumn("explicit", F.concat(T.citations(F.col("question"), dims.SECTION_PREFIX), T.citations(F.col("question"), dims.ARTICLE_PREFIX)))
-    sections = F.create_map(*[x for c in dims.CONCEPTS for x in (F.lit(c[0]), F.array(*map(F.lit, c[4])).cast("array<string>"))])
-    q = q.withColumn("preferred", F.flatten(F.transform("concepts", lambda c: F.element_at(sections, c))))
-    table(spark, sf_dir, "documents").createOrReplaceTempView("documents_as_chunks")
-    d = spark.sql("SELECT * FROM " + _RANKED_DOCS.replace("FROM documents)", "FROM documents_as_chunks)").replace("VARCHAR", "STRING"))
-    x = fused.join(S.maybe_broadcast(q), "qid").join(d, "id")
-    c = F.col
+    """Fused and scored candidates of each item, all features in. Texts aren't carried on."""
+    c, plan = F.col, _planned(spark, sf_dir)
+    fused = R.rrf_fusion(_candidates(spark, sf_dir, plan).withColumnRenamed("rank", "retrieval_rank"))
+    x = fused.join(S.maybe_broadcast(plan.select("qid", "question", "sections", "articles", "concepts")), "qid").join(law(spark, sf_dir).drop("text"), "id")
+    boost = R.match_boost(c("provision_type"), c("provision_number"), c("title"), c("document_id"), c("question"), c("sections"), c("articles"), c("concepts"))
     final = R.final_score(
-        c("semantic"), R.match_boost(c("explicit"), c("number"), c("title"), c("question"), c("preferred")), R.keyword_overlap(c("question"), c("source"), F.substring("content", 1, 1600)),
-        R.concept_overlap(c("concepts"), c("title"), c("content"), c("number"), c("document")), c("fusion"), R.special_penalty(c("number"), c("document"), c("question")), c("suspicious"), c("heading"),
+        c("semantic"), boost, R.keyword_overlap(c("question"), c("source"), F.substring("content", 1, 1600)), R.concept_overlap(c("concepts"), c("title"), c("content"), c("provision_number"), c("document_id")),
+        c("fusion"), R.special_penalty(c("provision_number"), c("document_id"), c("question")), c("suspicious"), c("heading"),
     )
-    x = x.withColumn("final", final)
+    x = x.withColumn("final", final).drop("content", "question", "title")
     return x.withColumn("rank", F.row_number().over(W.partitionBy("qid").orderBy(*R.by_score())))
 
 
@@ -339,14 +376,14 @@ def hybrid_rank(spark, sf_dir):
 
 
 #: The ten best rows of each item, as parts of three provisions.
-_BEST = f"(SELECT qid, id, (id % 3)::VARCHAR AS provision, part, substring(content, 1, 300) AS content, rank, final, (id % 9 + 1)::INT AS page FROM {_SCORED} WHERE rank <= 10)"
+_BEST = f"(SELECT qid, id, (id % 3)::VARCHAR AS provision, part, content, rank, final, page, title, provision_type, provision_number, document_id FROM {_SCORED} WHERE rank <= 10)"
 _DV = _BEST + " AS d"
 
 
 def _dups(spark, sf_dir):
-    i = F.col("id")
-    r = ranked(spark, sf_dir).where("rank <= 10")
-    return materialized(r.select("qid", "id", (i % 3).cast("string").alias("provision"), "part", F.substring("content", 1, 300).alias("content"), "rank", "final", (i % 9 + 1).cast("int").alias("page")), "best")
+    """With their whole texts, which only the chosen rows are joined with."""
+    r = ranked(spark, sf_dir).where("rank <= 10").select("qid", "id", (F.col("id") % 3).cast("string").alias("provision"), "part", "rank", "final", "page", "provision_type", "provision_number", "document_id")
+    return materialized(S.maybe_broadcast(r).join(law(spark, sf_dir).select("id", "content", "title"), "id"), "best")
 
 
 _JAC = "len(list_intersect({a}, {b}))::DOUBLE / len(list_distinct(list_concat({a}, {b})))"
@@ -372,10 +409,9 @@ def jaccard_pairs(spark, sf_dir):
     return x.select("a", "b", F.round(F.col("k") / (F.col("na") + F.col("nb") - F.col("k")), 6).alias("jaccard"))
 
 
-@query(f"SELECT qid, id, max(score) AS score FROM {_CV_CLEAN} WHERE score IS NOT NULL GROUP BY qid, id")
+@query(f"SELECT qid, id, max(score) AS score FROM {_CV} WHERE score IS NOT NULL GROUP BY qid, id")
 def dedup_best(spark, sf_dir):
-    w = W.partitionBy("qid", "id").orderBy(F.desc("score"))
-    return _small(spark).where("score IS NOT NULL").withColumn("r", F.row_number().over(w)).where("r = 1").select("qid", "id", "score")
+    return _events(spark, sf_dir).where("score IS NOT NULL").groupBy("qid", "id").agg(F.max("score").alias("score"))
 
 
 @query(f"SELECT qid, id, (row_number() OVER (PARTITION BY qid ORDER BY pinned, rank, id))::INT AS place FROM (SELECT qid, id, min(pinned) AS pinned, min(rank) AS rank FROM (SELECT qid, id, 1 AS pinned, rank FROM {_DV} UNION ALL SELECT 1, 5, 0, 0) GROUP BY qid, id)")
@@ -390,26 +426,26 @@ def merge_parts(spark, sf_dir):
     return R.merge_parts(_dups(spark, sf_dir).withColumnRenamed("rank", "chunk"))
 
 
-@query(f"""WITH r AS (SELECT qid, id, final, (id % 3)::VARCHAR AS provision FROM ({_HYBRID})), g AS (SELECT *, row_number() OVER w AS g, coalesce(sum(n) OVER (PARTITION BY qid ORDER BY best DESC, provision ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
-  FROM (SELECT qid, provision, max(final) AS best, count(*) AS n FROM r GROUP BY ALL) WINDOW w AS (PARTITION BY qid ORDER BY best DESC, provision))
-SELECT * FROM (SELECT qid, id, (row_number() OVER (PARTITION BY qid ORDER BY g, final DESC, id))::INT AS place FROM r JOIN g USING (qid, provision) WHERE g <= 2 AND before < 3) WHERE place <= 3""")
+@query(f"""WITH r AS (SELECT qid, id, final, semantic, part, rank, (id % 3)::VARCHAR AS provision FROM {_SCORED} WHERE rank <= 5), g AS (SELECT *, row_number() OVER w AS g, coalesce(sum(n) OVER (PARTITION BY qid ORDER BY best DESC, near DESC, provision ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM (SELECT qid, provision, max(final) AS best, max(coalesce(semantic, 0)) AS near, count(*) AS n FROM r GROUP BY ALL) WINDOW w AS (PARTITION BY qid ORDER BY best DESC, near DESC, provision))
+SELECT * FROM (SELECT qid, id, (row_number() OVER (PARTITION BY qid ORDER BY g, part, rank, id))::INT AS place FROM r JOIN g USING (qid, provision) WHERE g <= 2 AND before < 3) WHERE place <= 3""")
 def select_context(spark, sf_dir):
-    r = hybrid_rank(spark, sf_dir).withColumn("provision", (F.col("id") % 3).cast("string"))
+    r = ranked(spark, sf_dir).where("rank <= 5").withColumn("provision", (F.col("id") % 3).cast("string"))
     return R.select_context(r, 2, 3).select("qid", "id", "place")
 
 
 def _covered(c: tuple) -> str:
-    fits = [f"document IN ({', '.join(map(lit, c[3]))})"] * bool(c[3]) + [f"number IN ({', '.join(map(lit, c[4]))})"] * bool(c[4])
+    fits = [f"document_id IN ({', '.join(map(lit, c[3]))})"] * bool(c[3]) + [f"provision_number IN ({', '.join(map(lit, c[4]))})"] * bool(c[4])
     return f"max((has_{c[0]} AND {' AND '.join(fits) or 'true'})::INT) FILTER (rank <= 5)"
 
 
 @query(f"""SELECT qid, round(s, 3) AS score, CASE WHEN s >= 0.72 THEN 'High' WHEN s >= 0.48 THEN 'Medium' ELSE 'Low' END AS label, round(coverage, 3) AS coverage FROM (
   SELECT qid, coverage, 0.45 * top + 0.30 * mean + 0.15 * least(1.0, provisions / 3.0::DOUBLE) + 0.10 * coverage AS s FROM (
-    SELECT qid, coalesce(max(semantic), 0) AS top, coalesce(avg(semantic), 0) AS mean, count(DISTINCT document || number) FILTER (rank <= 5) AS provisions,
+    SELECT qid, coalesce(max(semantic), 0) AS top, coalesce(avg(semantic), 0) AS mean, count(DISTINCT document_id || provision_number) FILTER (rank <= 5) AS provisions,
       CASE WHEN any_value({' + '.join(f'has_{c[0]}::INT' for c in dims.CONCEPTS)}) = 0 THEN 1.0::DOUBLE ELSE ({' + '.join(map(_covered, dims.CONCEPTS))})::DOUBLE / any_value({' + '.join(f'has_{c[0]}::INT' for c in dims.CONCEPTS)}) END AS coverage
     FROM {_SCORED} WHERE rank <= 10 GROUP BY qid))""")
 def confidence(spark, sf_dir):
-    r = materialized(ranked(spark, sf_dir).where("rank <= 10").select("qid", "rank", "semantic", "document", "number", "concepts"), "ranked")
+    r = materialized(ranked(spark, sf_dir).where("rank <= 10").select("qid", "rank", "semantic", F.col("document_id").alias("document"), F.col("provision_number").alias("number"), "concepts"), "ranked")
     return R.confidence(r, r.where("rank <= 5").withColumn("provision", F.concat("document", "number")))
 
 

@@ -80,6 +80,19 @@ def concept_hints(plan: DataFrame) -> DataFrame:
     return plan.select("qid", hints(3).alias("document_hints"), sections.alias("section_hints"), F.array_distinct(F.when(theft, F.concat(cited, F.array_sort(sections))).otherwise(cited)).alias("numbers"))
 
 
+def concept_routes(plan: DataFrame) -> DataFrame:
+    """(qid, scope, number): the sections that detected concepts prefer, each in the documents
+    that both question and concept allow (null: any). A concept whose documents are none of
+    the question's has no route; equal routes of several concepts are one."""
+    own = lambda i: F.create_map(*[x for c in dims.CONCEPTS for x in (F.lit(c[0]), F.array(*map(F.lit, c[i])).cast("array<string>"))])
+    x = plan.select("qid", F.array_distinct("document_ids").alias("asked"), F.explode("concepts").alias("c"))
+    x = x.select("qid", "asked", F.element_at(own(3), F.col("c")).alias("preferred"), F.explode(F.element_at(own(4), F.col("c"))).alias("number"))
+    both = F.when(F.size("asked") == 0, F.col("preferred")).when(F.size("preferred") == 0, F.col("asked")).otherwise(F.array_intersect("asked", "preferred"))
+    x = x.withColumn("scope", F.array_sort(both))
+    apart = (F.size("asked") > 0) & (F.size("scope") == 0)
+    return x.where(~apart).select("qid", F.when(F.size("scope") > 0, F.col("scope")).alias("scope"), F.upper("number").alias("number")).distinct()
+
+
 def expand_queries(plan: DataFrame) -> DataFrame:
     """(qid, query_index, query): the question, one expansion by type, concept queries."""
     names = F.create_map(*[F.lit(x) for d in dims.ROUTES for x in (d[0], d[2])])

@@ -41,7 +41,7 @@ def test_rows_match(spark, duck, name):
 def test_no_query_depends_on_its_input_partitions(spark):
     base = catalog.queries()["rrf_fusion"](spark, SF).collect()
     from lexloom.operators import rank
-    from lexloom.plans.queries_search import _small
+    from lexloom.plans.queries_search import _events
 
-    again = rank.rrf_fusion(_small(spark).withColumnRenamed("rank", "retrieval_rank").repartition(7)).collect()
+    again = rank.rrf_fusion(_events(spark, SF).withColumnRenamed("rank", "retrieval_rank").repartition(7)).collect()
     assert sorted(map(repr, base)) == sorted(map(repr, again))
