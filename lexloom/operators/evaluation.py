@@ -77,6 +77,32 @@ def channel_metrics(events: DataFrame) -> DataFrame:
     return events.groupBy(name.alias("channel")).agg(F.count(F.lit(1)).alias("events"), F.count_if(F.col("status") != "success").alias("failures"), F.round(F.sum("latency"), 3).alias("latency"), F.sum("accepted").cast("long").alias("accepted"))
 
 
+#: What of a trace's events is read.
+EVENT = "array<struct<channel: string, status: string, latency_ms: double, accepted_count: long, raw_count: long, query_index: int>>"
+
+
+def trace_events(traces: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(events, malformed): traces (id, trace) hold a retrieval's trace as JSON each, read as a
+    variant; its events are one row each, (id, pos, channel, status, latency, accepted, raw,
+    query_index). A trace that isn't JSON, or whose events aren't a list, is malformed, as is
+    a null one; one without events has none, and a value of another type counts as absent."""
+    v = traces.select("id", F.try_parse_json("trace").alias("v"))
+    own = v.select("id", F.col("v").isNull().alias("broken"), F.try_variant_get("v", "$.retrieval.events", "variant").alias("raw"), F.try_variant_get("v", "$.retrieval.events", EVENT).alias("events"))
+    own = own.withColumn("bad", F.col("broken") | (F.col("raw").isNotNull() & ~F.is_variant_null("raw") & F.col("events").isNull()))
+    e = own.where("NOT bad").select("id", F.posexplode("events").alias("pos", "e"))
+    events = e.select("id", "pos", "e.channel", "e.status", F.col("e.latency_ms").alias("latency"), F.col("e.accepted_count").alias("accepted"), F.col("e.raw_count").alias("raw"), "e.query_index")
+    return events, own.where("bad").select("id")
+
+
+def trace_metrics(events: DataFrame) -> DataFrame:
+    """One row a channel of trace_events; absent numbers count as 0, blank channels as unknown."""
+    name, zero = F.coalesce(F.nullif(F.trim("channel"), F.lit("")), F.lit("unknown")), lambda c: F.coalesce(c, F.lit(0))
+    return events.groupBy(name.alias("channel")).agg(
+        F.count(F.lit(1)).alias("events"), F.count_if(~F.col("status").eqNullSafe("success")).alias("failures"), F.round(F.sum(zero("latency")), 3).alias("latency"),
+        F.sum(zero("accepted")).cast("long").alias("accepted"), F.sum(zero("raw")).cast("long").alias("raw"),
+    )
+
+
 def rejected(answer: Column) -> Column:
     return F.exists(F.array(*[F.lit(p) for p in REJECTIONS]), lambda p: F.lower(answer).contains(p))
 

@@ -153,6 +153,49 @@ def select_context(ranked: DataFrame, provisions: int, rows: int) -> DataFrame:
     return ranked.join(g.select("qid", "provision", "g"), ["qid", "provision"]).withColumn("place", F.row_number().over(place)).where(F.col("place") <= rows)
 
 
+def provision_label(kind: Column, number: Column, title: Column) -> Column:
+    """``Section 7: a dash and its title``, the title alone, or that there is neither."""
+    named = (F.coalesce(kind, F.lit("")) != "") & (F.coalesce(number, F.lit("")) != "")
+    tail = F.when(F.coalesce(title, F.lit("")) != "", F.concat(F.lit(" — "), title)).otherwise("")
+    return F.when(named, F.concat(F.initcap(kind), F.lit(" "), number, tail)).when(F.coalesce(title, F.lit("")) != "", title).otherwise("Unsectioned material")
+
+
+def page_range(first: Column, last: Column, page: Column) -> Column:
+    one = F.when(last.isNull() | (first == last), first.cast("string")).otherwise(F.concat_ws("-", first.cast("string"), last.cast("string")))
+    return F.when(first.isNull(), F.coalesce(page.cast("string"), F.lit("Unknown"))).otherwise(one)
+
+
+def quality_status(status: Column, suspicious: Column) -> Column:
+    return F.when(F.trim(F.coalesce(status, F.lit(""))) != "", F.trim(status)).when(F.coalesce(suspicious, F.lit(False)), "suspicious").otherwise("acceptable")
+
+
+def sources(selected: DataFrame) -> DataFrame:
+    """selected (qid, place, document_id, document_title, document_short_name, document_type,
+    provision_type, provision_number, provision_title, page_start, page_end, page_number,
+    chunk_numbers, merged, page_quality_status, suspicious, content) with the parts of its
+    source record: label, pages, quality and the block that is cited. A row's number is its
+    place, which rows without content take up too; they have no record."""
+    c = F.col
+    title = F.coalesce("document_title", "document_id", F.lit("Unknown"))
+    short = F.coalesce("document_short_name", F.lit(""))
+    line = F.when((short != "") & ~F.contains(F.lower(title), F.lower(short)), F.concat(title, F.lit(" ("), short, F.lit(")"))).otherwise(title)
+    x = selected.where(F.coalesce(T.stripped(c("content")), F.lit("")) != "")
+    x = x.withColumns({"label": provision_label(c("provision_type"), c("provision_number"), c("provision_title")), "pages": page_range(c("page_start"), c("page_end"), c("page_number")), "quality": quality_status(c("page_quality_status"), c("suspicious"))})
+    say = lambda name, v: F.concat(F.lit(name + ": "), v)
+    chunks = F.concat(F.lit("["), F.array_join(c("chunk_numbers").cast("array<string>"), ", "), F.lit("]"))
+    block = F.concat_ws(
+        "\n", F.concat(F.lit("[Source "), "place", F.lit("]")), say("Document", line), say("Document ID", F.coalesce("document_id", F.lit("Unknown"))), say("Document type", F.coalesce("document_type", F.lit("legal_document"))),
+        say("Provision", c("label")), say("Pages", c("pages")), say("Merged provision parts", F.when(F.coalesce("merged", F.lit(False)), "True").otherwise("False")), say("Source chunks", chunks), say("Quality", c("quality")), F.lit(""), T.stripped(c("content")),
+    )
+    return x.withColumn("block", block)
+
+
+def context(records: DataFrame) -> DataFrame:
+    """(qid, context): the blocks of each question's sources, in their order."""
+    own = F.array_sort(F.collect_list(F.struct("place", "block")))
+    return records.groupBy("qid").agg(F.array_join(F.transform(own, lambda v: v["block"]), "\n\n---\n\n").alias("context"))
+
+
 def confidence(ranked: DataFrame, selected: DataFrame) -> DataFrame:
     """(qid, score, label, coverage): from the similarities of the ten best rows, the
     provisions of the selected ones, and the share of the question's concepts that some

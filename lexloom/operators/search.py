@@ -110,9 +110,10 @@ def vector_topk(queries: DataFrame, vectors: DataFrame, k: int, *, where: Column
     only what can still be among the k best of a query leaves it: each task keeps the k-th
     score of every query, and a block whose longest vector can't reach it is skipped. Up to
     ``held`` queries go to every task; more are met in cells of both kinds of blocks. Vectors
-    with another dimension than the query, or null, take no part."""
-    v = (vectors if where is None else vectors.where(where)).select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v")).where("id IS NOT NULL AND v IS NOT NULL")
-    q = queries.select("qid", F.col("q").cast("array<double>").alias("q")).where("qid IS NOT NULL AND q IS NOT NULL")
+    of another dimension than the query, or with nulls or NaN, take no part."""
+    whole = lambda c: F.col(c).isNotNull() & F.forall(c, lambda x: x.isNotNull() & ~F.isnan(x))
+    v = (vectors if where is None else vectors.where(where)).select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v")).where(F.col("id").isNotNull() & whole("v"))
+    q = queries.select("qid", F.col("q").cast("array<double>").alias("q")).where(F.col("qid").isNotNull() & whole("q"))
     schema = f"qid {q.schema['qid'].dataType.simpleString()}, id {v.schema['id'].dataType.simpleString()}, score double"
     few = q.limit(held + 1).collect()
     if len(few) <= held:
@@ -129,8 +130,10 @@ def vector_topk(queries: DataFrame, vectors: DataFrame, k: int, *, where: Column
         found = v.mapInPandas(scan, schema)
     else:
         n_q, n_v = (-(-df.count() // size) for df, size in ((q, held), (v, VECTOR_BLOCK)))
-        cells_q = q.withColumn("i", F.pmod(F.xxhash64("qid"), F.lit(n_q))).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(n_v - 1))))
-        cells_v = v.withColumn("j", F.pmod(F.xxhash64("id"), F.lit(n_v)).cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))).cast("long"))
+        block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+        each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        cells_q = q.withColumn("i", block("qid", n_q)).withColumn("j", each(max(1, n_v)))
+        cells_v = v.withColumn("j", block("id", max(1, n_v))).withColumn("i", each(n_q))
 
         def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
             parts = []
@@ -145,11 +148,10 @@ def vector_topk(queries: DataFrame, vectors: DataFrame, k: int, *, where: Column
 
 
 def _by_size(ids: list, vectors: list) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """Vectors without nulls as one matrix for each dimension."""
+    """Vectors as one matrix for each dimension."""
     groups: dict[int, list] = {}
     for i, v in zip(ids, vectors, strict=True):
-        if v is not None and all(x is not None for x in v):
-            groups.setdefault(len(v), []).append((i, v))
+        groups.setdefault(len(v), []).append((i, v))
     return {n: (_objects([i for i, _ in rows]), np.array([v for _, v in rows], dtype=np.float64).reshape(len(rows), n)) for n, rows in groups.items()}
 
 

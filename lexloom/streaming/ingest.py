@@ -13,17 +13,15 @@ def read_chunks(spark: SparkSession, folder: str, schema: StructType | str, file
 
 
 def ingest(stream: DataFrame, table: str, checkpoint: str, key: str = "chunk_id") -> StreamingQuery:
-    """Appends rows with keys that the table lacks. A batch that is run again after a
-    failure finds its rows in the table, so nothing is written twice."""
+    """Appends rows with keys that the stream hasn't had yet. Which it had is the stream's
+    state, kept by key beside the checkpoint, so no batch looks through the table; and a batch
+    that is run again after a failure writes its own folder again, so nothing is there twice."""
 
     def write(batch: DataFrame, number: int) -> None:
-        spark, new = batch.sparkSession, batch.where(F.col(key).isNotNull()).dropDuplicates([key])
-        path = spark._jvm.org.apache.hadoop.fs.Path(table)
-        if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
-            new = new.join(spark.read.schema(batch.schema).parquet(table).select(key), key, "left_anti").select(*batch.columns)
-        new.write.mode("append").parquet(table)
+        batch.write.mode("overwrite").parquet(f"{table}/batch={number}")
 
-    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    new = stream.where(F.col(key).isNotNull()).dropDuplicates([key])
+    return new.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def channel_windows(events: DataFrame, width: str = "10 minutes", late: str = "30 minutes") -> DataFrame:
