@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 import pandas as pd
@@ -196,6 +197,16 @@ def context(records: DataFrame) -> DataFrame:
     return records.groupBy("qid").agg(F.array_join(F.transform(own, lambda v: v["block"]), "\n\n---\n\n").alias("context"))
 
 
+def prompt(kind: Column, label: Column, context_: Column, question: Column) -> Column:
+    """The instructions for an answer from the context alone; null without question or context."""
+    tasks = F.create_map(*[F.lit(x) for kv in dims.TASKS.items() for x in kv])
+    value = {"type": kind, "label": label, "task": F.coalesce(F.element_at(tasks, kind), F.lit(dims.TASKS["general"])), "context": context_, "question": question}
+    # Text and names of values by turns.
+    parts = re.split(r"\{(\w+)\}", dims.PROMPT)
+    whole = F.concat(*[value[p] if k % 2 else F.lit(p) for k, p in enumerate(parts)])
+    return F.when((T.stripped(context_) != "") & (T.stripped(question) != ""), whole)
+
+
 def confidence(ranked: DataFrame, selected: DataFrame) -> DataFrame:
     """(qid, score, label, coverage): from the similarities of the ten best rows, the
     provisions of the selected ones, and the share of the question's concepts that some

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from lexloom.operators import evaluation as E
 from lexloom.operators.search import dot
-from lexloom.plans.queries_text import table
-from lexloom.plans.sqltext import frame, lit, values
+from lexloom.plans.queries_text import picked, table
+from lexloom.plans.sqltext import lit
+from lexloom.sources.store import applied
+from lexloom.sources.tables import materialized
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -92,17 +94,27 @@ def channel_metrics(spark, sf_dir):
 
 
 _REJ = "[" + ", ".join(map(lit, E.REJECTIONS)) + "]"
-_ANSWERS = [(1, "The section was NOT FOUND in the document."), (2, "Section 3 says so."), (3, "The provided context does not contain it."), (4, "ATA | Section 6: x\nbody\nPPC | Article 10A\nmore")]
+#: Forms of answers, around what assistants say.
+ANSWERS = ["The section was NOT FOUND in {}", "Section 3 says {}", "The provided context does not contain {}", "ATA | Section 6: x\nbody {}\nPPC | Article 10A\nmore", "{}"]
+_ANS = f"(SELECT conv_id * 1000 + turn AS id, replace({lit(ANSWERS)}[(conv_id + turn) % {len(ANSWERS)} + 1], '{{}}', text) AS answer FROM conversations WHERE role = 'assistant' AND text IS NOT NULL) AS a"
 
 
-@query(f"SELECT id, len(list_filter({_REJ}, lambda p: contains(lower(answer), p))) > 0 AS rejected FROM {values('a', 'id, answer', _ANSWERS)}")
+def answers(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations").where("role = 'assistant' AND text IS NOT NULL")
+    return c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.replace(picked(ANSWERS, F.col("conv_id") + F.col("turn")), F.lit("{}"), F.col("text")).alias("answer"))
+
+
+@query(f"SELECT id, len(list_filter({_REJ}, lambda p: contains(lower(answer), p))) > 0 AS rejected FROM {_ANS}")
 def rejection(spark, sf_dir):
-    return frame(spark, "id LONG, answer STRING", _ANSWERS).select("id", E.rejected(F.col("answer")).alias("rejected"))
+    return answers(spark, sf_dir).select("id", E.rejected(F.col("answer")).alias("rejected"))
+
+
+_HEADS = r"regexp_extract_all(answer, '(?m)^([A-Za-z]+) \| (?:Section|Article) (\d+[A-Z]*)', {})"
 
 
-@query(f"SELECT id, pos, label, number FROM (SELECT id, unnest(regexp_extract_all(answer, '(?m)^([A-Za-z]+) \\| (?:Section|Article) (\\d+[A-Z]*)', 1)) AS label, unnest(regexp_extract_all(answer, '(?m)^([A-Za-z]+) \\| (?:Section|Article) (\\d+[A-Z]*)', 2)) AS number, (generate_subscripts(regexp_extract_all(answer, '(?m)^([A-Za-z]+) \\| (?:Section|Article) (\\d+[A-Z]*)', 1), 1) - 1)::INT AS pos FROM {values('a', 'id, answer', _ANSWERS)})")
+@query(f"SELECT id, pos, label, number FROM (SELECT id, unnest({_HEADS.format(1)}) AS label, unnest({_HEADS.format(2)}) AS number, (generate_subscripts({_HEADS.format(1)}, 1) - 1)::INT AS pos FROM {_ANS})")
 def parse_contexts(spark, sf_dir):
-    return E.parsed_contexts(frame(spark, "id LONG, context STRING", _ANSWERS))
+    return E.parsed_contexts(answers(spark, sf_dir).withColumnRenamed("answer", "context"))
 
 
 @query("SELECT a.vec_id AS id, round(list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS cosine FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
@@ -130,13 +142,54 @@ def latest_prediction(spark, sf_dir):
     return E.latest(table(spark, sf_dir, "conversations"), ["conv_id"], "turn").select("conv_id", "turn", F.md5("text").alias("h"))
 
 
-_SAMPLES = [("k1", "1", "a"), ("k2", "2", "b"), ("k3", "3", "c"), ("k4", "4", "d")]
-_PREDS = [("k1", "by key"), ("2", "by id"), ("b", "by raw"), ("c", "by raw too")]
+#: Items as samples with three keys each, and documents as predictions by one of them.
+_SAMPLES = "(SELECT 'k' || item_id AS sample_key, 'i' || item_id AS sample_id, 'r' || item_id AS raw_id FROM benchmark) AS s"
+_PREDS = "(SELECT substring('kir', doc_id % 3 + 1, 1) || CAST(doc_id % 77 AS VARCHAR) AS key, min(source) AS answer FROM documents GROUP BY 1)"
 
 
-@query(f"SELECT s.sample_key, coalesce(p.answer, q.answer, r.answer) AS answer FROM {values('s', 'sample_key, sample_id, raw_id', _SAMPLES)} LEFT JOIN {values('p', 'key, answer', _PREDS)} ON p.key = s.sample_key LEFT JOIN {values('q', 'key, answer', _PREDS)} ON q.key = s.sample_id LEFT JOIN {values('r', 'key, answer', _PREDS)} ON r.key = s.raw_id")
+@query(f"SELECT s.sample_key, coalesce(p.answer, q.answer, r.answer) AS answer FROM {_SAMPLES} LEFT JOIN {_PREDS} p ON p.key = s.sample_key LEFT JOIN {_PREDS} q ON q.key = s.sample_id LEFT JOIN {_PREDS} r ON r.key = s.raw_id")
 def resolve_prediction(spark, sf_dir):
-    return E.resolve_predictions(frame(spark, "sample_key STRING, sample_id STRING, raw_id STRING", _SAMPLES), frame(spark, "key STRING, answer STRING", _PREDS)).select("sample_key", "answer")
+    s = table(spark, sf_dir, "benchmark").select(*[F.concat(F.lit(k), F.col("item_id")).alias(n) for k, n in (("k", "sample_key"), ("i", "sample_id"), ("r", "raw_id"))])
+    key = F.concat(F.substring(F.lit("kir"), (F.col("doc_id") % 3 + 1).cast("int"), F.lit(1)), F.col("doc_id") % 77)
+    p = table(spark, sf_dir, "documents").groupBy(key.alias("key")).agg(F.min("source").alias("answer"))
+    return E.resolve_predictions(s, p).select("sample_key", "answer")
+
+
+#: Traces of sixteen events each, some of them cut, empty or not a list.
+_CUT = "(event_id // 16) % 17"
+
+
+@query(f"""SELECT coalesce(nullif(trim(CASE WHEN event_id % 50 = 0 THEN '  ' ELSE event_type END), ''), 'unknown') AS channel, count(*) AS events, count(*) FILTER (event_id % 9 = 0) AS failures, round(sum(value), 3) AS latency,
+  sum(event_id % 4)::BIGINT AS accepted, sum(CASE WHEN event_id % 5 = 0 THEN 0 ELSE event_id % 6 END)::BIGINT AS raw, (SELECT count(DISTINCT event_id // 16) FROM events WHERE {_CUT} IN (1, 3)) AS malformed FROM events WHERE {_CUT} NOT IN (1, 2, 3) GROUP BY 1""")
+def trace_metrics(spark, sf_dir):
+    """Channels of all traces, and how many traces could not be read."""
+    e, i = table(spark, sf_dir, "events"), F.col("event_id")
+    one = F.struct(
+        F.when(i % 50 == 0, "  ").otherwise(F.col("event_type")).alias("channel"), F.when(i % 9 == 0, "error").otherwise("success").alias("status"), F.col("value").alias("latency_ms"),
+        (i % 4).alias("accepted_count"), F.when(i % 5 != 0, i % 6).alias("raw_count"), (i % 3).cast("int").alias("query_index"),
+    )
+    full = F.to_json(F.struct(F.lit("f12").alias("schema_version"), F.struct(F.collect_list(one).alias("events"), F.count(F.lit(1)).alias("candidate_count")).alias("retrieval")))
+    t = e.groupBy(F.floor(i / 16).alias("id")).agg(full.alias("t"))
+    kind = F.col("id") % 17
+    t = t.select("id", F.when(kind == 1, F.substring("t", 1, 40)).when(kind == 2, F.lit('{"retrieval": {}}')).when(kind == 3, F.lit('{"retrieval": {"events": "none"}}')).otherwise(F.col("t")).alias("trace"))
+    events, bad = E.trace_events(materialized(t, "traces"))
+    return E.trace_metrics(events).crossJoin(F.broadcast(bad.agg(F.count(F.lit(1)).alias("malformed"))))
+
+
+#: Users with a version and a quota used, and their events as changes to it.
+_STATE = "(SELECT DISTINCT user_id, user_id % 3 AS version, user_id % 50 AS value FROM events)"
+_MOVES = "(SELECT user_id, event_id % 7 AS base, event_id % 10 + 1 AS delta FROM events)"
+
+
+@query(f"""WITH c AS (SELECT user_id, base, min(delta) AS delta, count(*) AS n FROM {_MOVES} GROUP BY ALL),
+p AS (SELECT c.*, s.version, s.value, row_number() OVER (PARTITION BY c.user_id, base >= version ORDER BY base) - 1 AS place FROM c JOIN {_STATE} s USING (user_id)),
+g AS (SELECT *, base >= version AND base = version + place AS good FROM p)
+SELECT user_id, (any_value(version) + count(*) FILTER (good))::BIGINT AS version, (any_value(value) + coalesce(sum(delta) FILTER (good), 0))::BIGINT AS value, (sum(n) - count(*) FILTER (good))::BIGINT AS conflicts FROM g GROUP BY user_id""")
+def keyed_changes(spark, sf_dir):
+    """Quotas after all changes that were made on the version that they met."""
+    e = table(spark, sf_dir, "events")
+    state = e.select("user_id", (F.col("user_id") % 3).alias("version"), (F.col("user_id") % 50).alias("value")).distinct()
+    return applied(state, e.select("user_id", (F.col("event_id") % 7).alias("base"), (F.col("event_id") % 10 + 1).alias("delta")), "user_id")
 
 
 # ---- lists, counts, quotas: customers as users, orders as subscriptions and history,
@@ -231,13 +284,16 @@ def active_plans(spark, sf_dir):
     return table(spark, sf_dir, "part").where("p_size <= 25").orderBy(F.lower("p_name"), "p_partkey").select("p_partkey", "p_name")
 
 
-_PW = [(1, "Short1!"), (2, "LongEnough#2024"), (3, "no-upper-case-1"), (4, "NO-LOWER-CASE-1"), (5, "NoDigits-Here!!"), (6, "Has Space 1234!"), (7, "NoSpecial12345")]
+#: Forms of passwords, with the numbers of customers.
+PASSWORDS = ["Short1!", "LongEnough#{}", "no-upper-case-{}", "NO-LOWER-CASE-{}", "NoDigits-Here!!", "Has Space {}!", "NoSpecial12345{}"]
+_PW = f"(SELECT c_custkey AS i, replace({lit(PASSWORDS)}[c_custkey % {len(PASSWORDS)} + 1], '{{}}', c_custkey::VARCHAR) AS p FROM customer)"
 
 
-@query(f"SELECT i, length(p) >= 12 AND regexp_matches(p, '[A-Z]') AND regexp_matches(p, '[a-z]') AND regexp_matches(p, '[0-9]') AND regexp_matches(p, '[^A-Za-z0-9\\s]') AND NOT regexp_matches(p, '\\s') AS strong FROM {values('t', 'i, p', _PW)}")
+@query(f"SELECT i, length(p) >= 12 AND regexp_matches(p, '[A-Z]') AND regexp_matches(p, '[a-z]') AND regexp_matches(p, '[0-9]') AND regexp_matches(p, '[^A-Za-z0-9\\s]') AND NOT regexp_matches(p, '\\s') AS strong FROM {_PW}")
 def password_rules(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("i"), F.replace(picked(PASSWORDS, F.col("c_custkey")), F.lit("{}"), F.col("c_custkey").cast("string")).alias("p"))
     p = F.col("p")
-    return frame(spark, "i LONG, p STRING", _PW).select("i", ((F.length(p) >= 12) & p.rlike("[A-Z]") & p.rlike("[a-z]") & p.rlike("[0-9]") & p.rlike(r"[^A-Za-z0-9\s]") & ~p.rlike(r"\s")).alias("strong"))
+    return c.select("i", ((F.length(p) >= 12) & p.rlike("[A-Z]") & p.rlike("[a-z]") & p.rlike("[0-9]") & p.rlike(r"[^A-Za-z0-9\s]") & ~p.rlike(r"\s")).alias("strong"))
 
 
 @query("SELECT page_id, url LIKE '%.pdf' AS suffix_ok, length(html) <= 20971520 AS size_ok, html LIKE '%PDF-%' AND left(html, 5) = '%PDF-' AS magic_ok, sha256(html) AS checksum FROM pages")

@@ -449,28 +449,68 @@ def confidence(spark, sf_dir):
     return R.confidence(r, r.where("rank <= 5").withColumn("provision", F.concat("document", "number")))
 
 
-@query(f"SELECT qid, string_agg('[Source ' || rank || '] ' || upper(provision) || chr(10) || content, chr(10) || '---' || chr(10) ORDER BY rank) AS context FROM {_DV} GROUP BY qid")
+#: The best rows as sources: every fifth without content, titles of some missing.
+_SRC = f"""(SELECT *, upper(document_id) AS short, 'The Act of ' || document_id AS doc_title, CASE WHEN id % 3 <> 0 THEN title END AS t, CASE WHEN id % 4 <> 0 THEN page END AS p0, page + id % 2 AS p1, id % 17 = 0 AS suspicious FROM {_BEST} b WHERE id % 5 <> 0)"""
+_LABEL = "upper(provision_type[1]) || provision_type[2:] || ' ' || provision_number || CASE WHEN coalesce(t, '') <> '' THEN ' — ' || t ELSE '' END"
+_BLOCK = f"""'[Source ' || rank || ']' || chr(10) || 'Document: ' || doc_title || CASE WHEN contains(lower(doc_title), lower(short)) THEN '' ELSE ' (' || short || ')' END || chr(10) || 'Document ID: ' || document_id || chr(10) || 'Document type: legal_document' || chr(10)
+  || 'Provision: ' || {_LABEL} || chr(10) || 'Pages: ' || CASE WHEN p0 IS NULL THEN page::VARCHAR WHEN p0 = p1 THEN p0::VARCHAR ELSE p0 || '-' || p1 END || chr(10) || 'Merged provision parts: ' || CASE WHEN part = 2 THEN 'True' ELSE 'False' END || chr(10)
+  || 'Source chunks: [' || id || ', ' || id + 1 || ']' || chr(10) || 'Quality: ' || CASE WHEN suspicious THEN 'suspicious' ELSE 'acceptable' END || chr(10) || chr(10) || {QT.stripped_sql('content')}"""
+_CONTEXTS = f"SELECT qid, string_agg({_BLOCK}, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank) AS context FROM {_SRC} WHERE {QT.stripped_sql('content')} <> '' GROUP BY qid"
+
+
+def _records(spark, sf_dir):
+    c, none = F.col, F.lit(None).cast("string")
+    x = _dups(spark, sf_dir).withColumns({
+        "place": c("rank"), "document_title": F.concat(F.lit("The Act of "), "document_id"), "document_short_name": F.upper("document_id"), "document_type": none, "provision_title": F.when(c("id") % 3 != 0, c("title")),
+        "page_start": F.when(c("id") % 4 != 0, c("page")), "page_end": (c("page") + c("id") % 2).cast("int"), "page_number": c("page"), "chunk_numbers": F.array("id", c("id") + 1), "merged": c("part") == 2, "page_quality_status": none,
+        "suspicious": c("id") % 17 == 0, "content": F.when(c("id") % 5 != 0, c("content")),
+    })
+    return R.sources(x)
+
+
+@query(_CONTEXTS)
 def format_context(spark, sf_dir):
-    block = F.concat(F.lit("[Source "), F.col("rank"), F.lit("] "), F.upper("provision"), F.lit("\n"), F.col("content"))
-    x = _dups(spark, sf_dir).select("qid", F.struct("rank", block.alias("b")).alias("s")).groupBy("qid").agg(F.array_sort(F.collect_list("s")).alias("s"))
-    return x.select("qid", F.array_join(F.transform("s", lambda v: v["b"]), "\n---\n").alias("context"))
+    """Each item's context from the records of its best rows."""
+    return R.context(_records(spark, sf_dir))
 
 
-_ANS = [(1, "See [Source 2] and [source 4]."), (2, "No citation.")]
+@query(f"SELECT qid, rank AS place, {_LABEL} AS label, CASE WHEN suspicious THEN 'suspicious' ELSE 'acceptable' END AS quality FROM {_SRC} WHERE {QT.stripped_sql('content')} <> ''")
+def source_records(spark, sf_dir):
+    return _records(spark, sf_dir).select("qid", "place", "label", "quality")
 
 
-@query(f"""SELECT d.qid, d.id FROM {_DV} JOIN (SELECT qid, list_transform(regexp_extract_all(answer, '(?i)\\[source (\\d+)\\]', 1), lambda x: x::INT) AS cited FROM {values('a', 'qid, answer', _ANS)}) a USING (qid) WHERE len(cited) = 0 OR list_contains(cited, d.rank)""")
+_TASK = "CASE question_type " + " ".join(f"WHEN {lit(k)} THEN {lit(v)}" for k, v in dims.TASKS.items()) + f" ELSE {lit(dims.TASKS['general'])} END"
+_PROMPT = lit(dims.PROMPT)
+for _k, _v in (("type", "question_type"), ("label", "'Medium'"), ("task", _TASK), ("context", "context"), ("question", "question")):
+    _PROMPT = f"replace({_PROMPT}, '{{{_k}}}', {_v})"
+
+
+@query(f"SELECT qid, md5({_PROMPT}) AS h FROM ({_CONTEXTS}) JOIN {_BQ} USING (qid) JOIN ({_of_items(QT._TYPE_SQL)}) USING (qid)")
+def grounded_prompt(spark, sf_dir):
+    p = _planned(spark, sf_dir).select("qid", "question", "question_type")
+    x = format_context(spark, sf_dir).join(p, "qid")
+    return x.select("qid", F.md5(R.prompt(F.col("question_type"), F.lit("Medium"), F.col("context"), F.col("question"))).alias("h"))
+
+
+#: What items are answered with: forms of citing, around the item's text.
+ANSWERS = ["See [Source 2] and [source 4]. {}", "{} No citation.", "[Source 1] {} [Source 9]"]
+_ANS = f"(SELECT item_id AS qid, replace({lit(ANSWERS)}[item_id % 3 + 1], '{{}}', text) AS answer FROM benchmark)"
+
+
+@query(f"""SELECT d.qid, d.id FROM {_DV} JOIN (SELECT qid, list_transform(regexp_extract_all(answer, '(?i)\\[source (\\d+)\\]', 1), lambda x: x::INT) AS cited FROM {_ANS}) a USING (qid) WHERE len(cited) = 0 OR list_contains(cited, d.rank)""")
 def cited_sources(spark, sf_dir):
-    a = frame(spark, "qid LONG, answer STRING", _ANS).withColumn("cited", F.regexp_extract_all("answer", F.lit(r"(?i)\[source (\d+)\]"), F.lit(1)).cast("array<int>"))
-    return _dups(spark, sf_dir).join(F.broadcast(a), "qid").where((F.size("cited") == 0) | F.expr("array_contains(cited, rank)")).select("qid", "id")
+    answer = F.replace(picked(ANSWERS, F.col("item_id")), F.lit("{}"), F.col("text"))
+    a = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.regexp_extract_all(answer, F.lit(r"(?i)\[source (\d+)\]"), F.lit(1)).cast("array<int>").alias("cited"))
+    return _dups(spark, sf_dir).join(S.maybe_broadcast(a), "qid").where((F.size("cited") == 0) | F.expr("array_contains(cited, rank)")).select("qid", "id")
 
 
-_EXPL = [(1, "3", "section"), (2, "999", "section"), (3, None, None)]
+_CITES = f"(SELECT qid, unnest({QT._SEC}) AS number, 'section' AS kind FROM {_BQ} UNION SELECT qid, unnest({QT._ARTS}), 'article' FROM {_BQ})"
 
 
-@query(f"SELECT q.qid, q.number IS NOT NULL AND NOT EXISTS (SELECT 1 FROM {_CHUNKS} c WHERE c.provision_number = q.number AND c.provision_type = q.kind) AS no_match FROM {values('q', 'qid, number, kind', _EXPL)}")
+@query(f"SELECT qid, kind, number, NOT EXISTS (SELECT 1 FROM {_LAW} c WHERE c.provision_number = q.number AND c.provision_type = q.kind) AS no_match FROM {_CITES} q")
 def explicit_gate(spark, sf_dir):
-    """Questions that cite a provision that no chunk has."""
-    q = frame(spark, "qid LONG, number STRING, kind STRING", _EXPL)
-    have = chunks(spark, sf_dir).select(F.col("provision_number").alias("number"), F.col("provision_type").alias("kind")).distinct().withColumn("there", F.lit(True))
-    return q.join(have, ["number", "kind"], "left").select("qid", (F.col("number").isNotNull() & F.col("there").isNull()).alias("no_match"))
+    """Citations of the items' questions that no provision answers."""
+    p = _planned(spark, sf_dir)
+    q = p.select("qid", F.explode("sections").alias("number"), F.lit("section").alias("kind")).unionByName(p.select("qid", F.explode("articles").alias("number"), F.lit("article").alias("kind")))
+    have = law(spark, sf_dir).select(F.col("provision_number").alias("number"), F.col("provision_type").alias("kind")).distinct().withColumn("there", F.lit(True))
+    return q.join(have, ["number", "kind"], "left").select("qid", "kind", "number", F.col("there").isNull().alias("no_match"))
