@@ -140,6 +140,8 @@ def _by_bucket(words, buckets: int) -> dict[int, list[bytes]]:
     return out
 
 
+#: Characters of texts in a partition at most, on average.
+PART_CHARS = 256 << 20
 #: Encoded words that a task keeps; beyond it a word may be encoded once more.
 KEPT_WORDS = 1_000_000
 PACKETS = "_lexloom_chunk int, _bucket int, _packet binary"
@@ -157,7 +159,8 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, *, id_col: st
     id_col, text_col = column_of(docs, id_col), column_of(docs, text_col)
     docs = docs.drop("ids", "n_tokens")
     chars = docs.agg(F.sum(F.length(text_col))).first()[0] or 0
-    parts = parallel(spark)
+    # Partitions follow the data where the session's number would make them large.
+    parts = max(parallel(spark), -(-chars // PART_CHARS))
     buckets, chunks = min(parts, GROUPS), max(parts, -(-chars // chunk_chars))
     held, name = spark.sparkContext.broadcast(ranks), hash(frozenset(ranks.items()))
     chunk = F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(chunks)).cast("int")

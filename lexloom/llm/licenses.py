@@ -76,6 +76,31 @@ TEMPLATES = [
     ("cc-by-sa", "this work is licensed under a creative commons attribution sharealike 4 0 international license", ["attribution sharealike"]),
     ("cc-by-nc", "this work is licensed under a creative commons attribution noncommercial 4 0 international license", ["attribution noncommercial"]),
 ]
+#: Licences by identifier and name: each gives a template of how headers state the one and of
+#: how sentences state the other.
+NAMED = {
+    "0BSD": "bsd zero clause license", "AFL-3.0": "academic free license v3 0", "AGPL-3.0": "gnu affero general public license version 3", "Apache-2.0": "apache license 2 0", "Artistic-2.0": "artistic license 2 0",
+    "BSD-2-Clause": "bsd 2 clause license", "BSD-3-Clause": "bsd 3 clause license", "BSL-1.0": "boost software license", "CC0-1.0": "creative commons zero", "CC-BY-4.0": "creative commons attribution 4 0",
+    "CC-BY-SA-4.0": "creative commons attribution share alike 4 0", "CC-BY-NC-4.0": "creative commons attribution non commercial 4 0", "CC-BY-ND-4.0": "creative commons attribution no derivatives 4 0",
+    "CDDL-1.0": "common development and distribution license", "CECILL-2.1": "cecill free software license", "ECL-2.0": "educational community license", "EPL-1.0": "eclipse public license 1 0", "EPL-2.0": "eclipse public license 2 0",
+    "EUPL-1.2": "european union public licence", "GFDL-1.3": "gnu free documentation license", "GPL-2.0": "gnu general public license version 2", "GPL-3.0": "gnu general public license version 3", "ISC": "isc license",
+    "LGPL-2.1": "gnu lesser general public license version 2 1", "LGPL-3.0": "gnu lesser general public license version 3", "LPPL-1.3c": "latex project public license", "MIT": "mit license", "MPL-2.0": "mozilla public license 2 0",
+    "MS-PL": "microsoft public license", "NCSA": "university of illinois ncsa open source license", "ODbL-1.0": "open data commons open database license", "OFL-1.1": "sil open font license", "OSL-3.0": "open software license 3 0",
+    "PostgreSQL": "postgresql license", "Python-2.0": "python software foundation license", "Unlicense": "the unlicense", "UPL-1.0": "universal permissive license", "WTFPL": "do what the fuck you want to public license", "Zlib": "zlib license",
+}
+
+
+def named_templates(named: dict[str, str] = NAMED) -> list[tuple[str, str, list[str]]]:
+    """Templates by rule. The mandatory phrase holds the whole identifier or name, so that one
+    licence's statement isn't taken for another's."""
+    out = []
+    for i, name in named.items():
+        words = b" ".join(words_of(i)).decode()
+        out.append((i.lower(), f"spdx license identifier {words}", [f"identifier {words}"]))
+        out.append((i.lower(), f"licensed under the {name}", [name]))
+    return out
+
+
 #: Least share of a template's words at a place; how far a key phrase may stand from it.
 LEAST, REACH = 0.7, 12
 
@@ -92,7 +117,8 @@ class Template:
     exact: bool
 
 
-def all_templates(phrases: dict[str, str] = PHRASES, templates: list = TEMPLATES) -> list[Template]:
+def all_templates(phrases: dict[str, str] = PHRASES, templates: list | None = None) -> list[Template]:
+    templates = [*TEMPLATES, *named_templates()] if templates is None else templates
     out = [Template(k, v.encode().split(), [], True) for k, v in phrases.items()]
     return out + [Template(a, w.encode().split(), [k.encode().split() for k in ks], False) for a, w, ks in templates]
 
@@ -126,7 +152,6 @@ class RareIndex:
         at = [i for i, w in enumerate(words) if w in known]
         if not at:
             return []
-        at.sort(key=lambda i: (-self.idf[words[i]], i))
         starts: Counter = Counter()
         for i in at:
             for k, p in known[words[i]]:
@@ -170,7 +195,7 @@ def document_frequencies(docs: DataFrame, vocabulary: set[bytes], text_col: str)
 MATCH = "array<struct<label string, first_word long, last_word long, score double, exact boolean>>"
 
 
-def scan_licenses(docs: DataFrame, *, text_col: str = "text", phrases: dict[str, str] = PHRASES, templates: list = TEMPLATES) -> DataFrame:
+def scan_licenses(docs: DataFrame, *, text_col: str = "text", phrases: dict[str, str] = PHRASES, templates: list | None = None) -> DataFrame:
     """docs with n_words and matches (label, first_word, last_word, score, exact)."""
     text_col = column_of(docs, text_col)
     known = all_templates(phrases, templates)

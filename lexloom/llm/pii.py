@@ -2,7 +2,8 @@
 
 For each kind, patterns propose spans in whole texts: the base pattern, whose spans stay
 whenever they pass the kind's format test, and a wider one, whose spans may overlap
-them. Boosted trees score every proposal by its format and by the words around it; a
+them. Secrets (keys and tokens) have a wider pattern only: what becomes a span of theirs
+is the trees' decision alone. Boosted trees score every proposal by its format and by the words around it; a
 proposal that the format test alone doesn't accept becomes a span if its calibrated
 probability reaches the threshold of its kind.
 
@@ -11,8 +12,9 @@ integers, so the training set is a table of distinct feature rows with counts, w
 size is bounded by the number of combinations (CELLS), whatever the input; the trees are
 fitted on that table. Its labels are weak, since no spans are labelled: a proposal is
 positive if it passes its kind's format test, a stricter one (a top-level domain of
-letters, no leading zeros, an issuer's digit, a country code) and doesn't stand behind a
-word for other numbers (order, version, invoice: the hard negatives). The features leave
+letters, no leading zeros, an issuer's digit, a country code; digits and letters mixed
+without words or paths) and doesn't stand behind a word for other numbers (order, version,
+invoice, commit, checksum: the hard negatives). The features leave
 these tests out but for the word before, so that the trees learn what surrounds personal
 data and what it looks like.
 
@@ -42,7 +44,9 @@ from pyspark.sql import functions as F
 
 from lexloom.llm._common import column_of, documents
 
-KINDS = ["email", "ip", "card", "phone"]
+#: The base kinds, and one that only the method finds: keys and tokens that open accounts.
+BASE_KINDS = ["email", "ip", "card", "phone"]
+KINDS = [*BASE_KINDS, "secret"]
 
 #: What the base spans of each kind look like; what makes a text worth searching.
 BASE = {
@@ -52,7 +56,7 @@ BASE = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 #: What a text must hold to be searched for a kind at all.
-NEED = {"email": r"@|\[at\]|\(at\)", "ip": r"[0-9]\x20?\.\x20?[0-9]", "card": r"[0-9](?:[\x20.-]?[0-9]){11}", "phone": r"(?:\+|00|\()[0-9]"}
+NEED = {"email": r"@|\[at\]|\(at\)", "ip": r"[0-9]\x20?\.\x20?[0-9]", "card": r"[0-9](?:[\x20.-]?[0-9]){11}", "phone": r"(?:\+|00|\()[0-9]", "secret": r"(?<![A-Za-z0-9_/+-])[A-Za-z0-9_/+-]{20}"}
 #: Wider proposals: spelled-out addresses, bracketed or short addresses, card-like and
 #: phone-like digit groups.
 WIDE = {
@@ -60,6 +64,7 @@ WIDE = {
     "ip": r"(?<![0-9.])[0-9]{1,3}+(?:\x20?\.\x20?[0-9]{1,3}+){3}+(?![0-9])",
     "card": r"(?<![0-9])[0-9]{4}+(?:[\x20.-]?[0-9]{4}+){2}+[\x20.-]?[0-9]{1,7}+(?![0-9])",
     "phone": r"(?<![0-9+])(?:\+|00|\()[0-9][\x20()./0-9-]{6,22}+",
+    "secret": r"(?<![A-Za-z0-9_/+-])(?=[A-Za-z_/+-]*+[0-9])(?=[0-9_/+-]*+[A-Za-z])[A-Za-z0-9_/+-]{20,}+={0,2}+",
 }
 #: Words near a span that speak for its kind.
 CONTEXT = {
@@ -67,11 +72,12 @@ CONTEXT = {
     "ip": r"(?i)(?:ip|host|server|address|addr|from)\W{0,3}$",
     "card": r"(?i)(?:card|visa|credit|payment|pan|cc)\W{0,3}$",
     "phone": r"(?i)(?:phone|tel|call|fax|mobile|whatsapp)\W{0,3}$",
+    "secret": r"(?i)(?:token|secret|key|password|passwd|pwd|bearer|auth|credential)s?\W{0,5}$",
 }
 #: Words before a span that speak for another kind of number.
-OTHER = r"(?i)(?:order|invoice|version|release|ver|isbn|serial|tracking|ref|part|build|section|item|nr|no)\W{0,3}$"
+OTHER = r"(?i)(?:order|invoice|version|release|ver|isbn|serial|tracking|ref|part|build|section|item|nr|no|commit|sha|sha1|sha256|md5|hash|checksum|digest|etag|uuid|guid)\W{0,4}$"
 #: What positive labels look like beyond the format test.
-STRICT = {"email": r"^[^.].*\.[A-Za-z]{2,24}$", "ip": r"^(?:0|[1-9][0-9]*)(?:\.(?:0|[1-9][0-9]*)){3}$", "card": "^[2-6]", "phone": r"^[^0-9]*(?:00)?[1-9]"}
+STRICT = {"email": r"^[^.].*\.[A-Za-z]{2,24}$", "ip": r"^(?:0|[1-9][0-9]*)(?:\.(?:0|[1-9][0-9]*)){3}$", "card": "^[2-6]", "phone": r"^[^0-9]*(?:00)?[1-9]", "secret": r"^(?=(?:[^0-9]*+[0-9]){3})(?=(?:[^A-Za-z]*+[A-Za-z]){3})(?!.*[a-z]{9})(?!.*[/+-].*[/+-].*[/+-])"}
 SIDE = 16
 #: Share of a kind's added spans that must be right in the held-out documents.
 PRECISION = 0.9
@@ -79,7 +85,7 @@ PRECISION = 0.9
 FOLDS = 4
 ROUNDS, RATE = 40, 0.3
 #: Levels of each feature, in order; their product bounds the training table.
-LEVELS = {"kind": 4, "wide": 2, "size": 4, "digits": 4, "groups": 4, "context": 3, "before": 3, "after": 3}
+LEVELS = {"kind": 5, "wide": 2, "size": 4, "digits": 4, "groups": 4, "context": 3, "before": 3, "after": 3}
 CELLS = math.prod(LEVELS.values())
 
 
@@ -166,9 +172,12 @@ def _proposals(kind: str, spans: str, wide: bool) -> Column:
     def one(x: Column) -> Column:
         v = x["v"]
         plain = _plain(kind, v) if wide else v
-        form = "^(?:" + BASE[kind].replace(r"|\G", "") + ")$"
-        ok = plain.rlike(form) & _passes(kind, plain) if wide else _passes(kind, v)
-        own = v.rlike(form) & _passes(kind, v) if wide else ok
+        if kind in BASE:
+            form = "^(?:" + BASE[kind].replace(r"|\G", "") + ")$"
+            ok = plain.rlike(form) & _passes(kind, plain) if wide else _passes(kind, v)
+            own = v.rlike(form) & _passes(kind, v) if wide else ok
+        else:
+            ok, own = F.lit(True), F.lit(False)
         other = F.coalesce(x["b"].rlike(OTHER), F.lit(False))
         n = F.length(_digits(v))
         features = {
@@ -191,7 +200,7 @@ def propose(docs: DataFrame, text_col: str) -> DataFrame:
         df = df.withColumn(f"_lexloom_need_{kind}", F.coalesce(F.col(text_col).rlike(NEED[kind]), F.lit(False)))
     parts = []
     for kind in KINDS:
-        for wide, patterns in ((False, BASE), (True, WIDE)):
+        for wide, patterns in ((False, BASE), (True, WIDE)) if kind in BASE else ((True, WIDE),):
             name = f"_lexloom_{kind}_{int(wide)}"
             df = _with_matches(df, name, text_col, patterns[kind], f"_lexloom_need_{kind}")
             parts.append(_proposals(kind, name, wide))
@@ -362,5 +371,5 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = F.filter("pii_spans", lambda x: x["base"])
     joined = lambda a: F.array_join(F.transform(a, lambda x: F.concat_ws(":", x["kind"], x["s"], x["e"])), ",")
     of = lambda k: F.filter("pii_spans", lambda x: x["base"] & (x["kind"] == k))
-    counts = [F.size(of(k)).cast("long").alias(f"n_{k}") for k in KINDS]
-    return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("pii_spans")).alias("spans"))
+    counts = [F.size(of(k)).cast("long").alias(f"n_{k}") for k in BASE_KINDS]
+    return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("pii_spans")).alias("spans"), F.size("pii_spans").cast("long").alias("n_spans"))
