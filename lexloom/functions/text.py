@@ -75,14 +75,41 @@ def substituted(c: Column, steps: list[tuple[str, str]]) -> Column:
     return reduce(lambda x, s: F.regexp_replace(x, uni(s[0]), s[1].replace("\\", "$")), steps, c)
 
 
+def once(c: Column, f) -> Column:
+    """f(c), with c evaluated once however often f reads it."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
 def counted(c: Column, steps: list[tuple[str, str]]) -> Column:
-    """(t, n): the same, and how many places were substituted. Texts without a place of any
-    step, which most are, are scanned once."""
-    own = F.array(*[F.struct(F.lit(uni(p)).alias("p"), F.lit(r.replace("\\", "$")).alias("r")) for p, r in steps])
-    once = "|".join(f"(?:{p})" for p, _ in steps)
-    none = F.struct(c.alias("t"), F.lit(0).cast("long").alias("n"))
-    step = lambda acc, s: F.struct(F.regexp_replace(acc["t"], s["p"], s["r"]).alias("t"), (acc["n"] + F.regexp_count(acc["t"], s["p"])).alias("n"))
-    return F.when(c.rlike(uni(once)), F.aggregate(own, none, step)).otherwise(none)
+    """(t, n): the same, and how many places were substituted."""
+    out = F.struct(c.alias("t"), F.lit(0).cast("long").alias("n"))
+    for pattern, new in steps:
+        out = _step(out, F.lit(uni(pattern)), F.lit(new.replace("\\", "$")))
+    return out
+
+
+def _step(out: Column, p: Column, r: Column) -> Column:
+    def run(a: Column) -> Column:
+        return F.when(F.regexp_like(a["t"], p), F.struct(F.regexp_replace(a["t"], p, r).alias("t"), (a["n"] + F.regexp_count(a["t"], p)).alias("n"))).otherwise(a)
+
+    return once(out, run)
+
+
+def ocr_counted(c: Column) -> Column:
+    """counted() for joined words. A text without any of the listed ones, which is told by
+    plain search, can't get one by a substitution, as none is made then."""
+    words = F.array(*[F.struct(F.lit(w.lower()).alias("w"), F.lit("(?i)" + re.escape(w)).alias("p"), F.lit(r).alias("r")) for w, r in dims.OCR_REPAIRS.items()])
+    start = F.struct(c.alias("t"), F.lit(0).cast("long").alias("n"))
+
+    def step(a: Column, s: Column) -> Column:
+        new = F.struct(F.regexp_replace(a["t"], s["p"], s["r"]).alias("t"), (a["n"] + F.regexp_count(a["t"], s["p"])).alias("n"))
+        return F.when(F.contains(F.lower(a["t"]), s["w"]), new).otherwise(a)
+
+    found = once(F.lower(c), lambda low: F.exists(words, lambda s: F.contains(low, s["w"])))
+    out = F.when(found, F.aggregate(words, start, step)).otherwise(start)
+    for pattern, new in dims.JOINED_WORDS:
+        out = _step(out, F.lit(uni(pattern)), F.lit(new.replace("\\", "$")))
+    return out
 
 
 def dehyphenate(c: Column) -> Column:
@@ -99,8 +126,10 @@ def ocr_repair(c: Column) -> Column:
 
 
 def strip_citation_marks(c: Column) -> Column:
-    """Amendment marks within a line, in order; text they enclose stays."""
-    return stripped(substituted(c, dims.CITATION_MARKS))
+    """Amendment marks within a line, in order; text they enclose stays. Lines without a
+    bracket, a digit or double white space hold none."""
+    some = c.rlike(uni(r"[\[\]\d]|\s{2}"))
+    return stripped(F.when(some, substituted(c, dims.CITATION_MARKS)).otherwise(c))
 
 
 def punct_spacing(c: Column) -> Column:

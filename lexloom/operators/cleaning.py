@@ -71,9 +71,13 @@ def section_heading(line: Column) -> Column:
     the whole line is the title."""
     g = lambda i: F.regexp_extract(line, T.uni("(?is)" + dims.SECTION_LINE), i)
     cut = T.uni(rf'(?is)^(.+?):\s*(["(\[\'\s]*{dims.BODY_STARTER}.*)$')
-    body = F.regexp_extract(g(2), cut, 2)
-    title = F.when(body == "", g(2)).otherwise(F.regexp_replace(T.stripped(F.regexp_extract(g(2), cut, 1)), r"[ ,;.\-]+$", ""))
-    return F.when(g(2) != "", F.struct(g(1).alias("number"), title.alias("title"), body.alias("body")))
+
+    def split(v: Column) -> Column:
+        title = F.when(v["body"] == "", v["rest"]).otherwise(F.regexp_replace(T.stripped(F.regexp_extract(v["rest"], cut, 1)), r"[ ,;.\-]+$", ""))
+        return F.struct(v["number"], title.alias("title"), v["body"])
+
+    own = T.once(F.struct(g(1).alias("number"), g(2).alias("rest")), lambda v: F.struct(v["number"], v["rest"], F.regexp_extract(v["rest"], cut, 2).alias("body")))
+    return F.when(is_section(line), T.once(own, split))
 
 
 def is_section(line: Column) -> Column:
@@ -116,7 +120,7 @@ def _kinds(line: Column, repeated: Column) -> Column:
     """A letter for each line: B blank, H header, F footer, A mark, N amendment note, M what
     may continue one, T other text."""
     return (
-        F.when(line == "", "B").when(T.is_header(line) | F.array_contains(repeated, for_frequency(line)), "H").when(T.is_footer(line), "F").when(T.is_mark(line), "A")
+        F.when(line == "", "B").when(T.is_header(line) | ((F.size(repeated) > 0) & F.array_contains(repeated, for_frequency(line))), "H").when(T.is_footer(line), "F").when(T.is_mark(line), "A")
         .when(_like(line, dims.AMENDMENT_NOTE), "N").when(_continues(line), "M").otherwise("T")
     )
 
@@ -136,7 +140,7 @@ def clean_pages(pages: DataFrame, share: float = SHARE) -> DataFrame:
     text, the 20 counters as a struct, and the findings of page_findings."""
     x = pages.join(repeated_edges(pages, share), "document", "left").withColumn("repeated", F.coalesce("repeated", F.array().cast("array<string>")))
     x = x.select("document", "page", F.coalesce("text", F.lit("")).alias("raw"), "repeated").withColumn("t", T.clean_whitespace(nfkc(F.col("raw"))))
-    x = x.withColumn("h", T.counted(F.col("t"), dims.SPLIT_WORDS)).withColumn("o", T.counted(F.col("h.t"), T.OCR_STEPS))
+    x = x.withColumn("h", T.counted(F.col("t"), dims.SPLIT_WORDS)).withColumn("o", T.ocr_counted(F.col("h.t")))
     x = x.select("document", "page", "repeated", F.length("raw").cast("long").alias("original"), F.col("h.n").alias("hyphens"), F.col("o.n").alias("broken"), F.split("o.t", LINE_END).alias("ls"))
     x = x.withColumn("ls", F.transform("ls", lambda v: T.stripped(F.regexp_replace(v, r"[ \t]+", " "))))
     x = x.withColumn("kinds", _after_notes(F.array_join(F.transform("ls", lambda v: _kinds(v, F.col("repeated"))), "")))
@@ -157,7 +161,7 @@ def clean_pages(pages: DataFrame, share: float = SHARE) -> DataFrame:
     heading = lambda v: F.concat(v["s"]["number"], F.lit(". "), v["s"]["title"], F.lit(":"))
     x = x.withColumn("ls", F.flatten(F.transform("own", lambda v: F.when(split(v), F.array(heading(v), F.lit(""), v["s"]["body"])).otherwise(F.array(v["line"]))))).drop("own")
     x = _paragraphs(x)
-    x = x.withColumn("o", T.counted(F.col("joined"), T.OCR_STEPS)).withColumn("text", T.punct_spacing(F.col("o.t"))).withColumn("broken", F.col("broken") + F.col("o.n"))
+    x = x.withColumn("o", T.ocr_counted(F.col("joined"))).withColumn("text", T.punct_spacing(F.col("o.t"))).withColumn("broken", F.col("broken") + F.col("o.n"))
     x = x.withColumn("found", page_findings(F.col("text")))
     x = x.withColumn("cleaned", F.length("text").cast("long"))
     value = {

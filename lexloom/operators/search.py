@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lexloom.functions import text as T
+from lexloom.operators import ordered
 from lexloom.sources.tables import materialized
 
 K1, B = 1.5, 0.75
@@ -78,18 +79,63 @@ def bm25_topk(queries: DataFrame, corpus: DataFrame, k: int, *, qid: str = "item
     weight = idf * (K1 + 1) / (1 + K1 * (1 - B + B * F.col("size") / F.col("avgdl")))
     hits = maybe_broadcast(asked).join(posts.where("keep"), "term").join(df, "term").crossJoin(F.broadcast(one))
     scored = hits.groupBy("qid", "id").agg(F.sum(weight).alias("s"))
-    # The bonus needs the text of scored documents only, and adds 0.5 at most, so only
-    # documents within that of the k-th score can gain a place.
+    return _with_bonus(scored, norm, corpus.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")), k)
+
+
+def _with_bonus(scored: DataFrame, norm: DataFrame, texts: DataFrame, k: int) -> DataFrame:
+    """The k best of scored (qid, id, s) with the bonus of a whole query in the text. It needs
+    the text of scored documents only, and adds 0.5 at most, so only documents within that of
+    the k-th score can gain a place. norm: (qid, q, qn), the normalized query and its tokens."""
     w = W.partitionBy("qid").orderBy(F.desc("s"), "id")
     kth = scored.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).groupBy("qid").agg(F.min("s").alias("kth"))
     near = scored.join(maybe_broadcast(kth), "qid").where(F.col("s") >= F.col("kth") - 0.51).drop("kth")
     bonus = F.least(F.lit(0.5), 0.05 * F.greatest(F.lit(1), F.col("qn")))
-    texts = corpus.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
     whole = near.join(maybe_broadcast(norm), "qid").join(texts, "id").withColumn("d", T.normalize(F.col("t")))
     whole = whole.select("qid", "id", F.round(F.col("s") + F.when(F.col("d").contains(F.col("q")) & (F.col("q") != ""), bonus).otherwise(0.0), 6).alias("score"))
     return top(whole.where("score > 0"), k)
 
 
+#: Documents of a block of postings, and blocks of a query that are read first.
+BLOCK_DOCS, FIRST_BLOCKS = 16, 8
+
+
+def bm25_blocks(queries: DataFrame, corpus: DataFrame, k: int, *, qid: str = "item_id", qtext: str = "text", id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK_DOCS) -> tuple[DataFrame, DataFrame]:
+    """(rows of bm25_topk, counts (all, read) of postings): postings lie in blocks of so many
+    documents of like size, and a block's header tells which terms it holds and its shortest
+    document. As a term counts once in a document, its weight is greatest there, so the header
+    bounds what any document of the block can score. The blocks with the highest bounds are
+    read first and give a score that k documents reach; of the others only those are read
+    whose bound, with the bonus, reaches it too."""
+    asked = queries.select(F.col(qid).alias("qid"), F.explode(T.tokens(F.col(qtext))).alias("term"))
+    norm = queries.select(F.col(qid).alias("qid"), T.normalize(F.col(qtext)).alias("q"), F.size(T.tokens(F.col(qtext))).alias("qn"))
+    docs = spread(corpus).select(F.col(id_col).alias("id"), T.tokens(F.col(text_col)).alias("terms")).withColumn("size", F.size("terms"))
+    docs = ordered.places(ordered.ranged(docs.withColumn("_all", F.lit(0)), "size", "id"), ["_all"], ["size", "id"], "place")
+    one = docs.agg(F.count(F.lit(1)).alias("n"), F.avg("size").alias("avgdl"))
+    posts = docs.select("id", "size", F.floor((F.col("place") - 1) / block).alias("block"), F.explode("terms").alias("term")).join(maybe_broadcast(asked.select("term").distinct()), "term", "left_semi")
+    # A list holds a block's documents at most.
+    lists = materialized(posts.groupBy("term", "block").agg(F.collect_list(F.struct("id", "size")).alias("docs"), F.count(F.lit(1)).alias("n"), F.min("size").alias("least")), "lists")
+    df = lists.groupBy("term").agg(F.sum("n").alias("df"))
+    gain = lambda size: (K1 + 1) / (1 + K1 * (1 - B + B * size / F.col("avgdl")))
+    idf = F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf")
+    terms = materialized(asked.join(df, "term").crossJoin(F.broadcast(one)).select("qid", "term", "df", idf, "avgdl"), "terms")
+    heads = lists.select("term", "block", "least").join(maybe_broadcast(terms), "term").groupBy("qid", "block").agg(F.sum("idf").alias("i"), F.min("least").alias("least"), F.first("avgdl").alias("avgdl"))
+    heads = materialized(heads.select("qid", "block", (F.col("i") * gain(F.col("least"))).alias("most")), "heads")
+
+    def read(blocks: DataFrame) -> DataFrame:
+        hit = blocks.select("qid", "block").join(maybe_broadcast(terms), "qid").join(lists.select("term", "block", "docs"), ["term", "block"])
+        x = hit.select("qid", "idf", "avgdl", F.explode("docs").alias("d"))
+        return x.groupBy("qid", F.col("d.id").alias("id")).agg(F.sum(F.col("idf") * gain(F.col("d.size"))).alias("s"))
+
+    best = heads.withColumn("r", F.row_number().over(W.partitionBy("qid").orderBy(F.desc("most"), "block"))).where(F.col("r") <= max(FIRST_BLOCKS, 2 * -(-k // block)))
+    first = read(best).withColumn("r", F.row_number().over(W.partitionBy("qid").orderBy(F.desc("s"), "id"))).where(F.col("r") <= k)
+    floor = first.groupBy("qid").agg(F.when(F.count(F.lit(1)) >= k, F.min("s")).otherwise(0.0).alias("floor"))
+    able = materialized(heads.join(maybe_broadcast(floor), "qid").where(F.col("most") >= F.col("floor") - 0.51).select("qid", "block"), "able")
+    rows = _with_bonus(read(able), norm, corpus.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")), k)
+    seen = able.unionByName(best.select("qid", "block")).distinct().join(maybe_broadcast(terms.select("qid", "term")), "qid").join(lists.select("term", "block", "n"), ["term", "block"])
+    counts = terms.agg(F.sum("df").cast("long").alias("all")).crossJoin(F.broadcast(seen.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("read"))))
+    return rows, counts
+
+
 def top(scored: DataFrame, k: int) -> DataFrame:
     """(qid, id, score, rank) of the k best a query; ties to the smaller id."""
     w = W.partitionBy("qid").orderBy(F.desc("score"), "id")

@@ -104,6 +104,12 @@ def bm25_topk(spark, sf_dir):
     return S.bm25_topk(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"), 5)
 
 
+@query(_bm25("true", 5))
+def bm25_blocks(spark, sf_dir):
+    """bm25_topk over blocks of postings, of which those that can't matter aren't read."""
+    return S.bm25_blocks(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"), 5)[0]
+
+
 @query(_bm25("source IN ('src1', 'src2')", 5))
 def bm25_topk_filtered(spark, sf_dir):
     return S.bm25_topk(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"), 5, keep=F.col("source").isin("src1", "src2"))

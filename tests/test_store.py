@@ -136,3 +136,18 @@ def test_vector_blocks_match_brute_force(spark):
         assert {(g.qid, g.id, g.score + 0.0, g["rank"]) for g in search.vector_topk(q, v, 5, held=held).collect()} == {(a, b, c + 0.0, d) for a, b, c, d in want}
     assert search.vector_topk(q, v.limit(0), 5).count() == 0 and search.vector_topk(q.limit(0), v, 5).count() == 0
     assert search.vector_topk(q, v, 5, where=F.col("vec_id") < 3).count() == 39
+
+
+@pytest.mark.parametrize("block", [1, 7, 32])
+def test_posting_blocks_give_the_same_rows(spark, block):
+    from lexloom.operators import search
+
+    r = random.Random(block)
+    word = lambda: "w%d" % min(int(r.expovariate(0.02)), 600)
+    docs = spark.createDataFrame([(k, " ".join(word() for _ in range(r.randrange(3, 120)))) for k in range(400)] + [(400, None), (401, "")], "doc_id LONG, text STRING")
+    asked = spark.createDataFrame([(q, " ".join(word() for _ in range(r.randrange(1, 9)))) for q in range(25)] + [(25, ""), (26, "nothing here")], "item_id LONG, text STRING")
+    rows, counts = search.bm25_blocks(asked, docs, 5, block=block)
+    want = {tuple(x) for x in search.bm25_topk(asked, docs, 5).select("qid", "id", "score", "rank").collect()}
+    assert {tuple(x) for x in rows.select("qid", "id", "score", "rank").collect()} == want
+    n = counts.first()
+    assert 0 < n["read"] <= n["all"] and (block > 1 or n["read"] < 0.7 * n["all"])
