@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lexloom.functions import text as T
 from lexloom.operators import metadata as M
-from lexloom.plans.queries_text import table
+from lexloom.plans.queries_text import _SP as SPACE
+from lexloom.plans.queries_text import stripped_sql, table
 from lexloom.plans.sqltext import canon
 
 QUERIES: dict = {}
@@ -182,3 +184,75 @@ FROM (SELECT count(*) FILTER (len(embedding) IS DISTINCT FROM 64) AS n FROM embe
 def collection_compatibility(spark, sf_dir):
     c = _frame(spark, sf_dir, _COLLECTION)
     return M.compatibility(table(spark, sf_dir, "embeddings"), c, M.audit(c), dimension=64, metric="Cosine", stored_metric="cosine")
+
+
+# ---- ids, keys and filters over the same chunks -----------------------------------------
+
+#: What a chunk's id is made of, in order; absent values are empty, parts default to 1.
+_ID = ["document_id", "document_name", "document_type", "provision_type", "provision_number", "provision_identity", "provision_part_number", "provision_part_count", "document_chunk_number", "chunk_id", "page_start", "page_end"]
+_ID_SQL = ", ".join(f"coalesce({c}::VARCHAR, '{1 if 'part' in c else ''}')" for c in _ID)
+
+
+def _with_text(spark, sf_dir, sql: str):
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    return _frame(spark, sf_dir, sql).join(d, "id")
+
+
+@query(f"""SELECT id, concat_ws('-', h[1:8], h[9:12], '5' || h[14:16], substring('89ab', (('0x' || h[17])::INT % 4) + 1, 1) || h[18:20], h[21:32]) AS point_id FROM (
+  SELECT id, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode(sha256(concat_ws('|', {_ID_SQL}, coalesce(array_to_string(source_pages, ','), ''), {stripped_sql('text')})))) AS h
+  FROM {_duck(_ROWS)} c JOIN documents d ON d.doc_id = c.id)""")
+def chunk_point_id(spark, sf_dir):
+    """The id of a chunk by its fourteen fields, the same for the same chunk."""
+    parts = [F.coalesce(F.col(c).cast("string"), F.lit("1" if "part" in c else "")) for c in _ID]
+    pages = F.coalesce(F.array_join(F.col("source_pages").cast("array<string>"), ","), F.lit(""))
+    return _with_text(spark, sf_dir, _ROWS).select("id", T.deterministic_id(*parts, pages, T.stripped(F.col("text"))).alias("point_id"))
+
+
+@query(f"SELECT doc_id, md5({stripped_sql('x')}) AS h FROM (SELECT doc_id, regexp_replace(text, '{SPACE}+', ' ', 'g') AS x FROM documents)")
+def embedding_text(spark, sf_dir):
+    """Texts as they are embedded: white space as single spaces."""
+    x = F.regexp_replace("text", T.uni(r"\s+"), " ")
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(T.stripped(x)).alias("h"))
+
+
+@query(f"""SELECT id, coalesce(nullif({_T('chunk_id')}, ''), document_id || '#' || document_chunk_number) AS document_key,
+  CASE WHEN {_T('provision_number')} <> '' THEN concat_ws('::', document_id, lower(provision_type), provision_number) ELSE concat_ws('::', document_id, 'unsectioned', document_chunk_number) END AS provision_key FROM {_duck(_ROWS)}""")
+def chunk_keys(spark, sf_dir):
+    """What tells chunks apart, and what groups them into provisions: rows without a number
+    stand alone."""
+    c = _frame(spark, sf_dir, _ROWS)
+    own = lambda n: F.nullif(F.trim(F.coalesce(n, F.lit(""))), F.lit(""))
+    key = F.coalesce(own("chunk_id"), F.concat("document_id", F.lit("#"), "document_chunk_number"))
+    group = F.when(own("provision_number").isNotNull(), F.concat_ws("::", "document_id", F.lower("provision_type"), "provision_number")).otherwise(F.concat_ws("::", "document_id", F.lit("unsectioned"), "document_chunk_number"))
+    return c.select("id", key.alias("document_key"), group.alias("provision_key"))
+
+
+@query(f"SELECT id FROM {_duck(_COLLECTION)} WHERE provision_ordinal BETWEEN 2 AND 4 AND provision_type = 'section' AND document_id IN ('src0', 'src1', 'src5')")
+def ordinal_filter(spark, sf_dir):
+    c = F.col
+    return _frame(spark, sf_dir, _COLLECTION).where(c("provision_ordinal").between(2, 4) & (c("provision_type") == "section") & c("document_id").isin("src0", "src1", "src5")).select("id")
+
+
+@query(f"SELECT id FROM {_duck(_COLLECTION)} WHERE article_number IN ('1', '2', '5A') AND document_id = 'src3' AND coalesce(is_unsectioned_chunk, false) = false")
+def article_filter(spark, sf_dir):
+    """Articles by number in the one document that has them by default."""
+    c = F.col
+    return _frame(spark, sf_dir, _COLLECTION).where(c("article_number").isin("1", "2", "5A") & (c("document_id") == "src3") & ~F.coalesce("is_unsectioned_chunk", F.lit(False))).select("id")
+
+
+@query(f"""SELECT id, lower(provision_type) = 'section' AND {canon('provision_number')} = '2' AND document_id <> 'src9' AS in_route,
+  coalesce(subsection_path_key, '') = '1' AND base_provision_number = '2' AS is_child, coalesce(subsection_path_key, '') = '' AND component_type IS NULL AS is_parent FROM {_duck(_COLLECTION)}""")
+def route_check(spark, sf_dir):
+    """Retrieved chunks looked at again: whether the route meant them, as a child or parent."""
+    c, none = F.col, F.lit("")
+    route = (F.lower("provision_type") == "section") & (T.canonical_number(c("provision_number")) == "2") & (c("document_id") != "src9")
+    child, parent = (F.coalesce("subsection_path_key", none) == "1") & (c("base_provision_number") == "2"), (F.coalesce("subsection_path_key", none) == "") & c("component_type").isNull()
+    return _frame(spark, sf_dir, _COLLECTION).select("id", route.alias("in_route"), child.alias("is_child"), parent.alias("is_parent"))
+
+
+@query(f"SELECT id, chunk_id, subsection_path_key FROM {_duck(_COLLECTION)} WHERE document_id = 'src2' AND base_provision_number IN ('1', '2', '3') AND subsection_path_key = '1' ORDER BY id LIMIT 20")
+def payload_spot_check(spark, sf_dir):
+    """A look at twenty stored rows of one document's provisions and path."""
+    c = F.col
+    x = _frame(spark, sf_dir, _COLLECTION).where((c("document_id") == "src2") & c("base_provision_number").isin("1", "2", "3") & (c("subsection_path_key") == "1"))
+    return x.select("id", "chunk_id", "subsection_path_key").orderBy("id").limit(20)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -118,6 +119,21 @@ def write_report(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", "true").csv(path)
 
 
+_written: dict[str, list[str]] = {}
+
+
+@atexit.register
+def _clean() -> None:
+    """Deletes what materialized() wrote, while its session is there."""
+    spark = SparkSession.getActiveSession()
+    for path in _written.pop(spark.sparkContext.applicationId, []) if spark is not None else ():
+        try:
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        except Exception:  # noqa: BLE001  the session may already be gone
+            return
+
+
 def materialized(df: DataFrame, name: str) -> DataFrame:
     """df written to the folder that all executors share, and read back: what several parts
     of a plan need is computed once, and survives the loss of an executor."""
@@ -130,4 +146,5 @@ def materialized(df: DataFrame, name: str) -> DataFrame:
         spark.conf.set("spark.checkpoint.dir", at)
     path = f"{at.rstrip('/')}/lexloom/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
