@@ -558,6 +558,65 @@ def test_label_model_finds_the_bad_labeller():
     assert m.p[1, 1, 1, 0] > 0.9 and m.p[0, 0, 0, 1] < 0.1
 
 
+def test_label_model_matches_a_loop():
+    """Expectation-maximisation text by text, without counting patterns."""
+    r = random.Random(3)
+    texts = []
+    for _ in range(300):
+        y = r.random() < 0.8
+        texts.append(tuple(r.choice([-1, int(y if r.random() < q else not y)]) if r.random() < 0.3 else int(y if r.random() < q else not y) for q in (0.9, 0.8, 0.7)))
+    m = quality.LabelModel(dict(Counter(texts)), rounds=25)
+    p = [min(0.95, max(0.05, 0.5 * sum(v == 1 for v in t) / max(1, sum(v >= 0 for v in t)) if 0 in t else 0.95)) for t in texts]
+    for _ in range(25):
+        prior = min(0.98, max(0.02, sum(p) / len(p)))
+        rates = []
+        for k in range(3):
+            good, bad = ((sum(w for w, t in zip(ws, texts, strict=True) if t[k] == 1) + 4 * mean) / (sum(w for w, t in zip(ws, texts, strict=True) if t[k] >= 0) + 4) for ws, mean in ((p, 0.9), ([1 - x for x in p], 0.4)))
+            good = max(0.5, good)
+            rates.append((good, min(bad, good)))
+        p = []
+        for t in texts:
+            odds = prior / (1 - prior)
+            for (g, b), v in zip(rates, t, strict=True):
+                odds *= 1.0 if v < 0 else g / b if v else (1 - g) / (1 - b)
+            p.append(odds / (1 + odds))
+    assert all(abs(m.p[t] - x) < 1e-6 for t, x in zip(texts, p, strict=True))
+
+
+def test_sparse_rows_match_dense_ones(monkeypatch):
+    monkeypatch.setattr(quality, "CHUNK", 50)
+    rng = np.random.default_rng(1)
+    rows = [(np.sort(rng.choice(quality.DIMS, n, replace=False)).astype(np.uint16), rng.random(n).astype(np.float32)) for n in rng.integers(1, 60, 40)]
+    dense = np.zeros((len(rows), quality.DIMS))
+    for i, (at, x) in enumerate(rows):
+        dense[i, at] = x
+    sparse, w, v = quality.Sparse([quality._unpacked(quality._packed(x)) for x in rows]), rng.random(quality.DIMS + 1), rng.random(len(rows))
+    assert np.allclose(sparse.dot(w), dense @ w[:-1]) and np.allclose(sparse.sum(v), v @ dense)
+
+
+def test_least_score_has_the_fewest_mistakes():
+    assert quality.least_score(np.array([0.9, 0.8, 0.2, 0.1]), np.array([1.0, 0.9, 0.1, 0.0])) == 0.5
+    assert quality.least_score(np.array([0.4, 0.4, 0.4]), np.array([1.0, 0.0, 1.0])) == 0.0
+    assert quality.least_score(np.array([0.4, 0.4, 0.4]), np.array([0.0, 0.0, 1.0])) == 1.0
+
+
+def test_language_votes_by_hand(spark):
+    texts = {"en": "the cat and the dog", "de": "der hund und die katze", "fr": "le chat et le chien", "xx": "zzz qqq www"}
+    train = spark.createDataFrame([(k, f"{v} {words(i, 5)}") for k, v in texts.items() for i in range(6)], "lang STRING, text STRING")
+    m = langid.fit(train)
+    assert m.langs == ["de", "en", "fr", "xx"] and m.members["germanic"] == ["de", "en"] and set(m.families) == {"germanic", "romance", "xx"}
+    for text in [*texts.values(), "und the", "le the und", "z" * 300_000 + " the"]:
+        x = langid.profile(text)
+        margin = lambda row: float(m.w[row, :-1] @ x + m.w[row, -1])  # noqa: B023, E731
+        family = max(m.families, key=lambda f: margin(m.family_row[f]))
+        want = family if family in m.langs else m.members[family][0]
+        if family == "germanic":
+            want = "de" if margin(m.pair_row["de", "en"]) > 0 else "en"
+        assert m.predict(x)[0] == want
+    got = {r.text: r.lang_pred for r in langid.identify(spark.createDataFrame([(t,) for t in (*texts.values(), "", "12 !", None)], "text STRING"), m).collect()}
+    assert [got[t] for t in texts.values()] == list(texts) and {got[""], got["12 !"], got[None]} == {"und"}
+
+
 # ---- pipeline ------------------------------------------------------------------------
 
 
