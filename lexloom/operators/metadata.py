@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lexloom.functions import text as T
+from lexloom.operators import ordered
 
 TEXTS = ["document_id", "document_name", "document_title", "document_short_name", "document_type", "chunk_id"]
 COUNTS = ["chunk_number", "document_chunk_number", "page_start", "page_end", "provision_part_number", "provision_part_count"]
@@ -133,9 +134,14 @@ def collection_issues(chunks: DataFrame) -> DataFrame:
     key = ["doc", "kind", "own"]
     groups = rows.groupBy(*key).agg(F.min("ordinal").alias("o"), F.max("ordinal").alias("high"), F.min_by("provision_number", "id").alias("num"))
     one = groups.withColumn("one", F.coalesce(F.col("o") == F.col("high"), F.lit(False)))
-    seq, order = W.partitionBy("doc", "kind"), W.partitionBy("doc", "kind").orderBy("o", "own")
-    placed = one.where("one").withColumns({"at": F.row_number().over(order), "same": F.count(F.lit(1)).over(W.partitionBy("doc", "kind", "o")), "p": F.lag("own").over(order), "n": F.lead("own").over(order), "pn": F.lag("num").over(order), "nn": F.lead("num").over(order)})
-    placed = placed.withColumn("gap", F.max((F.col("at") != F.col("o")).cast("int")).over(seq) == 1)
+    pair, order = ["doc", "kind"], ["o", "own"]
+    placed = ordered.ranged(one.where("one").withColumn("it", F.struct("own", "num")), *pair, *order)
+    placed = ordered.carried(ordered.carried(ordered.places(placed, pair, order, "at"), pair, order, {"before": "it"}), pair, order, {"after": "it"}, ahead=True)
+    placed = placed.withColumns({"p": F.col("before.own"), "pn": F.col("before.num"), "n": F.col("after.own"), "nn": F.col("after.num")})
+    # Of a document and type: how many share an ordinal, and whether any place is wrong.
+    shared = placed.groupBy(*pair, "o").agg(F.count(F.lit(1)).alias("same"))
+    gaps = placed.groupBy(*pair).agg(F.bool_or(F.col("at") != F.col("o")).alias("gap"))
+    placed = placed.join(shared, [*pair, "o"]).join(gaps, pair)
     state = placed.select(*key, F.lit(True).alias("one"), "same", "gap", "p", "n", "pn", "nn").unionByName(one.where("NOT one").select(*key, "one"), allowMissingColumns=True)
     c = F.col
     fine = c("one") & ~c("gap")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lexloom.operators import cleaning as C
+from lexloom.operators import ordered
 from lexloom.operators import provisions as P
 from lexloom.operators import structure as S
 from lexloom.functions import text as T
@@ -293,10 +294,9 @@ def group_consistency(spark, sf_dir):
 
 @query(f"SELECT id, row_number() OVER (PARTITION BY document_id ORDER BY ordinal, page, part, subsection_path_key, chunk_id, id) AS place FROM {_CHUNKS}")
 def source_order(spark, sf_dir):
-    from pyspark.sql import Window as W
-
-    w = W.partitionBy("document_id").orderBy("ordinal", "page", "part", "subsection_path_key", "chunk_id", "id")
-    return chunks(spark, sf_dir).select("id", F.row_number().over(w).cast("long").alias("place"))
+    order = ["ordinal", "page", "part", "subsection_path_key", "chunk_id", "id"]
+    x = ordered.ranged(chunks(spark, sf_dir).select("document_id", *order), "document_id", *order)
+    return ordered.places(x, ["document_id"], order, "place").select("id", "place")
 
 
 _SB = f"(SELECT document, kind, number, CASE WHEN ordinal % 3 = 0 THEN ordinal + 1 ELSE ordinal END AS ordinal, CASE WHEN ordinal % 2 = 0 THEN NULL ELSE previous END AS previous, next FROM ({_SEQUENCE}))"
