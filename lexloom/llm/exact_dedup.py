@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from lexloom.llm._common import column_of, documents, forget, written
+from lexloom.llm._common import column_of, documents, written
 
 #: Counters of a sketch, and the share of all rows from which a digest is heavy.
 TRACKED, HEAVY_SHARE = 1 << 14, 1 << 12
