@@ -87,3 +87,16 @@ def test_metadata_rules_stop_early(spark):
     assert ("provision_type", "known") in got[1] and not any(f == "section_number" for f, _ in got[1])
     assert {("provision_number", "unsectioned"), ("provision_ordinal", "unsectioned"), ("provision_identity", "unsectioned")} <= got[2] and ("chunk_id", "form") not in got[2]
     assert ("provision_number", "blank") in got[3] and ("base_provision_number", "blank") not in got[3]
+
+
+def test_keys_of_several_names_and_last_rows(spark, tmp_path):
+    rows = [("a", None, 1, "x"), (" ", "b", 2, "y"), (None, "b", 3, "z"), ("a", "c", 4, "w"), (None, "  ", 5, "v")]
+    df = spark.createDataFrame(rows, "sample_id STRING, id STRING, at INT, answer STRING").withColumn("key", tables.coalesced_key("sample_id", "id"))
+    assert {(r.key, r.answer) for r in tables.last_wins(df, "key", "at").collect()} == {("a", "w"), ("b", "z"), (None, "v")}
+    path, report = str(tmp_path / "log"), str(tmp_path / "report")
+    tables.append_json(df.where("at < 3"), path)
+    tables.append_json(df.where("at >= 3"), path)
+    assert sorted(r["at"] for r in spark.read.json(path).collect()) == [1, 2, 3, 4, 5]
+    tables.write_report(df, report)
+    tables.write_report(df.where("at = 1"), report)
+    assert [(r.key, r["at"]) for r in spark.read.option("header", "true").csv(report).collect()] == [("a", "1")]
