@@ -179,3 +179,54 @@ def test_pages_of_spans_match_a_loop(spark):
     got = {(x.document, x.span): x.pages for x in structure.pages_of(s, o).collect()}
     want = {(d, k): ",".join(str(p) for e, p, a, b in pages if e == d and b > lo and a < hi) for d, k, lo, hi in spans}
     assert got == {k: v for k, v in want.items() if v}
+
+
+def plain_split(text, limit, overlap):
+    """Cut at the first separator that occurs, put pieces together while they fit, and cut
+    those that are too long by the separators behind it: with a list of work, no recursion."""
+    done, work = [], [(text, 0)]
+    while work:
+        t, level = work.pop()
+        if level is None:
+            done.append(t)
+            continue
+        while structure.SEPARATORS[level] and not re.search(structure.SEPARATORS[level], t):
+            level += 1
+        sep = structure.SEPARATORS[level]
+        starts = sorted({0, *([m.start() for m in re.finditer(sep, t)] if sep else range(len(t)))})
+        pieces = [t[a:b] for a, b in zip(starts, [*starts[1:], len(t)], strict=True) if a < b]
+        todo, run = [], []
+
+        def close():
+            now = []
+            for p in run:
+                if now and sum(map(len, now)) + len(p) > limit:
+                    todo.append(("".join(now).strip(), None))
+                    while now and (sum(map(len, now)) > overlap or sum(map(len, now)) + len(p) > limit):
+                        now.pop(0)
+                now.append(p)
+            todo.append(("".join(now).strip(), None))
+            run.clear()
+
+        for p in pieces:
+            if len(p) < limit or not sep:
+                run.append(p)
+            else:
+                close()
+                todo.append((p, level + 1))
+        close()
+        work += reversed(todo)
+    return [c for c in done if c]
+
+
+def test_splitting_matches_a_plain_loop(spark):
+    r = random.Random(8)
+    texts = ["", None, " \n ", "x" * 900]
+    for _ in range(120):
+        texts.append("".join(r.choice(["word ", "another. ", "\n", "\n\n", "(1) ", "(a) ", "Explanation: ", "\nIllustration\n", "z" * r.randrange(90), "? "]) for _ in range(r.randrange(80))))
+    for limit, overlap in ((60, 15), (100, 0), (1000, 150)):
+        got = {}
+        for x in structure.split_chunks(spark.createDataFrame(list(enumerate(texts)), "id LONG, text STRING"), limit, overlap).collect():
+            got.setdefault(x.id, []).append((x.part, x.chunk))
+        for i, t in enumerate(texts):
+            assert [c for _, c in sorted(got.get(i, []))] == plain_split(t or "", limit, overlap), (limit, t)
