@@ -126,6 +126,8 @@ def add_columns(docs: DataFrame, inputs: list[str], fn, outputs: dict[str, str],
             fields = [pa.field(c, x.type) for c, x in zip(names, old, strict=True)] + list(target)[n_kept:]
             old += [pa.array(x, type=f.type) for x, f in zip(made, list(target)[n_kept:], strict=True)]
             yield pa.RecordBatch.from_arrays(old, schema=pa.schema(fields))
+        # Workers stay for later tasks; what batches took must not stay with them.
+        pa.default_memory_pool().release_unused()
 
     small_batches(docs.sparkSession)
     return docs.mapInArrow(run, schema)

@@ -143,7 +143,7 @@ def _by_bucket(words, buckets: int) -> dict[int, list[bytes]]:
 #: Characters of texts in a partition at most, on average.
 PART_CHARS = 256 << 20
 #: Encoded words that a task keeps; beyond it a word may be encoded once more.
-KEPT_WORDS = 1_000_000
+KEPT_WORDS = 400_000
 PACKETS = "_lexloom_chunk int, _bucket int, _packet binary"
 
 
