@@ -74,7 +74,9 @@ def tokenized(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     ranks = bpe.load_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
-    coded = bpe.decode(bpe.encode(docs.select("doc_id", "text"), ranks, public_tokenizers.PATTERN), ranks)
+    # Written between, so that no more than two of these steps' workers are alive at a time.
+    ids = written(bpe.encode(docs.select("doc_id", "text"), ranks, public_tokenizers.PATTERN), "ids")
+    coded = bpe.decode(ids, ranks)
     same = F.col("decoded") == F.encode(F.coalesce("text", F.lit("")), "UTF-8")
     return coded.select("doc_id", "ids", "n_tokens", same.alias("round_trip"))
 
