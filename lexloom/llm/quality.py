@@ -4,10 +4,15 @@ Heuristic labellers vote good, bad or nothing on each text. Their votes over all
 documents are counted by pattern; expectation-maximisation over these counts estimates
 how each labeller votes on good and on bad texts, without any gold label. The posterior
 of a text's pattern is its label for a linear scorer over hashed features, which is
-fitted on a bounded sample (TRAIN_ROWS rows, by a hash of the text) and then scores
-whole texts. The scorer doesn't see what the labellers measure: its features are n-grams of
-the text's shape and the distances between a word's places. It keeps texts from the score
-that the posteriors expect the fewest mistakes of.
+fitted on all distinct texts and then scores whole texts. The scorer doesn't see what the
+labellers measure: its features are n-grams of the text's shape and the distances between a
+word's places. It keeps texts from the score that the posteriors of all distinct texts expect
+the fewest mistakes of.
+
+The fit starts from that of TRAIN_ROWS texts and goes on by limited-memory BFGS, each round's
+loss and gradient coming from one pass of tasks over all texts. The objective is strictly
+convex, so the end doesn't depend on the start; rounds go on until the weights are within
+TOLERANCE of it, which the gradient's length bounds.
 
 Defined cases: null texts and texts without a word have score 0 and are rejected; with
 no text to learn from, all others have score 1; repeated rows get the same result; an
@@ -27,10 +32,16 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm._common import add_columns, as_bytes, column_of, documents, hash_below, share_for, small_batches
+from lexloom.llm._common import add_columns, as_bytes, column_of, documents, forget, share_for, small_batches, written
 
-#: Texts that the scorer is fitted on, and its hashed features.
+#: Texts that the fit starts from, and hashed features.
 TRAIN_ROWS, DIMS = 4000, 4096
+#: Distance from the best weights at which rounds end, and steps that a round looks back on.
+TOLERANCE, MEMORY = 1e-4, 12
+#: Tasks of a round at most: each sends a gradient of DIMS values to the driver.
+ROUND_TASKS = 256
+#: Bins of scores, between which texts are parted.
+BINS = 1 << 16
 #: Weight of the words' distances beside the shape's n-grams.
 GAPS = 1.0
 #: Share of the texts by which the expected mistakes may exceed the fewest.
@@ -199,33 +210,79 @@ def _unpacked(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(raw[: 2 * n], dtype=np.uint16), np.frombuffer(raw[2 * n :], dtype=np.float32)
 
 
+def _sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
+def _shares(p: np.ndarray, good: float, bad: float) -> np.ndarray:
+    """Weights of texts, by the sums of p and of 1 - p over all: good and bad weigh the same."""
+    return (p / max(1e-9, good) + (1 - p) / max(1e-9, bad)) / ((good > 0) + (bad > 0))
+
+
+def _loss_gradient(x: Sparse, p: np.ndarray, weight: np.ndarray, w: np.ndarray) -> tuple[float, np.ndarray]:
+    z = x.dot(w) + w[-1]
+    gap = weight * (_sigmoid(z) - p)
+    return float((weight * (np.logaddexp(0, z) - p * z)).sum()), np.append(x.sum(gap), gap.sum())
+
+
 def fit_logistic(x: Sparse, p: np.ndarray, c: float = 1000.0, steps: int = 400) -> np.ndarray:
     """Weights and bias of a logistic scorer for soft labels p, by accelerated gradient.
     Good and bad weigh the same."""
-    share = p / max(1e-9, p.sum()) + (1 - p) / max(1e-9, (1 - p).sum())
-    weight = share / share.sum()
+    weight = _shares(p, p.sum(), (1 - p).sum())
     w = z = np.zeros(DIMS + 1)
     rate, t = 1 / (1 + c * 0.5), 1.0
     for _ in range(steps):
-        q = 1 / (1 + np.exp(-np.clip(x.dot(z) + z[-1], -30, 30)))
-        gap = weight * (q - p)
-        new = z - rate * (z + c * np.append(x.sum(gap), gap.sum()))
+        new = z - rate * (z + c * _loss_gradient(x, p, weight, z)[1])
         t2 = (1 + np.sqrt(1 + 4 * t * t)) / 2
         z, w, t = new + (t - 1) / t2 * (new - w), new, t2
     return w
 
 
-def least_score(scores: np.ndarray, p: np.ndarray) -> float:
+def fit_all(start: np.ndarray, ask, c: float = 1000.0) -> np.ndarray:
+    """start improved until it is within TOLERANCE of the best weights; ask(w) gives the loss
+    of all texts and its gradient."""
+
+    def objective(w: np.ndarray) -> tuple[float, np.ndarray]:
+        loss, g = ask(w)
+        return 0.5 * w @ w + c * loss, w + c * g
+
+    w, (f, g), past = start, objective(start), []
+    # The objective is 1-strongly convex: its gradient is no shorter than the distance.
+    while np.linalg.norm(g) > TOLERANCE:
+        d, scale = -g, []
+        for s, y in reversed(past):
+            scale.append(s @ d / (s @ y))
+            d = d - scale[-1] * y
+        d = d * (past[-1][0] @ past[-1][1] / (past[-1][1] @ past[-1][1]) if past else 1 / (1 + c * 0.5))
+        for (s, y), a in zip(past, reversed(scale), strict=True):
+            d = d + s * (a - y @ d / (s @ y))
+        step = 1.0
+        while True:
+            new = w + step * d
+            f2, g2 = objective(new)
+            if f2 <= f + 1e-4 * step * (g @ d) or step < 1e-6:
+                break
+            step /= 2
+        if f2 >= f:  # as near as sums of floating numbers get
+            break
+        past = [*past, (new - w, g2 - g)][-MEMORY:]
+        w, f, g = new, f2, g2
+    return w
+
+
+def least_score(scores: np.ndarray, p: np.ndarray, n: np.ndarray | None = None) -> float:
     """The score from which texts are kept: the lowest whose expected mistakes by the
     posteriors p (a good text lost, a bad one kept) are within SLACK of the texts of the
-    fewest, since a text lost can't be made good later."""
+    fewest, since a text lost can't be made good later. n: how many texts a score stands for
+    (else one each), whose posteriors' sum is p."""
+    n = np.ones(len(scores)) if n is None else n
     order = np.argsort(scores, kind="stable")
-    s, own = scores[order], p[order]
-    wrong = np.append(0, np.cumsum(own)) + np.append(np.cumsum((1 - own)[::-1])[::-1], 0)
+    s, own, bad = scores[order], p[order], (n - p)[order]
+    wrong = np.append(0, np.cumsum(own)) + np.append(np.cumsum(bad[::-1])[::-1], 0)
     cuts = np.concatenate([[0.0], (s[1:] + s[:-1]) / 2, [1.0]])
     # Equal scores can't be parted.
     apart = np.concatenate([[True], s[1:] > s[:-1], [True]])
-    return float(cuts[np.flatnonzero(apart & (wrong <= wrong[apart].min() + SLACK * len(s)))[0]])
+    return float(cuts[np.flatnonzero(apart & (wrong <= wrong[apart].min() + SLACK * n.sum()))[0]])
 
 
 class Scorer(NamedTuple):
@@ -243,42 +300,74 @@ def fit(docs: DataFrame, *, text_col: str = "text", train_rows: int = TRAIN_ROWS
     """The scorer; None if no text has a word."""
     spark, text_col = docs.sparkSession, column_of(docs, text_col)
     small_batches(spark)
-    texts = docs.select(F.col(text_col).alias("t")).where("t IS NOT NULL")
+    texts = docs.select(F.col(text_col).alias("t")).where("t IS NOT NULL").select("t", F.xxhash64("t").alias("h"))
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: Counter = Counter()
+    def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            seen.update(",".join(map(str, votes(x))) for x in map(Traits, b["t"]) if x.n)
-        if seen:
-            yield pd.DataFrame({"p": list(seen), "n": list(seen.values())})
+            own = [(h, x) for h, x in zip(b["h"], map(Traits, b["t"]), strict=True) if x.n]
+            if own:
+                yield pd.DataFrame({"h": [h for h, _ in own], "v": [",".join(map(str, votes(x))) for _, x in own], "x": [_packed(features(x)) for _, x in own]})
+
+    # A row for each distinct text: some hundred features of DIMS, 0.2 to 0.6 KB.
+    seen = texts.mapInPandas(learn, "h long, v string, x binary").groupBy("h").agg(F.first("v").alias("v"), F.first("x").alias("x"), F.count(F.lit(1)).alias("n"))
+    seen = written(seen, "features")
+    try:
+        return _fit(seen, train_rows)
+    finally:
+        forget(seen)
 
+
+def _fit(seen: DataFrame, train_rows: int) -> Scorer | None:
+    """The scorer of distinct texts: (h, v, x, n), a text's hash, votes, features and number."""
+    spark = seen.sparkSession
     # As many rows at most as there are patterns: 3 to the number of labellers.
-    rows = texts.mapInPandas(count, "p string, n long").groupBy("p").agg(F.sum("n").alias("n")).collect()
+    rows = seen.groupBy("v").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("texts")).collect()
     if not rows:
         return None
-    model = LabelModel({tuple(map(int, r["p"].split(","))): r["n"] for r in sorted(rows, key=lambda r: r["p"])})
-    label = spark.sparkContext.broadcast(model.p)
-    # The lowest hashes: a share of the distinct texts that holds about four times as many
-    # as asked for, copies once, so that few rows are brought together to be cut.
-    worded = texts.where(F.col("t").rlike(r"[^\x20\x09-\x0D]"))
-    distinct = worded.agg(F.countDistinct(F.xxhash64("t"))).first()[0]
-    some = worded.where(hash_below(F.col("t"), F.lit(share_for(train_rows, distinct))))
-    picked = some.groupBy(F.xxhash64("t").alias("h")).agg(F.first("t").alias("t")).orderBy("h").limit(train_rows).select("t")
-
-    def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    rows.sort(key=lambda r: r["v"])
+    model = LabelModel({tuple(map(int, r["v"].split(","))): r["n"] for r in rows})
+    known = {r["v"]: float(model.p[tuple(map(int, r["v"].split(",")))]) for r in rows}
+    good, total = sum(known[r["v"]] * r["texts"] for r in rows), sum(r["texts"] for r in rows)
+    # The lowest hashes, so that few rows are brought together to be cut.
+    low = seen.where(F.col("h") / F.lit(2.0**64) + 0.5 < F.lit(share_for(train_rows, total)))
+    got = sorted(low.orderBy("h").limit(train_rows).select("v", "x").collect(), key=lambda r: bytes(r["x"]))
+    x, p = Sparse([_unpacked(r["x"]) for r in got]), np.array([known[r["v"]] for r in got])
+    label = spark.sparkContext.broadcast(known)
+
+    def parts(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[Sparse, np.ndarray]]:
         for b in batches:
-            own = [x for x in map(Traits, b["t"]) if x.n]
-            if own:
-                yield pd.DataFrame({"x": [_packed(features(x)) for x in own], "p": [label.value[votes(x)] for x in own]})
-
-    # A text has some hundred features of DIMS: 2 to 4 KB a row come to the driver.
-    got = picked.mapInPandas(learn, "x binary, p double").collect()
-    if not got:
-        return None
-    got.sort(key=lambda r: bytes(r["x"]))
-    x, p = Sparse([_unpacked(r["x"]) for r in got]), np.array([r["p"] for r in got])
-    w = fit_logistic(x, p)
-    return Scorer(w, least_score(1 / (1 + np.exp(-np.clip(x.dot(w) + w[-1], -30, 30))), p))
+            if len(b):
+                yield Sparse([_unpacked(r) for r in b["x"]]), np.array([label.value[v] for v in b["v"]])
+
+    def ask(w: np.ndarray) -> tuple[float, np.ndarray]:
+        held = spark.sparkContext.broadcast(w)
+
+        def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            loss, out = 0.0, np.zeros(DIMS + 1)
+            for x, p in parts(batches):
+                more, g = _loss_gradient(x, p, _shares(p, good, total - good), held.value)
+                loss, out = loss + more, out + g
+            yield pd.DataFrame({"loss": [loss], "g": [out.tobytes()]})
+
+        sums = seen.select("v", "x").coalesce(ROUND_TASKS).mapInPandas(add, "loss double, g binary").collect()
+        held.destroy()
+        return sum(r["loss"] for r in sums), np.sum([np.frombuffer(r["g"]) for r in sums], axis=0)
+
+    w = fit_all(fit_logistic(x, p), ask)
+
+    def binned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n, good = np.zeros(BINS), np.zeros(BINS)
+        for x, p in parts(batches):
+            at = np.minimum(BINS - 1, _sigmoid(x.dot(w) + w[-1]) * BINS).astype(np.int64)
+            n += np.bincount(at, minlength=BINS)
+            good += np.bincount(at, weights=p, minlength=BINS)
+        at = np.flatnonzero(n)
+        yield pd.DataFrame({"at": at, "n": n[at], "p": good[at]})
+
+    # BINS rows at most.
+    cells = seen.select("v", "x").mapInPandas(binned, "at long, n double, p double").groupBy("at").agg(F.sum("n").alias("n"), F.sum("p").alias("p")).collect()
+    at, n, p = (np.array([r[c] for r in cells], dtype=float) for c in ("at", "n", "p"))
+    return Scorer(w, least_score((at + 0.5) / BINS, p, n))
 
 
 def score_quality(docs: DataFrame, scorer: Scorer | None, *, text_col: str = "text") -> DataFrame:

@@ -547,6 +547,27 @@ def test_quality_sample_does_not_shrink_with_copies(spark):
     assert seen == [20, 20]
 
 
+def test_quality_is_fitted_on_all_texts(spark):
+    """The weights and the threshold are those of all distinct texts, whatever few it starts from."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text")
+    whole = quality.fit(docs, train_rows=10**6)
+    for n in (60,):
+        some = quality.fit(docs.repartition(7), train_rows=n)
+        assert np.linalg.norm(some.weights - whole.weights) <= 3 * quality.TOLERANCE and abs(some.keep - whole.keep) < 1e-3
+    texts = sorted({r.text for r in docs.collect() if r.text})
+    own = [x for x in map(quality.Traits, texts) if x.n]
+    model = quality.LabelModel(dict(Counter(quality.votes(x) for x in map(quality.Traits, (r.text for r in docs.collect())) if x.n)))
+    p, scores = np.array([model.p[quality.votes(x)] for x in own]), np.array([whole.score(x) for x in own])
+    wrong = lambda cut: p[scores < cut].sum() + (1 - p)[scores >= cut].sum()
+    assert wrong(whole.keep) <= min(wrong(c) for c in (0, *scores, 2)) + (quality.SLACK + 1e-3) * len(own)
+
+
+def test_least_score_of_counted_scores():
+    s, p, n = np.array([0.1, 0.4, 0.8]), np.array([0.5, 1.0, 3.5]), np.array([3.0, 2.0, 4.0])
+    flat = np.repeat(s, n.astype(int))
+    assert quality.least_score(s, p, n) == quality.least_score(flat, np.repeat(p / n, n.astype(int)))
+
+
 def test_label_model_finds_the_bad_labeller():
     r = random.Random(1)
     patterns = Counter()
