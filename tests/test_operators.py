@@ -1,5 +1,6 @@
 """Properties of the operators that the SQL comparison doesn't show."""
 
+import random
 import uuid
 
 from pyspark.sql import functions as F
@@ -39,6 +40,27 @@ def test_bm25_rare_term_and_phrase_first(spark):
     assert top[1, 1] == 1 and top[2, 1] == 2
 
 
+def test_bm25_scan_hands_on_few_rows(spark, monkeypatch):
+    """Tasks hand on what can still be among the best, and the result is that of the join."""
+    r = random.Random(4)
+    vocabulary = [f"w{i}" for i in range(60)]
+    docs = [(i, None if i == 7 else " ".join(r.choices(vocabulary, range(1, 61), k=r.randint(1, 40)))) for i in range(900)]
+    corpus = spark.createDataFrame(docs, "doc_id LONG, text STRING").repartition(3).withColumn("other", F.col("doc_id") % 5 == 0)
+    q = spark.createDataFrame([(i, " ".join(r.choices(vocabulary, k=1 + i % 6))) for i in range(20)] + [(3, "w59 w58"), (50, ""), (51, "none"), (None, "w1")], "item_id LONG, text STRING")
+    seen, real = [], search.materialized
+    q = real(q, "asked")  # so that its size is known
+    monkeypatch.setattr(search, "materialized", lambda df, name: seen.append((name, real(df, name))) or seen[-1][1])
+    rows = lambda: sorted(map(tuple, search.bm25_topk(q, corpus, 4, keep=~F.col("other")).collect()))
+    one = rows()
+    scored = next(df for name, df in seen if name == "scored")
+    assert scored.count() < 20 * 720 / 8
+    for name, value in (("SCORES", 70), ("HELD_ROWS", 30), ("HELD_QUERIES", 6)):
+        monkeypatch.setattr(search, name, value)
+    assert rows() == one
+    monkeypatch.setattr(search, "BROADCAST_BYTES", -1)
+    assert rows() == one and len(one) > 70
+
+
 def test_bm25_filter_keeps_statistics(spark):
     corpus = spark.createDataFrame([(i, f"alpha w{i} common") for i in range(20)], "doc_id LONG, text STRING")
     q = spark.createDataFrame([(1, "alpha w3")], "item_id LONG, text STRING")
