@@ -24,6 +24,7 @@ from pyspark.sql.types import StringType
 
 from lexloom.functions import text as T
 from lexloom.plans import dims
+from lexloom.sources.tables import small_batches
 
 #: Share of a document's pages that a repeated line stands on, and lines of an edge.
 SHARE, EDGE, LONGEST_EDGE = 0.8, 4, 180
@@ -44,7 +45,8 @@ def nfkc(c: Column) -> Column:
     def run(s: pd.Series) -> pd.Series:
         return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
 
-    return F.pandas_udf(run, StringType())(c)
+    # Texts that hold ASCII alone are as they should be and needn't go to Python.
+    return F.coalesce(F.pandas_udf(run, StringType())(F.when(c.rlike(r"[^\x00-\x7F]"), c)), c)
 
 
 def _like(c: Column, pattern: str) -> Column:
@@ -138,6 +140,7 @@ def _tally(kinds: str, letters: str) -> Column:
 def clean_pages(pages: DataFrame, share: float = SHARE) -> DataFrame:
     """(document, page, text, counters, found) of pages (document, page, text): the cleaned
     text, the 20 counters as a struct, and the findings of page_findings."""
+    small_batches(pages.sparkSession)
     x = pages.join(repeated_edges(pages, share), "document", "left").withColumn("repeated", F.coalesce("repeated", F.array().cast("array<string>")))
     x = x.select("document", "page", F.coalesce("text", F.lit("")).alias("raw"), "repeated").withColumn("t", T.clean_whitespace(nfkc(F.col("raw"))))
     x = x.withColumn("h", T.counted(F.col("t"), dims.SPLIT_WORDS)).withColumn("o", T.ocr_counted(F.col("h.t")))
@@ -226,8 +229,9 @@ def _paragraphs(x: DataFrame) -> DataFrame:
 
 def keywords(text: Column) -> Column:
     """The first MOST_KEYWORDS of the legal terms that stand in a text, in the list's order."""
-    low = F.lower(text)
-    return F.slice(F.array_compact(F.array(*[F.when(low.rlike(T.uni(rf"\b{t}\b")), F.lit(t)) for t in dims.LEGAL_TERMS])), 1, dims.MOST_KEYWORDS)
+    # Most terms stand nowhere, which plain search tells.
+    one = lambda low: F.array_compact(F.array(*[F.when(low.contains(t) & low.rlike(T.uni(rf"\b{t}\b")), F.lit(t)) for t in dims.LEGAL_TERMS]))
+    return F.slice(T.once(F.lower(text), one), 1, dims.MOST_KEYWORDS)
 
 
 def legal_references(text: Column) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql.types import ArrayType, StringType
 from lexloom.functions import text as T
 from lexloom.operators import ordered
 from lexloom.plans import dims
-from lexloom.sources.tables import materialized
+from lexloom.sources.tables import materialized, small_batches
 
 
 def exploded_lines(pages: DataFrame, text: str = "text") -> DataFrame:
@@ -186,6 +186,7 @@ def split_chunks(docs: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) ->
     def cut(s: pd.Series) -> pd.Series:
         return s.map(lambda t: split_text(t or "", limit, overlap))
 
+    small_batches(docs.sparkSession)
     pieces = F.pandas_udf(cut, ArrayType(StringType()))
     return docs.select("id", F.posexplode(pieces("text")).alias("part", "chunk"))
 
@@ -203,6 +204,7 @@ def heading_chunks(bodies: DataFrame) -> DataFrame:
             out.append([f"{heading}\n\n{p}".strip() for p in parts])
         return pd.Series(out)
 
+    small_batches(bodies.sparkSession)
     pieces = F.pandas_udf(cut, ArrayType(StringType()))("body", "heading")
     own = [c for c in bodies.columns if c not in ("heading", "body")]
     return bodies.withColumn("_parts", pieces).select(*own, F.size("_parts").alias("parts"), F.posexplode("_parts").alias("part", "chunk")).withColumn("part", F.col("part") + 1)

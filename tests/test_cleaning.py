@@ -6,7 +6,9 @@ import unicodedata
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
+from lexloom.functions import text as T
 from lexloom.operators import cleaning
 from lexloom.plans import dims
 
@@ -238,3 +240,19 @@ def test_rules_of_marks_and_spacing(spark):
     df = spark.createDataFrame([("end.Next one ,two\n;x (\na )", "a 1[ 2[ b and 2019 but c")], "s STRING, m STRING")
     r = df.select(T.punct_spacing(F.col("s")).alias("s"), T.strip_citation_marks(F.col("m")).alias("m")).first()
     assert (r.s, r.m) == ("end. Next one, two; x (a)", replaced("a 1[ 2[ b and 2019 but c", dims.CITATION_MARKS)[0].strip())
+
+
+def test_early_tests_change_nothing(spark):
+    """Joined words and keywords are those of the plain patterns; only what isn't ASCII goes to
+    Python, in bounded batches."""
+    texts = ["ofthe court", "éofthe court", "OFTHE COURT", "theCourt and andThe ıncourt İncourt", "1ofthe _ofthe -ofthe (ofthe)", "forTheft byany", "abc123 x12345", "", "fine-print refine fine", "a murder of\nunlawful assembly", "ﬁne ½ theft", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i INT, t STRING")
+    want = T.substituted(F.col("t"), [*[(r"(?i)" + re.escape(w), r) for w, r in dims.OCR_REPAIRS.items()], *dims.JOINED_WORDS])
+    low = F.lower("t")
+    words = F.slice(F.array_compact(F.array(*[F.when(low.rlike(T.uni(rf"\b{t}\b")), F.lit(t)) for t in dims.LEGAL_TERMS])), 1, dims.MOST_KEYWORDS)
+    rows = df.select("t", T.ocr_counted(F.col("t"))["t"].alias("o"), want.alias("want"), cleaning.keywords(F.col("t")).alias("k"), words.alias("words"), cleaning.nfkc(F.col("t")).alias("n")).collect()
+    for r in rows:
+        assert r.o == r.want and (r.t is None or r.k == r.words) and r.n == (None if r.t is None else unicodedata.normalize("NFKC", r.t))
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    cleaning.clean_pages(df.select(F.lit("d").alias("document"), F.col("i").alias("page"), F.col("t").alias("text")))
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 512
