@@ -256,3 +256,62 @@ def test_early_tests_change_nothing(spark):
     spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     cleaning.clean_pages(df.select(F.lit("d").alias("document"), F.col("i").alias("page"), F.col("t").alias("text")))
     assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 512
+
+
+ODD_BITS = [
+    "ofthe", "Inthe", "tothecase", "wilt of a", "deceased", "bean", "received", "theCourt12", "ofan", "onthe ", "ina", "x19", "abc1234 ", "é12", "Mere, if", "a12[", "3[the", "] 4;", "[5]", "7 but", "2019 and", "١٢ but", "a\t b", "  ", " ,x", ".Next", "( a", "b )",
+    "\n", "\n\n\n\n", "\r\n", "\x0b", "\u2028", "\u0085", "\u00a0", "\u3000", "\u200b", "\ufeff", "\u00ad", "-\n", "- \n", "12-\nA.", "ﬁne", "½", "ſection 5", "sec. 12-A", "Explanatıon", "Illustrations", "Explanation 2", "İİ", "é", "\x1c", "\x00", "日本 ", "ﬂ́", "CHAPTER II", "IV", "OF HURT", "12. Of a: Whoever",
+]
+
+
+def test_plain_tests_first_change_nothing(spark):
+    """What a text must hold is looked for first; results are those of the patterns alone."""
+    r = random.Random(5)
+    texts = ["".join(r.choice(ODD_BITS) + r.choice(["", " ", "\n"]) for _ in range(r.randrange(1, 14))) for _ in range(3000)]
+    texts += [x + chr(c) + y for c in [*range(0x250), *range(0x1680, 0x1681), *range(0x2000, 0x2070), 0x3000, 0xFEFF] for x, y in (("", "a"), ("a", "b"), ("a", ""))]
+    df = spark.createDataFrame(list(enumerate(texts)), "i INT, t STRING").repartition(4)
+    t, strip = F.col("t"), lambda c: F.regexp_replace(c, T.uni(r"^\s+|\s+$"), "")
+    made = {
+        "stripped": (T.stripped(t), strip(t)), "lines": (T.split_lines(T.clean_whitespace(t)), F.split(T.clean_whitespace(t), T.LINE_END)), "single": (T.single_spaced(t), F.regexp_replace(t, r"[ \t]+", " ")),
+        "words": (T.split_words_counted(t), T.counted(t, dims.SPLIT_WORDS)), "ocr": (T.ocr_counted(t)["t"], T.substituted(t, T.OCR_STEPS)), "ocr_n": (T.ocr_counted(t)["n"], T.counted(t, T.OCR_STEPS)["n"]),
+        "marks": (T.strip_citation_marks(t), strip(T.substituted(t, dims.CITATION_MARKS))), "spacing": (T.punct_spacing(t), strip(T.substituted(t, dims.SPACING))),
+        "explanation": (cleaning.page_mentions(t)["contains_explanation"], t.rlike(T.uni(r"(?mi)^\s*Explanation(?:\s+\d+)?\b"))), "references": (cleaning.page_mentions(t)["legal_references"], cleaning.legal_references(t)),
+        "illustration": (cleaning.page_mentions(t)["contains_illustration"], t.rlike(T.uni(r"(?mi)^\s*Illustrations?\b"))), "nfkc": (cleaning.nfkc(t), F.col("want")),
+    }
+    want = spark.createDataFrame([(i, unicodedata.normalize("NFKC", x)) for i, x in enumerate(texts)], "i INT, want STRING")
+    both = df.join(want, "i").select("t", *[F.struct(a.alias("a"), b.alias("b")).alias(k) for k, (a, b) in made.items()])
+    for row in both.collect():
+        for k in made:
+            assert row[k].a == row[k].b, (k, row.t)
+
+
+def test_what_normalization_keeps():
+    """Stable characters stay as they are and never join one before; normalization neither makes
+    nor takes white space or what is invisible, so that edges may be normalized line by line."""
+    blank = re.compile(f"[\\s{T.INVISIBLE}]")
+    stable = re.compile(f"[{T.STABLE}]")
+    for i in [*range(0xD800), *range(0xE000, 0x110000)]:
+        c = chr(i)
+        if stable.match(c):
+            assert unicodedata.normalize("NFKC", c) == c and not unicodedata.combining(c)
+        assert all(blank.match(x) for x in unicodedata.normalize("NFKC", c)) == bool(blank.match(c)), hex(i)
+        assert not set(unicodedata.normalize("NFKC", c)) & set("\n\r\x0b\x0c\x1c\x1d\x1e\u0085\u2028\u2029") or unicodedata.normalize("NFKC", c) == c
+
+
+def test_odd_pages_match_a_plain_loop(spark):
+    """Both rounds of joined words, marks taken out between them and edges of any white space.
+    Digits, signs and line ends that Java and Python tell apart otherwise stay out."""
+    r = random.Random(11)
+    bits = [b for b in ODD_BITS if b not in ("\x1c", "\x00", "İİ", "Explanatıon", "١٢ but", "é12", "\u200b", "\ufeff", "\u00ad")]
+    pages = [("d", k, "".join(r.choice(bits) + r.choice(["", " ", "\n", "]\n"]) for _ in range(r.randrange(1, 16)))) for k in range(400)]
+    edge = ["The  Act\u3000of 1860", " The Act of 1860\r", "The Act of 1860\u200b", "\u200b\nTHE ACT OF 1860"]
+    pages += [("e", k, edge[k % 4] + "\n" + "word " * (40 * (k % 2)) + f"\nline {'abcdefghi'[k]}\n" + "x\n" * 9 + "end of\tit") for k in range(9)]
+    check(cleaning.clean_pages(spark.createDataFrame(pages, "document STRING, page LONG, text STRING")).collect(), pages)
+
+
+def test_pages_of_a_document_go_to_many_tasks(spark):
+    """Pages that came in one split, all of one document, aren't cleaned by one task."""
+    df = spark.createDataFrame([("d", k, f"Page {k}\nsome words") for k in range(400)], "document STRING, page LONG, text STRING").coalesce(1)
+    cleaned = cleaning.clean_pages(df)
+    counts = [r["count"] for r in cleaned.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(counts) >= 8 and max(counts) <= 100
