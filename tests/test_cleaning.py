@@ -315,3 +315,15 @@ def test_pages_of_a_document_go_to_many_tasks(spark):
     cleaned = cleaning.clean_pages(df)
     counts = [r["count"] for r in cleaned.groupBy(F.spark_partition_id()).count().collect()]
     assert len(counts) >= 8 and max(counts) <= 100
+
+
+def test_counters_do_without_mentions(spark):
+    """Totals of counters don't look for keywords and citations."""
+    df = spark.createDataFrame([("d", 1, "Theft, section 5")], "document STRING, page LONG, text STRING")
+    plan = lambda x: x._jdf.queryExecution().optimizedPlan().toString()
+    cleaned = cleaning.clean_pages(df)
+    spark.conf.set("spark.sql.debug.maxToStringFields", "1000")
+    try:
+        assert "abetment" in plan(cleaned) and "abetment" not in plan(cleaning.cleaning_totals(cleaned))
+    finally:
+        spark.conf.unset("spark.sql.debug.maxToStringFields")
