@@ -78,7 +78,7 @@ def section_heading(line: Column) -> Column:
         title = F.when(v["body"] == "", v["rest"]).otherwise(F.regexp_replace(T.stripped(F.regexp_extract(v["rest"], cut, 1)), r"[ ,;.\-]+$", ""))
         return F.struct(v["number"], title.alias("title"), v["body"])
 
-    own = T.once(F.struct(g(1).alias("number"), g(2).alias("rest")), lambda v: F.struct(v["number"], v["rest"], F.regexp_extract(v["rest"], cut, 2).alias("body")))
+    own = T.once(F.struct(g(1).alias("number"), g(2).alias("rest")), lambda v: F.struct(v["number"], v["rest"], F.when(v["rest"].contains(":"), F.regexp_extract(v["rest"], cut, 2)).otherwise("").alias("body")))
     return F.when(is_section(line), T.once(own, split))
 
 

@@ -20,6 +20,7 @@ from lexloom.functions import text as T
 from lexloom.operators import ordered
 from lexloom.operators import structure as S
 from lexloom.plans import dims
+from lexloom.sources.tables import materialized
 
 ORDER = ["page", "pos"]
 _PLACE = "struct<page: bigint, pos: int>"
@@ -64,7 +65,7 @@ def page_lines(pages: DataFrame) -> DataFrame:
     """(document, page, pos, line, _range, below): the lines of pages (document, page, text), a
     blank one after each page, and the next line below with something in it."""
     x = pages.where("document IS NOT NULL AND page IS NOT NULL").select("document", F.col("page").cast("long").alias("page"), F.posexplode(F.concat(F.split(T.stripped(F.coalesce("text", F.lit(""))), "\n"), F.array(F.lit("")))).alias("pos", "line"))
-    x = ordered.ranged(x.withColumn("full", F.nullif(T.stripped(F.col("line")), F.lit(""))), "document", *ORDER)
+    x = ordered.ranged(x, "document", *ORDER).withColumn("full", F.nullif(T.stripped(F.col("line")), F.lit("")))
     return ordered.carried(x, ["document"], ORDER, {"below": "full"}, ahead=True).drop("full")
 
 
@@ -93,7 +94,8 @@ def provision_blocks(pages: DataFrame, kinds: DataFrame) -> DataFrame:
     """(document, kind, start, number, title, text, pages, unsectioned): a row for each
     provision of pages (document, page, text), and for each page of unsectioned text. start is
     the place of its first line, pages the sorted pages that it stands on."""
-    x = marked_lines(page_lines(pages), kinds)
+    # Written, as all that is carried and both kinds of blocks read it: forms are told once.
+    x = materialized(marked_lines(page_lines(pages), kinds), "marked")
     x = ordered.carried(x, ["document"], ORDER, {"block": "candidate", "last": "boundary"}, own=True)
     row = F.struct("page", "pos", "line")
     free = x.where("block IS NULL").groupBy("document", "kind", "page").agg(F.array_sort(F.collect_list(row)).alias("ls"))
@@ -125,6 +127,8 @@ def provision_blocks(pages: DataFrame, kinds: DataFrame) -> DataFrame:
 
 #: What a block takes over from its pages: the first value that isn't null.
 INHERITED = ["chapter_number", "chapter_title", "part", "legal_topic"]
+#: What of a page's findings is read here.
+FOUND = [*INHERITED, "heading_only_page", "section_body_present"]
 
 
 def with_page_metadata(blocks: DataFrame, found: DataFrame) -> DataFrame:
@@ -170,8 +174,6 @@ def chunk_metadata(blocks: DataFrame, names: DataFrame) -> DataFrame:
 def legal_chunks(pages: DataFrame, found: DataFrame, kinds: DataFrame, names: DataFrame) -> DataFrame:
     """Chunks of all provisions and of their child components, with the metadata that the
     audit checks, the text (chunk) and the document's own order (document_chunk_number)."""
-    from lexloom.sources.tables import materialized
-
     blocks = materialized(with_page_metadata(provision_blocks(pages, kinds), found), "blocks")
     meta = chunk_metadata(blocks, names)
     unit = F.concat_ws("/", "document", F.col("start.page"), F.col("start.pos"))

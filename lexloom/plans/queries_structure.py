@@ -122,7 +122,9 @@ def legal_blocks(spark, sf_dir):
 def legal_chunks(spark, sf_dir):
     """Chunks of the cleaned laws with the metadata that the audit checks."""
     kinds, names = _laws(spark, sf_dir)
-    cleaned = SRC.materialized(C.clean_pages(legal_pages(spark, sf_dir)), "cleaned")
+    # Of the findings only what provisions inherit, so that the others needn't be made.
+    found = F.struct(*[F.col(f"found.{c}") for c in P.FOUND]).alias("found")
+    cleaned = SRC.materialized(C.clean_pages(legal_pages(spark, sf_dir)).select("document", "page", "text", found), "cleaned")
     x = P.legal_chunks(cleaned.select("document", "page", "text"), cleaned.select("document", "page", "found"), kinds, names)
     return x.withColumn("h", F.md5("chunk")).drop("chunk")
 

@@ -230,3 +230,26 @@ def test_splitting_matches_a_plain_loop(spark):
             got.setdefault(x.id, []).append((x.part, x.chunk))
         for i, t in enumerate(texts):
             assert [c for _, c in sorted(got.get(i, []))] == plain_split(t or "", limit, overlap), (limit, t)
+
+
+def test_what_chunks_write_on_the_way(spark, monkeypatch):
+    """Of the findings only those that provisions inherit are made; lines are written without a
+    copy of themselves, and their marks once for all that reads them."""
+    from lexloom.plans import queries_structure
+    from lexloom.sources import tables
+
+    seen = []
+
+    def spy(df, name):
+        seen.append((name, df))
+        return materialized(df, name)
+
+    for module in (tables, ordered, provisions):
+        monkeypatch.setattr(module, "materialized", spy, raising=False)
+    chunks = queries_structure.legal_chunks(spark, "/root/testdata/sf0.001")
+    assert chunks.limit(1).count() == 1
+    written = [n for n, _ in seen]
+    found = dict(seen)["cleaned"].schema
+    assert set(found.names) == {"document", "page", "text", "found"} and set(found["found"].dataType.names) == set(provisions.FOUND)
+    assert written.count("marked") == 1
+    assert next(df for n, df in seen if n == "ranges").columns == ["document", "page", "pos", "line", "_range"]
